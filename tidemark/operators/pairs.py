@@ -237,7 +237,9 @@ def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5,
                 yield pd.DataFrame({"q": ia[qi[keep]], "nbr": ib[cj[keep]], "dist": dd[keep]})
 
     cand = joined.mapInPandas(kernel, "q bigint, nbr bigint, dist double")
-    w = Window.partitionBy("q").orderBy(F.col("dist"), F.col("nbr"))
+    # distances are rounded to 9 dp for ordering so ties break on the id the
+    # same way in any engine
+    w = Window.partitionBy("q").orderBy(F.round(F.col("dist"), 9), F.col("nbr"))
     return (cand.withColumn("nn_rank", F.row_number().over(w))
             .where(F.col("nn_rank") <= k)
             .withColumn("nn_rank", F.col("nn_rank").cast("int")))

@@ -1 +1,227 @@
-"""Registered queries."""
+"""Registered queries: audit detectors (J*), kNN (C7), label contaminations (K5/K6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import contaminate as K
+from tidemark.operators import detectors as D
+from tidemark.operators.audit import auto_cut, label_error_audit, label_error_scores, off_topic_audit
+from tidemark.operators.metrics import metrics_sql, ranking_metrics
+from tidemark.operators.pairs import knn, lsh_candidates
+from tidemark.operators.ranking import global_rank
+from tidemark.operators.truth import id_hits
+from tidemark.plans import sqlparts as S
+from tidemark.plans.registry import register
+from tidemark.sources.readers import read_embeddings
+
+SEED = 42
+FRAC = 0.1
+LOGIT_ALPHA = repr(__import__("math").log(0.1 / 0.9))
+
+
+def _emb(spark, sf):
+    return read_embeddings(spark, sf)
+
+
+@register("j1c_label_ratio", f"""
+WITH {S.emb_cte()}, {S.label_ratio_ctes()}
+SELECT row_number() OVER (ORDER BY round(score, 9), id)::BIGINT AS rank, id, score FROM lr""")
+def j1c_label_ratio(spark, sf):
+    return label_error_audit(_emb(spark, sf))
+
+
+@register("k5_label_errors", f"""
+WITH {S.emb_cte()}, {S.label_error_ctes()}
+SELECT t.issue_type, t.id, e.label AS old_label, c.label AS new_label
+FROM k5t t JOIN emb e USING (id) JOIN k5c c USING (id)""")
+def k5_label_errors(spark, sf):
+    emb = _emb(spark, sf)
+    c, t = K.label_errors(emb, FRAC, SEED)
+    return (t.join(emb.select("id", F.col("label").alias("old_label")), "id")
+            .join(c.select("id", F.col("label").alias("new_label")), "id")
+            .select("issue_type", "id", "old_label", "new_label"))
+
+
+@register("k6_label_errors_per_class", f"""
+WITH {S.emb_cte()}, {S.label_error_ctes(out='k6c', truth='k6t', per_class=True)}
+SELECT t.issue_type, t.id, e.label AS old_label, c.label AS new_label
+FROM k6t t JOIN emb e USING (id) JOIN k6c c USING (id)""")
+def k6_label_errors_per_class(spark, sf):
+    emb = _emb(spark, sf)
+    c, t = K.label_errors(emb, FRAC, SEED, per_class=True)
+    return (t.join(emb.select("id", F.col("label").alias("old_label")), "id")
+            .join(c.select("id", F.col("label").alias("new_label")), "id")
+            .select("issue_type", "id", "old_label", "new_label"))
+
+
+@register("l1_label_error_eval", metrics_sql("h", ctes=f"""
+{S.emb_cte()}, {S.label_error_ctes()}, {S.label_ratio_ctes('k5c', 'lr')},
+r AS (SELECT row_number() OVER (ORDER BY round(score, 9), id) AS rank, id FROM lr),
+{S.id_hits_cte('h', 'r', 'k5t')}"""))
+def l1_label_error_eval(spark, sf):
+    """L1 (labels): K5 -> J1c -> C5 -> D11-D14."""
+    c, t = K.label_errors(_emb(spark, sf), FRAC, SEED)
+    ranked = label_error_audit(c)
+    return ranking_metrics(id_hits(ranked, t).select("rank", "hit"))
+
+
+@register("j2_auto_cut", f"""
+WITH {S.emb_cte()}, {S.label_ratio_ctes()},
+z AS (SELECT id, score, ln(least(greatest(score, 1e-9), 1 - 1e-9) / (1 - least(greatest(score, 1e-9), 1 - 1e-9))) AS z FROM lr),
+fit AS (SELECT count(*) AS n, quantile_cont(z, 0.1) AS x1, quantile_cont(z, 0.5) AS x2 FROM z),
+p AS (SELECT (x1 - x2) / ({LOGIT_ALPHA} - 0.0) AS scale, ({LOGIT_ALPHA} * x2 - 0.0 * x1) / ({LOGIT_ALPHA} - 0.0) AS loc, n FROM fit)
+SELECT row_number() OVER (ORDER BY round(score, 9), id)::BIGINT AS rank, id, score,
+       coalesce(CASE WHEN p.scale > 0 THEN p.n / (1 + exp(-((z.z - p.loc) / p.scale))) <= 0.05 ELSE false END, false) AS flagged
+FROM z, p""")
+def j2_auto_cut(spark, sf):
+    """J2 on the label-error scores (alpha .1, q .05)."""
+    ranked = label_error_audit(_emb(spark, sf))
+    return auto_cut(ranked, alpha=0.1, q=0.05).select("rank", "id", "score", "flagged")
+
+
+@register("c7_knn", f"""
+WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 5, 'l2')}
+SELECT q, nbr, dist, nn_rank FROM nn""")
+def c7_knn(spark, sf):
+    return knn(_emb(spark, sf), k=5, metric="l2").select("q", "nbr", "dist", "nn_rank")
+
+
+@register("j8_knn_outlier", f"""
+WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 5, 'l2')}
+SELECT q AS id, max(dist) AS score FROM nn GROUP BY q""")
+def j8_knn_outlier(spark, sf):
+    return D.knn_distance(_emb(spark, sf), 5)
+
+
+@register("j5_outlier_ranking", f"""
+WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 5, 'l2')},
+s AS (SELECT q AS id, max(dist) AS score FROM nn GROUP BY q),
+t AS (SELECT quantile_cont(score, 0.9) AS thr FROM s)
+SELECT row_number() OVER (ORDER BY -round(score, 9), id)::BIGINT AS rank, id, score,
+       CASE WHEN score > thr THEN 1 ELSE 0 END AS is_outlier FROM s, t""")
+def j5_outlier_ranking(spark, sf):
+    return D.outliers(_emb(spark, sf), lambda e: D.knn_distance(e, 5), 0.1)
+
+
+_ECDF_SQL = f"""{S.emb_cte()}, {S.long_cte('lf')},
+ec AS (SELECT id, dim, x,
+  (count(*) OVER (PARTITION BY dim ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE
+     / count(*) OVER (PARTITION BY dim) AS f_le,
+  (count(*) OVER (PARTITION BY dim ORDER BY x RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE
+     / count(*) OVER (PARTITION BY dim) AS f_ge
+  FROM lf)"""
+
+
+@register("e8_ecdf", f"""
+WITH {_ECDF_SQL}
+SELECT dim::INTEGER AS dim, count(*) AS n, sum(f_le) AS sum_f_le, sum(f_ge) AS sum_f_ge,
+       min(f_le) AS min_f_le, max(f_ge) AS max_f_ge FROM ec GROUP BY dim""")
+def e8_ecdf(spark, sf):
+    """E8 per-dimension ECDF, summarised per dimension."""
+    e = D.ecdf(D.long_form(_emb(spark, sf)))
+    return e.groupBy(F.col("dim").cast("int").alias("dim")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("F_le").alias("sum_f_le"), F.sum("F_ge").alias("sum_f_ge"),
+        F.min("F_le").alias("min_f_le"), F.max("F_ge").alias("max_f_ge"))
+
+
+@register("j6_ecod", f"""
+WITH {_ECDF_SQL},
+mu AS (SELECT dim, avg(x) AS m FROM lf GROUP BY dim),
+sk AS (SELECT lf.dim, avg((x - m) * (x - m) * (x - m)) AS m3 FROM lf JOIN mu USING (dim) GROUP BY lf.dim),
+parts AS (SELECT id, -ln(f_le) AS l, -ln(f_ge) AS r, CASE WHEN m3 < 0 THEN -ln(f_le) ELSE -ln(f_ge) END AS a
+          FROM ec JOIN sk USING (dim))
+SELECT id, greatest(sum(l), sum(r), sum(a)) AS score FROM parts GROUP BY id""")
+def j6_ecod(spark, sf):
+    return D.ecod(_emb(spark, sf))
+
+
+@register("j9_hbos", f"""
+WITH {S.emb_cte()}, {S.long_cte('lf')},
+rg AS (SELECT dim, min(x) AS lo, max(x) AS hi, count(*) AS n FROM lf GROUP BY dim),
+b AS (SELECT lf.id, lf.dim,
+        CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 10), 9) ELSE 0 END::INTEGER AS bin,
+        CASE WHEN hi > lo THEN (hi - lo) / 10.0 ELSE 1.0 END AS w, n
+      FROM lf JOIN rg USING (dim)),
+dn AS (SELECT dim, bin, count(*) / (any_value(n) * any_value(w)) AS density FROM b GROUP BY dim, bin)
+SELECT id, sum(-log2(density + 0.1)) AS score FROM b JOIN dn USING (dim, bin) GROUP BY id""")
+def j9_hbos(spark, sf):
+    return D.hbos(_emb(spark, sf))
+
+
+@register("j11_knn_agreement", f"""
+WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 2, 'half_cosine')},
+s AS (SELECT nn.q AS id, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS score, avg(nn.dist) AS mean_dist
+      FROM nn JOIN emb a ON a.id = nn.q JOIN emb b ON b.id = nn.nbr GROUP BY nn.q)
+SELECT row_number() OVER (ORDER BY round(score, 9), round(mean_dist, 9), id)::BIGINT AS rank, id, score, mean_dist FROM s""")
+def j11_knn_agreement(spark, sf):
+    return D.knn_agreement(_emb(spark, sf), 2)
+
+
+@register("d4_prototype_counts", f"""
+WITH {S.emb_cte()},
+sz AS (SELECT label, count(*) AS n_c FROM emb GROUP BY label),
+rho AS (SELECT avg(n_c) AS rho FROM sz)
+SELECT label, n_c::BIGINT AS n_c, rho, least(greatest(floor(sqrt(rho / 2)), 1), n_c)::INTEGER AS k FROM sz, rho""")
+def d4_prototype_counts(spark, sf):
+    return D.prototype_counts(_emb(spark, sf))
+
+
+_PHASH_SQL = f"""{S.emb_cte()},
+px AS (SELECT id, (generate_subscripts(embedding, 1) - 1) AS p, unnest(embedding) AS val FROM emb),
+bs AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16.0) AS c FROM range(8) t1(u), range(8) t2(x)),
+cf AS (SELECT px.id, bu.u, bv.u AS v, sum(val * bu.c * bv.c) AS coef
+       FROM px JOIN bs bu ON bu.x = px.p // 8 JOIN bs bv ON bv.x = px.p % 8 GROUP BY px.id, bu.u, bv.u),
+md AS (SELECT id, quantile_cont(coef, 0.5) AS med FROM cf GROUP BY id),
+hs AS (SELECT e.id, coalesce(sum(CASE WHEN round(cf.coef, 12) > round(md.med, 12)
+                                 THEN (1::HUGEINT << (cf.u * 8 + cf.v)::INTEGER) END), 0) AS h
+       FROM emb e LEFT JOIN cf USING (id) LEFT JOIN md USING (id) GROUP BY e.id)"""
+
+
+@register("j4_phash_pairs", f"""
+WITH {_PHASH_SQL},
+pr AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.h, b.h)) / 64.0 AS score FROM hs a JOIN hs b ON a.id < b.id)
+SELECT row_number() OVER (ORDER BY score, i, j)::BIGINT AS rank, i, j, score FROM pr""")
+def j4_phash_pairs(spark, sf):
+    return D.phash_pairs(_emb(spark, sf))
+
+
+@register("h1_hamming_bands")
+def h1_hamming_bands(spark, sf):
+    """J4 scale path: band equi-join finds every pair within 7 differing bits."""
+    return D.phash_pairs(_emb(spark, sf), max_bits=7)
+
+
+@register("j12_label_quality", None)
+def j12_label_quality(spark, sf):
+    return D.label_quality(D.centroid_proba(_emb(spark, sf), 10, SEED))
+
+
+@register("j12c_confident_joint", None)
+def j12c_confident_joint(spark, sf):
+    return D.confident_joint(D.centroid_proba(_emb(spark, sf), 10, SEED))
+
+
+@register("j3_ssim_pairs")
+def j3_ssim_pairs(spark, sf):
+    return D.ssim_pairs(_emb(spark, sf))
+
+
+@register("j7_isolation_forest")
+def j7_isolation_forest(spark, sf):
+    return D.isolation_forest(_emb(spark, sf), trees=100, sample=256, seed=SEED)
+
+
+@register("j10_noise_rank")
+def j10_noise_rank(spark, sf):
+    return D.noise_rank(_emb(spark, sf), seed=SEED)
+
+
+@register("j1b_off_topic")
+def j1b_off_topic(spark, sf):
+    return off_topic_audit(_emb(spark, sf))
+
+
+@register("c2_lsh_candidates")
+def c2_lsh_candidates(spark, sf):
+    return lsh_candidates(_emb(spark, sf), max_dist=0.3)

@@ -91,3 +91,52 @@ def pair_hits_cte(name: str, ranked: str, truth: str) -> str:
 def id_hits_cte(name: str, ranked: str, truth: str) -> str:
     return (f"{name} AS (SELECT r.rank, CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS hit FROM {ranked} r "
             f"LEFT JOIN (SELECT DISTINCT id FROM {truth}) t ON r.id = t.id)")
+
+
+def long_cte(name: str, src: str = "emb") -> str:
+    """``(id, dim, x)`` long form of the embedding."""
+    return (f"{name} AS (SELECT id, generate_subscripts(embedding, 1) - 1 AS dim, "
+            f"unnest(embedding) AS x FROM {src})")
+
+
+def knn_cte(name: str, src: str, k: int, metric: str, base: str | None = None,
+            exclude_self: bool = True) -> str:
+    base = base or src
+    cond = "a.id <> b.id" if exclude_self else "TRUE"
+    return f"""{name}_d AS (SELECT a.id AS q, b.id AS nbr, {dist_sql('a.embedding', 'b.embedding', metric)} AS dist
+                FROM {src} a JOIN {base} b ON {cond}),
+{name}_r AS (SELECT q, nbr, dist, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), nbr) AS nn_rank
+             FROM {name}_d),
+{name} AS (SELECT q, nbr, dist, nn_rank::INTEGER AS nn_rank FROM {name}_r WHERE nn_rank <= {k})"""
+
+
+def label_ratio_ctes(src: str = "emb", out: str = "lr") -> str:
+    """J1c scores ``(id, score)``."""
+    return f"""{out}_p AS (SELECT a.id, a.label = b.label AS same, {dist_sql('a.embedding', 'b.embedding')} AS dist
+               FROM {src} a JOIN {src} b ON a.id <> b.id),
+{out}_n AS (SELECT e.id, min(CASE WHEN p.same THEN p.dist END) AS d_same,
+                   min(CASE WHEN NOT p.same THEN p.dist END) AS d_other
+            FROM {src} e LEFT JOIN {out}_p p ON p.id = e.id GROUP BY e.id),
+{out} AS (SELECT id, CASE WHEN d_other IS NULL THEN 1.0
+                          WHEN coalesce(d_same, 1.0) * coalesce(d_same, 1.0) + d_other * d_other = 0 THEN 0.5
+                          ELSE d_other * d_other / (coalesce(d_same, 1.0) * coalesce(d_same, 1.0) + d_other * d_other)
+                     END AS score FROM {out}_n)"""
+
+
+def label_error_ctes(src: str = "emb", out: str = "k5c", truth: str = "k5t", frac: float = 0.1,
+                     seed: int = 42, per_class: bool = False) -> str:
+    """K5 / K6: flipped labels ``out`` and truth ``truth``."""
+    salt = "k6" if per_class else "k5"
+    ncls = f"{salt}_nc AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {src})"
+    if per_class:
+        pick = f"""{salt}_r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {hkey_sql(seed, salt, 'id')}, id) AS cr,
+                        count(*) OVER (PARTITION BY label) AS nc FROM {src}),
+{salt}_s AS (SELECT id, label FROM {salt}_r WHERE cr <= ceil(nc * {float(frac)!r}))"""
+    else:
+        pick = f"""{sample_cte(salt + '_x', src, seed, salt, frac)},
+{salt}_s AS (SELECT id, label FROM {salt}_x)"""
+    return f"""{ncls}, {pick},
+{salt}_f AS (SELECT s.id, ((s.label + 1 + floor({u_sql(seed, salt + ':new', 's.id')} * (nc.ncls - 1)))::BIGINT % nc.ncls)::INTEGER AS new_label
+             FROM {salt}_s s, {salt}_nc nc),
+{out} AS (SELECT e.id, e.embedding, coalesce(f.new_label, e.label) AS label FROM {src} e LEFT JOIN {salt}_f f USING (id)),
+{truth} AS (SELECT 'label_error' AS issue_type, id, NULL::BIGINT AS id2 FROM {salt}_f)"""
