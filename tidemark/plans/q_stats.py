@@ -1 +1,95 @@
-"""Registered queries."""
+"""Registered queries: statistics."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.scalars import logistic, logit, pvalue_stars
+from tidemark.operators.pairs import knn
+from tidemark.operators.sequences import average_rank
+from tidemark.operators.stats import paired_permutation, quantile_fit, quantile_summary, wilcoxon
+from tidemark.plans import sqlparts as S
+from tidemark.plans.registry import register
+from tidemark.sources.fixtures import PAIRED_SQL, paired_scores
+from tidemark.sources.readers import read_embeddings, table
+
+RESAMPLES = 9999
+
+
+def _norm_sf_sql(z: str) -> str:
+    """1 - Phi(z) with the same A&S 7.1.26 erf as the engine."""
+    x = f"(({z}) / sqrt(2))"
+    t = f"(1 / (1 + 0.3275911 * abs({x})))"
+    poly = (f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 "
+            f"+ {t} * 1.061405429)))))")
+    return f"(1 - 0.5 * (1 + sign({x}) * (1 - {poly} * exp(-{x} * {x}))))"
+
+
+@register("e6_average_rank", """
+SELECT event_id, event_type,
+       rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS avg_rank
+FROM events""")
+def e6_average_rank(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return average_rank(ev, "value", "avg_rank", ["event_type"], "event_id").select("event_id", "event_type", "avg_rank")
+
+
+@register("l9_wilcoxon", f"""WITH {PAIRED_SQL},
+d AS (SELECT id, x - y AS d, abs(x - y) AS ad FROM ps WHERE x - y <> 0),
+r AS (SELECT *, rank() OVER (ORDER BY ad) + (count(*) OVER (PARTITION BY ad) - 1) / 2.0 AS r FROM d),
+s AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus,
+             count(*)::DOUBLE AS n FROM r),
+t AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*)::DOUBLE AS c FROM d GROUP BY ad)),
+z AS (SELECT s.*, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z2,
+             (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS zg FROM s, t)
+SELECT n::BIGINT AS n, w_plus, w_minus, 2 * {_norm_sf_sql('abs(z2)')} AS p_two_sided, {_norm_sf_sql('zg')} AS p_greater FROM z""")
+def l9_wilcoxon(spark, sf):
+    """L9 on paired per-user means (first vs second half of the month)."""
+    return wilcoxon(paired_scores(spark, sf), "x", "y")
+
+
+@register("l10_paired_permutation", f"""WITH {PAIRED_SQL},
+rs AS (SELECT range AS r FROM range(0, {RESAMPLES + 1})),
+j AS (SELECT r, id, CASE WHEN r > 0 AND {S.u_sql(42, 'perm', "r::VARCHAR || '/' || id::VARCHAR")} < 0.5 THEN y ELSE x END AS xx,
+             CASE WHEN r > 0 AND {S.u_sql(42, 'perm', "r::VARCHAR || '/' || id::VARCHAR")} < 0.5 THEN x ELSE y END AS yy
+      FROM ps, rs),
+rk AS (SELECT *, rank() OVER (PARTITION BY r ORDER BY xx) + (count(*) OVER (PARTITION BY r, xx) - 1) / 2.0 AS rk FROM j),
+st AS (SELECT r, sum(CASE WHEN xx > yy THEN rk ELSE 0 END) AS t FROM rk GROUP BY r),
+ob AS (SELECT t AS statistic FROM st WHERE r = 0),
+ag AS (SELECT statistic, (sum(CASE WHEN t >= statistic - 1e-12 THEN 1 ELSE 0 END) + 1) / {float(RESAMPLES + 1)} AS p_greater,
+              (sum(CASE WHEN t <= statistic + 1e-12 THEN 1 ELSE 0 END) + 1) / {float(RESAMPLES + 1)} AS p_less
+       FROM st, ob WHERE r > 0 GROUP BY statistic)
+SELECT statistic, p_greater, p_less, least(1.0, 2 * least(p_greater, p_less)) AS p_two_sided FROM ag""")
+def l10_paired_permutation(spark, sf):
+    return paired_permutation(paired_scores(spark, sf), "x", "y", resamples=RESAMPLES, seed=42)
+
+
+@register("d10_quantile_summary", """
+SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
+       quantile_cont(value, 0.75) AS q75, count(value) AS n FROM events GROUP BY event_type""")
+def d10_quantile_summary(spark, sf):
+    return quantile_summary(table(spark, sf, "events"), "value", ["event_type"])
+
+
+@register("d15_quantile_fit", f"""WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 1, 'half_cosine')},
+qs AS (SELECT quantile_cont(dist, 0.1) AS x1, quantile_cont(dist, 0.5) AS x2 FROM nn)
+SELECT x1, x2, (x1 - x2) / ({math.log(0.1 / 0.9)!r} - 0.0) AS scale,
+       ({math.log(0.1 / 0.9)!r} * x2 - 0.0 * x1) / ({math.log(0.1 / 0.9)!r} - 0.0) AS loc FROM qs""")
+def d15_quantile_fit(spark, sf):
+    """D15 on nearest-neighbour distances (in [0, 1]) with the logistic prior."""
+    nn = knn(read_embeddings(spark, sf), k=1, metric="half_cosine")
+    return quantile_fit(nn, "dist", 0.1, 0.5, "logistic")
+
+
+@register("h10_h11_scalars", f"""WITH {PAIRED_SQL},
+d AS (SELECT id, least(greatest(x / 1000.0, 1e-9), 1 - 1e-9) AS p FROM ps)
+SELECT id, ln(p / (1 - p)) AS z, 1 / (1 + exp(-ln(p / (1 - p)))) AS back,
+       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM d""")
+def h10_h11_scalars(spark, sf):
+    """H10 stars and H11 logit / logistic on per-user means scaled into (0, 1)."""
+    ps = paired_scores(spark, sf)
+    p = F.least(F.greatest(F.col("x") / 1000.0, F.lit(1e-9)), F.lit(1 - 1e-9))
+    d = ps.select("id", p.alias("p"))
+    return d.select("id", logit("p").alias("z"), logistic(logit("p")).alias("back"), pvalue_stars("p").alias("stars"))
