@@ -59,3 +59,25 @@ def half_cosine_distance(a, b) -> Column:
 def hamming_fraction(a, b, bits: int = 64) -> Column:
     """H1: share of differing bits between two bigint signatures."""
     return F.bit_count(_c(a).bitwiseXOR(_c(b))).cast("double") / F.lit(float(bits))
+
+
+def hashed_bow(df, id_col: str, text_col: str, dims: int = 64):
+    """Hashed bag of words: ``(id, embedding array<double>)`` of token counts in
+    ``dims`` md5 buckets (tokens = lower-cased whitespace splits).
+
+    Whole texts are tokenised; the long token table is aggregated by
+    ``(id, bucket)`` with map-side partial counts, then densified per row.
+    """
+    from pyspark.sql import functions as Fn
+
+    toks = df.select(Fn.col(id_col).alias("id"),
+                     Fn.explode(Fn.split(Fn.lower(Fn.col(text_col)), r"\s+")).alias("tok"))
+    toks = toks.where(Fn.length("tok") > 0)
+    bucket = Fn.pmod(Fn.conv(Fn.substring(Fn.md5("tok"), 1, 8), 16, 10).cast("bigint"), Fn.lit(dims))
+    cnt = toks.groupBy("id", bucket.alias("b")).agg(Fn.count(Fn.lit(1)).cast("double").alias("c"))
+    per = cnt.groupBy("id").agg(Fn.map_from_entries(Fn.collect_list(Fn.struct("b", "c"))).alias("m"))
+    dense = per.select("id", Fn.transform(Fn.sequence(Fn.lit(0), Fn.lit(dims - 1)),
+                                          lambda i: Fn.coalesce(Fn.col("m")[i.cast("bigint")], Fn.lit(0.0)))
+                       .alias("embedding"))
+    return df.select(Fn.col(id_col).alias("id")).join(dense, "id", "left").select(
+        "id", Fn.coalesce("embedding", Fn.array_repeat(Fn.lit(0.0), dims)).alias("embedding"))

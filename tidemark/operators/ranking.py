@@ -44,19 +44,19 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank",
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid_out = (df.repartitionByRange(n_parts, *cols)
                 .sortWithinPartitions(*cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
+                .withColumn("__gr_pid", F.spark_partition_id())
+                .withColumn("__gr_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     frozen = laid_out.checkpoint(eager=True)
-    counts = frozen.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = frozen.groupBy("__gr_pid").agg(F.count(F.lit(1)).alias("__gr_cnt"))
     # one row per partition: a window over it is a few hundred rows at most
     offsets = counts.select(
-        "_pid",
-        (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    ranked = (frozen.join(F.broadcast(offsets), "_pid")
-              .withColumn(rank_col, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos") + 1)
+        "__gr_pid",
+        (F.sum("__gr_cnt").over(Window.orderBy("__gr_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .alias("__gr_off"))
+    ranked = (frozen.join(F.broadcast(offsets), "__gr_pid")
+              .withColumn(rank_col, (F.coalesce(F.col("__gr_off"), F.lit(0)) + F.col("__gr_pos") + 1)
                           .cast("bigint"))
-              .drop("_pid", "_pos", "_off"))
+              .drop("__gr_pid", "__gr_pos", "__gr_off"))
     return ranked
 
 

@@ -140,3 +140,13 @@ def label_error_ctes(src: str = "emb", out: str = "k5c", truth: str = "k5t", fra
              FROM {salt}_s s, {salt}_nc nc),
 {out} AS (SELECT e.id, e.embedding, coalesce(f.new_label, e.label) AS label FROM {src} e LEFT JOIN {salt}_f f USING (id)),
 {truth} AS (SELECT 'label_error' AS issue_type, id, NULL::BIGINT AS id2 FROM {salt}_f)"""
+
+
+def bow_cte(name: str, src: str, id_col: str, text_col: str, dims: int = 64) -> str:
+    """Hashed bag of words, same as :func:`tidemark.functions.vectors.hashed_bow`."""
+    return f"""{name}_t AS (SELECT {id_col} AS id, unnest(regexp_split_to_array(lower({text_col}), '\\s+')) AS tok FROM {src}),
+{name}_c AS (SELECT id, (('0x' || substr(md5(tok), 1, 8))::UBIGINT % {dims})::BIGINT AS b, count(*)::DOUBLE AS c
+             FROM {name}_t WHERE length(tok) > 0 GROUP BY id, b),
+{name} AS (SELECT d.id, list(coalesce(c.c, 0.0) ORDER BY g.b) AS embedding
+           FROM (SELECT {id_col} AS id FROM {src}) d CROSS JOIN (SELECT range AS b FROM range({dims})) g
+           LEFT JOIN {name}_c c ON c.id = d.id AND c.b = g.b GROUP BY d.id)"""
