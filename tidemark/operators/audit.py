@@ -70,7 +70,8 @@ def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
     cuts = edges.agg(F.percentile("dist", F.array(*[F.lit(q) for q in qs])).alias("cuts"))
     lv = cuts.select(F.posexplode("cuts").alias("level", "cut"))
     kept = edges.crossJoin(F.broadcast(lv)).where(F.col("dist") <= F.col("cut")).select("level", "a", "b")
-    und = kept.unionByName(kept.select("level", F.col("b").alias("a"), F.col("a").alias("b")))
+    # the edge table is read every round: materialise it once
+    und = freeze(kept.unionByName(kept.select("level", F.col("b").alias("a"), F.col("a").alias("b"))))
     nodes = emb.select("id").crossJoin(F.broadcast(lv.select("level")))
     comp = components(nodes, und, max_rounds=max_rounds)
     n = emb.agg(F.count(F.lit(1)).cast("double").alias("_n"))
@@ -81,8 +82,7 @@ def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
     return scored
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30,
-               checkpoint_every: int = 3) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """Connected components per ``level``: ``(level, id, comp)`` with comp = min id.
 
     Each round takes, for every node, the minimum label among itself and its
@@ -90,8 +90,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30,
     (label of the label). Converges in O(diameter) rounds at worst; the loop
     stops when no label changes (one count per round).
     """
-    labels = nodes.select("level", "id", F.col("id").alias("comp"))
-    for r in range(max_rounds):
+    labels = freeze(nodes.select("level", "id", F.col("id").alias("comp")))
+    for _ in range(max_rounds):
         nb = (edges.join(labels.withColumnRenamed("id", "b"), ["level", "b"])
               .select("level", F.col("a").alias("id"), F.col("comp").alias("cand")))
         new = (labels.select("level", "id", F.col("comp").alias("cand")).unionByName(nb)
@@ -100,8 +100,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30,
         jump = new.select("level", F.col("id").alias("comp"), F.col("comp").alias("comp2"))
         new = (new.join(jump, ["level", "comp"], "left")
                .select("level", "id", F.least("comp", F.coalesce("comp2", "comp")).alias("comp")))
-        if (r + 1) % checkpoint_every == 0:
-            new = freeze(new)
+        # each round is materialised so the next one (and the change test)
+        # never replays earlier rounds
+        new = freeze(new)
         changed = (new.join(labels.withColumnRenamed("comp", "old"), ["level", "id"])
                    .where(F.col("comp") != F.col("old")).limit(1).count())
         labels = new

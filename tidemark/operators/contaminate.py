@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import hash_key, uniform
 from tidemark.functions.scalars import chained_fraction_py
 from tidemark.functions.vectors import l2_normalize
-from tidemark.operators.ranking import global_rank
+from tidemark.operators.ranking import freeze, global_rank
 
 NEAR_DUP, OFF_TOPIC, LABEL_ERR = "near_duplicate", "off_topic", "label_error"
 TRUTH_SCHEMA = "issue_type string, id bigint, id2 bigint"
@@ -343,7 +343,9 @@ def mixed(df: DataFrame, frac: float = 0.1, seed: int = 42, off_topic: str = "de
     s2, t2 = near_duplicates(s1, f, seed, perturb=dup_perturb, payload=payload)
     originals = df.select("id").join(t1.select("id"), "id", "left_anti")
     s3, t3 = label_errors(s2, f, seed, candidates=originals)
-    return s3, t1.unionByName(t2).unionByName(t3)
+    # three chained stages: materialise the result once so audits that read
+    # it several times never replay the chain
+    return freeze(s3), freeze(t1.unionByName(t2).unionByName(t3))
 
 
 def contaminate(df: DataFrame, kind: str, frac: float = 0.1, seed: int = 42,

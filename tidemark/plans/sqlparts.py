@@ -124,9 +124,18 @@ def label_ratio_ctes(src: str = "emb", out: str = "lr") -> str:
 
 
 def label_error_ctes(src: str = "emb", out: str = "k5c", truth: str = "k5t", frac: float = 0.1,
-                     seed: int = 42, per_class: bool = False) -> str:
-    """K5 / K6: flipped labels ``out`` and truth ``truth``."""
+                     seed: int = 42, per_class: bool = False, pool: str | None = None) -> str:
+    """K5 / K6: flipped labels ``out`` and truth ``truth``; ``pool`` restricts
+    the sampled rows (K7 samples original ids only)."""
     salt = "k6" if per_class else "k5"
+    if pool is not None:
+        pool_cte = f"{salt}_pool AS (SELECT * FROM {src} WHERE id IN (SELECT id FROM {pool}))"
+        inner = label_error_ctes(f"{salt}_pool", out + "_inner", truth, frac, seed, per_class)
+        return (f"{pool_cte}, {salt}_nc0 AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {src}), "
+                + inner.replace(f"{salt}_nc AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {salt}_pool)",
+                                f"{salt}_nc AS (SELECT ncls FROM {salt}_nc0)")
+                + f""",
+{out} AS (SELECT e.id, e.embedding, coalesce(f.new_label, e.label) AS label FROM {src} e LEFT JOIN {salt}_f f USING (id))""")
     ncls = f"{salt}_nc AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {src})"
     if per_class:
         pick = f"""{salt}_r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {hkey_sql(seed, salt, 'id')}, id) AS cr,
@@ -150,3 +159,25 @@ def bow_cte(name: str, src: str, id_col: str, text_col: str, dims: int = 64) ->
 {name} AS (SELECT d.id, list(coalesce(c.c, 0.0) ORDER BY g.b) AS embedding
            FROM (SELECT {id_col} AS id FROM {src}) d CROSS JOIN (SELECT range AS b FROM range({dims})) g
            LEFT JOIN {name}_c c ON c.id = d.id AND c.b = g.b GROUP BY d.id)"""
+
+
+def destroy_ctes(src: str = "emb", out: str = "k3c", truth: str = "k3t", frac: float = 0.1,
+                 seed: int = 42, levels: float = 2.0, width: int = 2) -> str:
+    """K3 with the vector destruction: smoothed, quantised, renormalised copies
+    replace the sampled rows under the class max(label) + 1."""
+    v = "k3s.embedding"
+    lo = f"greatest(i - 1 - {width}, 0)"
+    hi = f"least(i - 1 + {width}, len({v}) - 1)"
+    smooth = f"list_transform({v}, lambda x, i: list_sum(list_slice({v}, {lo} + 1, {hi} + 1)) / ({hi} - {lo} + 1))"
+    return f"""{sample_cte('k3s', src, seed, 'k3', frac)},
+k3p AS (SELECT k3s.new_id AS nid2, list_transform({smooth}, lambda y: round(y * {levels!r}) / {levels!r}) AS e FROM k3s),
+k3n AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {src}),
+{out} AS (SELECT id, embedding, label FROM {src} WHERE id NOT IN (SELECT id FROM k3s)
+          UNION ALL SELECT nid2 AS id, {normalize_sql('e')} AS embedding, ncls AS label FROM k3p, k3n),
+{truth} AS (SELECT 'off_topic' AS issue_type, new_id AS id, NULL::BIGINT AS id2 FROM k3s)"""
+
+
+def k1_on(src: str, out: str, truth: str, frac: float, seed: int = 42) -> str:
+    """K1 on an arbitrary source CTE (names prefixed by ``out``)."""
+    return (k1_ctes(src, out, truth, frac, seed)
+            .replace("k1s", f"{out}_s").replace("k1n", f"{out}_n"))
