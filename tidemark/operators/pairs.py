@@ -276,3 +276,37 @@ def lsh_candidates(df: DataFrame, id_col: str = "id", vec_col: str = "embedding"
                    half_cosine_distance("ea", "eb").alias("dist"))
            .where(F.col("dist") <= max_dist))
     return out.dropDuplicates(["i", "j"])
+
+
+def pairs_between(a_df: DataFrame, b_df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
+                  metric: str = "half_cosine", max_dist: float | None = None,
+                  block_rows: int = 1024) -> DataFrame:
+    """All pairs ``(a, b)`` across two tables (ids never compared with themselves),
+    optionally only those within ``max_dist``; output ``(i, j, dist)`` with i < j."""
+    spark = a_df.sparkSession
+    na = _n_blocks(a_df, block_rows)
+    nb = _n_blocks(b_df, block_rows)
+    ab = _blocks(a_df, id_col, vec_col, na, [])
+    bb = _blocks(b_df, id_col, vec_col, nb, [])
+    bp = (spark.range(na).withColumnRenamed("id", "bi")
+          .crossJoin(spark.range(nb).withColumnRenamed("id", "bj")))
+    a = ab.select(*[F.col(c).alias(f"a_{c}") for c in ab.columns])
+    b = bb.select(*[F.col(c).alias(f"b_{c}") for c in bb.columns])
+    joined = (bp.join(a, bp.bi == a.a_blk).join(b, bp.bj == b.b_blk)
+              .repartition(max(1, min(na * nb, 4 * max(na, nb))), "bi", "bj")
+              .select("a_ids", "a_vecs", "b_ids", "b_vecs"))
+    thr = max_dist
+
+    def kernel(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
+                d = _pairwise(va, vb, metric)
+                keep = np.ones(d.shape, dtype=bool) if thr is None else d <= thr
+                keep &= ia[:, None] != ib[None, :]
+                ii, jj = np.nonzero(keep)
+                gi, gj = ia[ii], ib[jj]
+                yield pd.DataFrame({"i": np.minimum(gi, gj), "j": np.maximum(gi, gj), "dist": d[ii, jj]})
+
+    return joined.mapInPandas(kernel, "i bigint, j bigint, dist double")

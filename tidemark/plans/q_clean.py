@@ -1 +1,289 @@
-"""Registered queries."""
+"""Registered queries: cleaning influence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import cleaning as C
+from tidemark.operators import contaminate as K
+from tidemark.operators.audit import auto_cut, label_error_audit, near_duplicate_audit
+from tidemark.operators.ranking import freeze
+from tidemark.operators.stats import quantile_summary
+from tidemark.plans import sqlparts as S
+from tidemark.plans.registry import register
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.readers import read_embeddings, table
+
+SEED = 42
+TEST = 0.2
+LOGIT_ALPHA = repr(__import__("math").log(0.1 / 0.9))
+
+
+def _split_sql(src: str, name: str = "sp", seed: int = SEED, test: float = TEST) -> str:
+    return f"""{name}_sz AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+{name}_tt AS (SELECT sum(n_c) AS n FROM {name}_sz),
+{name}_q AS (SELECT label, n_c, ceil(n * {test!r}) AS T, ceil(n * {test!r}) * n_c / n AS quota FROM {name}_sz, {name}_tt),
+{name}_q3 AS (SELECT *, floor(quota) AS base, quota - floor(quota) AS rem,
+                     row_number() OVER (ORDER BY quota - floor(quota) DESC, label) AS ord FROM {name}_q),
+{name}_lf AS (SELECT any_value(T) - sum(base) AS lft FROM {name}_q3),
+{name}_al AS (SELECT label, base + CASE WHEN ord <= lft THEN 1 ELSE 0 END AS t_c FROM {name}_q3, {name}_lf),
+{name}_rk AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {S.hkey_sql(seed, 'split', 'id')}, id) AS p FROM {src}),
+{name} AS (SELECT id, CASE WHEN p <= t_c THEN 'TEST' ELSE 'TRAIN' END AS split FROM {name}_rk JOIN {name}_al USING (label))"""
+
+
+@register("l6_stratified_split", f"WITH {S.emb_cte()}, {_split_sql('emb')} SELECT id, split FROM sp")
+def l6_stratified_split(spark, sf):
+    return C.stratified_split(read_embeddings(spark, sf), TEST, SEED)
+
+
+@register("b8_split_membership", f"""WITH {S.emb_cte()}, {S.k1_ctes()}, {_split_sql('emb')}
+SELECT c.id, coalesce(sp.split, 'ERROR') AS split FROM k1c c LEFT JOIN sp USING (id)""")
+def b8_split_membership(spark, sf):
+    """Ids of the contaminated table against the split of the original rows."""
+    emb = read_embeddings(spark, sf)
+    c, _ = K.near_duplicates(emb, 0.1, SEED)
+    return C.split_of(c.select("id"), C.stratified_split(emb, TEST, SEED))
+
+
+_RESOLVE_SQL = f"""{S.emb_cte()}, {S.k1_ctes()}, {_split_sql('k1c')},
+rp AS (SELECT t.id, t.id2, coalesce(a.split, 'ERROR') AS s1, coalesce(b.split, 'ERROR') AS s2,
+              {S.u_sql(SEED, 'pick', "t.id::VARCHAR || '/' || t.id2::VARCHAR")} < 0.5 AS coin
+       FROM k1t t LEFT JOIN sp a ON a.id = t.id LEFT JOIN sp b ON b.id = t.id2)"""
+
+
+def _pick_sql(cleaning: str) -> str:
+    rnd = "CASE WHEN coin THEN id ELSE id2 END"
+    return (f"CASE WHEN s1 = s2 THEN {rnd} WHEN s1 = '{cleaning}' THEN id WHEN s2 = '{cleaning}' THEN id2 "
+            f"ELSE {rnd} END")
+
+
+@register("l7a_resolve_pairs", f"""WITH {_RESOLVE_SQL}
+SELECT id, id2, s1, s2, {_pick_sql('TRAIN')} AS selected FROM rp""")
+def l7a_resolve_pairs(spark, sf):
+    """Planted duplicate pairs resolved against a split of the contaminated table."""
+    c, t = K.near_duplicates(read_embeddings(spark, sf), 0.1, SEED)
+    split = C.stratified_split(c, TEST, SEED)
+    return C.resolve_pairs(t, split, "TRAIN", SEED)
+
+
+@register("l7b_clean_split", f"""WITH {_RESOLVE_SQL}, {S.label_ratio_ctes('k1c', 'lr')},
+z AS (SELECT id, ln(least(greatest(score, 1e-9), 1 - 1e-9) / (1 - least(greatest(score, 1e-9), 1 - 1e-9))) AS z FROM lr),
+fit AS (SELECT count(*) AS n, quantile_cont(z, 0.1) AS x1, quantile_cont(z, 0.5) AS x2 FROM z),
+pz AS (SELECT (x1 - x2) / {LOGIT_ALPHA} AS scale, ({LOGIT_ALPHA} * x2) / {LOGIT_ALPHA} AS loc, n FROM fit),
+iss AS (SELECT id FROM z, pz WHERE pz.scale > 0 AND pz.n / (1 + exp(-((z.z - pz.loc) / pz.scale))) <= 0.05),
+dr AS (SELECT {_pick_sql('BOTH')} AS id FROM rp UNION SELECT id FROM iss)
+SELECT sp.id, sp.split FROM sp WHERE sp.id NOT IN (SELECT id FROM dr)""")
+def l7b_clean_split(spark, sf):
+    """Clean both sides: resolved duplicate members and auto-cut label issues removed."""
+    c, t = K.near_duplicates(read_embeddings(spark, sf), 0.1, SEED)
+    c = freeze(c)
+    split = C.stratified_split(c, TEST, SEED)
+    flagged = auto_cut(label_error_audit(c), 0.1, 0.05).where("flagged").select("id")
+    return C.clean_split(split, t, flagged, True, True, "resolve", SEED).select("id", "split")
+
+
+_KNN_CLS_SQL = f"""{S.emb_cte()}, {_split_sql('emb')},
+tr AS (SELECT e.* FROM emb e JOIN sp USING (id) WHERE split = 'TRAIN'),
+te AS (SELECT e.* FROM emb e JOIN sp USING (id) WHERE split = 'TEST'),
+{S.knn_cte('nn', 'te', 10, 'cosine', base='tr', exclude_self=False)},
+vt AS (SELECT nn.q, tr.label AS nl, count(*) AS c FROM nn JOIN tr ON tr.id = nn.nbr GROUP BY nn.q, tr.label),
+pr AS (SELECT q AS id, arg_max(nl, c * 1000 - nl)::INTEGER AS prediction FROM vt GROUP BY q),
+pd AS (SELECT te.id, te.label, pr.prediction FROM te LEFT JOIN pr USING (id))"""
+
+
+@register("l13a_knn_classifier", f"WITH {_KNN_CLS_SQL} SELECT id, label, prediction FROM pd")
+def l13a_knn_classifier(spark, sf):
+    emb = read_embeddings(spark, sf)
+    s = C.stratified_split(emb, TEST, SEED)
+    train = emb.join(s.where(F.col("split") == "TRAIN").select("id"), "id", "left_semi")
+    test = emb.join(s.where(F.col("split") == "TEST").select("id"), "id", "left_semi")
+    return C.knn_classifier(train, test, 10, "cosine")
+
+
+@register("d8_macro_f1", f"""WITH {_KNN_CLS_SQL},
+u AS (SELECT label AS c, 1 AS is_true, 0 AS is_pred, CASE WHEN label = prediction THEN 1 ELSE 0 END AS hit FROM pd
+      UNION ALL SELECT prediction AS c, 0, 1, 0 FROM pd WHERE prediction IS NOT NULL),
+pc AS (SELECT c, sum(hit) AS tp, sum(is_true) AS nt, sum(is_pred) AS np FROM u GROUP BY c)
+SELECT avg(coalesce(2.0 * tp / NULLIF(nt + np, 0), 0.0)) * 100 AS score FROM pc""")
+def d8_macro_f1(spark, sf):
+    return C.macro_f1(l13a_knn_classifier(spark, sf))
+
+
+@register("d9_class_weights", f"""WITH {S.emb_cte()},
+sz AS (SELECT label, count(*) AS n_c FROM emb GROUP BY label),
+tt AS (SELECT sum(n_c) AS n, count(*) AS cc FROM sz)
+SELECT e.id, e.label, n / (cc * n_c) AS weight FROM emb e JOIN sz USING (label), tt""")
+def d9_class_weights(spark, sf):
+    return C.class_weights(read_embeddings(spark, sf)).select("id", "label", "weight")
+
+
+@register("c10_issue_removal", f"""WITH {S.emb_cte()}, {S.label_error_ctes()}
+SELECT label, count(*) AS n FROM emb WHERE id NOT IN (SELECT id FROM k5t) GROUP BY label""")
+def c10_issue_removal(spark, sf):
+    from tidemark.operators.truth import remove_ids
+
+    emb = read_embeddings(spark, sf)
+    _, t = K.label_errors(emb, 0.1, SEED)
+    return remove_ids(emb, t).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GRID_SQL = """rs AS (SELECT event_type AS EvalType, user_id::INTEGER AS Seed,
+       dayofmonth(ts) % 2 = 0 AS Train_Cleaned, hour(ts) % 2 = 0 AS Test_Cleaned, avg(value) AS Score
+       FROM events GROUP BY ALL),
+pv AS (SELECT EvalType, Seed,
+        any_value(CASE WHEN NOT Train_Cleaned AND NOT Test_Cleaned THEN Score END) AS DD,
+        any_value(CASE WHEN NOT Train_Cleaned AND Test_Cleaned THEN Score END) AS DC,
+        any_value(CASE WHEN Train_Cleaned AND Test_Cleaned THEN Score END) AS CC FROM rs GROUP BY EvalType, Seed),
+df AS (SELECT EvalType, Seed, DC - DD AS diff_test_cleaning, CC - DC AS diff_train_cleaning FROM pv)"""
+
+
+def _results_grid(spark, sf):
+    """A results table derived from events: EvalType = event type, Seed = user,
+    flags from the day / hour parity, Score = mean value."""
+    ev = table(spark, sf, "events")
+    return ev.groupBy(F.col("event_type").alias("EvalType"), F.col("user_id").cast("int").alias("Seed"),
+                      (F.pmod(F.dayofmonth("ts"), F.lit(2)) == 0).alias("Train_Cleaned"),
+                      (F.pmod(F.hour("ts"), F.lit(2)) == 0).alias("Test_Cleaned")).agg(F.avg("value").alias("Score"))
+
+
+@register("l11_paired_differences", f"WITH {_GRID_SQL} SELECT * FROM df")
+def l11_paired_differences(spark, sf):
+    return C.paired_differences(_results_grid(spark, sf))
+
+
+@register("l11_difference_summary", f"""WITH {_GRID_SQL}
+SELECT EvalType, quantile_cont(diff_test_cleaning, 0.25) AS q25, quantile_cont(diff_test_cleaning, 0.5) AS q50,
+       quantile_cont(diff_test_cleaning, 0.75) AS q75, count(diff_test_cleaning) AS n FROM df GROUP BY EvalType""")
+def l11_difference_summary(spark, sf):
+    """L11 + D10: median and quartiles of the test-cleaning differences per model type."""
+    return quantile_summary(C.paired_differences(_results_grid(spark, sf)), "diff_test_cleaning", ["EvalType"])
+
+
+@register("a7_experiment_grid", f"""WITH {S.emb_cte()},
+g AS (SELECT f.frac, s.seed FROM (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) f(frac), (VALUES (1), (42), (111)) s(seed)),
+n AS (SELECT count(*) AS n FROM emb),
+r AS (SELECT g.frac, g.seed, e.id, row_number() OVER (PARTITION BY g.frac, g.seed
+        ORDER BY md5(concat_ws(':', g.seed::VARCHAR, 'k1', e.id::VARCHAR)), e.id) AS hr FROM emb e, g)
+SELECT r.frac, r.seed::INTEGER AS seed, count(*) AS n_truth, sum(r.id)::BIGINT AS id_sum FROM r, n
+WHERE hr <= ceil(n.n * r.frac) GROUP BY r.frac, r.seed""")
+def a7_experiment_grid(spark, sf):
+    """Fraction x seed grid of K1 samples computed in one job (``run`` key), not a driver loop."""
+    from tidemark.operators.contaminate import rank_within
+
+    emb = read_embeddings(spark, sf).select("id")
+    grid = spark.createDataFrame([(f, s) for f in (0.05, 0.1) for s in (1, 42, 111)], "frac double, seed int")
+    runs = emb.crossJoin(F.broadcast(grid)).withColumn(
+        "_h", F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.lit("k1"), F.col("id").cast("string"))))
+    r = rank_within(runs, ["frac", "seed"], ["_h", "id"], "hr")
+    n = emb.agg(F.count(F.lit(1)).alias("n"))
+    return (r.crossJoin(n).where(F.col("hr") <= F.ceil(F.col("n") * F.col("frac")))
+            .groupBy("frac", "seed").agg(F.count(F.lit(1)).alias("n_truth"), F.sum("id").cast("bigint").alias("id_sum")))
+
+
+def _issues(emb):
+    """Audit issues for cleaning: auto-cut flagged duplicate pairs and label errors."""
+    dups = auto_cut(near_duplicate_audit(emb).withColumnRenamed("i", "id"), 0.1, 0.05)
+    dups = dups.where("flagged").select("id", F.col("j").alias("id2"))
+    labs = auto_cut(label_error_audit(emb), 0.1, 0.05).where("flagged").select("id")
+    return dups, labs
+
+
+@register("l12_cleaning_sweep")
+def l12_cleaning_sweep(spark, sf):
+    """kNN model x seeds 1-3 x 2 x 2 clean flags -> score rows (rows-only check)."""
+    emb = freeze(read_embeddings(spark, sf))
+    dups, labs = _issues(emb)
+    dups, labs = freeze(dups), freeze(labs)
+    return C.cleaning_influence(emb, dups, labs, {"knn": lambda tr, te: C.knn_classifier(tr, te, 10)},
+                                seeds=(1, 2, 3), test_size=TEST)
+
+
+def _ml_eval(spark, sf, kind):
+    emb = read_embeddings(spark, sf)
+    s = C.stratified_split(emb, TEST, SEED)
+    train = emb.join(s.where(F.col("split") == "TRAIN").select("id"), "id", "left_semi")
+    test = emb.join(s.where(F.col("split") == "TEST").select("id"), "id", "left_semi")
+    pred = C.spark_ml_classifier(kind, SEED)(train, test)
+    return C.macro_f1(pred).withColumn("EvalType", F.lit(kind))
+
+
+@register("l13b_linear_classifier")
+def l13b_linear_classifier(spark, sf):
+    return _ml_eval(spark, sf, "lin")
+
+
+@register("l13c_random_forest")
+def l13c_random_forest(spark, sf):
+    return _ml_eval(spark, sf, "random_forest")
+
+
+@register("l13d_gradient_boosting")
+def l13d_gradient_boosting(spark, sf):
+    return _ml_eval(spark, sf, "gbt")
+
+
+@register("a5_results_sink")
+def a5_results_sink(spark, sf):
+    """A5: results appended run by run to a Parquet table in the shared folder;
+    a fresh table refuses to be overwritten (errorifexists), later runs append."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/results-{uuid.uuid4().hex}"
+    grid = _results_grid(spark, sf)
+    first = grid.where(F.col("Seed") % 2 == 0)
+    rest = grid.where(F.col("Seed") % 2 == 1)
+    first.write.mode("errorifexists").parquet(path)
+    rest.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("a6_stage_cache")
+def a6_stage_cache(spark, sf):
+    """Audit issues cached per (dataset, q, alpha) partition; a key with no
+    rows is recomputed and appended, a present key is read back."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/stage-{uuid.uuid4().hex}"
+    emb = read_embeddings(spark, sf)
+
+    def compute():
+        return (auto_cut(label_error_audit(emb), 0.1, 0.05)
+                .withColumn("dataset", F.lit("embeddings")).withColumn("q", F.lit(0.05))
+                .withColumn("alpha", F.lit(0.1)))
+
+    def lookup():
+        try:
+            return (spark.read.parquet(path).where((F.col("dataset") == "embeddings") & (F.col("q") == 0.05)
+                                                   & (F.col("alpha") == 0.1)))
+        except Exception:  # noqa: BLE001 - no table yet
+            return None
+
+    hit = lookup()
+    if hit is None or hit.limit(1).count() == 0:
+        compute().write.mode("append").partitionBy("dataset", "q", "alpha").parquet(path)
+        hit = lookup()
+    return hit.select("rank", "id", "score", "flagged")
+
+
+@register("d21_best_metric")
+def d21_best_metric(spark, sf):
+    """Best value of each metric over the mixed-contamination seeds 1, 42, 111."""
+    from tidemark.operators.metrics import ranking_metrics
+    from tidemark.operators.truth import id_hits, pair_hits
+
+    emb = read_embeddings(spark, sf)
+    rows = []
+    for seed in (1, 42, 111):
+        c, t = K.mixed(emb, 0.1, seed)
+        hp = pair_hits(near_duplicate_audit(c), t.where(F.col("issue_type") == "near_duplicate")).select(
+            F.lit("near_duplicate").alias("issue_type"), "rank", "hit")
+        hl = id_hits(label_error_audit(c), t.where(F.col("issue_type") == "label_error")).select(
+            F.lit("label_error").alias("issue_type"), "rank", "hit")
+        rows.append(ranking_metrics(hp.unionByName(hl), by=["issue_type"]).withColumn("run_seed", F.lit(seed)))
+    allm = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    long = allm.select("run_seed", "issue_type", F.expr(
+        "stack(5, 'auroc', auroc, 'ap', ap, 'auprg', auprg, 'precision_at_20', precision_at_20, "
+        "'recall_at_20', recall_at_20) AS (metric, value)"))
+    return long.groupBy("issue_type", "metric").agg(F.max("value").alias("best"))

@@ -26,7 +26,7 @@ def register(key: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from tidemark.plans import q_core, q_detect, q_votes, q_stats, q_clean, q_meta  # noqa: F401
+    from tidemark.plans import q_core, q_detect, q_votes, q_stats, q_clean, q_meta, q_stream  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
