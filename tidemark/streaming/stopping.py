@@ -65,8 +65,8 @@ def stopping_stream(spark: SparkSession, source_dir: str, n_clean: int = 5, issu
     out_dir = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stop-stream-{uuid.uuid4().hex}"
     events = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    votes = (events.withWatermark("ts", "1 day")
-             .groupBy(F.col("user_id").alias("annotator"))
+    votes = (events.withWatermark("ts", "1 day").withColumnRenamed("user_id", "annotator")
+             .groupBy("annotator")
              .applyInPandasWithState(_make_fn(n_clean, issue_type), OUT_SCHEMA, STATE_SCHEMA, "append",
                                      GroupStateTimeout.NoTimeout))
     q = (votes.writeStream.format("parquet").option("path", f"{out_dir}/votes")
