@@ -100,3 +100,22 @@ def test_isolation_forest_scores_in_range(emb):
     s = D.isolation_forest(emb, trees=20, sample=64, seed=1).toPandas()
     assert len(s) == emb.count()
     assert ((s.score > 0) & (s.score < 1)).all()
+
+
+def test_betainc_against_quadrature():
+    from tidemark.operators.stats import betainc, betaln
+
+    for a, b, x in [(0.5, 0.5, 0.3), (2.0, 3.0, 0.4), (8.0, 1.5, 0.9), (1.0, 1.0, 0.25)]:
+        t = np.linspace(0, x, 200001)[1:-1]
+        dens = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) - betaln(a, b))
+        approx = np.trapezoid(dens, t)
+        assert betainc(a, b, x) == pytest.approx(approx, rel=2e-3, abs=2e-3)
+
+
+def test_beta_nll_uniform_is_zero(spark):
+    from tidemark.operators.stats import beta_nll
+
+    x = spark.range(1, 100).select((F.col("id") / 100.0).alias("x"))
+    g = spark.createDataFrame([(1.0, 1.0, 0.0, 1.0)], "a double, b double, loc double, scale double")
+    r = beta_nll(x, "x", g, 0.0).collect()[0]
+    assert r.nll == pytest.approx(0.0, abs=1e-12)

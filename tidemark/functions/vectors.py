@@ -48,7 +48,9 @@ def l2_distance(a, b) -> Column:
 
 def cosine_distance(a, b) -> Column:
     """H4: 1 - cos(a, b)."""
-    return F.lit(1.0) - dot(a, b) / (F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b)))
+    # a zero vector has cosine 0 with everything
+    cos = F.coalesce(F.try_divide(dot(a, b), F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b))), F.lit(0.0))
+    return F.lit(1.0) - cos
 
 
 def half_cosine_distance(a, b) -> Column:

@@ -50,7 +50,8 @@ def vector_noise(seed: int = 42, scale: float = 0.05, salt: str = "k1") -> Pertu
 
 
 def vector_destroy(levels: float = 2.0, width: int = 2) -> Perturb:
-    """Vector K3: moving average over +-``width`` dims, coarse quantisation, renormalise."""
+    """Vector K3: moving average over +-``width`` dims, coarse quantisation
+    (``levels`` steps per unit of the smoothed vector's RMS), renormalise."""
     def f(v: Column, rid: Column) -> Column:
         n = F.size(v)
 
@@ -60,8 +61,10 @@ def vector_destroy(levels: float = 2.0, width: int = 2) -> Perturb:
             win = F.slice(v, lo + 1, hi - lo + 1)
             return F.aggregate(win, F.lit(0.0), lambda acc, y: acc + y) / (hi - lo + 1)
 
-        quant = F.transform(F.transform(v, smooth_at),
-                            lambda x: F.round(x * F.lit(levels)) / F.lit(levels))
+        sm = F.transform(v, smooth_at)
+        rms = F.sqrt(F.aggregate(sm, F.lit(0.0), lambda acc, y: acc + y * y) / n)
+        quant = F.transform(sm, lambda x: F.coalesce(
+            F.round(F.try_divide(x, rms) * F.lit(levels)) / F.lit(levels), F.lit(0.0)))
         return l2_normalize(quant)
     return f
 

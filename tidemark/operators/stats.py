@@ -146,3 +146,122 @@ def quantile_fit(df: DataFrame, value: str, q1: float, q2: float, dist: str = "l
                              F.percentile(value, F.lit(q2)).alias("x2"))
     return qs.select(*by, "x1", "x2", ((F.col("x1") - F.col("x2")) / F.lit(y1 - y2)).alias("scale"),
                      ((F.lit(y1) * F.col("x2") - F.lit(y2) * F.col("x1")) / F.lit(y1 - y2)).alias("loc"))
+
+
+# --------------------------------------------------------------------------- #
+# Truncated beta likelihoods on a parameter grid
+# --------------------------------------------------------------------------- #
+
+def _betacf(a: float, b: float, x: float, max_iter: int = 300, eps: float = 3e-16) -> float:
+    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
+    tiny = 1e-300
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c, d = 1.0, 1.0 - qab * x / qap
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, max_iter + 1):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        de = d * c
+        h *= de
+        if abs(de - 1.0) < eps:
+            break
+    return h
+
+
+def betaln(a: float, b: float) -> float:
+    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+
+def betainc(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I(a, b; x) (no SciPy in the image)."""
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - betaln(a, b))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _betacf(a, b, x) / a
+    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+
+
+def beta_grid_constants(grid: DataFrame, xq_low: float, xq_high: float | None = None) -> DataFrame:
+    """Per grid row ``(a, b, loc, scale)``: ``log_norm`` = ln Z + ln B(a, b) + ln scale with
+    Z = 1 - I(a, b; t_low) (left truncation) or I(a, b; t_high) - I(a, b; t_low) (double).
+    Runs once per parameter row in ``mapInPandas`` (the grid is a bounded table)."""
+    import pandas as pd
+
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for a, b, loc, scale in zip(pdf["a"], pdf["b"], pdf["loc"], pdf["scale"]):
+                tl = (xq_low - loc) / scale
+                if xq_high is None:
+                    z = 1.0 - betainc(a, b, tl)
+                else:
+                    z = betainc(a, b, (xq_high - loc) / scale) - betainc(a, b, tl)
+                out.append(math.log(z) + betaln(a, b) + math.log(scale) if z > 0 else float("nan"))
+            yield pdf.assign(log_norm=pd.Series(out, dtype="float64"))
+
+    return grid.select("a", "b", "loc", "scale").mapInPandas(
+        fn, "a double, b double, loc double, scale double, log_norm double")
+
+
+def beta_nll(scores: DataFrame, value: str, grid: DataFrame, xq_low: float,
+             xq_high: float | None = None) -> DataFrame:
+    """Mean negative log-likelihood of ``value`` for every grid row.
+
+    The per-score work is two logarithms (a column expression); the grid is
+    broadcast (bounded parameter table) and the scores stream.
+    """
+    consts = beta_grid_constants(grid, xq_low, xq_high)
+    t = (F.col(value) - F.col("loc")) / F.col("scale")
+    logf = ((F.col("a") - 1) * F.log(t) + (F.col("b") - 1) * F.log(F.lit(1.0) - t) - F.col("log_norm"))
+    j = scores.select(value).crossJoin(F.broadcast(consts))
+    return j.groupBy("a", "b", "loc", "scale").agg((-F.avg(logf)).alias("nll"))
+
+
+def beta_fit(scores: DataFrame, value: str, xq_low: float, xq_high: float | None = None,
+             mode: str = "direct", prior: str = "logistic", a_grid=None, b_grid=None,
+             refinements: int = 2) -> DataFrame:
+    """Best grid parameters, refined coarse-to-fine (one job per refinement).
+
+    ``mode='direct'`` searches a, b (loc 0, scale 1, the 2-parameter form);
+    ``mode='ab_rest'`` first fixes (loc, scale) from the quantile fit (D15,
+    ``prior`` = its reference distribution) and searches a, b; ``mode='ab_scale'``
+    then also searches the scale around the fitted one.
+    """
+    import numpy as np
+
+    spark = scores.sparkSession
+    a_vals = list(a_grid or np.geomspace(0.2, 20.0, 12))
+    b_vals = list(b_grid or np.geomspace(0.2, 20.0, 12))
+    loc, scale = 0.0, 1.0
+    if mode in ("ab_rest", "ab_scale"):
+        fit = quantile_fit(scores, value, 0.1, 0.5, prior).collect()[0]   # one row
+        if fit.scale and fit.scale > 0:
+            loc, scale = float(fit.loc), float(fit.scale)
+        mx = scores.agg(F.max(value).alias("m")).collect()[0].m
+        scale = max(scale, (float(mx) - loc) * 1.0001)
+    scales = [scale] if mode != "ab_scale" else [scale * f for f in (1.0, 1.25, 1.5, 2.0)]
+    best = None
+    for _ in range(refinements + 1):
+        rows = [(float(a), float(b), loc, float(s)) for a in a_vals for b in b_vals for s in scales]
+        grid = spark.createDataFrame(rows, "a double, b double, loc double, scale double")
+        res = beta_nll(scores, value, grid, xq_low, xq_high).where(~F.isnan("nll"))
+        best = res.agg(F.min_by(F.struct("a", "b", "loc", "scale", "nll"), F.col("nll")).alias("best")).collect()[0].best
+        a0, b0 = best.a, best.b
+        a_vals = list(np.geomspace(a0 / 1.5, a0 * 1.5, 7))
+        b_vals = list(np.geomspace(b0 / 1.5, b0 * 1.5, 7))
+    return spark.createDataFrame([(best.a, best.b, best.loc, best.scale, best.nll)],
+                                 "a double, b double, loc double, scale double, nll double")

@@ -93,3 +93,45 @@ def h10_h11_scalars(spark, sf):
     p = F.least(F.greatest(F.col("x") / 1000.0, F.lit(1e-9)), F.lit(1 - 1e-9))
     d = ps.select("id", p.alias("p"))
     return d.select("id", logit("p").alias("z"), logistic(logit("p")).alias("back"), pvalue_stars("p").alias("stars"))
+
+
+def _nn_scores(spark, sf):
+    """Nearest-neighbour audit distances in [0, 1], strictly inside for the logs."""
+    nn = knn(read_embeddings(spark, sf), k=1, metric="half_cosine")
+    return nn.select(F.least(F.greatest("dist", F.lit(1e-9)), F.lit(1 - 1e-9)).alias("x"))
+
+
+def _grid(spark):
+    rows = [(float(a), float(b), 0.0, 1.0) for a in (0.5, 1.0, 2.0, 4.0, 8.0) for b in (0.5, 1.0, 2.0, 4.0, 8.0)]
+    return spark.createDataFrame(rows, "a double, b double, loc double, scale double")
+
+
+@register("d16_beta_nll_low")
+def d16_beta_nll_low(spark, sf):
+    """Left-truncated beta NLL (truncation at the 10 % quantile) on a 5 x 5 grid."""
+    from tidemark.operators.stats import beta_nll
+
+    x = _nn_scores(spark, sf)
+    xq = x.agg(F.percentile("x", F.lit(0.1)).alias("q")).collect()[0].q
+    return beta_nll(x.where(F.col("x") >= xq), "x", _grid(spark), xq)
+
+
+@register("d17_beta_nll_double")
+def d17_beta_nll_double(spark, sf):
+    """Doubly truncated beta NLL between the 10 % and 90 % quantiles."""
+    from tidemark.operators.stats import beta_nll
+
+    x = _nn_scores(spark, sf)
+    q = x.agg(F.percentile("x", F.lit(0.1)).alias("lo"), F.percentile("x", F.lit(0.9)).alias("hi")).collect()[0]
+    inside = x.where((F.col("x") >= q.lo) & (F.col("x") <= q.hi))
+    return beta_nll(inside, "x", _grid(spark), q.lo, q.hi)
+
+
+@register("d18_beta_fit")
+def d18_beta_fit(spark, sf):
+    """Coarse-to-fine beta fit of the left-truncated tail (direct mode)."""
+    from tidemark.operators.stats import beta_fit
+
+    x = _nn_scores(spark, sf)
+    xq = x.agg(F.percentile("x", F.lit(0.1)).alias("q")).collect()[0].q
+    return beta_fit(x.where(F.col("x") >= xq), "x", xq, mode="direct")

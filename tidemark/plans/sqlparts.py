@@ -36,10 +36,12 @@ def emb_cte(name: str = "emb", normalize: bool = True) -> str:
 
 
 def dist_sql(a: str, b: str, metric: str = "half_cosine") -> str:
+    # a zero vector has cosine 0 with everything (as in the block kernel)
+    cos = f"coalesce(list_dot_product({a}, {b}) / NULLIF({norm_sql(a)} * {norm_sql(b)}, 0), 0.0)"
     if metric == "half_cosine":
-        return (f"((1 - list_dot_product({a}, {b}) / ({norm_sql(a)} * {norm_sql(b)})) / 2)")
+        return f"((1 - {cos}) / 2)"
     if metric == "cosine":
-        return f"(1 - list_dot_product({a}, {b}) / ({norm_sql(a)} * {norm_sql(b)}))"
+        return f"(1 - {cos})"
     if metric == "sql2":
         return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
     if metric == "l2":
@@ -170,7 +172,8 @@ def destroy_ctes(src: str = "emb", out: str = "k3c", truth: str = "k3t", frac: f
     hi = f"least(i - 1 + {width}, len({v}) - 1)"
     smooth = f"list_transform({v}, lambda x, i: list_sum(list_slice({v}, {lo} + 1, {hi} + 1)) / ({hi} - {lo} + 1))"
     return f"""{sample_cte('k3s', src, seed, 'k3', frac)},
-k3p AS (SELECT k3s.new_id AS nid2, list_transform({smooth}, lambda y: round(y * {levels!r}) / {levels!r}) AS e FROM k3s),
+k3m AS (SELECT k3s.new_id AS nid2, {smooth} AS sm FROM k3s),
+k3p AS (SELECT nid2, list_transform(sm, lambda y: coalesce(round(y / NULLIF(sqrt(list_sum(list_transform(sm, lambda z: z * z)) / len(sm)), 0) * {levels!r}) / {levels!r}, 0.0)) AS e FROM k3m),
 k3n AS (SELECT (max(label) + 1)::INTEGER AS ncls FROM {src}),
 {out} AS (SELECT id, embedding, label FROM {src} WHERE id NOT IN (SELECT id FROM k3s)
           UNION ALL SELECT nid2 AS id, {normalize_sql('e')} AS embedding, ncls AS label FROM k3p, k3n),
