@@ -298,10 +298,13 @@ def phash_pairs(emb: DataFrame, max_bits: int | None = None) -> DataFrame:
     """
     h = phash(emb)
     if max_bits is None:
-        a = h.select(F.col("id").alias("i"), F.col("hash").alias("hi"))
-        b = h.select(F.col("id").alias("j"), F.col("hash").alias("hj"))
-        # exact: all pairs of a bigint column; a theta join on ids (n^2 / 2)
-        pairs = a.join(b, F.col("i") < F.col("j"))
+        # exact: the bits as a 0/1 vector, so the squared L2 distance is the
+        # number of differing bits; all pairs go through the block kernel
+        vec = h.select("id", F.expr("transform(sequence(0, 63), i -> CAST((shiftright(hash, i) & 1) AS DOUBLE))")
+                       .alias("embedding"))
+        pairs = all_pairs(vec, metric="sql2").select(
+            "i", "j", (F.round(F.col("dist")) / F.lit(64.0)).alias("score"))
+        return global_rank(pairs, ["score", "i", "j"], "rank").select("rank", "i", "j", "score")
     else:
         bands = max_bits + 1
         width = max(1, 64 // bands)
@@ -394,13 +397,18 @@ def isolation_forest(emb: DataFrame, trees: int = 100, sample: int = 256, seed:
     depth = max_depth or int(math.ceil(math.log2(max(sample, 2))))
     n = emb.count()
     keep = min(1.0, 4.0 * sample / max(n, 1))
-    tr = spark.range(trees).withColumnRenamed("id", "tree")
-    # cheap per-(tree, id) hash filter first, so each tree's candidate set is
-    # ~4 * sample rows; then an exact top-`sample` inside that bounded set
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("id")), F.lit(1 << 30)).cast("double")
-         / F.lit(float(1 << 30)))
-    cand = (emb.select("id").crossJoin(F.broadcast(tr)).withColumn("_u", u)
-            .where(F.col("_u") < F.lit(keep)))
+    # each row lists the trees whose cheap hash draw keeps it (expected
+    # 4 * sample rows per tree, ~4 * sample * trees / n trees per row), so the
+    # table is never expanded by the tree count; then an exact top-`sample`
+    # inside each tree's bounded candidate set
+    def u_of(t):
+        return (F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(1 << 30)).cast("double")
+                / F.lit(float(1 << 30)))
+
+    picked = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint")),
+                      lambda t: u_of(t) < F.lit(keep))
+    cand = (emb.select("id", F.explode(picked).alias("tree"))
+            .withColumn("_u", u_of(F.col("tree"))))
     w = Window.partitionBy("tree").orderBy("_u", "id")
     sub = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
            .join(emb.select("id", "embedding"), "id").select("tree", "id", "embedding"))

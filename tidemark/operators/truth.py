@@ -39,18 +39,30 @@ def id_hits(ranked: DataFrame, truth_ids: DataFrame, id_col: str = "id") -> Data
             .withColumn("hit", F.coalesce(F.col("_hit"), F.lit(0))).drop("_tid", "_hit"))
 
 
-def group_pairs(df: DataFrame, key: str, id_col: str = "id", ordered: bool = False) -> DataFrame:
-    """Pairs of rows sharing a group key (lesion / patient / person).
+def group_pair_counts(df: DataFrame, key: str) -> DataFrame:
+    """C6 / D3 sizes: members and pairs per group, ``n (n - 1) / 2``.
 
-    ``ordered=False`` gives each unordered pair once (i < j); ``True`` gives
-    both orders like the reference's permutations. The pair count of a group
-    is quadratic in its size; this is the truth the reference defines, and a
-    self equi-join on the key is the plan AQE can split when a key is skewed.
+    The reference lists every pair of rows sharing a key. Emitting them is
+    quadratic in the group size (a key holding a third of the table would
+    produce n^2 / 18 rows), so pair counts come from group sizes and pair
+    membership is a predicate (:func:`group_pair_hits`).
     """
-    a = df.select(F.col(key).alias("_k"), F.col(id_col).alias("i"))
-    b = df.select(F.col(key).alias("_k"), F.col(id_col).alias("j"))
-    cond = F.col("i") != F.col("j") if ordered else F.col("i") < F.col("j")
-    return a.join(b, "_k").where(cond).select(F.col("_k").alias(key), "i", "j")
+    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_members"))
+    return g.withColumn("n_pairs", (F.col("n_members") * (F.col("n_members") - 1) / 2).cast("bigint"))
+
+
+def group_pair_hits(ranked_pairs: DataFrame, keys: DataFrame, key: str, id_col: str = "id",
+                    i: str = "i", j: str = "j") -> DataFrame:
+    """C6 + C3: ``hit`` = both members of a predicted pair share the group key.
+
+    Two equi-joins of the pair table with the ``(id, key)`` table replace the
+    materialised truth-pair list; rows without a key never match.
+    """
+    ki = keys.select(F.col(id_col).alias(i), F.col(key).alias("_ki"))
+    kj = keys.select(F.col(id_col).alias(j), F.col(key).alias("_kj"))
+    return (ranked_pairs.join(ki, i, "left").join(kj, j, "left")
+            .withColumn("hit", F.when(F.col("_ki") == F.col("_kj"), 1).otherwise(0))
+            .drop("_ki", "_kj"))
 
 
 def remove_ids(df: DataFrame, issues: DataFrame, id_col: str = "id") -> DataFrame:

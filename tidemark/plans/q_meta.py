@@ -10,7 +10,7 @@ from tidemark.functions.vectors import hashed_bow, sq_norm
 from tidemark.operators import contaminate as K
 from tidemark.operators.audit import label_error_audit, near_duplicate_audit, off_topic_audit
 from tidemark.operators.metrics import metrics_sql, ranking_metrics
-from tidemark.operators.truth import group_pairs, id_hits, pair_hits
+from tidemark.operators.truth import group_pair_counts, group_pair_hits, id_hits, pair_hits
 from tidemark.plans import sqlparts as S
 from tidemark.plans.registry import register
 from tidemark.sources.fixtures import ANNOTATORS, vote_table, vote_table_sql
@@ -121,27 +121,27 @@ def a4_manifest(spark, sf):
 # --------------------------------------------------------------------------- #
 
 @register("c6_group_pairs", """
-SELECT a.o_custkey, a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b
-  ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey""")
+SELECT o_custkey, count(*) AS n_members, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs
+FROM orders GROUP BY o_custkey""")
 def c6_group_pairs(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"))
-    return group_pairs(o, "o_custkey")
+    """Pairs of orders sharing a customer, counted per group (pair lists
+    are never emitted; membership is the predicate of ``group_pair_hits``)."""
+    return group_pair_counts(table(spark, sf, "orders"), "o_custkey")
 
 
 @register("d1_duplicate_rate", """
-WITH p AS (SELECT count(*) AS n_pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey),
-n AS (SELECT count(*)::DOUBLE AS n FROM orders)
+WITH g AS (SELECT count(*) AS c FROM orders GROUP BY o_custkey),
+p AS (SELECT sum(c * (c - 1) // 2) AS n_pairs, sum(c)::DOUBLE AS n FROM g)
 SELECT n_pairs::BIGINT AS n_pairs, n_pairs / (n * (n - 1) / 2) * 100 AS duplicate_pct,
-       2 * n_pairs / (n * (n - 1) / 2) * 100 AS duplicate_pct_ordered FROM p, n""")
+       2 * n_pairs / (n * (n - 1) / 2) * 100 AS duplicate_pct_ordered FROM p""")
 def d1_duplicate_rate(spark, sf):
     """Pairs / (n (n-1) / 2) * 100; ``_ordered`` reproduces the reference's count."""
-    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"))
-    p = group_pairs(o, "o_custkey").agg(F.count(F.lit(1)).alias("n_pairs"))
-    n = o.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    g = group_pair_counts(table(spark, sf, "orders"), "o_custkey")
+    p = g.agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_members").cast("double").alias("n"))
     tot = F.col("n") * (F.col("n") - 1) / 2
-    return p.crossJoin(n).select(F.col("n_pairs").cast("bigint").alias("n_pairs"),
-                                 (F.col("n_pairs") / tot * 100).alias("duplicate_pct"),
-                                 (2 * F.col("n_pairs") / tot * 100).alias("duplicate_pct_ordered"))
+    return p.select(F.col("n_pairs").cast("bigint").alias("n_pairs"),
+                    (F.col("n_pairs") / tot * 100).alias("duplicate_pct"),
+                    (2 * F.col("n_pairs") / tot * 100).alias("duplicate_pct_ordered"))
 
 
 @register("d3_groups_gt1", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -162,17 +162,16 @@ def _doc_vectors(spark, sf):
 @register("l3_metadata_duplicates", metrics_sql("h", ctes=f"""
 {S.bow_cte('bw', 'documents', 'doc_id', 'text')},
 {S.pairs_cte('p', 'bw')}, {S.ranked_pairs_cte('r', 'p')},
-tr AS (SELECT 'near_duplicate' AS issue_type, a.doc_id AS id, b.doc_id AS id2 FROM documents a JOIN documents b
-       ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id),
-{S.pair_hits_cte('h', 'r', 'tr')}"""))
+dk AS (SELECT doc_id, md5(text) AS k FROM documents),
+h AS (SELECT r.rank, CASE WHEN a.k = b.k THEN 1 ELSE 0 END AS hit FROM r
+      LEFT JOIN dk a ON a.doc_id = r.i LEFT JOIN dk b ON b.doc_id = r.j)"""))
 def l3_metadata_duplicates(spark, sf):
     """L3 (duplicates): truth = documents sharing a text (C6 on md5(text));
     detector = J1a over hashed bag-of-words vectors; metrics D11-D14."""
     docs, vec = _doc_vectors(spark, sf)
     ranked = near_duplicate_audit(vec)
     key = docs.select(F.md5("text").alias("k"), F.col("doc_id").alias("id"))
-    truth = group_pairs(key, "k").select(F.col("i").alias("id"), F.col("j").alias("id2"))
-    return ranking_metrics(pair_hits(ranked, truth).select("rank", "hit"))
+    return ranking_metrics(group_pair_hits(ranked, key, "k").select("rank", "hit"))
 
 
 @register("l3_metadata_label_errors", metrics_sql("h", ctes=f"""
@@ -255,17 +254,14 @@ def c9_same_label_pairs(spark, sf):
 p AS (SELECT a.id AS i, b.id AS j FROM emb a JOIN emb b ON a.id < b.id)
 SELECT i, j, (i * (n - 1 - i) + (i * (i + 1)) // 2 + (j - i - 1))::BIGINT AS k FROM p, n""")
 def h9_pair_index(spark, sf):
-    """H9: condensed index of every id pair, checked by the inverse round trip."""
-    emb = _emb(spark, sf).select("id")
-    n = emb.agg(F.count(F.lit(1)).alias("n"))
-    p = (emb.select(F.col("id").alias("i")).join(emb.select(F.col("id").alias("j")), F.col("i") < F.col("j"))
-         .crossJoin(n))
-    p = p.withColumn("k", pair_to_index("i", "j", "n"))
-    i2, j2 = pair_from_index(F.col("k"), F.col("n"))
-    bad = p.where((i2 != F.col("i")) | (j2 != F.col("j")))
-    # the round trip must be exact; any mismatch would surface as a failed join
-    return p.join(bad.select("k").withColumn("_bad", F.lit(1)), "k", "left").where(
-        F.col("_bad").isNull()).select("i", "j", "k")
+    """H9: every pair of the n embedding positions enumerated from the condensed
+    index k = 0 .. n(n-1)/2 - 1 (``spark.range``, no self-join), with the
+    forward formula checked on each row."""
+    n = read_embeddings(spark, sf).count()
+    ks = spark.range(n * (n - 1) // 2).withColumnRenamed("id", "k")
+    i, j = pair_from_index(F.col("k"), F.lit(n))
+    p = ks.select(i.alias("i"), j.alias("j"), "k")
+    return p.where(pair_to_index("i", "j", F.lit(n)) == F.col("k")).select("i", "j", "k")
 
 
 @register("h7_h8_sample_sizes", f"""WITH {S.emb_cte()}

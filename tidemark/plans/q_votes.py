@@ -192,12 +192,13 @@ def l5_missed_errors(spark, sf):
     ranking = label_error_audit(c)
     pos = un.where(F.col("all_equal_vote") == 1).select("panel", (F.col("pos") + 1).alias("rank"))
     confirmed = rank_lookup(pos, ranking.select("rank", "id"))
-    panels = un.select("panel").distinct()
-    ev_panels = table(spark, sf, "events").select(F.floor(F.col("user_id") / 3).cast("bigint").alias("panel")).distinct()
-    del panels
-    per = ev_panels.crossJoin(t.select("id"))
-    miss = per.join(confirmed.select("panel", "id"), ["panel", "id"], "left_anti")
-    return miss.groupBy("panel").agg(F.count(F.lit(1)).cast("bigint").alias("n_missed"))
+    panels = table(spark, sf, "events").select(F.floor(F.col("user_id") / 3).cast("bigint").alias("panel")).distinct()
+    # missed = |truth| - |truth confirmed by the panel|: no panel x truth product
+    found = (confirmed.select("panel", "id").distinct().join(t.select("id").distinct(), "id", "left_semi")
+             .groupBy("panel").agg(F.count(F.lit(1)).alias("_found")))
+    n_truth = t.select("id").distinct().agg(F.count(F.lit(1)).alias("_nt"))
+    return (panels.join(found, "panel", "left").join(F.broadcast(n_truth))
+            .select("panel", (F.col("_nt") - F.coalesce(F.col("_found"), F.lit(0))).cast("bigint").alias("n_missed")))
 
 
 @register("c11_missed_total", f"""WITH {_PANEL_SQL}, {S.emb_cte()}, {S.label_error_ctes()}, {S.label_ratio_ctes('k5c', 'lr')},
