@@ -28,11 +28,21 @@ def sq_norm(a) -> Column:
     return F.aggregate(as_double_array(a), F.lit(0.0), lambda acc, x: acc + x * x)
 
 
+def per_row(arr: Column, value: Column, fn) -> Column:
+    """``transform(arr, x -> fn(x, value))`` with ``value`` evaluated once per row.
+
+    A row-level expression used inside a lambda is re-evaluated for every
+    element (O(d^2) for a norm); pairing the array with ``array_repeat`` of
+    the value evaluates it once.
+    """
+    return F.zip_with(arr, F.array_repeat(value, F.size(arr)), fn)
+
+
 def l2_normalize(a) -> Column:
-    """A2: divide by the L2 norm; a zero vector stays zero."""
+    """A2: divide by the L2 norm (computed once per row); a zero vector stays zero."""
     arr = as_double_array(a)
     norm = F.sqrt(sq_norm(arr))
-    return F.when(norm > 0, F.transform(arr, lambda x: x / norm)).otherwise(arr)
+    return per_row(arr, F.when(norm > 0, norm).otherwise(F.lit(1.0)), lambda x, n: x / n)
 
 
 def sq_l2_distance(a, b) -> Column:

@@ -158,7 +158,7 @@ def auto_cut(ranked: DataFrame, alpha: float = 0.1, q: float = 0.05,
     s = F.col("score")
     if high_is_bad:
         mm = ranked.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        ranked = (ranked.join(F.broadcast(mm), by) if by else ranked.crossJoin(mm))
+        ranked = (ranked.join(mm, by) if by else ranked.crossJoin(mm))
         s = F.lit(1.0) - F.coalesce(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     z = ranked.withColumn("_z", logit(s))
     y1, y2 = _logistic_ppf(alpha), _logistic_ppf(0.5)
@@ -167,7 +167,7 @@ def auto_cut(ranked: DataFrame, alpha: float = 0.1, q: float = 0.05,
         F.count(F.lit(1)).alias("_n"))
     fit = fit.select(*by, "_n", ((F.col("_x1") - F.col("_x2")) / F.lit(y1 - y2)).alias("_scale"),
                      ((F.lit(y1) * F.col("_x2") - F.lit(y2) * F.col("_x1")) / F.lit(y1 - y2)).alias("_loc"))
-    j = z.join(F.broadcast(fit), by) if by else z.crossJoin(fit)
+    j = z.join(fit, by) if by else z.crossJoin(fit)
     cdf = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.try_divide(F.col("_z") - F.col("_loc"), F.col("_scale"))))
     flagged = F.when(F.col("_scale") > 0, F.col("_n") * cdf <= F.lit(q)).otherwise(F.lit(False))
     return j.withColumn("flagged", F.coalesce(flagged, F.lit(False))).drop(

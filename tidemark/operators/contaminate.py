@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_key, uniform
 from tidemark.functions.scalars import chained_fraction_py
-from tidemark.functions.vectors import l2_normalize
+from tidemark.functions.vectors import l2_normalize, per_row
 from tidemark.operators.ranking import freeze, global_rank
 
 NEAR_DUP, OFF_TOPIC, LABEL_ERR = "near_duplicate", "off_topic", "label_error"
@@ -63,8 +63,8 @@ def vector_destroy(levels: float = 2.0, width: int = 2) -> Perturb:
 
         sm = F.transform(v, smooth_at)
         rms = F.sqrt(F.aggregate(sm, F.lit(0.0), lambda acc, y: acc + y * y) / n)
-        quant = F.transform(sm, lambda x: F.coalesce(
-            F.round(F.try_divide(x, rms) * F.lit(levels)) / F.lit(levels), F.lit(0.0)))
+        quant = per_row(sm, rms, lambda x, r: F.coalesce(
+            F.round(F.try_divide(x, r) * F.lit(levels)) / F.lit(levels), F.lit(0.0)))
         return l2_normalize(quant)
     return f
 
@@ -142,7 +142,8 @@ def rank_within(df: DataFrame, by: list[str], order: list, rank_col: str) -> Dat
     """
     g = global_rank(df, [*by, *order], "_gpos")
     first = g.groupBy(*by).agg(F.min("_gpos").alias("_g0"))
-    return (g.join(F.broadcast(first), by)
+    # one row per group; AQE broadcasts it when its runtime size is small
+    return (g.join(first, by)
             .withColumn(rank_col, (F.col("_gpos") - F.col("_g0") + 1).cast("bigint"))
             .drop("_gpos", "_g0"))
 
@@ -343,7 +344,11 @@ def mixed(df: DataFrame, frac: float = 0.1, seed: int = 42, off_topic: str = "de
         s1, t1 = foreign(df, foreign_sources or [], f, seed)
     else:
         s1, t1 = destroy(df, f, seed, payload=payload)
+    # each stage samples by a global rank of the previous stage's output:
+    # materialise between stages so no stage replays the ones before it
+    s1 = freeze(s1)
     s2, t2 = near_duplicates(s1, f, seed, perturb=dup_perturb, payload=payload)
+    s2 = freeze(s2)
     originals = df.select("id").join(t1.select("id"), "id", "left_anti")
     s3, t3 = label_errors(s2, f, seed, candidates=originals)
     # three chained stages: materialise the result once so audits that read

@@ -224,8 +224,8 @@ def centroid_proba(emb: DataFrame, folds: int = 10, seed: int = 42, temperature:
     grid = folds_df.crossJoin(total)
     oof = (grid.join(per_fold, ["fold", "label", "i"], "left")
            .select("fold", F.col("label").alias("cls"), "i",
-                   ((F.col("ts") - F.coalesce(F.col("s"), F.lit(0.0)))
-                    / (F.col("tc") - F.coalesce(F.col("c"), F.lit(0)))).alias("m")))
+                   F.try_divide(F.col("ts") - F.coalesce(F.col("s"), F.lit(0.0)),
+                                (F.col("tc") - F.coalesce(F.col("c"), F.lit(0))).cast("double")).alias("m")))
     cent = (oof.where(F.col("m").isNotNull())
             .groupBy("fold", "cls").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_s"))
             .select("fold", "cls", F.transform("_s", lambda s: s["m"]).alias("centroid")))

@@ -7,7 +7,7 @@ every row into one task. Instead we
    value that holds a third of all rows is split on the id tie-break),
 2. sort inside each partition and tag rows with ``spark_partition_id`` and
    ``monotonically_increasing_id`` (position inside the partition),
-3. checkpoint that layout to the reliable checkpoint folder so the
+3. write that layout to the shared checkpoint folder so the
    per-partition counts and the rows are read from the same bytes (range
    bounds are sampled per job; recomputing would not be safe),
 4. turn the tiny per-partition counts (one row per partition) into offsets
@@ -16,6 +16,8 @@ every row into one task. Instead we
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank",
                 .sortWithinPartitions(*cols)
                 .withColumn("__gr_pid", F.spark_partition_id())
                 .withColumn("__gr_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    frozen = laid_out.checkpoint(eager=True)
+    frozen = materialize(laid_out)
     counts = frozen.groupBy("__gr_pid").agg(F.count(F.lit(1)).alias("__gr_cnt"))
     # one row per partition: a window over it is a few hundred rows at most
     offsets = counts.select(
@@ -65,7 +67,20 @@ def rank_by(df: DataFrame, order, rank_col: str = "rank") -> DataFrame:
     return global_rank(df, order, rank_col)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Same guarantee as a reliable ``checkpoint()`` (lineage cut, survives
+    executor loss because the files live in the shared folder), but one job
+    instead of two: an eager ``checkpoint`` counts the rows and then
+    recomputes the whole plan to write them.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def freeze(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint (iterative plans, hash layouts)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a written table in the checkpoint folder (iterative plans)."""
+    return materialize(df)

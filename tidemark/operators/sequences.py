@@ -51,6 +51,6 @@ def average_rank(df: DataFrame, value: str, out: str = "avg_rank", by: list[str]
     first = g.groupBy(*by).agg(F.min("_gp").alias("_g0")) if by else g.agg(F.min("_gp").alias("_g0"))
     ties = g.groupBy(*by, value).agg(F.min("_gp").alias("_t0"), F.max("_gp").alias("_t1"))
     j = g.join(ties, [*by, value])
-    j = j.join(F.broadcast(first), by) if by else j.crossJoin(first)
+    j = j.join(first, by) if by else j.crossJoin(first)
     return (j.withColumn(out, (F.col("_t0") + F.col("_t1")) / F.lit(2.0) - F.col("_g0") + F.lit(1.0))
             .drop("_gp", "_g0", "_t0", "_t1"))

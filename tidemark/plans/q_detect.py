@@ -192,16 +192,81 @@ def h1_hamming_bands(spark, sf):
     return D.phash_pairs(_emb(spark, sf), max_bits=7)
 
 
-@register("j12_label_quality", None)
+_PROBA_SQL = f"""{S.emb_cte()},
+fe AS (SELECT e.*, ((row_number() OVER (PARTITION BY label ORDER BY {S.hkey_sql(SEED, 'fold', 'id')}, id) - 1) % 10)::INTEGER AS fold
+       FROM emb e),
+comp AS (SELECT id, label, fold, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM fe),
+pf AS (SELECT fold, label, i, sum(x) AS s, count(*) AS c FROM comp GROUP BY fold, label, i),
+tot AS (SELECT label, i, sum(s) AS ts, sum(c) AS tc FROM pf GROUP BY label, i),
+fl AS (SELECT DISTINCT fold FROM fe),
+oof AS (SELECT fl.fold, tot.label AS cls, tot.i, (tot.ts - coalesce(pf.s, 0.0)) / NULLIF(tot.tc - coalesce(pf.c, 0), 0) AS m
+        FROM fl CROSS JOIN tot LEFT JOIN pf ON pf.fold = fl.fold AND pf.label = tot.label AND pf.i = tot.i),
+cent AS (SELECT fold, cls, list(m ORDER BY i) AS centroid FROM oof WHERE m IS NOT NULL GROUP BY fold, cls),
+lg AS (SELECT fe.id, fe.label, fe.fold, cent.cls, (1 - 2 * {S.dist_sql('fe.embedding', 'cent.centroid')}) / 0.1 AS z
+       FROM fe JOIN cent USING (fold)),
+mx AS (SELECT *, max(z) OVER (PARTITION BY id) AS mz FROM lg),
+ex AS (SELECT *, exp(z - mz) AS e FROM mx),
+pr AS (SELECT id, label, fold, cls, e / sum(e) OVER (PARTITION BY id) AS p FROM ex)"""
+
+
+@register("j12_label_quality", f"""WITH {_PROBA_SQL},
+q AS (SELECT id, p AS score FROM pr WHERE cls = label)
+SELECT row_number() OVER (ORDER BY round(score, 9), id)::BIGINT AS rank, id, score FROM q""")
 def j12_label_quality(spark, sf):
+    """J12a/b: 10-fold out-of-sample class probabilities (nearest-centroid
+    softmax), label quality ascending."""
     return D.label_quality(D.centroid_proba(_emb(spark, sf), 10, SEED))
 
 
-@register("j12c_confident_joint", None)
+@register("j12c_confident_joint", f"""WITH {_PROBA_SQL},
+th AS (SELECT cls, avg(p) AS t FROM pr WHERE cls = label GROUP BY cls),
+ab AS (SELECT pr.*, row_number() OVER (PARTITION BY id ORDER BY p DESC, cls) AS o
+       FROM pr JOIN th USING (cls) WHERE p >= t)
+SELECT label, cls AS y_star, count(*) AS n FROM ab WHERE o = 1 GROUP BY label, cls""")
 def j12c_confident_joint(spark, sf):
+    """Confident joint counts by (given label, confident label)."""
     return D.confident_joint(D.centroid_proba(_emb(spark, sf), 10, SEED))
 
 
+_CENTROID_PROTO_SQL = f"""{S.emb_cte()},
+comp AS (SELECT id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM emb),
+cm AS (SELECT label, i, avg(x) AS m FROM comp GROUP BY label, i),
+pt AS (SELECT label AS proto_id, label, list(m ORDER BY i) AS embedding FROM cm GROUP BY label),
+{S.knn_cte('nn', 'pt', 5, 'sql2', base='emb', exclude_self=False)},
+vv AS (SELECT nn.q AS proto_id, e.label, sum(1 / (1 + nn.dist)) AS sw, min(nn.nn_rank) AS first
+       FROM nn JOIN emb e ON e.id = nn.nbr GROUP BY nn.q, e.label),
+vt AS (SELECT proto_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY proto_id ORDER BY sw DESC, first) AS o
+       FROM vv) WHERE o = 1)"""
+
+
+def _centroid_protos(emb):
+    """One prototype per class: the class mean (a bounded table of C rows)."""
+    comp = emb.select("label", F.posexplode("embedding").alias("i", "x"))
+    avg = comp.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    return (avg.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_s"))
+            .select(F.col("label").cast("bigint").alias("proto_id"), "label",
+                    F.transform("_s", lambda s: s["m"]).alias("center")))
+
+
+@register("j10b_proto_votes", f"WITH {_CENTROID_PROTO_SQL} SELECT proto_id::BIGINT AS proto_id, pred::INTEGER AS pred FROM vt")
+def j10b_proto_votes(spark, sf):
+    """J10b given prototypes (class means): weighted 5-NN vote, squared L2, b = e = 1."""
+    emb = _emb(spark, sf)
+    return D.proto_votes(emb, _centroid_protos(emb), 5, 1.0, 1.0)
+
+
+@register("j10c_dependence", f"""WITH {_CENTROID_PROTO_SQL},
+pp AS (SELECT pt.label AS yj, vt.pred AS yp, pt.embedding AS center FROM pt JOIN vt USING (proto_id)),
+w AS (SELECT e.id, CASE WHEN e.label = yj THEN -1.0 WHEN yj = yp THEN 0.5 WHEN e.label <> yp THEN 0.5 ELSE 0.5 END
+                   / (1 + {S.dist_sql('e.embedding', 'pp.center', 'l2')}) AS v FROM emb e, pp)
+SELECT id, sum(v) AS score FROM w GROUP BY id""")
+def j10c_dependence(spark, sf):
+    """J10c given prototypes (class means): dependence score, alpha = .5, b_factor = 1."""
+    emb = _emb(spark, sf)
+    protos = _centroid_protos(emb)
+    return D.dependence(emb, protos, D.proto_votes(emb, protos, 5, 1.0, 1.0))
+
+
 @register("j3_ssim_pairs")
 def j3_ssim_pairs(spark, sf):
     return D.ssim_pairs(_emb(spark, sf))
@@ -225,3 +290,30 @@ def j1b_off_topic(spark, sf):
 @register("c2_lsh_candidates")
 def c2_lsh_candidates(spark, sf):
     return lsh_candidates(_emb(spark, sf), max_dist=0.3)
+
+
+@register("j13_baseline_sweep")
+def j13_baseline_sweep(spark, sf):
+    """Every outlier detector x feature space against planted off-topic rows
+    (K3), metrics keyed by (issue, detector, space). Spaces: the L2-normalised
+    audit embedding and the raw stored vectors."""
+    from tidemark.operators.ranking import freeze
+
+    raw = read_embeddings(spark, sf, normalize=False)
+    c, t = K.destroy(raw, FRAC, SEED)
+    c, t = freeze(c), freeze(t)
+    spaces = {"audit": c.select("id", l2n("embedding").alias("embedding"), "label"), "raw": c}
+    out = None
+    for space, e in spaces.items():
+        for name, scorer in (("ecod", D.ecod), ("hbos", D.hbos), ("knn", lambda x: D.knn_distance(x, 5))):
+            ranked = D.outliers(e, scorer, 0.1)
+            m = ranking_metrics(id_hits(ranked, t).select("rank", "hit")).select(
+                F.lit("off_topic").alias("issue"), F.lit(name).alias("detector"), F.lit(space).alias("space"), "*")
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+def l2n(c):
+    from tidemark.functions.vectors import l2_normalize
+
+    return l2_normalize(c)
