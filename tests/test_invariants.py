@@ -139,3 +139,17 @@ def test_incremental_audit_equals_batch_pairs(spark):
     live = s1_incremental_audit(spark, SF_SMALL).select("i", "j")
     exact = all_pairs(e, max_dist=0.3).select("i", "j")
     assert sorted(tuple(r) for r in live.collect()) == sorted(tuple(r) for r in exact.collect())
+
+
+def test_hit_rank_path_equals_materialised_ranking(emb):
+    from tidemark.operators.audit import near_duplicate_eval
+    from tidemark.operators.pairs import pair_hit_ranks
+
+    c, t = K.near_duplicates(emb, 0.1, 42)
+    full = pair_hits(near_duplicate_audit(c), t).where("hit = 1").select("i", "j", "rank")
+    fast = pair_hit_ranks(c, t).select("i", "j", "rank")
+    assert sorted(tuple(r) for r in full.collect()) == sorted(tuple(r) for r in fast.collect())
+    a = ranking_metrics(pair_hits(near_duplicate_audit(c), t).select("rank", "hit")).collect()[0]
+    b = near_duplicate_eval(c, t).collect()[0]
+    for x, y in zip(a, b):
+        assert (x is None and y is None) or x == pytest.approx(y, abs=1e-12)

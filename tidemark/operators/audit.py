@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logit
-from tidemark.operators.pairs import all_pairs, knn, nearest_by_label
+from tidemark.operators.pairs import all_pairs, knn, nearest_by_label, pair_hit_ranks
 from tidemark.operators.ranking import freeze, global_rank
 
 ISSUE_COLS = ["issue_type", "rank", "id", "id2", "score"]
@@ -37,6 +37,26 @@ def near_duplicate_audit(emb: DataFrame, max_dist: float | None = None,
     return ranked.select("rank", "i", "j", F.col("dist").alias("score"))
 
 
+def near_duplicate_eval(emb: DataFrame, truth: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """L1 (duplicates) metrics of the J1a ranking against truth pairs.
+
+    Scale path: only the ranks of the truth pairs are computed (histogram of
+    pair keys per block pair, no n^2 ranking is written or sorted). When the
+    truth is too large to hand to the kernels, the materialised ranking is
+    used instead; both give identical metrics.
+    """
+    from tidemark.operators.metrics import metrics_from_hit_ranks, ranking_metrics
+    from tidemark.operators.truth import pair_hits
+
+    hr = pair_hit_ranks(emb, truth, block_rows=block_rows)
+    if hr is None:
+        return ranking_metrics(pair_hits(near_duplicate_audit(emb, block_rows=block_rows), truth)
+                               .select("rank", "hit"))
+    n_items = hr.select("n_items").first()
+    n_items = n_items[0] if n_items is not None else emb.count() * (emb.count() - 1) // 2
+    return metrics_from_hit_ranks(hr, n_items)
+
+
 def label_error_scores(emb: DataFrame, block_rows: int = 1024) -> DataFrame:
     """J1c scores ``(id, score)`` before ranking."""
     nn = nearest_by_label(emb, "id", "embedding", "label", "half_cosine", block_rows)

@@ -310,3 +310,109 @@ def pairs_between(a_df: DataFrame, b_df: DataFrame, id_col: str = "id", vec_col:
                 yield pd.DataFrame({"i": np.minimum(gi, gj), "j": np.maximum(gi, gj), "dist": d[ii, jj]})
 
     return joined.mapInPandas(kernel, "i bigint, j bigint, dist double")
+
+
+MAX_BROADCAST_HITS = 2_000_000   # hit keys broadcast to the pair kernel (16 B each)
+
+
+def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col: str = "embedding",
+                   metric: str = "half_cosine", block_rows: int = 1024) -> DataFrame | None:
+    """Ranks of the truth pairs inside the full all-pairs ranking, without
+    materialising or sorting the n(n-1)/2 pairs.
+
+    The ranking order is ``(round(dist, 9), i, j)`` ascending (as
+    :func:`tidemark.operators.audit.near_duplicate_audit`). Pass 1 computes the
+    truth pairs' distances in the same block kernel (same NumPy product, so
+    identical keys). Pass 2 gives every block-pair kernel the sorted hit keys
+    (broadcast, size checked) and emits, per hit key interval, how many pairs
+    of that block pair fall in it - a histogram with at most P + 1 bins, sparse
+    per block pair. Summing the bins and a running sum over the P hit keys
+    gives each hit's rank. Output ``(i, j, dist, rank)`` plus the pair count.
+    Returns None when the truth is too large to broadcast (callers fall back
+    to the materialised ranking).
+    """
+    spark = df.sparkSession
+    t = truth.select(F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j")).distinct()
+    n_hits = t.count()
+    if n_hits > MAX_BROADCAST_HITS:
+        return None
+    joined = block_pair_table(df, id_col, vec_col, [], block_rows)
+    nb_blocks = _n_blocks(df, block_rows)
+    blk = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(nb_blocks)).cast("long")
+    # pass 1: hit distances from the kernel of the block pair holding each truth pair
+    tb = t.withColumn("_b1", blk("i")).withColumn("_b2", blk("j")).select(
+        "i", "j", F.least("_b1", "_b2").alias("bi"), F.greatest("_b1", "_b2").alias("bj"))
+    tb = tb.groupBy("bi", "bj").agg(F.collect_list("i").alias("ti"), F.collect_list("j").alias("tj"))
+    j1 = joined.join(tb, ["bi", "bj"])
+
+    def hit_kernel(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
+                d = _pairwise(va, vb, metric)
+                pa = {v: k for k, v in enumerate(ia)}
+                pb = {v: k for k, v in enumerate(ib)}
+                ti, tj = np.asarray(row.ti, dtype=np.int64), np.asarray(row.tj, dtype=np.int64)
+                out = []
+                for x, y in zip(ti, tj):
+                    if x in pa and y in pb:
+                        out.append((x, y, d[pa[x], pb[y]]))
+                    else:
+                        out.append((x, y, d[pa[y], pb[x]]))
+                if out:
+                    arr = np.asarray(out, dtype=object)
+                    yield pd.DataFrame({"i": arr[:, 0].astype(np.int64), "j": arr[:, 1].astype(np.int64),
+                                        "dist": arr[:, 2].astype(np.float64)})
+
+    hits = joined.join(tb, ["bi", "bj"]).select(*joined.columns, "ti", "tj").mapInPandas(
+        hit_kernel, "i bigint, j bigint, dist double")
+    del j1
+    hk = hits.select("i", "j", "dist", F.round("dist", 9).alias("rd")).toPandas()   # n_hits rows, checked above
+    hk = hk.sort_values(["rd", "i", "j"]).reset_index(drop=True)
+    keys_rd = np.round(hk["rd"].to_numpy() * 1e9).astype(np.int64)
+    keys_i = hk["i"].to_numpy()
+    keys_j = hk["j"].to_numpy()
+    bc = spark.sparkContext.broadcast((keys_rd, keys_i, keys_j))
+
+    # pass 2: per block pair, histogram of pair keys over the hit-key intervals
+    def count_kernel(batches):
+        krd, ki, kj = bc.value
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
+                d = _pairwise(va, vb, metric)
+                if row.bi == row.bj:
+                    ii, jj = np.triu_indices(len(ia), k=1)
+                else:
+                    ii, jj = np.indices(d.shape)
+                    ii, jj = ii.ravel(), jj.ravel()
+                rd = np.round(np.round(d[ii, jj], 9) * 1e9).astype(np.int64)
+                gi, gj = ia[ii], ib[jj]
+                pi, pj = np.minimum(gi, gj), np.maximum(gi, gj)
+                # bin = number of hit keys strictly below the pair key
+                lo = np.searchsorted(krd, rd, side="left")
+                hi = np.searchsorted(krd, rd, side="right")
+                b = lo.copy()
+                tie = np.nonzero(hi > lo)[0]
+                for q in tie:   # equal rounded distance: compare (i, j) lexicographically
+                    s, e = lo[q], hi[q]
+                    b[q] = s + np.count_nonzero((ki[s:e] < pi[q]) | ((ki[s:e] == pi[q]) & (kj[s:e] < pj[q])))
+                cnt = np.bincount(b, minlength=len(krd) + 1)
+                nz = np.nonzero(cnt)[0]
+                yield pd.DataFrame({"bin": nz.astype(np.int64), "c": cnt[nz].astype(np.int64)})
+
+    bins = (joined.mapInPandas(count_kernel, "bin bigint, c bigint")
+            .groupBy("bin").agg(F.sum("c").alias("c")))
+    # at most n_hits + 1 bins (the checked bound): the running sum is a
+    # NumPy cumsum. Hit t lies in its own bin t, so its 1-based rank is the
+    # number of pairs in bins 0..t.
+    bp = bins.toPandas()
+    cnt = np.zeros(len(hk) + 1, dtype=np.int64)
+    cnt[bp["bin"].to_numpy()] = bp["c"].to_numpy()
+    hk["rank"] = np.cumsum(cnt)[: len(hk)]
+    n_pairs = int(cnt.sum())
+    out = spark.createDataFrame(hk[["i", "j", "dist", "rank"]].astype(
+        {"i": "int64", "j": "int64", "dist": "float64", "rank": "int64"}))
+    return out.withColumn("n_items", F.lit(n_pairs).cast("bigint"))

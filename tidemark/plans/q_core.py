@@ -67,10 +67,12 @@ def k1_near_duplicate_truth(spark, sf):
 {S.pair_hits_cte('h', 'r', 'k1t')}"""))
 def l1_near_duplicate_eval(spark, sf):
     """L1 (duplicates): K1 -> J1a -> C3 -> D11-D14, one row of metrics."""
+    from tidemark.operators.audit import near_duplicate_eval
+    from tidemark.operators.ranking import freeze
+
     emb = read_embeddings(spark, sf)
     c, t = K.near_duplicates(emb, FRAC, SEED)
-    ranked = near_duplicate_audit(c)
-    return ranking_metrics(pair_hits(ranked, t).select("rank", "hit"))
+    return near_duplicate_eval(freeze(c), freeze(t))
 
 
 # --------------------------------------------------------------------------- #
@@ -239,3 +241,22 @@ def l1_off_topic_eval_knn(spark, sf):
     c, t = K.destroy(read_embeddings(spark, sf), FRAC, SEED)
     ranked = D.outliers(c, lambda e: D.knn_distance(e, 5), 0.1)
     return ranking_metrics(id_hits(ranked, t).select("rank", "hit"))
+
+
+@register("k1_text_near_duplicates", f"""WITH {_DOCS_SQL}, {S.sample_cte('kts', 'docs', SEED, 'k1', FRAC)},
+kt AS (SELECT id, new_id, text, length(text) AS n,
+              greatest(floor(length(text) * (0.5 + 0.4 * {S.u_sql(SEED, 'k1:len', 'id')})), 1)::BIGINT AS keep FROM kts),
+ks AS (SELECT *, floor((n - keep) * {S.u_sql(SEED, 'k1:start', 'id')})::BIGINT AS st FROM kt),
+kc AS (SELECT id, new_id, CASE WHEN {S.u_sql(SEED, 'k1:pad', 'id')} < 0.5
+                                THEN '  ' || substring(text, st + 1, keep) || '  ' ELSE substring(text, st + 1, keep) END AS t
+       FROM ks)
+SELECT 'near_duplicate' AS issue_type, id, new_id AS id2, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM kc""")
+def k1_text_near_duplicates(spark, sf):
+    """K1 on documents: a contiguous 50-90 % span of sampled texts, padded with p = .5."""
+    from tidemark.sources.readers import table
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    c, t = K.near_duplicates(docs, FRAC, SEED, perturb=K.text_crop(SEED), payload="text")
+    return (t.join(c.select(F.col("id").alias("id2"), "text"), "id2")
+            .select("issue_type", "id", "id2", F.length("text").cast("bigint").alias("n_chars"),
+                    F.md5("text").alias("text_md5")))

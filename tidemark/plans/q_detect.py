@@ -231,7 +231,7 @@ def j12c_confident_joint(spark, sf):
 _CENTROID_PROTO_SQL = f"""{S.emb_cte()},
 comp AS (SELECT id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM emb),
 cm AS (SELECT label, i, avg(x) AS m FROM comp GROUP BY label, i),
-pt AS (SELECT label AS proto_id, label, list(m ORDER BY i) AS embedding FROM cm GROUP BY label),
+pt AS (SELECT label AS id, label AS proto_id, label, list(m ORDER BY i) AS embedding FROM cm GROUP BY label),
 {S.knn_cte('nn', 'pt', 5, 'sql2', base='emb', exclude_self=False)},
 vv AS (SELECT nn.q AS proto_id, e.label, sum(1 / (1 + nn.dist)) AS sw, min(nn.nn_rank) AS first
        FROM nn JOIN emb e ON e.id = nn.nbr GROUP BY nn.q, e.label),
@@ -267,7 +267,26 @@ def j10c_dependence(spark, sf):
     return D.dependence(emb, protos, D.proto_votes(emb, protos, 5, 1.0, 1.0))
 
 
-@register("j3_ssim_pairs")
+_SSIM_SQL = f"""{S.emb_cte()},
+px AS (SELECT id, (generate_subscripts(embedding, 1) - 1) AS p, unnest(embedding) AS v FROM emb),
+rg AS (SELECT max(v) - min(v) AS L FROM px),
+pw AS (SELECT id, wr, wc, (p // 8 - wr) * 7 + (p % 8 - wc) AS k, v
+       FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) w(wr, wc)
+       WHERE p // 8 BETWEEN wr AND wr + 6 AND p % 8 BETWEEN wc AND wc + 6),
+st AS (SELECT id, wr, wc, avg(v) AS m, var_samp(v) AS s2 FROM pw GROUP BY id, wr, wc),
+pc AS (SELECT pw.*, st.m FROM pw JOIN st USING (id, wr, wc)),
+cv AS (SELECT a.id AS i, b.id AS j, a.wr, a.wc, sum((a.v - a.m) * (b.v - b.m)) / 48 AS cov
+       FROM pc a JOIN pc b ON a.wr = b.wr AND a.wc = b.wc AND a.k = b.k AND a.id < b.id
+       GROUP BY a.id, b.id, a.wr, a.wc),
+ss AS (SELECT cv.i, cv.j, avg(((2 * sa.m * sb.m + (0.01 * L) * (0.01 * L)) * (2 * cv.cov + (0.03 * L) * (0.03 * L)))
+                              / ((sa.m * sa.m + sb.m * sb.m + (0.01 * L) * (0.01 * L)) * (sa.s2 + sb.s2 + (0.03 * L) * (0.03 * L)))) AS s
+       FROM cv JOIN st sa ON sa.id = cv.i AND sa.wr = cv.wr AND sa.wc = cv.wc
+               JOIN st sb ON sb.id = cv.j AND sb.wr = cv.wr AND sb.wc = cv.wc, rg
+       GROUP BY cv.i, cv.j)"""
+
+
+@register("j3_ssim_pairs", f"""WITH {_SSIM_SQL}
+SELECT row_number() OVER (ORDER BY round(1 - s, 9), i, j)::BIGINT AS rank, i, j, 1 - s AS score FROM ss""")
 def j3_ssim_pairs(spark, sf):
     return D.ssim_pairs(_emb(spark, sf))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import n_clean
 from tidemark.operators import contaminate as K
 from tidemark.operators.audit import label_error_audit
 from tidemark.operators.stats import mann_whitney
@@ -18,7 +19,7 @@ from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.fixtures import ANNOTATORS, vote_table, vote_table_sql
 from tidemark.sources.readers import read_annotations, read_embeddings, table
 
-N_CLEAN = 5   # p_plus = .4, p_chance = .05 (FIXTURES.md): floor(ln .05 / ln .6) = 5
+N_CLEAN = n_clean(0.4, 0.05)   # E2 with p_plus = .4, p_chance = .05 (FIXTURES.md): 5
 VT = vote_table_sql()
 _UNPIVOT = " UNION ALL ".join(
     f"SELECT item_id, {k} AS col_idx, {c} AS vote FROM vt WHERE {c} IS NOT NULL" for k, c in enumerate(ANNOTATORS))
@@ -213,3 +214,13 @@ def c11_missed_total(spark, sf):
     pos = un.where(F.col("all_equal_vote") == 1).select((F.col("pos") + 1).alias("rank"))
     confirmed = rank_lookup(pos, ranking.select("rank", "id")).select("id").distinct()
     return missed(t, confirmed)
+
+
+@register("b6_question_harmonisation", f"WITH {VT}, {_MAJORITY} SELECT item_id, label FROM mv")
+def b6_question_harmonisation(spark, sf):
+    """An export whose vote column carries a question header is renamed to ``label``."""
+    from tidemark.sources.readers import QUESTION_HEADERS, harmonise_question
+
+    mv = majority_vote(vote_table(spark, sf), "item_id", ANNOTATORS)
+    exported = mv.select("item_id", F.col("label").alias(QUESTION_HEADERS[0]))
+    return harmonise_question(exported).select("item_id", "label")
