@@ -276,12 +276,14 @@ def d21_best_metric(spark, sf):
     emb = read_embeddings(spark, sf)
     rows = []
     for seed in (1, 42, 111):
+        from tidemark.operators.audit import near_duplicate_eval
+
         c, t = K.mixed(emb, 0.1, seed)
-        hp = pair_hits(near_duplicate_audit(c), t.where(F.col("issue_type") == "near_duplicate")).select(
-            F.lit("near_duplicate").alias("issue_type"), "rank", "hit")
         hl = id_hits(label_error_audit(c), t.where(F.col("issue_type") == "label_error")).select(
             F.lit("label_error").alias("issue_type"), "rank", "hit")
-        rows.append(ranking_metrics(hp.unionByName(hl), by=["issue_type"]).withColumn("run_seed", F.lit(seed)))
+        dups = near_duplicate_eval(c, t.where(F.col("issue_type") == "near_duplicate")).select(
+            F.lit("near_duplicate").alias("issue_type"), "*")
+        rows.append(ranking_metrics(hl, by=["issue_type"]).unionByName(dups).withColumn("run_seed", F.lit(seed)))
     allm = rows[0].unionByName(rows[1]).unionByName(rows[2])
     long = allm.select("run_seed", "issue_type", F.expr(
         "stack(5, 'auroc', auroc, 'ap', ap, 'auprg', auprg, 'precision_at_20', precision_at_20, "

@@ -211,12 +211,15 @@ h AS (SELECT 'near_duplicate' AS issue_type, rank, hit FROM hp UNION ALL SELECT
 def l2_mixed_eval(spark, sf):
     """L2: one table with all planted issues; near-duplicate (J1a) and label
     (J1c) audits scored against their own truth, grouped by issue type."""
+    from tidemark.operators.audit import near_duplicate_eval
+
     c, t = K.mixed(read_embeddings(spark, sf), FRAC, SEED)
     t2 = t.where(F.col("issue_type") == "near_duplicate")
     t3 = t.where(F.col("issue_type") == "label_error")
-    hp = pair_hits(near_duplicate_audit(c), t2).select(F.lit("near_duplicate").alias("issue_type"), "rank", "hit")
     hl = id_hits(label_error_audit(c), t3).select(F.lit("label_error").alias("issue_type"), "rank", "hit")
-    return ranking_metrics(hp.unionByName(hl), by=["issue_type"])
+    labels = ranking_metrics(hl, by=["issue_type"])
+    dups = near_duplicate_eval(c, t2).select(F.lit("near_duplicate").alias("issue_type"), "*")
+    return labels.unionByName(dups)
 
 
 @register("l2_mixed_eval_off_topic")
