@@ -103,10 +103,17 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
          .withColumn("_xx", F.when(F.col("_s"), F.col("_y")).otherwise(F.col("_x")))
          .withColumn("_yy", F.when(F.col("_s"), F.col("_x")).otherwise(F.col("_y"))))
     w = Window.partitionBy(*by, "_r").orderBy("_xx")
-    wt = Window.partitionBy(*by, "_r", "_xx")
-    ranked = j.withColumn("_rk", F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
+    # ties counted on the same window (a range frame of equal values), so a
+    # single sort per resample serves both the rank and the tie size
+    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
+    ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
     stat = ranked.groupBy(*by, "_r").agg(
         F.sum(F.when(F.col("_xx") > F.col("_yy"), F.col("_rk")).otherwise(0.0)).alias("_t"))
+    # one row per resample: materialise so the observed and the null branch
+    # do not both replay the resampling
+    from tidemark.operators.ranking import freeze
+
+    stat = freeze(stat)
     obs = stat.where(F.col("_r") == 0).select(*by, F.col("_t").alias("statistic"))
     null = stat.where(F.col("_r") > 0)
     jj = null.join(obs, by) if by else null.crossJoin(obs)
