@@ -158,3 +158,19 @@ def test_hit_rank_path_equals_materialised_ranking(emb):
     b = near_duplicate_eval(c, t).collect()[0]
     for x, y in zip(a, b):
         assert (x is None and y is None) or x == pytest.approx(y, abs=1e-12)
+
+
+def test_grouped_knn_classifier_equals_per_run(emb):
+    from tidemark.operators.cleaning import knn_classifier, knn_classifier_by, stratified_split
+
+    runs = []
+    for seed in (1, 2):
+        s = stratified_split(emb, 0.2, seed)
+        runs.append(s.withColumn("Seed", F.lit(seed)))
+    allr = runs[0].unionByName(runs[1])
+    rows = emb.join(allr, "id")
+    train = rows.where("split = 'TRAIN'").drop("split")
+    test = rows.where("split = 'TEST'").drop("split")
+    grouped = knn_classifier_by(train, test, ["Seed"], 10).where("Seed = 2").select("id", "label", "prediction")
+    single = knn_classifier(train.where("Seed = 2").drop("Seed"), test.where("Seed = 2").drop("Seed"), 10)
+    assert sorted(tuple(r) for r in grouped.collect()) == sorted(tuple(r) for r in single.collect())

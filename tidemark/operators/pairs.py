@@ -102,6 +102,9 @@ def nearest_by_label(df: DataFrame, id_col: str = "id", vec_col: str = "embeddin
     joined = block_pair_table(df, id_col, vec_col, [label_col], block_rows)
 
     def kernel(batches):
+        # map-side combine: minima of all block pairs in this task are merged
+        # before anything is emitted (one row per id and task)
+        acc = []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ia, va = _unpack(row, "a")
@@ -113,14 +116,13 @@ def nearest_by_label(df: DataFrame, id_col: str = "id", vec_col: str = "embeddin
                 d_self = ia[:, None] == ib[None, :]
                 ds = np.where(same & ~d_self, d, np.inf)
                 do = np.where(~same, d, np.inf)
-                outs = [(ia, ds.min(axis=1), do.min(axis=1))]
+                acc.append(pd.DataFrame({"id": ia, "d_same": ds.min(axis=1), "d_other": do.min(axis=1)}))
                 if row.bi != row.bj:
-                    outs.append((ib, ds.min(axis=0), do.min(axis=0)))
-                for ids, s_min, o_min in outs:
-                    yield pd.DataFrame({
-                        "id": ids,
-                        "d_same": np.where(np.isfinite(s_min), s_min, np.nan),
-                        "d_other": np.where(np.isfinite(o_min), o_min, np.nan)})
+                    acc.append(pd.DataFrame({"id": ib, "d_same": ds.min(axis=0), "d_other": do.min(axis=0)}))
+        if acc:
+            m = pd.concat(acc).groupby("id", as_index=False).min()
+            m = m.replace([np.inf], np.nan)
+            yield m
 
     parts = joined.mapInPandas(kernel, "id bigint, d_same double, d_other double")
     return parts.groupBy("id").agg(F.min("d_same").alias("d_same"), F.min("d_other").alias("d_other"))
@@ -211,6 +213,7 @@ def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5,
     drop_self = exclude_self and self_join
 
     def kernel(batches):
+        acc = []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ia = np.asarray(row.a_ids, dtype=np.int64)
@@ -226,15 +229,29 @@ def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5,
                 # partial top-k per query row; a stable full order is applied later
                 if kk < d.shape[1]:
                     part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                    # keep every column tied with the k-th distance so ties by id stay exact
-                    kth = np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True)
-                    qi, cj = np.nonzero(d <= kth)
+                    # keep every column tied (at 9 dp) with the k-th distance so
+                    # the final (rounded distance, id) order stays exact
+                    kth = np.round(np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True), 9)
+                    qi, cj = np.nonzero(np.round(d, 9) <= kth)
                 else:
                     qi, cj = np.indices(d.shape)
                     qi, cj = qi.ravel(), cj.ravel()
                 dd = d[qi, cj]
                 keep = np.isfinite(dd)
-                yield pd.DataFrame({"q": ia[qi[keep]], "nbr": ib[cj[keep]], "dist": dd[keep]})
+                acc.append(pd.DataFrame({"q": ia[qi[keep]], "nbr": ib[cj[keep]], "dist": dd[keep]}))
+        if acc:
+            # map-side combine over all block pairs of this task: keep the k
+            # best per query (ties at the k-th rounded distance kept)
+            c = pd.concat(acc)
+            c["_rd"] = np.round(c["dist"].to_numpy(), 9)
+            c = c.sort_values(["q", "_rd", "nbr"])
+            g = c.groupby("q", sort=False)
+            pos = g.cumcount().to_numpy()
+            size = g["q"].transform("size").to_numpy()
+            at_k = pos == np.minimum(k, size) - 1
+            kth = pd.Series(c["_rd"].to_numpy()[at_k], index=c["q"].to_numpy()[at_k])
+            keep_rows = c["_rd"].to_numpy() <= kth.reindex(c["q"].to_numpy()).to_numpy()
+            yield c[keep_rows][["q", "nbr", "dist"]]
 
     cand = joined.mapInPandas(kernel, "q bigint, nbr bigint, dist double")
     # distances are rounded to 9 dp for ordering so ties break on the id the
@@ -416,3 +433,57 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
     out = spark.createDataFrame(hk[["i", "j", "dist", "rank"]].astype(
         {"i": "int64", "j": "int64", "dist": "float64", "rank": "int64"}))
     return out.withColumn("n_items", F.lit(n_pairs).cast("bigint"))
+
+
+def knn_by(queries: DataFrame, base: DataFrame, by: list[str], k: int = 5, metric: str = "l2",
+           block_rows: int = 1024) -> DataFrame:
+    """kNN inside groups: every query row meets only the base rows of its own
+    ``by`` group (e.g. many experiment runs in one job, keyed by run).
+
+    Blocks are formed per group; block pairs are an equi-join of the query
+    and base block tables on the group key, so no run sees another run's
+    rows and the whole grid of runs is one job. Output
+    ``(by..., q, nbr, dist, nn_rank)``.
+    """
+    biggest = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+               .agg(F.max("_c").alias("_m")).first()[0] or 1)
+    nb = max(1, int(math.ceil(biggest / float(block_rows))))
+
+    def blocks(df, side):
+        blk = F.pmod(F.xxhash64(F.col("id")), F.lit(nb)).cast("int")
+        g = (df.withColumn("_blk", blk).groupBy(*by, "_blk")
+             .agg(F.collect_list("id").alias(f"{side}_ids"),
+                  F.flatten(F.collect_list(as_double_array("embedding"))).alias(f"{side}_vecs")))
+        return g.withColumnRenamed("_blk", f"{side}_blk")
+
+    joined = blocks(queries, "a").join(blocks(base, "b"), by)
+    key_cols = list(by)
+
+    def kernel(batches):
+        acc = []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
+                d = _pairwise(va, vb, metric)
+                kk = min(k, d.shape[1])
+                if kk < d.shape[1]:
+                    part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+                    kth = np.round(np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True), 9)
+                    qi, cj = np.nonzero(np.round(d, 9) <= kth)
+                else:
+                    qi, cj = np.indices(d.shape)
+                    qi, cj = qi.ravel(), cj.ravel()
+                frame = pd.DataFrame({"q": ia[qi], "nbr": ib[cj], "dist": d[qi, cj]})
+                for c in key_cols:
+                    frame[c] = getattr(row, c)
+                acc.append(frame)
+        if acc:
+            yield pd.concat(acc)[[*key_cols, "q", "nbr", "dist"]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields if f.name in by)
+    cand = joined.select(*by, "a_ids", "a_vecs", "b_ids", "b_vecs").mapInPandas(
+        kernel, f"{schema}, q bigint, nbr bigint, dist double")
+    w = Window.partitionBy(*by, "q").orderBy(F.round(F.col("dist"), 9), F.col("nbr"))
+    return (cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+            .withColumn("nn_rank", F.col("nn_rank").cast("int")))

@@ -194,8 +194,7 @@ def l12_cleaning_sweep(spark, sf):
     emb = freeze(read_embeddings(spark, sf))
     dups, labs = _issues(emb)
     dups, labs = freeze(dups), freeze(labs)
-    return C.cleaning_influence(emb, dups, labs, {"knn": lambda tr, te: C.knn_classifier(tr, te, 10)},
-                                seeds=(1, 2, 3), test_size=TEST)
+    return C.cleaning_influence(emb, dups, labs, {"knn": "knn"}, seeds=(1, 2, 3), test_size=TEST)
 
 
 def _ml_eval(spark, sf, kind):
