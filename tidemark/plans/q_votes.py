@@ -224,3 +224,28 @@ def b6_question_harmonisation(spark, sf):
     mv = majority_vote(vote_table(spark, sf), "item_id", ANNOTATORS)
     exported = mv.select("item_id", F.col("label").alias(QUESTION_HEADERS[0]))
     return harmonise_question(exported).select("item_id", "label")
+
+
+@register("l4_human_vote_validation", f"""WITH {VT}, {_STRATA_BY_LANG},
+d AS (SELECT lang AS grp_key, item_id AS id, CASE WHEN sampling_type = 'maximum_bias' THEN 'x' ELSE 'y' END AS grp,
+             CASE WHEN label = 'Yes' THEN 1 ELSE 0 END AS y FROM st),
+pct AS (SELECT grp_key, round(avg(CASE WHEN grp = 'x' THEN y END) * 100, 1) AS error_pct_max_bias,
+               round(avg(CASE WHEN grp = 'y' THEN y END) * 100, 1) AS error_pct_min_bias FROM d GROUP BY grp_key),
+{_MWU_SQL.format(g='grp_key').split(chr(10) + "SELECT ")[0]},
+mw AS (SELECT {_MWU_SQL.format(g='grp_key').split(chr(10) + "SELECT ")[1]})
+SELECT pct.grp_key AS lang, error_pct_max_bias, error_pct_min_bias, mw.u, mw.p, mw.stars
+FROM pct JOIN mw USING (grp_key)""")
+def l4_human_vote_validation(spark, sf):
+    """L4: majority vote -> strata (top 50 by Ranking) -> error % per stratum
+    and the one-sided Mann-Whitney test, per language."""
+    mv = majority_vote(vote_table(spark, sf), "item_id", ANNOTATORS)
+    st = _strata_by(mv, ["lang"])
+    d = st.select(F.col("lang").alias("grp_key"), F.col("item_id").alias("id"),
+                  F.when(F.col("sampling_type") == "maximum_bias", "x").otherwise("y").alias("grp"),
+                  encode_vote("label").alias("y"))
+    pct = d.groupBy("grp_key").agg(
+        F.round(F.avg(F.when(F.col("grp") == "x", F.col("y"))) * 100, 1).alias("error_pct_max_bias"),
+        F.round(F.avg(F.when(F.col("grp") == "y", F.col("y"))) * 100, 1).alias("error_pct_min_bias"))
+    mw = mann_whitney(d, "y", "grp", "x", by=["grp_key"])
+    return (pct.join(mw, "grp_key").select(F.col("grp_key").alias("lang"), "error_pct_max_bias",
+                                           "error_pct_min_bias", "u", "p", "stars"))
