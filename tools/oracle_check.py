@@ -77,6 +77,13 @@ def main():
             print(f"SCHEMA {k}: spark={cols} oracle={ocols}")
             bad += 1
             continue
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT"}
+        stypes = {f.name: tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        otypes = dict(zip(ocols, [str(t) for t in rel.types]))
+        tdiff = {c: (stypes[c], otypes.get(c)) for c in cols if stypes[c] != otypes.get(c)}
+        if tdiff:
+            print(f"TYPES {k}: {tdiff}")
         a, b = _rows(cols, srows), _rows(ocols, orows)
         if a == b:
             print(f"OK {k}: {len(a)} rows {ts:.1f}s")
