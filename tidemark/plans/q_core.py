@@ -263,3 +263,20 @@ def k1_text_near_duplicates(spark, sf):
     return (t.join(c.select(F.col("id").alias("id2"), "text"), "id2")
             .select("issue_type", "id", "id2", F.length("text").cast("bigint").alias("n_chars"),
                     F.md5("text").alias("text_md5")))
+
+
+@register("l1_near_duplicate_eval_lsh")
+def l1_near_duplicate_eval_lsh(spark, sf):
+    """L1 on the scale path (C2): random-projection LSH candidates within
+    distance .05 instead of all pairs; the candidate ranking is scored against
+    the planted truth (recall of the candidate set = n_hits / planted pairs)."""
+    from tidemark.operators.pairs import lsh_candidates
+    from tidemark.operators.ranking import freeze, global_rank
+
+    emb = read_embeddings(spark, sf)
+    c, t = K.near_duplicates(emb, FRAC, SEED)
+    cand = lsh_candidates(freeze(c), max_dist=0.05).withColumn("_key", F.round("dist", 9))
+    ranked = global_rank(cand, ["_key", "i", "j"], "rank").select("rank", "i", "j", F.col("dist").alias("score"))
+    m = ranking_metrics(pair_hits(ranked, t).select("rank", "hit"))
+    planted = t.agg(F.count(F.lit(1)).alias("n_planted"))
+    return m.crossJoin(planted)
