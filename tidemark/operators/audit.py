@@ -75,7 +75,7 @@ def label_error_audit(emb: DataFrame, block_rows: int = 1024) -> DataFrame:
 
 
 def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
-                     max_rounds: int = 30) -> DataFrame:
+                     max_rounds: int | None = None) -> DataFrame:
     """J1b scores ``(id, score)``: mean over distance levels of ln(n / component size).
 
     The kNN graph (k neighbours, symmetrised) is cut at ``levels`` quantiles
@@ -102,7 +102,7 @@ def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
     return scored
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Connected components per ``level``: ``(level, id, comp)`` with comp = min id.
 
     Each round takes, for every node, the minimum label among itself and its
@@ -111,7 +111,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> Data
     stops when no label changes (one count per round).
     """
     labels = freeze(nodes.select("level", "id", F.col("id").alias("comp")))
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            # never return unconverged labels silently
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
         nb = (edges.join(labels.withColumnRenamed("id", "b"), ["level", "b"])
               .select("level", F.col("a").alias("id"), F.col("comp").alias("cand")))
         new = (labels.select("level", "id", F.col("comp").alias("cand")).unionByName(nb)
