@@ -80,6 +80,9 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col:
                     (2 * _sf(F.abs(z_two))).alias("p_two_sided"), _sf(z_gt).alias("p_greater"))
 
 
+MAX_BROADCAST_PAIRS = 1_000_000
+
+
 def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, seed: int = 42,
                        id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """Paired permutation test of T = sum over pairs of 1[x > y] * rank(x).
@@ -95,18 +98,33 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
     by = list(by or [])
     spark = df.sparkSession
     pairs = df.select(*by, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    rs = spark.range(resamples + 1).withColumnRenamed("id", "_r")   # _r = 0 is the observed data
+    # the resample axis carries the parallelism: every resample needs every
+    # pair, so the (checked, small) pair table is broadcast to the resample
+    # partitions; above the check Spark plans the product itself
+    n_pairs = pairs.count()
+    parts = max(1, min(resamples + 1, 4 * spark.sparkContext.defaultParallelism))
+    rs = spark.range(0, resamples + 1, 1, parts).withColumnRenamed("id", "_r")   # _r = 0: observed
+    if n_pairs <= MAX_BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
     swap = F.when(F.col("_r") == 0, F.lit(False)).otherwise(
         uniform(seed, "perm", F.concat_ws("/", F.col("_r").cast("string"), F.col("_i").cast("string"))) < 0.5)
-    j = (pairs.crossJoin(rs)
+    j = (rs.crossJoin(pairs)
          .withColumn("_s", swap)
          .withColumn("_xx", F.when(F.col("_s"), F.col("_y")).otherwise(F.col("_x")))
          .withColumn("_yy", F.when(F.col("_s"), F.col("_x")).otherwise(F.col("_y"))))
     w = Window.partitionBy(*by, "_r").orderBy("_xx")
-    # ties counted on the same window (a range frame of equal values), so a
-    # single sort per resample serves both the rank and the tie size
-    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-    ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
+    # Two x values of one resample can only tie when two different pairs
+    # share a value (x or y). One small aggregate decides whether tie
+    # handling is needed at all; if so, ties are counted on the same window
+    # (a range frame of equal values), so one sort per resample serves both.
+    vals = pairs.select(*by, "_i", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_v"))
+    shared = (vals.groupBy(*by, "_v").agg(F.countDistinct("_i").alias("_np"))
+              .where(F.col("_np") > 1).limit(1).count() > 0)
+    if shared:
+        ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
+        ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
+    else:
+        ranked = j.withColumn("_rk", F.rank().over(w).cast("double"))
     stat = ranked.groupBy(*by, "_r").agg(
         F.sum(F.when(F.col("_xx") > F.col("_yy"), F.col("_rk")).otherwise(0.0)).alias("_t"))
     # one row per resample: materialise so the observed and the null branch
