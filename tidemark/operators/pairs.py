@@ -456,7 +456,11 @@ def knn_by(queries: DataFrame, base: DataFrame, by: list[str], k: int = 5, metri
                   F.flatten(F.collect_list(as_double_array("embedding"))).alias(f"{side}_vecs")))
         return g.withColumnRenamed("_blk", f"{side}_blk")
 
-    joined = blocks(queries, "a").join(blocks(base, "b"), by)
+    # spread (group, block pair) units over tasks; a join on the group key
+    # alone would put a whole run in one task
+    par = queries.sparkSession.sparkContext.defaultParallelism
+    joined = (blocks(queries, "a").join(blocks(base, "b"), by)
+              .repartition(4 * par, *by, "a_blk", "b_blk"))
     key_cols = list(by)
 
     def kernel(batches):
