@@ -280,8 +280,12 @@ def phash(emb: DataFrame, size: int = 8, vec_col: str = "embedding") -> DataFram
         "id", (F.col("p") / size).cast("int").alias("x"), F.pmod("p", F.lit(size)).alias("y"), "val")
     bu = basis.select(F.col("u"), F.col("x"), F.col("c").alias("cu"))
     bv = basis.select(F.col("u").alias("v"), F.col("x").alias("y"), F.col("c").alias("cv"))
-    coef = (px.join(F.broadcast(bu), "x").join(F.broadcast(bv), "y")
-            .groupBy("id", "u", "v").agg(F.sum(F.col("val") * F.col("cu") * F.col("cv")).alias("coef")))
+    # separable 2-D DCT: transform the rows, then the columns (8 x fewer
+    # intermediate rows than the direct double sum)
+    rows = (px.join(F.broadcast(bv), "y")
+            .groupBy("id", "x", "v").agg(F.sum(F.col("val") * F.col("cv")).alias("t")))
+    coef = (rows.join(F.broadcast(bu), "x")
+            .groupBy("id", "u", "v").agg(F.sum(F.col("t") * F.col("cu")).alias("coef")))
     med = coef.groupBy("id").agg(F.percentile("coef", F.lit(0.5)).alias("med"))
     bits = coef.join(med, "id").where(F.round(F.col("coef"), 12) > F.round(F.col("med"), 12))
     return (bits.groupBy("id").agg(
