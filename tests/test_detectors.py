@@ -1,7 +1,5 @@
 """Rows-only operators checked against brute force on the small fixture."""
 
-import math
-
 import numpy as np
 import pandas as pd
 import pytest

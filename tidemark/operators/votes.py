@@ -8,8 +8,6 @@ vote per annotator and position). Wide tables are turned long with
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +117,6 @@ def unanimous(votes: DataFrame, item: list[str], annotator: str, vote: str, n_an
     if isinstance(n_annotators, int):
         agg = agg.withColumn("_na", F.lit(n_annotators))
     else:
-        agg = agg.join(F.broadcast(n_annotators), [c for c in n_annotators.columns if c != "_na"])
+        agg = agg.join(n_annotators, [c for c in n_annotators.columns if c != "_na"])
     return agg.select(*item, F.when((F.col("_nv") == F.col("_na")) & (F.col("_lo") == F.col("_hi")),
                                     F.col("_lo")).otherwise(F.lit(0)).alias("all_equal_vote"))

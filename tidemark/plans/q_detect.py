@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import contaminate as K
 from tidemark.operators import detectors as D
-from tidemark.operators.audit import auto_cut, label_error_audit, label_error_scores, off_topic_audit
+from tidemark.operators.audit import auto_cut, label_error_audit, off_topic_audit
 from tidemark.operators.metrics import metrics_sql, ranking_metrics
 from tidemark.operators.pairs import knn, lsh_candidates
-from tidemark.operators.ranking import global_rank
 from tidemark.operators.truth import id_hits
 from tidemark.plans import sqlparts as S
 from tidemark.plans.registry import register
