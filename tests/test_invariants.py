@@ -174,3 +174,16 @@ def test_grouped_knn_classifier_equals_per_run(emb):
     grouped = knn_classifier_by(train, test, ["Seed"], 10).where("Seed = 2").select("id", "label", "prediction")
     single = knn_classifier(train.where("Seed = 2").drop("Seed"), test.where("Seed = 2").drop("Seed"), 10)
     assert sorted(tuple(r) for r in grouped.collect()) == sorted(tuple(r) for r in single.collect())
+
+
+def test_stopping_stream_counts_dropped_votes(spark):
+    from tidemark.plans.q_stream import s2_live_stopping_rule
+    from tidemark.plans.q_votes import e1_stopping_rule
+
+    live = s2_live_stopping_rule(spark, SF_SMALL)
+    last = live.groupBy("annotator").agg(F.max("dropped").alias("dropped"))
+    batch = (e1_stopping_rule(spark, SF_SMALL).where(F.col("kept_vote").isNull())
+             .groupBy("annotator").agg(F.count(F.lit(1)).alias("n")))
+    got = {r.annotator: r.dropped for r in last.collect() if r.dropped}
+    want = {r.annotator: r.n for r in batch.collect()}
+    assert got == want

@@ -38,4 +38,4 @@ def s2_live_stopping_rule(spark, sf):
         ev.where(F.to_date("ts") == F.lit(r["d"])).coalesce(1).write.parquet(f"{src}/day={i:03d}")
     q, out = stopping_stream(spark, src, n_clean=5)
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/votes").select("annotator", "pos", "vote", "kept_vote")
+    return spark.read.parquet(f"{out}/votes").select("annotator", "pos", "vote", "kept_vote", "dropped")

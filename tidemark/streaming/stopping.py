@@ -6,7 +6,8 @@ Events inside a micro-batch are ordered by ``(ts, event_id)``; files are
 expected to arrive in time order (as a day-partitioned feed does). Votes
 after an annotator's stop are dropped from the kept stream and counted.
 The batch E1 operator is the oracle: on the same events the kept votes are
-identical.
+identical. Each output row carries the annotator's running count of votes
+dropped after the stop.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tidemark.session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-OUT_SCHEMA = "annotator bigint, pos bigint, vote int, kept_vote int, stopped boolean"
+OUT_SCHEMA = "annotator bigint, pos bigint, vote int, kept_vote int, stopped boolean, dropped bigint"
 STATE_SCHEMA = "next_pos bigint, last_issue bigint, stop_pos bigint, dropped bigint"
 
 
@@ -35,7 +36,7 @@ def _make_fn(n_clean: int, issue_type: str):
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out_pos, out_vote, out_kept = [], [], []
+        out_pos, out_vote, out_kept, out_dropped = [], [], [], []
         for et in pdf["event_type"].to_numpy():
             vote = 1 if et == issue_type else 0
             pos = next_pos
@@ -52,10 +53,12 @@ def _make_fn(n_clean: int, issue_type: str):
             out_pos.append(pos)
             out_vote.append(vote)
             out_kept.append(kept)
+            out_dropped.append(dropped)
         state.update((next_pos, last_issue, stop_pos, dropped))
         yield pd.DataFrame({"annotator": key[0], "pos": out_pos, "vote": out_vote,
                             "kept_vote": pd.array(out_kept, dtype="Int32"),
-                            "stopped": [stop_pos >= 0] * len(out_pos)})
+                            "stopped": [stop_pos >= 0] * len(out_pos),
+                            "dropped": out_dropped})
     return fn
 
 
