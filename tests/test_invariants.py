@@ -187,3 +187,19 @@ def test_stopping_stream_counts_dropped_votes(spark):
     got = {r.annotator: r.dropped for r in last.collect() if r.dropped}
     want = {r.annotator: r.n for r in batch.collect()}
     assert got == want
+
+
+def test_rank_within_and_running_max_with_hot_key(spark):
+    """A key holding a third of the rows: per-group positions stay dense and the
+    segmented running max equals a plain prefix max."""
+    from tidemark.operators.sequences import positions, running_max
+
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 7 + 1).alias("k"),
+        F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
+    p = positions(df, ["k"], ["id"])
+    r = running_max(p, ["k"], "pos", "v", "rm", segment=64).toPandas()
+    for k, g in r.groupby("k"):
+        g = g.sort_values("pos")
+        assert list(g["pos"]) == list(range(len(g)))
+        assert list(g["rm"]) == list(g["v"].cummax())
