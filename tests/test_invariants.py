@@ -203,3 +203,29 @@ def test_rank_within_and_running_max_with_hot_key(spark):
         g = g.sort_values("pos")
         assert list(g["pos"]) == list(range(len(g)))
         assert list(g["rm"]) == list(g["v"].cummax())
+
+
+def test_results_sink_refuses_overwrite_and_appends(spark, tmp_path):
+    from tidemark.plans.q_clean import _results_grid
+
+    grid = _results_grid(spark, SF_SMALL)
+    path = str(tmp_path / "results")
+    grid.where(~F.col("Train_Cleaned")).write.mode("errorifexists").parquet(path)
+    with pytest.raises(Exception):
+        grid.write.mode("errorifexists").parquet(path)
+    grid.where(F.col("Train_Cleaned")).write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == grid.count()
+
+
+def test_stage_cache_and_sweep_run(spark):
+    from tidemark.plans.q_clean import a6_stage_cache, l13b_linear_classifier
+    from tidemark.plans.q_detect import j13_baseline_sweep
+
+    cached = a6_stage_cache(spark, SF_SMALL)
+    assert cached.count() == read_embeddings(spark, SF_SMALL).count()
+    lin = l13b_linear_classifier(spark, SF_SMALL).collect()[0]
+    assert 0.0 <= lin.score <= 100.0
+    sweep = j13_baseline_sweep(spark, SF_SMALL).collect()
+    assert {(r.detector, r.space) for r in sweep} == {
+        (d, s) for d in ("ecod", "hbos", "knn") for s in ("audit", "raw")}
+    assert all(r.n_hits > 0 for r in sweep)
