@@ -13,7 +13,7 @@ from tidemark.operators.metrics import ranking_metrics
 from tidemark.operators.pairs import all_pairs, knn, lsh_candidates
 from tidemark.operators.ranking import global_rank
 from tidemark.operators.truth import id_hits, pair_hits
-from tidemark.sources.readers import read_embeddings
+from tidemark.sources.readers import read_embeddings, table
 
 from conftest import SF_CHECK, SF_SMALL
 
@@ -229,3 +229,18 @@ def test_stage_cache_and_sweep_run(spark):
     assert {(r.detector, r.space) for r in sweep} == {
         (d, s) for d in ("ecod", "hbos", "knn") for s in ("audit", "raw")}
     assert all(r.n_hits > 0 for r in sweep)
+
+
+def test_incremental_audit_replay_is_idempotent(spark, tmp_path):
+    from tidemark.streaming.audit_stream import process_batch
+
+    e = table(spark, SF_SMALL, "embeddings")
+    b0, b1 = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    out = str(tmp_path / "audit")
+    process_batch(spark, b0, 0, out)
+    process_batch(spark, b1, 1, out)
+    first = sorted(tuple(r) for r in spark.read.parquet(f"{out}/pairs").select("i", "j").collect())
+    process_batch(spark, b1, 1, out)   # the same batch again, as after a failure
+    again = sorted(tuple(r) for r in spark.read.parquet(f"{out}/pairs").select("i", "j").collect())
+    assert first == again
+    assert spark.read.parquet(f"{out}/state").count() == e.count()

@@ -40,6 +40,34 @@ def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         return None
 
 
+STATE_SCHEMA = "id bigint, embedding array<double>, label int, batch_id bigint"
+
+
+def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
+                  max_dist: float = 0.3) -> None:
+    """Audit one micro-batch against the stored rows (idempotent per ``batch_id``)."""
+    state_path, pairs_path = f"{out_dir}/state", f"{out_dir}/pairs"
+    labels_path, counts_path = f"{out_dir}/labels", f"{out_dir}/counts"
+    new = batch.select(F.col("vec_id").alias("id"), l2_normalize("embedding").alias("embedding"),
+                       F.col("label").cast("int").alias("label"))
+    state = _read_or_none(spark, state_path, STATE_SCHEMA)
+    if state is not None:
+        # replay safety: rows of this batch id from an earlier attempt are not "old"
+        state = state.where(F.col("batch_id") != batch_id).drop("batch_id")
+    within = all_pairs(new, max_dist=max_dist)
+    pairs = within if state is None else within.unionByName(pairs_between(new, state, max_dist=max_dist))
+    _write_part(pairs, pairs_path, batch_id)
+    pool = new if state is None else state.unionByName(new)
+    nn = nearest_by_label(pool).join(new.select("id"), "id", "left_semi")
+    ds = F.coalesce(F.nanvl("d_same", F.lit(None)), F.lit(1.0))
+    do = F.nanvl("d_other", F.lit(None))
+    score = F.when(do.isNull(), 1.0).otherwise(F.coalesce(F.try_divide(do * do, ds * ds + do * do), F.lit(0.5)))
+    _write_part(nn.select("id", score.alias("score")), labels_path, batch_id)
+    _write_part(new, state_path, batch_id)
+    counts = spark.read.parquet(state_path).agg(F.count(F.lit(1)).alias("n_rows"))
+    _write_part(counts, counts_path, batch_id)
+
+
 def audit_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
                  max_dist: float = 0.3, max_files_per_trigger: int = 1):
     """Start the incremental audit over Parquet files arriving in ``source_dir``.
@@ -48,29 +76,9 @@ def audit_stream(spark: SparkSession, source_dir: str, out_dir: str | None = Non
     and the accumulated table in ``out_dir/state``.
     """
     out_dir = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-stream-{uuid.uuid4().hex}"
-    state_path, pairs_path = f"{out_dir}/state", f"{out_dir}/pairs"
-    labels_path, counts_path = f"{out_dir}/labels", f"{out_dir}/counts"
-    state_schema = "id bigint, embedding array<double>, label int, batch_id bigint"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(F.col("vec_id").alias("id"), l2_normalize("embedding").alias("embedding"),
-                           F.col("label").cast("int").alias("label"))
-        state = _read_or_none(spark, state_path, state_schema)
-        if state is not None:
-            # replay safety: rows of this batch id from an earlier attempt are not "old"
-            state = state.where(F.col("batch_id") != batch_id).drop("batch_id")
-        within = all_pairs(new, max_dist=max_dist)
-        pairs = within if state is None else within.unionByName(pairs_between(new, state, max_dist=max_dist))
-        _write_part(pairs, pairs_path, batch_id)
-        pool = new if state is None else state.unionByName(new)
-        nn = nearest_by_label(pool).join(new.select("id"), "id", "left_semi")
-        ds = F.coalesce(F.nanvl("d_same", F.lit(None)), F.lit(1.0))
-        do = F.nanvl("d_other", F.lit(None))
-        score = F.when(do.isNull(), 1.0).otherwise(F.coalesce(F.try_divide(do * do, ds * ds + do * do), F.lit(0.5)))
-        _write_part(nn.select("id", score.alias("score")), labels_path, batch_id)
-        _write_part(new, state_path, batch_id)
-        counts = spark.read.parquet(state_path).agg(F.count(F.lit(1)).alias("n_rows"))
-        _write_part(counts, counts_path, batch_id)
+        process_batch(spark, batch, batch_id, out_dir, max_dist)
 
     stream = (spark.readStream.schema(EMB_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
