@@ -142,6 +142,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 32,
               "out_bias": np.array([m.out_bias], np.float32)}
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     t_step = 0
+    epochs = min(60, max(epochs, 600 * batch // len(texts)))  # few texts are seen more often
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         lr = rate * (1 - epoch / epochs) + rate * 0.05
