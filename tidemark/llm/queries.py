@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn
+from tidemark.llm import bytecnn, jaccard
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bytecnn.score(docs, model)
     return s.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
                     F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
