@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn, jaccard
+from tidemark.llm import bytecnn, jaccard, mix
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_low_discrepancy_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
