@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn, jaccard, mix
+from tidemark.llm import bytecnn, jaccard, maxent, mix
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_low_discrepancy_mix")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query("op6_hashed_maxent_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.train_and_score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
