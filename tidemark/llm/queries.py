@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn, jaccard, maxent, mix
+from tidemark.llm import bytecnn, decontam, jaccard, maxent, mix
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.train_and_score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_minhash_containment", """
+WITH w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x20\\x09-\\x0D]+') AS t
+           FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents
+                 UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+s AS (SELECT DISTINCT kind, id, array_to_string(t[k:least(k + 4, len(t))], ' ') AS g
+      FROM (SELECT kind, id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS k FROM w WHERE len(t) > 0)),
+q AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+      FROM s d JOIN s i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS item_shingles, shared, shared::DOUBLE / n AS containment
+FROM m JOIN q ON item_id = id WHERE shared >= 0.75 * n
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
