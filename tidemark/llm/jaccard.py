@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, WordHasher, shingle_hashes, words
 from tidemark.llm.components import connected
 
-BATCH = 1_000_000     # shingles a map task holds before it sends them
+BATCH = 500_000       # shingles a map task holds before it sends them
 BUCKET = 2_000_000    # shingles meant to meet in one bucket
 STARS = 3             # rounds of step 4; more rounds change the cost, not the result
 
@@ -119,14 +119,23 @@ def _send(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "bucket long, nodes binary, counts binary, hashes binary")
 
 
-def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: how many shingles of each node another node holds too."""
-    if pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"node": np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]),
-                             "apart": 0, "local": np.concatenate(
-                                 [np.frombuffer(x, np.int32) for x in pdf["counts"]])})
+def _by_slice(node: np.ndarray, apart: np.ndarray, local: np.ndarray, slices: int) -> pd.DataFrame:
+    part = (node.view(np.uint64) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(slices + 1))
+    rows = []
+    for i in np.flatnonzero(np.diff(cut)):
+        at = order[cut[i] : cut[i + 1]]
+        rows.append((i, node[at].tobytes(), apart[at].astype(np.int32).tobytes(), local[at].astype(np.int32).tobytes()))
+    return pd.DataFrame(rows, columns=["slice", "nodes", "apart", "local"])
+
+
+def _count_shared(pdf: pd.DataFrame, slices: int) -> pd.DataFrame:
+    """Of one bucket: how many shingles of each node another node holds too, in blobs by node."""
     nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
+    if pdf["bucket"].iloc[0] < 0:
+        return _by_slice(nodes, np.zeros(len(nodes)), counts, slices)
     h = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]])
     node = np.repeat(nodes, np.abs(counts))
     anon = np.repeat(counts < 0, np.abs(counts))
@@ -136,9 +145,16 @@ def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
     h, node, anon = h[~dup], node[~dup], anon[~dup]  # copies of a node in several batches
     run = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
     holders = np.bincount(run, np.where(anon, 2, 1))
-    yes = (holders[run] > 1) & ~anon
-    who, many = np.unique(node[yes], return_counts=True)
-    return pd.DataFrame({"node": who, "apart": many, "local": 0})
+    who, many = np.unique(node[(holders[run] > 1) & ~anon], return_counts=True)
+    return _by_slice(who, many, np.zeros(len(who)), slices)
+
+
+def _sum_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+    cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+    node, at = np.unique(cat("nodes", np.int64), return_inverse=True)
+    local = np.zeros(len(node), np.int64)
+    np.maximum.at(local, at, cat("local", np.int32))
+    return pd.DataFrame({"node": node, "shared": np.bincount(at, cat("apart", np.int32)).astype(np.int64) + local})
 
 
 def survivors(docs: DataFrame, nodes: DataFrame, num: int, den: int, size: int) -> DataFrame:
@@ -146,8 +162,9 @@ def survivors(docs: DataFrame, nodes: DataFrame, num: int, den: int, size: int)
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, math.ceil(chars / (6 * BUCKET)))
     shared = (_send(docs, size, buckets).groupBy("bucket")
-              .applyInPandas(_count_shared, "node long, apart long, local long")
-              .groupBy("node").agg((F.sum("apart") + F.max("local")).alias("shared")))
+              .applyInPandas(lambda pdf: _count_shared(pdf, buckets),
+                             "slice long, nodes binary, apart binary, local binary")
+              .groupBy("slice").applyInPandas(_sum_slice, "node long, shared long"))
     return nodes.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num).select("node", "n")
 
 
