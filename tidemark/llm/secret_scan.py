@@ -1,7 +1,7 @@
 """Secret scan: candidate strings in whole texts, false positives removed by a random forest.
 
 Candidates are (a) values after ``:`` or ``=``, (b) unbroken runs of 16 or
-more key characters with a digit, (c) private key blocks. Each is described
+more key characters with a digit or an issuer's prefix, (c) private key blocks. Each is described
 by its length, character transitions, dictionary coverage (words of its own
 document and common words), path shape and neighbouring words; the forest
 decides. It is trained from labelled findings, a bounded table (``LABELLED``
@@ -96,7 +96,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if len(w) >= 16:
             at = text.index(w, at)
             for m in RUN.finditer(w):
-                if any(c.isdigit() for c in m[0]):
+                if any(c.isdigit() for c in m[0]) or PREFIXES.match(m[0]):
                     found.append((at + m.start(), at + m.end(), "run"))
             at += len(w)
     found.sort(key=lambda f: (f[0], -f[1]))
