@@ -40,7 +40,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
