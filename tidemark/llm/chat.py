@@ -119,7 +119,13 @@ def format_chat(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 def _frame(rows: list) -> pd.DataFrame:
     cols = ["conv_id", "turn_no", "segment", "text", "loss", "state", "last"]
-    return pd.DataFrame(rows, columns=cols).astype({"conv_id": "Int64"})
+    return _with_ids(pd.DataFrame(rows, columns=cols, dtype=object))
+
+
+def _with_ids(out: pd.DataFrame) -> pd.DataFrame:
+    """Ids as whole numbers with nulls (never through floats, which lose the last digits)."""
+    out["conv_id"] = pd.array(out["conv_id"].tolist(), "Int64")
+    return out
 
 
 class Reader:
@@ -182,6 +188,6 @@ def parse(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
                                 st["chars"], bool(st["valid"] and state in FINAL)))
                     st = start()
             if out:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"conv_id": "Int64"})
+                yield _with_ids(pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object))
 
     return formatted.mapInPandas(run, schema)
