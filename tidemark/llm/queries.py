@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter
+from tidemark.llm import bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter, warc
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"),
                                                          "role", "text")
     return chat.parse(chat.format_chat(turns.unionByName(extra)))
+
+
+@query("op8_warc_index", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS latest FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < latest THEN latest END AS refers_to
+FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    files, root = warc.archive(pages)
+    asked = pages.select(warc.capture_key().alias("key"), "page_id")
+    return warc.look_up(asked, files, root).drop("url")
