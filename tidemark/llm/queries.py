@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter, warc
+from tidemark.llm import ann, bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter, warc
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, root = warc.archive(pages)
     asked = pages.select(warc.capture_key().alias("key"), "page_id")
     return warc.look_up(asked, files, root).drop("url")
+
+
+@query("op1_kmeans_tree_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
