@@ -206,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(got["text"].tolist(), got["y"].to_numpy(np.float32))
 
 
-def score(docs: DataFrame, model: ByteCNN) -> DataFrame:
-    """``docs`` with a column ``score``: the probability of label 1 of every whole text."""
+def score(docs: DataFrame, model: ByteCNN, out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``: the probability of label 1 of every whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # about 20 KB, fixed by the shape of the network
 
@@ -217,4 +217,4 @@ def score(docs: DataFrame, model: ByteCNN) -> DataFrame:
         for s in texts:
             yield pd.Series(score_texts(shared.value, s.tolist(), tables))
 
-    return docs.withColumn("score", prob(F.col("text")))
+    return docs.withColumn(out, prob(F.col("text")))

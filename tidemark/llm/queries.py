@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import ann, bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter, warc
 from tidemark.llm.common import held_out, table
 
@@ -125,3 +126,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_kmeans_tree_search")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+query("pipeline")(corpus_pipeline.run)
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
