@@ -26,18 +26,21 @@ def test_dependence_matches_numpy(emb, mat):
     ids, x, y = mat
     protos = D.prototypes(emb, 42, rounds=3)
     votes = D.proto_votes(emb, protos, 5, 1.0, 1.0)
-    got = {r.id: r.score for r in D.dependence(emb, protos, votes).collect()}
+    alpha, b_factor = 0.3, 2.0   # four branches, four different weights
+    got = {r.id: r.score for r in D.dependence(emb, protos, votes, alpha=alpha, b_factor=b_factor).collect()}
     pp = protos.join(votes, "proto_id").toPandas()
-    xp = np.stack(pp["center"].to_numpy())
-    yj, yp = pp["label"].to_numpy(), pp["pred"].to_numpy()
-    dist = np.linalg.norm(x[:, None, :] - xp[None, :, :], axis=-1)
-    ij = y[:, None] == yj[None, :]
-    ijp = y[:, None] == yp[None, :]
-    jjp = (yj == yp)[None, :]
-    w = ij * -1 + (~ij & jjp) * 0.5 + (~ij & ~jjp & ~ijp) * 0.5 + (~ij & ~jjp & ijp) * 0.5
-    ref = (w / (1 + dist)).sum(axis=1)
-    for i, v in zip(ids, ref):
-        assert got[i] == pytest.approx(v, abs=1e-9)
+
+    def weight(given, proto_label, proto_vote):
+        if given == proto_label:
+            return -1.0
+        if proto_vote == proto_label:
+            return 0.7
+        return 0.6 if proto_vote == given else 0.3
+
+    for i, v, label in zip(ids[:120], x[:120], y[:120]):
+        total = sum(weight(label, p.label, p.pred) / (1 + np.linalg.norm(v - np.asarray(p.center)))
+                    for p in pp.itertuples())
+        assert got[i] == pytest.approx(total, abs=1e-9)
 
 
 def test_proto_votes_match_numpy(emb, mat):

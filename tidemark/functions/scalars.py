@@ -42,12 +42,6 @@ def sample_size(n, frac: float | None = None, n_errors: int | None = None) -> Co
     return F.ceil(_c(n) * F.lit(float(frac))).cast("bigint")
 
 
-def sample_size_py(n: int, frac: float | None = None, n_errors: int | None = None) -> int:
-    if n_errors is not None:
-        return int(n_errors)
-    return int(math.ceil(frac * n - 1e-12))
-
-
 def chained_fraction(frac) -> Column:
     """H8: per-stage fraction so three chained stages add ``frac`` overall."""
     return F.pow(F.lit(1.0) + _c(frac), F.lit(1.0 / 3.0)) - F.lit(1.0)
@@ -99,27 +93,33 @@ def normal_cdf(z) -> Column:
     return F.lit(0.5) * (F.lit(1.0) + erf(_c(z) / F.lit(math.sqrt(2.0))))
 
 
-def pair_to_index(i, j, n) -> Column:
-    """H9 forward: condensed index of pair (i, j), i < j, among n items."""
-    i, j, n = _c(i).cast("bigint"), _c(j).cast("bigint"), _c(n).cast("bigint")
-    return (_rows_before(i, n) + (j - i - F.lit(1))).cast("bigint")
+def _triangle(m: Column) -> Column:
+    """Number of pairs among m + 1 items: 1 + 2 + ... + m."""
+    half = F.call_function("div", m + m % F.lit(2), F.lit(2))
+    return half * (m + F.lit(1) - m % F.lit(2))
 
 
-def _rows_before(i: Column, n: Column) -> Column:
-    return i * (n - F.lit(1) - i) + F.floor((i * (i + F.lit(1))) / F.lit(2)).cast("bigint")
+def pair_to_index(i, j, n) -> Column:
+    """H9 forward: position of pair (i, j), i < j, in the lexicographic list of pairs of n items.
+
+    Counted from the list's end: behind the pair lie the ``n - 1 - j`` later
+    pairs of its own row and the triangle of pairs among the items after i.
+    """
+    i, j, n = _c(i).cast("bigint"), _c(j).cast("bigint"), _c(n).cast("bigint")
+    last = _triangle(n - F.lit(1)) - F.lit(1)
+    return (last - _triangle(n - F.lit(2) - i) - (n - F.lit(1) - j)).cast("bigint")
 
 
 def pair_from_index(k, n) -> tuple[Column, Column]:
-    """H9 inverse: (i, j) of condensed index k among n items.
+    """H9 inverse: the pair (i, j) at position k among the pairs of n items.
 
-    Closed form on doubles, then one exact integer correction step so large
-    n cannot land on the neighbouring row through rounding.
+    With r pairs behind it, the pair's row has the largest triangle that
+    doesn't exceed r behind itself. The root on doubles is corrected by one
+    step of exact integers; no product exceeds n * n.
     """
     k, n = _c(k).cast("bigint"), _c(n).cast("bigint")
-    disc = F.lit(-8) * k + F.lit(4) * n * n - F.lit(4) * n - F.lit(7)
-    i0 = F.ceil(F.lit(0.5) * (-F.sqrt(disc.cast("double")) + F.lit(2.0) * n - F.lit(1.0))
-                - F.lit(1.0)).cast("bigint")
-    i1 = (F.when(_rows_before(i0, n) > k, i0 - 1)
-          .when(_rows_before(i0 + 1, n) <= k, i0 + 1).otherwise(i0))
-    j = n - _rows_before(i1 + 1, n) + k
-    return i1.cast("bigint"), j.cast("bigint")
+    r = _triangle(n - F.lit(1)) - F.lit(1) - k
+    guess = F.floor((F.sqrt(F.lit(8.0) * r.cast("double") + F.lit(1.0)) - F.lit(1.0)) / F.lit(2.0)).cast("bigint")
+    t = (F.when(_triangle(guess) > r, guess - 1)
+         .when(_triangle(guess + 1) <= r, guess + 1).otherwise(guess))
+    return (n - F.lit(2) - t).cast("bigint"), (n - F.lit(1) - (r - _triangle(t))).cast("bigint")

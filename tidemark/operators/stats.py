@@ -80,9 +80,6 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col:
                     (2 * _sf(F.abs(z_two))).alias("p_two_sided"), _sf(z_gt).alias("p_greater"))
 
 
-MAX_BROADCAST_PAIRS = 1_000_000
-
-
 def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, seed: int = 42,
                        id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """Paired permutation test of T = sum over pairs of 1[x > y] * rank(x).
@@ -98,14 +95,9 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
     by = list(by or [])
     spark = df.sparkSession
     pairs = df.select(*by, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    # the resample axis carries the parallelism: every resample needs every
-    # pair, so the (checked, small) pair table is broadcast to the resample
-    # partitions; above the check Spark plans the product itself
-    n_pairs = pairs.count()
+    # the resample axis carries the parallelism: every resample needs every pair
     parts = max(1, min(resamples + 1, 4 * spark.sparkContext.defaultParallelism))
     rs = spark.range(0, resamples + 1, 1, parts).withColumnRenamed("id", "_r")   # _r = 0: observed
-    if n_pairs <= MAX_BROADCAST_PAIRS:
-        pairs = F.broadcast(pairs)
     swap = F.when(F.col("_r") == 0, F.lit(False)).otherwise(
         uniform(seed, "perm", F.concat_ws("/", F.col("_r").cast("string"), F.col("_i").cast("string"))) < 0.5)
     j = (rs.crossJoin(pairs)
@@ -113,18 +105,9 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
          .withColumn("_xx", F.when(F.col("_s"), F.col("_y")).otherwise(F.col("_x")))
          .withColumn("_yy", F.when(F.col("_s"), F.col("_x")).otherwise(F.col("_y"))))
     w = Window.partitionBy(*by, "_r").orderBy("_xx")
-    # Two x values of one resample can only tie when two different pairs
-    # share a value (x or y). One small aggregate decides whether tie
-    # handling is needed at all; if so, ties are counted on the same window
-    # (a range frame of equal values), so one sort per resample serves both.
-    vals = pairs.select(*by, "_i", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_v"))
-    shared = (vals.groupBy(*by, "_v").agg(F.countDistinct("_i").alias("_np"))
-              .where(F.col("_np") > 1).limit(1).count() > 0)
-    if shared:
-        ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-        ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
-    else:
-        ranked = j.withColumn("_rk", F.rank().over(w).cast("double"))
+    # tied values share the mean of their ranks (a range frame of equal values on the same sort)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
+    ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
     stat = ranked.groupBy(*by, "_r").agg(
         F.sum(F.when(F.col("_xx") > F.col("_yy"), F.col("_rk")).otherwise(0.0)).alias("_t"))
     # one row per resample: materialise so the observed and the null branch
@@ -232,7 +215,7 @@ def beta_grid_constants(grid: DataFrame, xq_low: float, xq_high: float | None =
             for a, b, loc, scale in zip(pdf["a"], pdf["b"], pdf["loc"], pdf["scale"]):
                 tl = (xq_low - loc) / scale
                 if xq_high is None:
-                    z = 1.0 - betainc(a, b, tl)
+                    z = betainc(b, a, 1.0 - tl)   # the upper tail itself: 1 - I(a, b; t) vanishes there
                 else:
                     z = betainc(a, b, (xq_high - loc) / scale) - betainc(a, b, tl)
                 out.append(math.log(z) + betaln(a, b) + math.log(scale) if z > 0 else float("nan"))
@@ -252,8 +235,11 @@ def beta_nll(scores: DataFrame, value: str, grid: DataFrame, xq_low: float,
     consts = beta_grid_constants(grid, xq_low, xq_high)
     t = (F.col(value) - F.col("loc")) / F.col("scale")
     logf = ((F.col("a") - 1) * F.log(t) + (F.col("b") - 1) * F.log(F.lit(1.0) - t) - F.col("log_norm"))
-    j = scores.select(value).crossJoin(F.broadcast(consts))
-    return j.groupBy("a", "b", "loc", "scale").agg((-F.avg(logf)).alias("nll"))
+    # a score outside a row's support has density zero there: the row's likelihood is zero
+    outside = (t <= 0) | (t >= 1)
+    j = scores.select(value).where(F.col(value).isNotNull()).crossJoin(F.broadcast(consts))
+    return j.groupBy("a", "b", "loc", "scale").agg(
+        F.when(F.max(outside), F.lit(float("inf"))).otherwise(-F.avg(logf)).alias("nll"))
 
 
 def beta_fit(scores: DataFrame, value: str, xq_low: float, xq_high: float | None = None,
@@ -283,7 +269,7 @@ def beta_fit(scores: DataFrame, value: str, xq_low: float, xq_high: float | None
     for _ in range(refinements + 1):
         rows = [(float(a), float(b), loc, float(s)) for a in a_vals for b in b_vals for s in scales]
         grid = spark.createDataFrame(rows, "a double, b double, loc double, scale double")
-        res = beta_nll(scores, value, grid, xq_low, xq_high).where(~F.isnan("nll"))
+        res = beta_nll(scores, value, grid, xq_low, xq_high).where(~F.isnan("nll") & (F.col("nll") < float("inf")))
         best = res.agg(F.min_by(F.struct("a", "b", "loc", "scale", "nll"), F.col("nll")).alias("best")).collect()[0].best
         a0, b0 = best.a, best.b
         a_vals = list(np.geomspace(a0 / 1.5, a0 * 1.5, 7))

@@ -250,18 +250,18 @@ def c9_same_label_pairs(spark, sf):
     return p.join(lab, "i").groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-@register("h9_pair_index", f"""WITH {S.emb_cte()}, n AS (SELECT count(*)::BIGINT AS n FROM emb),
-p AS (SELECT a.id AS i, b.id AS j FROM emb a JOIN emb b ON a.id < b.id)
-SELECT i, j, (i * (n - 1 - i) + (i * (i + 1)) // 2 + (j - i - 1))::BIGINT AS k FROM p, n""")
+@register("h9_pair_index", f"""WITH {S.emb_cte()}
+SELECT a.id AS i, b.id AS j, (row_number() OVER (ORDER BY a.id, b.id) - 1)::BIGINT AS k
+FROM emb a JOIN emb b ON a.id < b.id""")
 def h9_pair_index(spark, sf):
-    """H9: every pair of the n embedding positions enumerated from the condensed
-    index k = 0 .. n(n-1)/2 - 1 (``spark.range``, no self-join), with the
-    forward formula checked on each row."""
+    """H9: every pair of the n embedding positions enumerated from its position
+    0 .. n(n-1)/2 - 1 (``spark.range``, no self-join); ``k`` is computed back
+    from the pair, so a wrong row shows instead of disappearing."""
     n = read_embeddings(spark, sf).count()
-    ks = spark.range(n * (n - 1) // 2).withColumnRenamed("id", "k")
-    i, j = pair_from_index(F.col("k"), F.lit(n))
-    p = ks.select(i.alias("i"), j.alias("j"), "k")
-    return p.where(pair_to_index("i", "j", F.lit(n)) == F.col("k")).select("i", "j", "k")
+    ks = spark.range(n * (n - 1) // 2).withColumnRenamed("id", "pos")
+    i, j = pair_from_index(F.col("pos"), F.lit(n))
+    p = ks.select(i.alias("i"), j.alias("j"))
+    return p.select("i", "j", pair_to_index("i", "j", F.lit(n)).alias("k"))
 
 
 @register("h7_h8_sample_sizes", f"""WITH {S.emb_cte()}
