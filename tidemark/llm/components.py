@@ -21,25 +21,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u != v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every node either hangs on one other or has others hanging on it."""
+    ends = (edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1")
+    return odd.isEmpty()
+
+
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``(node, comp)`` of every node with an edge; comp is the smallest node reachable.
 
     ``edges`` has bigint columns ``u`` and ``v``; loops and repeated edges do
     no harm. Each round is written to the shared folder; the loop ends when
-    the written edges no longer change.
+    the written edges are stars, each hanging on its smallest node.
     """
-    cur = scratch.write(edges.where("u != v").select("u", "v").distinct(), f"{name}-0")
-    seen, k = None, 0
+    cur = edges.where("u != v").select("u", "v").distinct()
+    k = 0
     while True:
         k += 1
         cur = scratch.write(_star(_star(cur, True), False), f"{name}-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")
-        now = tuple(cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                            F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-        if now == seen:
+        if _is_stars(cur):
             break
-        seen = now
     roots = cur.select(F.col("v").alias("node")).distinct()
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
             .unionByName(roots.select("node", F.col("node").alias("comp"))))

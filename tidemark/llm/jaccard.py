@@ -233,10 +233,10 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch, num: int = 3, den:
                 .groupBy("g").agg(F.max_by("q", F.struct("votes", "q")).alias("q")))
         more = _verified(cand.select(F.col("q").alias("u"), F.col("g").alias("v")), sets, num, den)
         more = scratch.write(more, f"edges-{k}")
+        if k > 1 and more.isEmpty():
+            break
         edges = edges.unionByName(more)
         comp = scratch.write(connected(edges, scratch, f"cc{k}"), f"comp-{k}")
-        if more.isEmpty():
-            break
     # what is left: groups of different classes in one list, each pair once
     lab = labelled(comp)
     most = (lab.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -262,6 +262,8 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch, num: int = 3, den:
     every = (rest.select("a", "b", "ac", "bc").unionByName(within.select("a", "b", "ac", "bc"))
              .where("ac != bc").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     last = scratch.write(_verified(every, sets, num, den), "edges-last")
+    if last.isEmpty():
+        return comp
     return connected(edges.unionByName(last), scratch, "cc-last")
 
 

@@ -37,7 +37,7 @@ from tidemark.llm.common import WORD, Scratch
 
 GOLDEN, RING = 2654435769, 1 << 32   # fixed values: 2**32 / golden ratio, and the ring of points
 CELLS = 4096                          # cells of the ring by which points find their source
-PER_BUCKET = 4096                     # documents meant to meet in one hash bucket
+PER_BUCKET = 512                      # documents or slots meant to meet in one bucket
 
 
 @dataclass
