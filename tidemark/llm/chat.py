@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import nullable, whole
+
 
 @dataclass(frozen=True)
 class Template:
@@ -80,7 +82,7 @@ def format_chat(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     ``state`` is the machine's state after the turn (null: order broken);
     ``last`` marks the last segment of a conversation.
     """
-    t = turns.select("conv_id", "turn", "role", "text")
+    t = turns.select(whole("conv_id"), "turn", "role", "text")
     order = ["conv_id", "turn", "role", "text"]
     dealt = t.repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
     schema = "conv_id long, turn_no long, segment int, text string, loss boolean, state string, last boolean"
@@ -95,8 +97,7 @@ def format_chat(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
         for pdf in frames:
             out, size = [], 0
-            for c, role, text in zip(pdf["conv_id"].astype("Int64"), pdf["role"], pdf["text"]):
-                c = None if c is pd.NA else int(c)
+            for c, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
                 fresh = no < 0 or c != conv
                 if held is not None:
                     out += rows_of(held, fresh)
@@ -114,18 +115,12 @@ def format_chat(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         if held is not None:
             yield _frame(rows_of(held, True))
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema).withColumn("conv_id", nullable("conv_id"))
 
 
 def _frame(rows: list) -> pd.DataFrame:
     cols = ["conv_id", "turn_no", "segment", "text", "loss", "state", "last"]
-    return _with_ids(pd.DataFrame(rows, columns=cols, dtype=object))
-
-
-def _with_ids(out: pd.DataFrame) -> pd.DataFrame:
-    """Ids as whole numbers with nulls (never through floats, which lose the last digits)."""
-    out["conv_id"] = pd.array(out["conv_id"].tolist(), "Int64")
-    return out
+    return pd.DataFrame(rows, columns=cols)
 
 
 class Reader:
@@ -170,7 +165,7 @@ def parse(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         st = start()
         for pdf in frames:
             out = []
-            for c, text, loss, state, last in zip(pdf["conv_id"].astype("Int64"), pdf["text"], pdf["loss"],
+            for c, text, loss, state, last in zip(pdf["conv_id"], pdf["text"], pdf["loss"],
                                                   pdf["state"], pdf["last"]):
                 st["chars"] += len(text)
                 if loss:
@@ -188,6 +183,7 @@ def parse(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
                                 st["chars"], bool(st["valid"] and state in FINAL)))
                     st = start()
             if out:
-                yield _with_ids(pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return formatted.mapInPandas(run, schema)
+    return (formatted.withColumn("conv_id", whole("conv_id")).mapInPandas(run, schema)
+            .withColumn("conv_id", nullable("conv_id")))

@@ -24,6 +24,19 @@ def held_out(id_col: str, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(False))
 
 
+NO_ID = -(1 << 63)
+
+
+def whole(id_col: str) -> Column:
+    """An id without nulls for a pandas task, where nulls would turn ids into floats; ``NO_ID`` is null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(id_col)
+
+
+def nullable(id_col: str) -> Column:
+    """The way back from :func:`whole`."""
+    return F.when(F.col(id_col) != NO_ID, F.col(id_col)).alias(id_col)
+
+
 class Scratch:
     """Tables written under ``spark.checkpoint.dir``, to cut lineage.
 

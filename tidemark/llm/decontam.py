@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHasher, mix64, shingle_hashes, words
+from tidemark.llm.common import WordHasher, mix64, nullable, shingle_hashes, whole, words
 
 HASHES = 64
 BLOCK_BYTES = 16 << 20
@@ -117,12 +117,12 @@ def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, size
                     out.append((rows[d], names[i], len(item), shared, shared / len(item)))
             if out:
                 cols = ["doc_id", "item_id", "item_shingles", "shared", "containment"]
-                return pd.DataFrame(out, columns=cols).astype({"doc_id": "Int64"})
+                return pd.DataFrame(out, columns=cols)
             return None
 
         for pdf in frames:
             sets, rows, held = [], [], 0
-            for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
                 s = shingle_hashes(hasher(words(t)), ix.size)
                 if len(s):
                     sets.append(s)
@@ -136,7 +136,8 @@ def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, size
                 yield m
 
     kind = "doc_id long, item_id long, item_shingles long, shared long, containment double"
-    return docs.select("doc_id", "text").mapInPandas(run, kind)
+    out = docs.select(whole("doc_id"), "text").mapInPandas(run, kind)
+    return out.withColumn("doc_id", nullable("doc_id"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, size: int = 5,

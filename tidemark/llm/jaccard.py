@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, WordHasher, shingle_hashes, words
+from tidemark.llm.common import Scratch, WordHasher, nullable, shingle_hashes, whole, words
 from tidemark.llm.components import connected
 
 BATCH = 500_000       # shingles a map task holds before it sends them
@@ -64,7 +64,8 @@ def document_sets(docs: DataFrame, size: int = 5) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array([g[0] for g in got], np.int64),
                                 "node": pd.array([g[1] if g[0] else None for g in got], "Int64")})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, node long")
+    out = docs.select(whole("doc_id"), "text").mapInPandas(run, "doc_id long, n long, node long")
+    return out.select(nullable("doc_id"), "n", "node")
 
 
 def _send(docs: DataFrame, size: int, buckets: int) -> DataFrame:

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import nullable, whole
+
 LABELLED, TREES, DEPTH, SEED = 4000, 32, 9, 11
 
 # fixed values: words next to secrets, words next to look-alikes, common words, prefixes of issued keys
@@ -252,17 +254,18 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]):
         for pdf in frames:
             rows = []
-            for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
                 spans, p = _found(t, shared.value)
                 rows += [(i, s, e - s, k, float(q), bool(q >= threshold),
                           hashlib.sha256(t[s:e].encode("utf-8", "surrogatepass")).hexdigest())
                          for (s, e, k), q in zip(spans, p)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "kind", "score", "is_secret",
-                                                  "sha256"]).astype({"doc_id": "Int64"})
+                                                  "sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(
+    out = docs.select(whole("doc_id"), "text").mapInPandas(
         run, "doc_id long, start long, length long, kind string, score double, is_secret boolean, sha256 string")
+    return out.withColumn("doc_id", nullable("doc_id"))
 
 
 def redact(docs: DataFrame, forest: Forest, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:

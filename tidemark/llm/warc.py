@@ -43,12 +43,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import NO_ID, Scratch, whole
 from tidemark.llm.urlfilter import host_and_path
 
 REVISIT_BYTES, LINES, ARCHIVE_BYTES = 1000, 256, 64 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-NO_ID = -(1 << 63)
 
 
 def open_fs(uri: str):
@@ -119,9 +118,9 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
         try:
             for pdf in frames:
                 rows = []
-                ids, refs = pdf["page_id"].astype("Int64"), pdf["refers_to"].astype("Int64")
+                ids, refs = pdf["page_id"], pdf["refers_to"]
                 for key, i, url, html, digest, ref in zip(pdf["key"], ids, pdf["url"], pdf["html"], pdf["digest"], refs):
-                    i, ref = (None if x is pd.NA else int(x) for x in (i, ref))
+                    i, ref = (None if x == NO_ID else int(x) for x in (i, ref))
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
@@ -132,13 +131,13 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                     rows.append((key, name, at, len(z)))
                     at += len(z)
                 d = pd.DataFrame(rows, columns=["key", "file", "start", "length"])
-                d.insert(1, "page_id", ids.to_numpy(na_value=NO_ID, dtype=np.int64))
+                d.insert(1, "page_id", ids.to_numpy(np.int64))
                 yield d
         finally:
             if out is not None:
                 out.close()
 
-    return typed(pages).select("key", "page_id", "url", "html", "digest", "refers_to").mapInPandas(
+    return typed(pages).select("key", whole("page_id"), "url", "html", "digest", whole("refers_to")).mapInPandas(
         run, "key string, page_id long, file string, start long, length long")
 
 
@@ -270,7 +269,7 @@ def look_up(asked: DataFrame, index_files: DataFrame, root: str) -> DataFrame:
 
     schema = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
               "refers_to long")
-    return (asked.select("key", F.coalesce("page_id", F.lit(NO_ID)).alias("page_id")).distinct()
+    return (asked.select("key", whole("page_id")).distinct()
             .withColumn("sort", _sort_key("key")).repartitionByRange("sort", "page_id")
             .sortWithinPartitions("sort", "page_id").drop("sort").mapInPandas(run, schema))
 
