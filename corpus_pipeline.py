@@ -6,8 +6,9 @@ written as Parquet to the shared folder and read again as the next stage's
 
 1. quality: documents that the byte-level network scores under 0.3 go.
 2. near_duplicates: of each class of linked documents the one with the
-   smallest id stays. Repeated rows of an id with equal text stay once; rows
-   with a null id can't be told apart and stay.
+   smallest id stays. Repeated rows of an id with equal text stay once; of an
+   id with different texts all stay if one does; rows with a null id can't be
+   told apart and stay.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets are replaced in the texts; every document stays.
 5. mix: how many words of each document the mix takes.
@@ -19,6 +20,7 @@ along up to the last stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bytecnn, decontam, jaccard, mix, secret_scan
 from tidemark.llm.common import Scratch, held_out, table
@@ -33,8 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "classes")
     classes = scratch.write(jaccard.document_classes(docs), "classes")
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    again = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    per = classes.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone, again = per.where("not stays").select("doc_id"), per.where("rows > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     once = kept.join(again, "doc_id", "left_anti")
     return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(

@@ -19,7 +19,7 @@ def folder(tmp_path):
 def test_stages(spark, folder, tmp_path):
     item = table(spark, folder, "benchmark").first().text
     extra = [(900, "spotless prose " + item + " goes on", "a"), (901, "x password=b7db7aa4a5fcc78305 y", "a")]
-    docs = odd_docs(spark, extra).unionByName(table(spark, folder, "documents").limit(60), allowMissingColumns=True)
+    docs = odd_docs(spark, extra).unionByName(table(spark, folder, "documents").where("doc_id between 100 and 160"), allowMissingColumns=True)
     docs.write.parquet(str(tmp_path / "in"))
     docs = spark.read.parquet(str(tmp_path / "in"))
     seen = {}
