@@ -41,17 +41,11 @@ def near_duplicate_eval(emb: DataFrame, truth: DataFrame, block_rows: int = 1024
     """L1 (duplicates) metrics of the J1a ranking against truth pairs.
 
     Scale path: only the ranks of the truth pairs are computed (histogram of
-    pair keys per block pair, no n^2 ranking is written or sorted). When the
-    truth is too large to hand to the kernels, the materialised ranking is
-    used instead; both give identical metrics.
+    pair keys per block pair, no n^2 ranking is written or sorted).
     """
-    from tidemark.operators.metrics import metrics_from_hit_ranks, ranking_metrics
-    from tidemark.operators.truth import pair_hits
+    from tidemark.operators.metrics import metrics_from_hit_ranks
 
     hr = pair_hit_ranks(emb, truth, block_rows=block_rows)
-    if hr is None:
-        return ranking_metrics(pair_hits(near_duplicate_audit(emb, block_rows=block_rows), truth)
-                               .select("rank", "hit"))
     n_items = hr.select("n_items").first()
     n_items = n_items[0] if n_items is not None else emb.count() * (emb.count() - 1) // 2
     return metrics_from_hit_ranks(hr, n_items)

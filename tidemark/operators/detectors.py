@@ -296,9 +296,12 @@ def phash(emb: DataFrame, size: int = 8, vec_col: str = "embedding") -> DataFram
 def phash_pairs(emb: DataFrame, max_bits: int | None = None) -> DataFrame:
     """J4 pairs: normalised Hamming distance of the hashes, ranked ascending.
 
-    ``max_bits`` switches to the scale path: bands of the 64 bits are equi-join
-    keys; with 8 bands of 8 bits any pair within 7 differing bits shares at
-    least one band exactly (pigeonhole), so every such pair is found.
+    ``max_bits`` asks for close pairs only: the 64 bits are cut into
+    ``max_bits // 2 + 1`` bands, so of at most ``max_bits`` differing bits some
+    band holds one at most (pigeonhole). Distinct hashes meet where a band of
+    one equals a band of the other or differs from it in one bit; for 7 bits
+    that is 4 bands of 16 bits with 17 keys on one side. Hashes are compared
+    once, however many rows share them.
     """
     h = phash(emb)
     if max_bits is None:
@@ -309,21 +312,32 @@ def phash_pairs(emb: DataFrame, max_bits: int | None = None) -> DataFrame:
         pairs = all_pairs(vec, metric="sql2").select(
             "i", "j", (F.round(F.col("dist")) / F.lit(64.0)).alias("score"))
         return global_rank(pairs, ["score", "i", "j"], "rank").select("rank", "i", "j", "score")
-    else:
-        bands = max_bits + 1
-        width = max(1, 64 // bands)
-        keyed = h.select("id", "hash", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-        keyed = keyed.withColumn("bkey", F.expr(f"shiftright(hash, band * {width})").bitwiseAND(
-            F.lit((1 << width) - 1)))
-        a = keyed.select(F.col("id").alias("i"), F.col("hash").alias("hi"), "band", "bkey")
-        b = keyed.select(F.col("id").alias("j"), F.col("hash").alias("hj"), "band", "bkey")
-        pairs = a.join(b, ["band", "bkey"]).where(F.col("i") < F.col("j")).select("i", "j", "hi", "hj").distinct()
-    pairs = pairs.select("i", "j", (F.bit_count(F.col("hi").bitwiseXOR(F.col("hj"))) / F.lit(64.0)).alias("score"))
-    if max_bits is not None:
-        pairs = pairs.where(F.col("score") <= max_bits / 64.0)
+    bands = max_bits // 2 + 1
+    width = 64 // bands
+    last = 64 - width * (bands - 1)   # the last band takes the bits that are left over
+    hashes = h.select("hash").distinct()
+    keyed = hashes.select("hash", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).withColumn(
+        "bkey", F.expr(f"shiftrightunsigned(hash, band * {width}) & "
+                       f"IF(band = {bands - 1}, {_ones(last)}L, {_ones(width)}L)"))
+    near = keyed.withColumn("bkey", F.explode(F.expr(
+        f"concat(array(bkey), transform(sequence(0, IF(band = {bands - 1}, {last}, {width}) - 1), "
+        "b -> bkey ^ shiftleft(CAST(1 AS BIGINT), b)))")))
+    met = (keyed.select(F.col("hash").alias("hi"), "band", "bkey")
+           .join(near.select(F.col("hash").alias("hj"), "band", "bkey"), ["band", "bkey"])
+           .where((F.col("hi") <= F.col("hj"))
+                  & (F.bit_count(F.col("hi").bitwiseXOR(F.col("hj"))) <= max_bits)).select("hi", "hj").distinct())
+    a = h.select(F.col("id").alias("a"), F.col("hash").alias("hi"))
+    b = h.select(F.col("id").alias("b"), F.col("hash").alias("hj"))
+    pairs = (met.join(a, "hi").join(b, "hj").where((F.col("hi") != F.col("hj")) | (F.col("a") < F.col("b")))
+             .select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"),
+                     (F.bit_count(F.col("hi").bitwiseXOR(F.col("hj"))) / F.lit(64.0)).alias("score")))
     return global_rank(pairs, ["score", "i", "j"], "rank").select("rank", "i", "j", "score")
 
 
+def _ones(bits: int) -> int:
+    return (1 << min(bits, 63)) - 1 if bits < 64 else -1
+
+
 def ssim_pairs(emb: DataFrame, size: int = 8, win: int = 7, vec_col: str = "embedding") -> DataFrame:
     """1 - SSIM of every raster pair, ranked ascending.
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_double_array
 
+HELD_ROWS = 500_000   # partial results a kernel keeps before it sends them on
 METRICS = ("half_cosine", "cosine", "l2", "sql2", "dot")
 
 
@@ -101,10 +102,13 @@ def nearest_by_label(df: DataFrame, id_col: str = "id", vec_col: str = "embeddin
     """
     joined = block_pair_table(df, id_col, vec_col, [label_col], block_rows)
 
+    def merged(acc):
+        return pd.concat(acc).groupby("id", as_index=False).min().replace([np.inf], np.nan)
+
     def kernel(batches):
         # map-side combine: minima of all block pairs in this task are merged
-        # before anything is emitted (one row per id and task)
-        acc = []
+        # before anything is emitted; a task holds at most HELD_ROWS minima
+        acc, held = [], 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ia, va = _unpack(row, "a")
@@ -119,10 +123,12 @@ def nearest_by_label(df: DataFrame, id_col: str = "id", vec_col: str = "embeddin
                 acc.append(pd.DataFrame({"id": ia, "d_same": ds.min(axis=1), "d_other": do.min(axis=1)}))
                 if row.bi != row.bj:
                     acc.append(pd.DataFrame({"id": ib, "d_same": ds.min(axis=0), "d_other": do.min(axis=0)}))
+                held += len(ia) + len(ib)
+                if held >= HELD_ROWS:
+                    yield merged(acc)
+                    acc, held = [], 0
         if acc:
-            m = pd.concat(acc).groupby("id", as_index=False).min()
-            m = m.replace([np.inf], np.nan)
-            yield m
+            yield merged(acc)
 
     parts = joined.mapInPandas(kernel, "id bigint, d_same double, d_other double")
     return parts.groupBy("id").agg(F.min("d_same").alias("d_same"), F.min("d_other").alias("d_other"))
@@ -213,86 +219,109 @@ def knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5,
     drop_self = exclude_self and self_join
 
     def kernel(batches):
-        acc = []
+        acc, held = [], 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ia = np.asarray(row.a_ids, dtype=np.int64)
-                ib = np.asarray(row.b_ids, dtype=np.int64)
-                va = np.asarray(row.a_vecs, dtype=np.float64).reshape(len(ia), -1)
-                vb = np.asarray(row.b_vecs, dtype=np.float64).reshape(len(ib), -1)
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
                 d = _pairwise(va, vb, metric)
                 if drop_self:
                     d[ia[:, None] == ib[None, :]] = np.inf
-                kk = min(k, d.shape[1])
-                if kk <= 0:
-                    continue
-                # partial top-k per query row; a stable full order is applied later
-                if kk < d.shape[1]:
-                    part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                    # keep every column tied (at 9 dp) with the k-th distance so
-                    # the final (rounded distance, id) order stays exact
-                    kth = np.round(np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True), 9)
-                    qi, cj = np.nonzero(np.round(d, 9) <= kth)
-                else:
-                    qi, cj = np.indices(d.shape)
-                    qi, cj = qi.ravel(), cj.ravel()
-                dd = d[qi, cj]
-                keep = np.isfinite(dd)
-                acc.append(pd.DataFrame({"q": ia[qi[keep]], "nbr": ib[cj[keep]], "dist": dd[keep]}))
+                acc.append(_k_best(ia, ib, d, k))
+                held += len(acc[-1])
+                if held >= HELD_ROWS:
+                    acc = [_k_first(pd.concat(acc), k)]
+                    held = len(acc[0])
+                    if held >= HELD_ROWS // 2:   # many queries rather than many blocks: nothing left to merge here
+                        yield acc[0]
+                        acc, held = [], 0
         if acc:
-            # map-side combine over all block pairs of this task: keep the k
-            # best per query (ties at the k-th rounded distance kept)
-            c = pd.concat(acc)
-            c["_rd"] = np.round(c["dist"].to_numpy(), 9)
-            c = c.sort_values(["q", "_rd", "nbr"])
-            g = c.groupby("q", sort=False)
-            pos = g.cumcount().to_numpy()
-            size = g["q"].transform("size").to_numpy()
-            at_k = pos == np.minimum(k, size) - 1
-            kth = pd.Series(c["_rd"].to_numpy()[at_k], index=c["q"].to_numpy()[at_k])
-            keep_rows = c["_rd"].to_numpy() <= kth.reindex(c["q"].to_numpy()).to_numpy()
-            yield c[keep_rows][["q", "nbr", "dist"]]
-
-    cand = joined.mapInPandas(kernel, "q bigint, nbr bigint, dist double")
-    # distances are rounded to 9 dp for ordering so ties break on the id the
-    # same way in any engine
-    w = Window.partitionBy("q").orderBy(F.round(F.col("dist"), 9), F.col("nbr"))
-    return (cand.withColumn("nn_rank", F.row_number().over(w))
+            yield _k_first(pd.concat(acc), k)
+
+    cand = joined.mapInPandas(kernel, "q bigint, nbr bigint, dist double, key bigint")
+    # the kernel's integer key (distance in units of 1e-9) orders everywhere, ties break on the id
+    w = Window.partitionBy("q").orderBy("key", "nbr")
+    return (cand.withColumn("nn_rank", F.row_number().over(w)).drop("key")
             .where(F.col("nn_rank") <= k)
             .withColumn("nn_rank", F.col("nn_rank").cast("int")))
 
 
+def _keys(d: np.ndarray) -> np.ndarray:
+    """Distances as integers of 1e-9: the one sort key of all kernels."""
+    return np.rint(d * 1e9).astype(np.int64)
+
+
+def _k_best(ia: np.ndarray, ib: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
+    """The k smallest columns by (key, id) of every row of a block pair, however many tie."""
+    by_id = np.argsort(ib, kind="stable")
+    ib, d = ib[by_id], d[:, by_id]
+    kk = min(k, d.shape[1])
+    key = np.where(np.isfinite(d), _keys(np.where(np.isfinite(d), d, 0)), np.iinfo(np.int64).max)
+    first = np.argsort(key, axis=1, kind="stable")[:, :kk]   # stable on columns in id order
+    qi = np.repeat(np.arange(len(ia)), kk)
+    cj = first.ravel()
+    keep = np.isfinite(d[qi, cj])
+    qi, cj = qi[keep], cj[keep]
+    return pd.DataFrame({"q": ia[qi], "nbr": ib[cj], "dist": d[qi, cj], "key": key[qi, cj]})
+
+
+def _k_first(c: pd.DataFrame, k: int) -> pd.DataFrame:
+    c = c.sort_values(["q", "key", "nbr"])
+    return c[c.groupby("q", sort=False).cumcount() < k]
+
+
 def lsh_candidates(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                   max_dist: float = 0.05, bucket_length: float = 0.5,
-                   num_tables: int = 8, seed: int = 42) -> DataFrame:
-    """Scale path of C1 - close pairs only, via random-projection LSH.
-
-    Vectors are L2-normalised, so the half-cosine distance d relates to the
-    Euclidean one by ``|x - y|^2 = 4 d``; the LSH join runs on Euclidean
-    distance ``2 sqrt(max_dist)`` and reports the half-cosine distance. The
-    result is a subset of :func:`all_pairs` restricted to ``dist <= max_dist``
-    (approximate recall, exact distances).
+                   max_dist: float = 0.05, bits: int = 10, num_tables: int = 16, seed: int = 42,
+                   block_rows: int = 1024) -> DataFrame:
+    """Scale path of C1 - close pairs only, through sign signatures.
+
+    Each of ``num_tables`` tables signs a vector with ``bits`` random
+    hyperplanes (all bits must agree), and one agreeing table is enough. Rows
+    meet on (table, signature) only: with b bits a pair at angle t agrees in
+    a table with probability ``(1 - t/pi) ** b``, so far pairs meet in about
+    ``num_tables * 2 ** -bits`` of the tables. A full bucket is cut into blocks of ``block_rows``
+    whose pairs go through the block kernel, so a hot signature is spread
+    over tasks. The result is a subset of :func:`all_pairs` restricted to
+    ``dist <= max_dist`` (approximate recall, exact distances).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from tidemark.functions.vectors import half_cosine_distance, l2_normalize
-
-    vecs = df.select(F.col(id_col).alias("id"), l2_normalize(vec_col).alias("emb"))
-    vecs = vecs.withColumn("features", array_to_vector("emb"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables,
-                                      seed=seed)
-    model = lsh.fit(vecs)
-    thr = 2.0 * math.sqrt(max_dist)
-    joined = model.approxSimilarityJoin(vecs, vecs, thr, distCol="l2")
-    out = (joined.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
-                         F.col("datasetA.emb").alias("ea"), F.col("datasetB.emb").alias("eb"))
-           .where(F.col("a") < F.col("b"))
-           .select(F.col("a").alias("i"), F.col("b").alias("j"),
-                   half_cosine_distance("ea", "eb").alias("dist"))
-           .where(F.col("dist") <= max_dist))
-    return out.dropDuplicates(["i", "j"])
+    shape: dict[int, np.ndarray] = {}
+    rows = df.select(F.col(id_col).alias("id"), as_double_array(vec_col).alias("v"))
+
+    def sign(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy())
+            if x.shape[1] not in shape:
+                shape[x.shape[1]] = np.random.default_rng(seed).normal(size=(x.shape[1], num_tables * bits))
+            on = (x @ shape[x.shape[1]] > 0).reshape(len(x), num_tables, bits)
+            code = (on * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), num_tables), "v": np.repeat(
+                pdf["v"].to_numpy(), num_tables), "tab": np.tile(np.arange(num_tables), len(x)),
+                "sig": code.ravel()})
+
+    signed = rows.mapInPandas(sign, "id bigint, v array<double>, tab int, sig bigint")
+    full = signed.groupBy("tab", "sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    signed = (signed.join(full, ["tab", "sig"])
+              .withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows)).cast("int")))
+    blocks = signed.groupBy("tab", "sig", "blk").agg(
+        F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vecs"))
+    side = lambda s: blocks.select("tab", "sig", *[F.col(c).alias(f"{s}_{c}") for c in ("blk", "ids", "vecs")])
+    joined = side("a").join(side("b"), ["tab", "sig"]).where("a_blk <= b_blk")
+
+    def kernel(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ia, va = _unpack(row, "a")
+                ib, vb = _unpack(row, "b")
+                d = _pairwise(va, vb, "half_cosine")
+                ii, jj = np.nonzero((d <= max_dist) & ((ia[:, None] < ib[None, :]) if row.a_blk == row.b_blk
+                                                       else (ia[:, None] != ib[None, :])))
+                gi, gj = ia[ii], ib[jj]
+                yield pd.DataFrame({"i": np.minimum(gi, gj), "j": np.maximum(gi, gj), "dist": d[ii, jj]})
+
+    cand = joined.mapInPandas(kernel, "i bigint, j bigint, dist double")
+    return cand.groupBy("i", "j").agg(F.min("dist").alias("dist"))
 
 
 def pairs_between(a_df: DataFrame, b_df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
@@ -329,30 +358,27 @@ def pairs_between(a_df: DataFrame, b_df: DataFrame, id_col: str = "id", vec_col:
     return joined.mapInPandas(kernel, "i bigint, j bigint, dist double")
 
 
-MAX_BROADCAST_HITS = 2_000_000   # hit keys broadcast to the pair kernel (16 B each)
+HIT_RUN = 500_000   # hit keys a pass over the block pairs carries (24 bytes each)
 
 
 def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                   metric: str = "half_cosine", block_rows: int = 1024) -> DataFrame | None:
+                   metric: str = "half_cosine", block_rows: int = 1024) -> DataFrame:
     """Ranks of the truth pairs inside the full all-pairs ranking, without
     materialising or sorting the n(n-1)/2 pairs.
 
     The ranking order is ``(round(dist, 9), i, j)`` ascending (as
     :func:`tidemark.operators.audit.near_duplicate_audit`). Pass 1 computes the
     truth pairs' distances in the same block kernel (same NumPy product, so
-    identical keys). Pass 2 gives every block-pair kernel the sorted hit keys
-    (broadcast, size checked) and emits, per hit key interval, how many pairs
-    of that block pair fall in it - a histogram with at most P + 1 bins, sparse
-    per block pair. Summing the bins and a running sum over the P hit keys
-    gives each hit's rank. Output ``(i, j, dist, rank)`` plus the pair count.
-    Returns None when the truth is too large to broadcast (callers fall back
-    to the materialised ranking).
+    identical keys). Pass 2 gives every block-pair kernel sorted hit keys and
+    emits, per hit key interval, how many pairs of that block pair fall in it;
+    summed bins and their running sum give each hit's rank. The hits are the
+    stated query set: they are taken in runs of at most ``HIT_RUN`` keys, one
+    pass over the block pairs for each, the same for every size of truth.
+    Truth pairs with an id that is not in the table are no hits. Output
+    ``(i, j, dist, rank, n_items)``.
     """
     spark = df.sparkSession
     t = truth.select(F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j")).distinct()
-    n_hits = t.count()
-    if n_hits > MAX_BROADCAST_HITS:
-        return None
     joined = block_pair_table(df, id_col, vec_col, [], block_rows)
     nb_blocks = _n_blocks(df, block_rows)
     blk = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(nb_blocks)).cast("long")
@@ -360,7 +386,6 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
     tb = t.withColumn("_b1", blk("i")).withColumn("_b2", blk("j")).select(
         "i", "j", F.least("_b1", "_b2").alias("bi"), F.greatest("_b1", "_b2").alias("bj"))
     tb = tb.groupBy("bi", "bj").agg(F.collect_list("i").alias("ti"), F.collect_list("j").alias("tj"))
-    j1 = joined.join(tb, ["bi", "bj"])
 
     def hit_kernel(batches):
         for pdf in batches:
@@ -368,33 +393,27 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
                 ia, va = _unpack(row, "a")
                 ib, vb = _unpack(row, "b")
                 d = _pairwise(va, vb, metric)
-                pa = {v: k for k, v in enumerate(ia)}
-                pb = {v: k for k, v in enumerate(ib)}
-                ti, tj = np.asarray(row.ti, dtype=np.int64), np.asarray(row.tj, dtype=np.int64)
-                out = []
-                for x, y in zip(ti, tj):
-                    if x in pa and y in pb:
-                        out.append((x, y, d[pa[x], pb[y]]))
-                    else:
-                        out.append((x, y, d[pa[y], pb[x]]))
-                if out:
-                    arr = np.asarray(out, dtype=object)
-                    yield pd.DataFrame({"i": arr[:, 0].astype(np.int64), "j": arr[:, 1].astype(np.int64),
-                                        "dist": arr[:, 2].astype(np.float64)})
+                x, y = np.asarray(row.ti, dtype=np.int64), np.asarray(row.tj, dtype=np.int64)
+                # each truth pair one way round or the other, if both ids are here
+                for p, q in ((x, y), (y, x)):
+                    pa, pb = _places(ia, p), _places(ib, q)
+                    ok = (pa >= 0) & (pb >= 0)
+                    if row.bi == row.bj:
+                        ok &= pa < pb   # the half of a diagonal block that the counts read
+                    yield pd.DataFrame({"i": x[ok], "j": y[ok], "dist": d[pa[ok], pb[ok]],
+                                        "key": _keys(d[pa[ok], pb[ok]])})
 
     hits = joined.join(tb, ["bi", "bj"]).select(*joined.columns, "ti", "tj").mapInPandas(
-        hit_kernel, "i bigint, j bigint, dist double")
-    del j1
-    hk = hits.select("i", "j", "dist", F.round("dist", 9).alias("rd")).toPandas()   # n_hits rows, checked above
-    hk = hk.sort_values(["rd", "i", "j"]).reset_index(drop=True)
-    keys_rd = np.round(hk["rd"].to_numpy() * 1e9).astype(np.int64)
-    keys_i = hk["i"].to_numpy()
-    keys_j = hk["j"].to_numpy()
-    bc = spark.sparkContext.broadcast((keys_rd, keys_i, keys_j))
+        hit_kernel, "i bigint, j bigint, dist double, key bigint")
+    from tidemark.operators.ranking import freeze, global_rank
+
+    ranked = freeze(global_rank(hits, ["key", "i", "j"], "_h"))
+    n_hits = ranked.count()
 
     # pass 2: per block pair, histogram of pair keys over the hit-key intervals
-    def count_kernel(batches):
-        krd, ki, kj = bc.value
+    def count_kernel(batches, run_keys):
+        krd, ki, kj = run_keys.value
+        hit_order = _triples(krd, ki, kj)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ia, va = _unpack(row, "a")
@@ -405,34 +424,51 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
                 else:
                     ii, jj = np.indices(d.shape)
                     ii, jj = ii.ravel(), jj.ravel()
-                rd = np.round(np.round(d[ii, jj], 9) * 1e9).astype(np.int64)
+                rd = _keys(d[ii, jj])
                 gi, gj = ia[ii], ib[jj]
                 pi, pj = np.minimum(gi, gj), np.maximum(gi, gj)
-                # bin = number of hit keys strictly below the pair key
-                lo = np.searchsorted(krd, rd, side="left")
-                hi = np.searchsorted(krd, rd, side="right")
-                b = lo.copy()
-                tie = np.nonzero(hi > lo)[0]
-                for q in tie:   # equal rounded distance: compare (i, j) lexicographically
-                    s, e = lo[q], hi[q]
-                    b[q] = s + np.count_nonzero((ki[s:e] < pi[q]) | ((ki[s:e] == pi[q]) & (kj[s:e] < pj[q])))
+                # bin = number of hit keys strictly below the pair's (key, i, j)
+                b = np.searchsorted(krd, rd, side="left")
+                tie = np.flatnonzero(np.searchsorted(krd, rd, side="right") > b)
+                if len(tie):
+                    b[tie] = np.searchsorted(hit_order, _triples(rd[tie], pi[tie], pj[tie]), side="left")
                 cnt = np.bincount(b, minlength=len(krd) + 1)
                 nz = np.nonzero(cnt)[0]
                 yield pd.DataFrame({"bin": nz.astype(np.int64), "c": cnt[nz].astype(np.int64)})
 
-    bins = (joined.mapInPandas(count_kernel, "bin bigint, c bigint")
-            .groupBy("bin").agg(F.sum("c").alias("c")))
-    # at most n_hits + 1 bins (the checked bound): the running sum is a
-    # NumPy cumsum. Hit t lies in its own bin t, so its 1-based rank is the
-    # number of pairs in bins 0..t.
-    bp = bins.toPandas()
-    cnt = np.zeros(len(hk) + 1, dtype=np.int64)
-    cnt[bp["bin"].to_numpy()] = bp["c"].to_numpy()
-    hk["rank"] = np.cumsum(cnt)[: len(hk)]
-    n_pairs = int(cnt.sum())
-    out = spark.createDataFrame(hk[["i", "j", "dist", "rank"]].astype(
-        {"i": "int64", "j": "int64", "dist": "float64", "rank": "int64"}))
-    return out.withColumn("n_items", F.lit(n_pairs).cast("bigint"))
+    out, n_items = [], df.agg(F.count(F.lit(1)).alias("n")).select(F.expr("(n * (n - 1)) div 2").alias("n_items"))
+    for lo in range(0, max(n_hits, 1), HIT_RUN):
+        hk = (ranked.where((F.col("_h") > lo) & (F.col("_h") <= lo + HIT_RUN)).orderBy("_h")
+              .select("i", "j", "dist", "key").toPandas())   # at most HIT_RUN rows
+        keys = spark.sparkContext.broadcast(tuple(hk[c].to_numpy(np.int64) for c in ("key", "i", "j")))
+        bins = (joined.mapInPandas(lambda it, keys=keys: count_kernel(it, keys), "bin bigint, c bigint")
+                .groupBy("bin").agg(F.sum("c").alias("c")).toPandas())
+        cnt = np.zeros(len(hk) + 1, dtype=np.int64)
+        cnt[bins["bin"].to_numpy()] = bins["c"].to_numpy()
+        # hit t lies in its own bin, so its 1-based rank is the number of pairs in bins 0..t
+        hk["rank"] = np.cumsum(cnt)[: len(hk)]
+        part = spark.createDataFrame(hk[["i", "j", "dist", "rank"]].astype(
+            {"i": "int64", "j": "int64", "dist": "float64", "rank": "int64"}),
+            "i bigint, j bigint, dist double, rank bigint")
+        out.append(part if n_hits <= HIT_RUN else freeze(part))
+    res = out[0]
+    for part in out[1:]:
+        res = res.unionByName(part)
+    return res.crossJoin(F.broadcast(n_items))   # one row
+
+
+def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Position of each wanted id among ``ids``; -1 where it is missing."""
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], wanted), len(ids) - 1)
+    return np.where(ids[order][at] == wanted, order[at], -1)
+
+
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Records that sort by (a, b, c)."""
+    out = np.empty(len(a), dtype=[("a", "<i8"), ("b", "<i8"), ("c", "<i8")])
+    out["a"], out["b"], out["c"] = a, b, c
+    return out
 
 
 def knn_by(queries: DataFrame, base: DataFrame, by: list[str], k: int = 5, metric: str = "l2",

@@ -187,8 +187,11 @@ def j4_phash_pairs(spark, sf):
 
 @register("h1_hamming_bands")
 def h1_hamming_bands(spark, sf):
-    """J4 scale path: band equi-join finds every pair within 7 differing bits."""
-    return D.phash_pairs(_emb(spark, sf), max_bits=7)
+    """J4 scale path on planted near-copies: the band join finds every pair within 7 differing bits."""
+    from tidemark.operators.ranking import freeze
+
+    c, _ = K.near_duplicates(_emb(spark, sf), FRAC, SEED)
+    return D.phash_pairs(freeze(c), max_bits=7)
 
 
 _PROBA_SQL = f"""{S.emb_cte()},
@@ -307,7 +310,11 @@ def j1b_off_topic(spark, sf):
 
 @register("c2_lsh_candidates")
 def c2_lsh_candidates(spark, sf):
-    return lsh_candidates(_emb(spark, sf), max_dist=0.3)
+    """C2 on planted near-copies: close pairs by sign signatures."""
+    from tidemark.operators.ranking import freeze
+
+    c, _ = K.near_duplicates(_emb(spark, sf), FRAC, SEED)
+    return lsh_candidates(freeze(c), max_dist=0.05)
 
 
 @register("j13_baseline_sweep")

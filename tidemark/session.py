@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -12,25 +13,28 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "tidemark") -> SparkSession:
     """Build (or reuse) a session tuned for the audit workloads.
 
-    On a cluster the master, memory and checkpoint folder come from the
-    submit configuration; locally we pin a small shuffle width so that tiny
-    test tables do not fan out into 200 empty tasks.
+    On a cluster the master, memory, shuffle width and checkpoint folder come
+    from the submit configuration; without one a local session gets a small
+    shuffle width, so that tiny test tables do not fan out into 200 empty tasks.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
     )
+    given = SparkConf()   # what spark-submit has set
+    if master or not given.contains("spark.master"):
+        cpus = int(os.environ.get("BENCH_CPUS", "8"))
+        builder = (builder.master(master or f"local[{cpus}]")
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+                   .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -41,8 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we honour
-    it. Only when nothing is configured (local tests) do we create a scratch
-    folder of our own.
+    it. A local session without one gets a scratch folder; any other master
+    is refused, as executors would write to disks of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

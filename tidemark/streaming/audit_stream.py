@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import l2_normalize
 from tidemark.operators.pairs import nearest_by_label, pairs_between, all_pairs
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, path_exists
 
 EMB_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -34,10 +34,8 @@ def _write_part(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no state yet
-        return None
+    # only a missing folder means "no state yet"; any other failure is an error
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
 
 
 STATE_SCHEMA = "id bigint, embedding array<double>, label int, batch_id bigint"
