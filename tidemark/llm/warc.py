@@ -66,14 +66,18 @@ def capture_key(url: str = "url") -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.coalesce(rest, F.lit("")))
 
 
-def typed(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, key, bytes, digest, refers_to``."""
+def typed(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``page_id, url, html, key, bytes, digest, refers_to``.
+
+    The digests of payloads that occur twice are written first: Spark knows
+    their size then, and moves no payload if they can be broadcast.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.select("*", capture_key().alias("key"), F.octet_length("html").cast("long").alias("bytes"),
                  F.sha1("html").alias("digest"))
     # digests alone are shuffled here; only payloads that occur twice go on
-    same = (p.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
-            .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    same = scratch.write(p.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
+            .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "same")
     older = F.col("page_id").isNull() | (F.col("page_id") < F.col("first"))
     return p.join(same, "digest", "left").withColumn(
         "refers_to", F.when(F.col("first").isNotNull() & older, F.col("first"))).drop("first")
@@ -109,8 +113,10 @@ def read_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def write_archives(pages: DataFrame, root: str) -> DataFrame:
+def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Write all records; ``(key, page_id, file, start, length)`` of each."""
+    root = scratch.root
+
     def run(frames: Iterator[pd.DataFrame]):
         fs, base = open_fs(root)
         fs.create_dir(f"{base}/archive")
@@ -137,7 +143,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return typed(pages).select("key", whole("page_id"), "url", "html", "digest", whole("refers_to")).mapInPandas(
+    return typed(pages, scratch).select("key", whole("page_id"), "url", "html", "digest", whole("refers_to")).mapInPandas(
         run, "key string, page_id long, file string, start long, length long")
 
 
@@ -277,7 +283,7 @@ def look_up(asked: DataFrame, index_files: DataFrame, root: str) -> DataFrame:
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:
     """Write archives and index of ``pages``; the index files and the folder they lie in."""
     scratch = Scratch(pages.sparkSession, "warc")
-    captures = scratch.write(write_archives(pages, scratch.root), "captures")
+    captures = scratch.write(write_archives(pages, scratch), "captures")
     files = scratch.write(write_index(captures, scratch.root), "files")
-    scratch.drop("captures")
+    scratch.drop("captures", "same")
     return files, scratch.root
