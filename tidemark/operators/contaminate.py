@@ -101,14 +101,17 @@ def sample_rows(df: DataFrame, seed: int, salt: str, frac: float | None = None,
                 n_errors: int | None = None, id_col: str = "id") -> DataFrame:
     """The ``ceil(frac * n)`` (or ``n_errors``) rows first in seeded hash order.
 
-    Adds ``_hrank`` (1..m), the position in hash order.
+    Adds ``_hrank`` (1..m), the position in hash order. Only (hash, id) is
+    sorted and written; the rows of the chosen ids are joined afterwards.
     """
-    keyed = df.withColumn("_hkey", hash_key(seed, salt, id_col))
-    ranked = global_rank(keyed, ["_hkey", id_col], "_hrank")
+    keyed = df.select(id_col, hash_key(seed, salt, id_col).alias("_hkey"))
+    ranked = global_rank(keyed, ["_hkey", id_col], "_hrank").drop("_hkey")
     if n_errors is not None:
-        return ranked.where(F.col("_hrank") <= F.lit(int(n_errors))).drop("_hkey")
-    m = _count(df).select(F.ceil(F.col("_n") * F.lit(float(frac))).cast("bigint").alias("_m"))
-    return ranked.crossJoin(m).where(F.col("_hrank") <= F.col("_m")).drop("_hkey", "_m")
+        chosen = ranked.where(F.col("_hrank") <= F.lit(int(n_errors)))
+    else:
+        m = _count(df).select(F.ceil(F.col("_n") * F.lit(float(frac))).cast("bigint").alias("_m"))
+        chosen = ranked.crossJoin(m).where(F.col("_hrank") <= F.col("_m")).drop("_m")
+    return df.join(chosen, id_col).select(*df.columns, "_hrank")
 
 
 def _next_id(df: DataFrame, name: str = "_n") -> DataFrame:

@@ -464,7 +464,7 @@ def isolation_forest(emb: DataFrame, trees: int = 100, sample: int = 256, seed:
     # the fitted model: at most trees * (2 * sample - 1) nodes, a proven bound
     forest_pdf = forest.toPandas()
     bc = spark.sparkContext.broadcast(forest_pdf)
-    cn = _c_factor(sample)
+    cn = _c_factor(min(sample, n))
 
     def score(batches):
         f = bc.value

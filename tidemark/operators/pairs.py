@@ -477,8 +477,8 @@ def knn_by(queries: DataFrame, base: DataFrame, by: list[str], k: int = 5, metri
     ``by`` group (e.g. many experiment runs in one job, keyed by run).
 
     Blocks are formed per group; block pairs are an equi-join of the query
-    and base block tables on the group key, so no run sees another run's
-    rows and the whole grid of runs is one job. Output
+    and base block tables on (group, base block), so no run sees another
+    run's rows and the whole grid of runs is one job. Output
     ``(by..., q, nbr, dist, nn_rank)``.
     """
     biggest = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
@@ -492,38 +492,27 @@ def knn_by(queries: DataFrame, base: DataFrame, by: list[str], k: int = 5, metri
                   F.flatten(F.collect_list(as_double_array("embedding"))).alias(f"{side}_vecs")))
         return g.withColumnRenamed("_blk", f"{side}_blk")
 
-    # spread (group, block pair) units over tasks; a join on the group key
-    # alone would put a whole run in one task
+    # each query block asks for the group's base blocks one by one: the join is
+    # on (group, base block), so no task holds a whole run
     par = queries.sparkSession.sparkContext.defaultParallelism
-    joined = (blocks(queries, "a").join(blocks(base, "b"), by)
+    asks = blocks(queries, "a").withColumn("b_blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    joined = (asks.join(blocks(base, "b"), [*by, "b_blk"])
               .repartition(4 * par, *by, "a_blk", "b_blk"))
     key_cols = list(by)
 
     def kernel(batches):
-        acc = []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ia, va = _unpack(row, "a")
                 ib, vb = _unpack(row, "b")
-                d = _pairwise(va, vb, metric)
-                kk = min(k, d.shape[1])
-                if kk < d.shape[1]:
-                    part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                    kth = np.round(np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True), 9)
-                    qi, cj = np.nonzero(np.round(d, 9) <= kth)
-                else:
-                    qi, cj = np.indices(d.shape)
-                    qi, cj = qi.ravel(), cj.ravel()
-                frame = pd.DataFrame({"q": ia[qi], "nbr": ib[cj], "dist": d[qi, cj]})
+                frame = _k_best(ia, ib, _pairwise(va, vb, metric), k)
                 for c in key_cols:
                     frame[c] = getattr(row, c)
-                acc.append(frame)
-        if acc:
-            yield pd.concat(acc)[[*key_cols, "q", "nbr", "dist"]]
+                yield frame[[*key_cols, "q", "nbr", "dist", "key"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields if f.name in by)
     cand = joined.select(*by, "a_ids", "a_vecs", "b_ids", "b_vecs").mapInPandas(
-        kernel, f"{schema}, q bigint, nbr bigint, dist double")
-    w = Window.partitionBy(*by, "q").orderBy(F.round(F.col("dist"), 9), F.col("nbr"))
-    return (cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+        kernel, f"{schema}, q bigint, nbr bigint, dist double, key bigint")
+    w = Window.partitionBy(*by, "q").orderBy("key", "nbr")
+    return (cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).drop("key")
             .withColumn("nn_rank", F.col("nn_rank").cast("int")))

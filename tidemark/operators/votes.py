@@ -68,11 +68,10 @@ def rolling_errors(strata: DataFrame, by: list[str], label: str = "label", width
 
     y = encode_vote(label)
     seq = strata.withColumn("_y", y).withColumn(
-        "seq", F.when(F.col(stratum) == "maximum_bias", F.col("pos")).otherwise(
-            F.col("pos") + F.lit(1000000)))
+        "_second", F.when(F.col(stratum) == "maximum_bias", 0).otherwise(1))
     # concatenated order: all max-bias rows then all min-bias rows (E4);
     # groups are (dataset, issue type) x 100 rows at most, so a window is bounded
-    w = Window.partitionBy(*by).orderBy("seq")
+    w = Window.partitionBy(*by).orderBy("_second", "pos")
     r = seq.withColumn("i", F.row_number().over(w))
     wr = w.rowsBetween(-(width - 1), 0)
     out = (r.withColumn("error_pct", F.avg("_y").over(wr) * 100)
