@@ -45,7 +45,9 @@ COMMON_WORDS = ("password secret token example sample change changeme your here
 PREFIXES = re.compile(r"AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|sk[-_]live|AIza|eyJ|glpat-|npm_")
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 VALUE = re.compile(r"[:=]>?[ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+# a framed key; without its end, the header and the key lines that follow it
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+                 r"|(?:\s+[A-Za-z0-9+/=]{40,})+)")
 LEFT = re.compile(r"[A-Za-z0-9_\-]+")
 LETTERS = re.compile(r"[a-z]{4,}")
 
