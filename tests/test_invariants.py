@@ -226,9 +226,13 @@ def test_stage_cache_and_sweep_run(spark):
     lin = l13b_linear_classifier(spark, SF_SMALL).collect()[0]
     assert 0.0 <= lin.score <= 100.0
     sweep = j13_baseline_sweep(spark, SF_SMALL).collect()
-    assert {(r.detector, r.space) for r in sweep} == {
-        (d, s) for d in ("ecod", "hbos", "knn") for s in ("audit", "raw")}
-    assert all(r.n_hits > 0 for r in sweep)
+    from tidemark.operators.detectors import DETECTORS
+
+    assert {(r.issue, r.detector, r.space) for r in sweep} == {
+        (i, d, s) for i, named in DETECTORS.items() for d in named for s in ("audit", "projected")}
+    assert len(sweep) == 18 and all(r.n_hits > 0 for r in sweep)
+    by = {(r.detector, r.space): r.auroc for r in sweep}
+    assert by["knn", "audit"] != by["knn", "projected"]
 
 
 def test_incremental_audit_replay_is_idempotent(spark, tmp_path):

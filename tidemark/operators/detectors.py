@@ -496,6 +496,39 @@ def isolation_forest(emb: DataFrame, trees: int = 100, sample: int = 256, seed:
     return emb.select("id", "embedding").mapInPandas(score, "id bigint, score double")
 
 
+def _outlier(scorer):
+    return lambda emb: outliers(emb, scorer)
+
+
+def confident_learning(emb: DataFrame, proba=centroid_proba) -> DataFrame:
+    """Label quality from out-of-fold class probabilities; ``proba`` is any
+    ``DataFrame -> (id, label, cls, p)`` estimator."""
+    return label_quality(proba(emb))
+
+
+# Issue type -> detector name -> ``DataFrame -> ranking`` (rank and id, or i and j)
 DETECTORS = {
-    "ecod": ecod, "hbos": hbos, "knn": knn_distance, "iforest": isolation_forest,
+    "near_duplicate": {"ssim": ssim_pairs, "phash": phash_pairs},
+    "label_error": {"noise_rank": noise_rank, "knn_agreement": knn_agreement,
+                    "confident_learning": confident_learning},
+    "off_topic": {"ecod": _outlier(ecod), "hbos": _outlier(hbos), "knn": _outlier(knn_distance),
+                  "iforest": _outlier(isolation_forest)},
 }
+
+
+def compare(emb: DataFrame, truth: DataFrame, detectors: dict | None = None) -> DataFrame:
+    """Ranking metrics of every registered detector against ``truth``
+    (``issue_type, id, id2``), keyed by ``(issue, detector)``."""
+    from tidemark.operators.metrics import ranking_metrics
+    from tidemark.operators.truth import id_hits, pair_hits
+
+    out = None
+    for issue, named in (detectors or DETECTORS).items():
+        t = truth.where(F.col("issue_type") == issue)
+        for name, rank in named.items():
+            ranked = rank(emb)
+            hits = pair_hits(ranked, t) if "j" in ranked.columns else id_hits(ranked, t)
+            m = ranking_metrics(hits.select("rank", "hit")).select(
+                F.lit(issue).alias("issue"), F.lit(name).alias("detector"), "*")
+            out = m if out is None else out.unionByName(m)
+    return out

@@ -317,24 +317,33 @@ def c2_lsh_candidates(spark, sf):
     return lsh_candidates(freeze(c), max_dist=0.05)
 
 
+def _projected(emb, seed: int):
+    """Another space of the same width: a seeded Gaussian map of the vectors, bent by tanh."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                m = np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1]))
+                yield pdf.assign(embedding=pd.Series(list(np.tanh(x @ m)), index=pdf.index))
+
+    return emb.select("id", "embedding", "label").mapInPandas(run, "id bigint, embedding array<double>, label int")
+
+
 @register("j13_baseline_sweep")
 def j13_baseline_sweep(spark, sf):
-    """Every outlier detector x feature space against planted off-topic rows
-    (K3), metrics keyed by (issue, detector, space). Spaces: the L2-normalised
-    audit embedding and the raw stored vectors."""
+    """Nine detectors for three issue types in two feature spaces against a
+    mixed contamination (K7), metrics keyed by (issue, detector, space)."""
     from tidemark.operators.ranking import freeze
 
-    raw = read_embeddings(spark, sf, normalize=False)
-    c, t = K.destroy(raw, FRAC, SEED)
-    c, t = freeze(c), freeze(t)
-    spaces = {"audit": c.select("id", l2n("embedding").alias("embedding"), "label"), "raw": c}
+    c, t = K.mixed(_emb(spark, sf), FRAC, SEED)
+    spaces = {"audit": c, "projected": freeze(_projected(c, SEED))}
     out = None
     for space, e in spaces.items():
-        for name, scorer in (("ecod", D.ecod), ("hbos", D.hbos), ("knn", lambda x: D.knn_distance(x, 5))):
-            ranked = D.outliers(e, scorer, 0.1)
-            m = ranking_metrics(id_hits(ranked, t).select("rank", "hit")).select(
-                F.lit("off_topic").alias("issue"), F.lit(name).alias("detector"), F.lit(space).alias("space"), "*")
-            out = m if out is None else out.unionByName(m)
+        m = D.compare(e, t).withColumn("space", F.lit(space))
+        out = m if out is None else out.unionByName(m)
     return out
 
 
