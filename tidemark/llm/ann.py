@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, rows_at_once
 
 SAMPLE, CALIBRATION = 16_384, 200
 BLOCK, CHUNK = 2048, 256
@@ -170,8 +170,8 @@ def _pack(rows: DataFrame, leaf_of, size: int) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, np.diff(leaves[order]) != 0])
             for at in np.split(order, cut[1:]):
                 held.setdefault(int(leaves[at[0]]), []).append((ids[at], x[at]))
-            seen += len(ids)
-            if seen >= 200_000:
+            seen += x.size
+            if seen >= 12_000_000:  # about 100 MB
                 yield all_blocks()
                 seen = 0
         if held:
@@ -218,6 +218,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
            depth: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query; ``is_query`` is on ``id``."""
     spark = vectors.sparkSession
+    rows_at_once(spark, 32)  # a row of the join holds a block and a chunk
     scratch = Scratch(spark, "ann")
     rows = scratch.write(usable(vectors, id_col, vec_col), "rows")
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]  # bounded sample

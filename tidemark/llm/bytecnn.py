@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import rows_at_once
+
 WIDTH, STRIDE, CHUNK = 8, 2, 512  # bytes; STRIDE 2, as pairs of bytes are looked up
 EMBED, FILTERS = 8, 16
 GROUP = 64  # chunks per matrix product
@@ -209,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def score(docs: DataFrame, model: ByteCNN, out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the probability of label 1 of every whole text."""
     spark = docs.sparkSession
+    rows_at_once(spark)
     shared = spark.sparkContext.broadcast(model)  # about 20 KB, fixed by the shape of the network
 
     @F.pandas_udf("double")

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +117,12 @@ def shingle_hashes(word_hashes: np.ndarray, size: int = 5) -> np.ndarray:
     return mix64(acc + np.uint64(k))
 
 
-def small_batches(frames: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for i in range(0, len(pdf), rows):
-            yield pdf.iloc[i : i + rows]
+def rows_at_once(spark: SparkSession, rows: int = 256) -> None:
+    """At most so many rows in an Arrow batch, as rows here hold whole texts or packed blocks.
+
+    Spark counts rows, not bytes; its default of 10,000 long texts or blocks
+    doesn't fit a worker. A lower setting stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHasher, mix64, nullable, shingle_hashes, whole, words
+from tidemark.llm.common import WordHasher, mix64, nullable, rows_at_once, shingle_hashes, whole, words
 
 HASHES = 64
 BLOCK_BYTES = 16 << 20
@@ -143,7 +143,7 @@ def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, size
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, size: int = 5,
                  hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, item_shingles, shared, containment)`` of every document that holds an item."""
-    spark = docs.sparkSession
+    rows_at_once(docs.sparkSession)
     items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))

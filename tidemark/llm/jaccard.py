@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, WordHasher, nullable, shingle_hashes, whole, words
+from tidemark.llm.common import Scratch, WordHasher, nullable, rows_at_once, shingle_hashes, whole, words
 from tidemark.llm.components import connected
 
 BATCH = 500_000       # shingles a map task holds before it sends them
@@ -270,6 +270,7 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch, num: int = 3, den:
 
 def document_classes(docs: DataFrame, num: int = 3, den: int = 4, size: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row; component_id is the smallest id of the class."""
+    rows_at_once(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.write(document_sets(docs, size), "rows")
     comp = links(docs, rows, scratch, num, den, size)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import nullable, whole
+from tidemark.llm.common import nullable, rows_at_once, whole
 
 LABELLED, TREES, DEPTH, SEED = 4000, 32, 9, 11
 
@@ -251,6 +251,7 @@ def _found(text: str | None, forest: Forest):
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """``(doc_id, start, length, kind, score, is_secret, sha256)``: one row per candidate of every text."""
+    rows_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2**(DEPTH+1) nodes
 
     def run(frames: Iterator[pd.DataFrame]):
@@ -272,6 +273,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, forest: Forest, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced by ``mark``; ``n_chars``, where there is one, follows."""
+    rows_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("string")

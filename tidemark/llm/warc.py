@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, Scratch, whole
+from tidemark.llm.common import NO_ID, Scratch, rows_at_once, whole
 from tidemark.llm.urlfilter import host_and_path
 
 REVISIT_BYTES, LINES, ARCHIVE_BYTES = 1000, 256, 64 << 20
@@ -282,6 +282,7 @@ def look_up(asked: DataFrame, index_files: DataFrame, root: str) -> DataFrame:
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:
     """Write archives and index of ``pages``; the index files and the folder they lie in."""
+    rows_at_once(pages.sparkSession)
     scratch = Scratch(pages.sparkSession, "warc")
     captures = scratch.write(write_archives(pages, scratch), "captures")
     files = scratch.write(write_index(captures, scratch.root), "files")
