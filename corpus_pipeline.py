@@ -37,10 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = scratch.write(jaccard.document_classes(docs), "classes")
     per = classes.where("doc_id is not null").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone, again = per.where("not stays").select("doc_id"), per.where("rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(
+    # written first: Spark knows their size then, and moves no text if the ids can be broadcast
+    gone = scratch.write(per.where("not stays").select("doc_id"), "gone")
+    again = scratch.write(per.where("stays and rows > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(gone.unionByName(again), "doc_id", "left_anti")
+    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(
         docs.columns)
 
 

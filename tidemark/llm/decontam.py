@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHasher, mix64, nullable, rows_at_once, shingle_hashes, whole, words
+from tidemark.llm.common import Scratch, WordHasher, mix64, nullable, rows_at_once, shingle_hashes, whole, words
 
 HASHES = 64
 BLOCK_BYTES = 16 << 20
@@ -157,5 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, siz
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test item (rows with a null id hold none that can be named: kept)."""
-    bad = contaminated(docs, items, **options).select("doc_id").distinct()
+    # written first: Spark knows its size then, and moves no text if the ids can be broadcast
+    bad = Scratch(docs.sparkSession, "decontam").write(
+        contaminated(docs, items, **options).where("doc_id is not null").select("doc_id").distinct(), "bad")
     return docs.join(bad, "doc_id", "left_anti")
