@@ -205,6 +205,24 @@ def test_jaccard_classes_of_odd_and_chained_rows(spark):
     assert jaccard.document_classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_links_of_every_class_in_a_group(spark):
+    """HSX and HSY share size and rarest prefix but don't link; each links with its own copy in another group."""
+    rows = []
+    for draw in range(8):
+        w = lambda c, n: [f"{c}{draw}x{i}" for i in range(n)]  # noqa: E731, B023
+        for k, side in enumerate("xy"):
+            t = [*w("s", 10), *w(side, 50)]
+            head = [*w("h", 40), *t]
+            rows += [(1000 * draw + 10 * k, " ".join(head)), (1000 * draw + 10 * k + 1, " ".join([*head, f"w{draw}{side}"]))]
+            for i in range(5):  # S X and S Y are frequent, in documents that link among themselves only
+                z = [*t, *w(f"z{side}{i}", 100)]
+                rows += [(1000 * draw + 100 + 20 * i + 2 * k + j, " ".join([*z, *[f"v{draw}{side}{i}"] * j]))
+                         for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.document_classes(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_classes(rows))
+
+
 def test_jaccard_classes_of_documents(spark):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -17,11 +17,14 @@ with its class, so no copy is paired with every other copy.
    the same prefix are collapsed into one group, which is posted once.
 4. **Stars.** In each posting list a few rounds verify every group against
    one pivot of the list. Verified links are united, so that what remains
-   to be compared are pairs of different classes.
-5. **Remaining pairs.** Group pairs of different classes that share a prefix
-   shingle and pass the size and position filters are expanded into their
-   members of different classes, and every such pair is verified. Only pairs
-   already in one class are left out, so no link between classes is lost.
+   to be compared are pairs of different classes. Members of a group can be
+   of several classes; from the second round on a group is posted once for
+   each of them, by the smallest member of that class.
+5. **Remaining pairs.** Parts of groups (their members of one class) that are
+   of different classes, share a prefix shingle and pass the size and
+   position filters are expanded into their members, and every such pair is
+   verified. Only pairs already in one class are left out, so no link
+   between classes is lost.
 
 Defined cases: null or empty texts have an empty set, link with nothing and
 are their own class. Repeated rows belong to the same node. Rows with a null
@@ -221,25 +224,30 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch, num: int = 3, den:
     comp = None
     size_ok = lambda a, b: ((F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num))
 
-    def labelled(c):  # posts with the class of their group
-        p = post if c is None else post.join(c.withColumnRenamed("node", "g"), "g", "left")
-        return p.withColumn("comp", F.col("g") if c is None else F.coalesce("comp", "g"))
+    def classed(c):  # members with their classes
+        return member.join(c, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def labelled(c, name):  # posts of each class in a group, by its smallest member r
+        if c is None:
+            return post.withColumn("comp", F.col("g")).withColumn("r", F.col("g"))
+        parts = classed(c).groupBy("g", "comp").agg(F.min("node").alias("r"))
+        return post.join(scratch.write(parts, name), "g")
 
     for k in range(1, STARS + 1):
-        lab = labelled(comp)
+        lab = labelled(comp, f"parts-{k}")
         pivot = lab.groupBy("h").agg(
-            F.min_by(F.struct("g", "n", "comp"), F.struct("alone", F.xxhash64("g", F.lit(k)))).alias("q"))
+            F.min_by(F.struct("r", "n", "comp"), F.struct("alone", F.xxhash64("r", F.lit(k)))).alias("q"))
         cand = (lab.join(pivot, "h").where((F.col("comp") != F.col("q.comp")) & size_ok("n", "q.n"))
-                .groupBy("g", F.col("q.g").alias("q")).agg(F.count(F.lit(1)).alias("votes"))
-                .groupBy("g").agg(F.max_by("q", F.struct("votes", "q")).alias("q")))
-        more = _verified(cand.select(F.col("q").alias("u"), F.col("g").alias("v")), sets, num, den)
+                .groupBy("r", F.col("q.r").alias("q")).agg(F.count(F.lit(1)).alias("votes"))
+                .groupBy("r").agg(F.max_by("q", F.struct("votes", "q")).alias("q")))
+        more = _verified(cand.select(F.col("q").alias("u"), F.col("r").alias("v")), sets, num, den)
         more = scratch.write(more, f"edges-{k}")
         if k > 1 and more.isEmpty():
             break
         edges = edges.unionByName(more)
         comp = scratch.write(connected(edges, scratch, f"cc{k}"), f"comp-{k}")
-    # what is left: groups of different classes in one list, each pair once
-    lab = labelled(comp)
+    # what is left: parts of different classes in one list, each pair once
+    lab = labelled(comp, "parts-last")
     most = (lab.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k"))
             .where("k > 1").drop("k"))
@@ -249,19 +257,18 @@ def links(docs: DataFrame, rows: DataFrame, scratch: Scratch, num: int = 3, den:
     need = F.ceil((F.col("an") + F.col("bn")) * num / (num + den))
     room = F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))
     pairs = (few.join(live.select("h", "most", *side("b")), "h")
-             .where((F.col("acomp") != F.col("bcomp")) & size_ok("an", "bn")
-                    & ((F.col("bcomp") == F.col("most")) | (F.col("ag") < F.col("bg"))))
+             .where((F.col("acomp") != F.col("bcomp")) & (F.col("ag") != F.col("bg")) & size_ok("an", "bn")
+                    & ((F.col("bcomp") == F.col("most")) | (F.col("acomp") < F.col("bcomp"))))
              # the first shared shingle of a pair passes; a pair that only passes later is kept too
-             .where(room >= need).select("ag", "bg").distinct())
-    who = member if comp is None else member.join(comp, "node", "left")
-    who = who.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
-    mem = lambda s: who.select(F.col("g").alias(s + "g"), F.col("node").alias(s), F.col("comp").alias(s + "c"))
-    rest = (pairs.join(mem("a"), "ag").join(mem("b"), "bg"))
-    inner = who.groupBy("g").agg(F.count_distinct("comp").alias("k")).where("k > 1").select("g")
-    same = who.join(inner, "g").select(F.col("g").alias("ag"), F.col("node").alias("a"), F.col("comp").alias("ac"))
-    within = same.join(mem("b").withColumnRenamed("bg", "ag"), "ag").where("a < b")
-    every = (rest.select("a", "b", "ac", "bc").unionByName(within.select("a", "b", "ac", "bc"))
-             .where("ac != bc").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+             .where(room >= need).select("ag", "acomp", "bg", "bcomp").distinct())
+    who = classed(comp)
+    mem = lambda s: who.select(*(F.col(x).alias(s + x) for x in ("g", "comp", "node")))
+    rest = pairs.join(mem("a"), ["ag", "acomp"]).join(mem("b"), ["bg", "bcomp"])
+    inner = who.groupBy("g").agg(F.count_distinct("comp").alias("k")).where("k > 1").select(F.col("g").alias("ag"))
+    within = (mem("a").join(inner, "ag").join(mem("b").withColumnRenamed("bg", "ag"), "ag")
+              .where("anode < bnode and acomp != bcomp"))
+    ends = lambda d: d.select(F.least("anode", "bnode").alias("u"), F.greatest("anode", "bnode").alias("v"))
+    every = ends(rest).unionByName(ends(within)).distinct()
     last = scratch.write(_verified(every, sets, num, den), "edges-last")
     if last.isEmpty():
         return comp
