@@ -1,7 +1,9 @@
 """Secret scan: candidate strings in whole texts, false positives removed by a random forest.
 
 Candidates are (a) values after ``:`` or ``=``, (b) unbroken runs of 16 or
-more key characters with a digit or an issuer's prefix, (c) private key blocks. Each is described
+more key characters with a digit or an issuer's prefix, (c) private key blocks.
+Values and runs inside longer values (query strings, connection URLs, nested
+settings) are candidates as well. Each is described
 by its length, character transitions, dictionary coverage (words of its own
 document and common words), path shape and neighbouring words; the forest
 decides. It is trained from labelled findings, a bounded table (``LABELLED``
@@ -13,8 +15,10 @@ Spans count code points of the whole text. ``scan`` gives findings, ``redact``
 replaces the secrets' spans and keeps every row.
 
 Defined cases: null and empty texts have no findings and stay as they are;
-repeated rows are scanned each; null ids are kept. Overlapping candidates
-are merged into the first and longest. Extra columns pass through ``redact``.
+repeated rows are scanned each; null ids are kept. All candidates are scored;
+overlapping secrets are then merged into one span, and of the others those
+apart from secrets stay, the first and longest of them. Extra columns pass
+through ``redact``.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ VALUE = re.compile(r"[:=]>?[ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})")
 # a framed key; without its end, the header and the key lines that follow it
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
                  r"|(?:\s+[A-Za-z0-9+/=]{40,})+)")
+INNER = re.compile(r"[:=](?=[^:=]{6})")      # a sign in a value with a value behind it
+PIECE = re.compile(r"[^:=&?#@]{6,}={0,2}")   # up to the next part of a query or URL
+IN_URL = re.compile(r"://[^=?&#:]*$")        # host or path, not behind a parameter's sign
+USERINFO = re.compile(r"://[^\s/@]*:$")      # the password's place in a connection URL
 LEFT = re.compile(r"[A-Za-z0-9_\-]+")
 LETTERS = re.compile(r"[a-z]{4,}")
 
@@ -71,6 +79,7 @@ def features(value: str, left: str, right: str, dictionary: set[str], pem: bool
     vowel = [c in "aeiouy" for c in alpha]
     covered = sum(len(w) for w in LETTERS.findall(low) if w in dictionary or any(
         w[: k] in dictionary and w[k:] in dictionary for k in range(4, len(w) - 3)))
+    login = right[:1] == "@" and bool(USERINFO.search(left))
     near = [w.lower() for w in LEFT.findall(left)[-4:]]
     parts = [q for w in near[-2:] for q in (w, *re.split(r"[_\-]", w))]
     return [
@@ -81,13 +90,13 @@ def features(value: str, left: str, right: str, dictionary: set[str], pem: bool
         head.count("/"), head.count("."), sum(c in "0123456789abcdef" for c in low) / len(head),
         float(value.isdigit()), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         float(bool(PREFIXES.match(value))), float(bool(re.search(r"[:=]>?\s{0,3}[\"']?$", left))),
-        float(left[-1:] in "\"'" and left != ""), float(any(w in SECRET_WORDS for w in parts)),
-        float(any(w in BENIGN_WORDS for w in near)), float("://" in left[-30:] or value.startswith("//")),
-        float("@" in value or right[:1] == "@"), float(pem)]
+        float(left[-1:] in "\"'" and left != ""), float(login or any(w in SECRET_WORDS for w in parts)),
+        float(any(w in BENIGN_WORDS for w in near)), float(bool(IN_URL.search(left[-30:])) or value.startswith("//")),
+        float("@" in value or (right[:1] == "@" and not login)), float(pem)]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans ``(start, end, kind)`` of one whole text, in order and apart from each other."""
+    """Spans ``(start, end, kind)`` of one whole text, in order, the longest first; they can overlap."""
     found = []
     if "-----BEGIN " in text:
         found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text)]
@@ -95,6 +104,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in VALUE.finditer(text):
             if re.search(r"[A-Za-z0-9_\-\"']\s{0,3}$", text[max(0, m.start() - 4) : m.start()]):
                 found.append((m.start(1), m.end(1), "value"))
+            for i in INNER.finditer(text, m.start(1), m.end(1)):
+                found.append((i.end(), m.end(1), "value"))
+                if piece := PIECE.match(text, i.end(), m.end(1)):
+                    found.append((piece.start(), piece.end(), "value"))
     at = 0
     for w in text.split():
         if len(w) >= 16:
@@ -102,20 +115,42 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for m in RUN.finditer(w):
                 if any(c.isdigit() for c in m[0]) or PREFIXES.match(m[0]):
                     found.append((at + m.start(), at + m.end(), "run"))
+                if "/" in m[0]:  # issued keys as parts of a path
+                    found += [(at + m.start() + q.start(), at + m.start() + q.end(), "run")
+                              for q in re.finditer(r"[^/]{16,}", m[0]) if PREFIXES.match(q[0])]
             at += len(w)
-    found.sort(key=lambda f: (f[0], -f[1]))
-    out: list[tuple[int, int, str]] = []
-    for f in found:
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
-    return out
+    first: dict[tuple[int, int], str] = {}
+    for a, b, kind in found:
+        first.setdefault((a, b), kind)
+    return sorted(((a, b, kind) for (a, b), kind in first.items()), key=lambda f: (f[0], -f[1]))
+
+
+def apart(spans: list[tuple[int, int, str]], p: np.ndarray, threshold: float):
+    """Scored spans without overlaps: secrets united, then what of the others lies apart from them."""
+    secrets: list[tuple[int, int, str, float]] = []
+    for (a, b, kind), q in zip(spans, p):
+        if q >= threshold:
+            if secrets and a < secrets[-1][1]:
+                s = secrets[-1]
+                secrets[-1] = (s[0], max(s[1], b), s[2], max(s[3], q))
+            else:
+                secrets.append((a, b, kind, q))
+    out, end, k = list(secrets), 0, 0
+    for (a, b, kind), q in zip(spans, p):
+        while k < len(secrets) and secrets[k][1] <= a:
+            k += 1
+        if q < threshold and a >= end and (k == len(secrets) or b <= secrets[k][0]):
+            out.append((a, b, kind, q))
+            end = b
+    out.sort(key=lambda f: f[0])
+    return [f[:3] for f in out], np.array([f[3] for f in out])
 
 
 def describe(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
     outside, at = [], 0
     for s, e, _ in spans:
         outside.append(text[at:s])
-        at = e
+        at = max(at, e)
     outside.append(text[at:])
     dictionary = set(COMMON_WORDS).union(*(LETTERS.findall(o.lower()) for o in outside))
     return np.array([features(text[s:e], text[max(0, s - 60) : s], text[e : e + 20], dictionary, k == "pem")
@@ -241,16 +276,17 @@ def train(findings: pd.DataFrame | None = None) -> Forest:
     return grow(x, f["secret"].to_numpy(np.float64))
 
 
-def _found(text: str | None, forest: Forest):
+def _found(text: str | None, forest: Forest, threshold: float):
     spans = candidates(text) if text else []
     if not spans:
         return [], np.empty(0)
     x = describe(text, spans)
-    return spans, np.maximum(forest.score(x), x[:, -1])  # a private key block is a secret by its frame
+    # a private key block is a secret by its frame
+    return apart(spans, np.maximum(forest.score(x), x[:, -1]), threshold)
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
-    """``(doc_id, start, length, kind, score, is_secret, sha256)``: one row per candidate of every text."""
+    """``(doc_id, start, length, kind, score, is_secret, sha256)``: one row per span, apart from each other."""
     rows_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2**(DEPTH+1) nodes
 
@@ -258,7 +294,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
         for pdf in frames:
             rows = []
             for i, t in zip(pdf["doc_id"], pdf["text"]):
-                spans, p = _found(t, shared.value)
+                spans, p = _found(t, shared.value, threshold)
                 rows += [(i, s, e - s, k, float(q), bool(q >= threshold),
                           hashlib.sha256(t[s:e].encode("utf-8", "surrogatepass")).hexdigest())
                          for (s, e, k), q in zip(spans, p)]
@@ -281,7 +317,7 @@ def redact(docs: DataFrame, forest: Forest, mark: str = "[SECRET]", threshold: f
         for s in texts:
             out = []
             for t in s:
-                spans, p = _found(t, shared.value)
+                spans, p = _found(t, shared.value, threshold)
                 for (a, b, _), q in reversed(list(zip(spans, p))):
                     if q >= threshold:
                         t = t[:a] + mark + t[b:]
