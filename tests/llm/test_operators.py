@@ -128,6 +128,20 @@ def test_mix_targets_and_bounds(spark, which):
         assert (abs(by.taken - by.target) <= 0.01 * by.target + 2).all()
 
 
+def test_mix_takes_small_sources_beside_a_hot_one(spark):
+    """Sources of a fraction of a block up to a few blocks of the hot source come near their targets."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(500), "hot") for i in range(400)]
+    rows += [(1000 + i, words(10), "s1") for i in range(10)] + [(2000 + i, words(100), "s2") for i in range(10)]
+    rows += [(3000 + i, words(100), None) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.taken(docs, slots=64).toPandas()
+    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert len(by) == 4 and (by.target.loc[[100, 1000]] == [300, 3000]).all()
+    assert (abs(by.taken - by.target) <= 0.01 * by.target + 2).all(), by
+    assert (got.taken <= 3 * got["size"]).all()
+
+
 # ------------------------------------------------------------------ 3
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),

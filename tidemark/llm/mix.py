@@ -5,19 +5,21 @@
    weight (water-filling, solved in closed form over sources ordered by cap
    per weight).
 2. **Blocks.** Each source's documents are laid end to end in hash order and
-   cut into blocks of equal numbers of words. The place of a document is a
+   cut into equal blocks of its own, ``LEAST`` or more (one of each word, if
+   it has fewer), none over ``ceil(total / slots)`` words. The place of a document is a
    distributed prefix sum: sums per (source, hash bucket), running sums over
    those, and a window inside a bucket, which holds a bounded share of the
    documents. A hot source is spread over all buckets.
 3. **Schedule.** Slot ``i`` gets the golden-ratio point
    ``i * 2654435769 mod 2**32`` (a Weyl sequence in integers), and the source
-   in whose stretch of the cumulative weights the point lies. Any run of
-   slots is mixed near the weights. Slots are ranked per source, in chunks.
+   in whose stretch of the ring the point lies. A stretch is as long as the
+   source's target in blocks, so sources of shorter blocks get more slots.
+   Any run of slots is mixed near the weights. Slots are ranked per source, in chunks.
 4. **Join.** The slot of rank ``r`` of a source takes its block ``r mod
    blocks``; a source's blocks are used at most ``cap`` times.
 
-Words are counted in blocks of ``ceil(total / slots)`` words: more slots mean
-finer blocks; the error of a source's share is a few slots.
+Words are counted in blocks: the error of a source's share is a few of its
+own blocks, so a few in ``LEAST`` at most, whatever the size of the corpus.
 
 Defined cases: a null text has size 0; documents of size 0 are returned and
 never taken; sources without words have target 0. A null source is a source,
@@ -37,6 +39,7 @@ from tidemark.llm.common import WORD, Scratch
 
 GOLDEN, RING = 2654435769, 1 << 32   # fixed values: 2**32 / golden ratio, and the ring of points
 CELLS = 4096                          # cells of the ring by which points find their source
+LEAST = 1024                          # blocks of a source, at least
 PER_BUCKET = 512                      # documents or slots meant to meet in one bucket
 
 
@@ -45,7 +48,7 @@ class Mix:
     targets: DataFrame    # source, position, source_size, target, blocks
     fragments: DataFrame  # doc_id, source, size, at, block, words: pieces of documents in blocks
     schedule: DataFrame   # slot, source, block, round
-    block_words: int
+    block_words: int      # words of a block, at most
     sized: DataFrame      # doc_id, source, size of every row
 
 
@@ -92,22 +95,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
     sized = scratch.write(sizes(docs), "sizes")
     total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     words = max(1, -(-total // slots))
-    targets = water_fill(sized, weights, cap).withColumn("blocks", F.ceil(F.col("source_size") / words))
+    blocks = F.greatest(F.ceil(F.col("source_size") / words), F.least("source_size", F.lit(LEAST)))
+    targets = water_fill(sized, weights, cap).withColumn("blocks", blocks.cast("long"))
     targets = scratch.write(targets, "targets")
+    turns = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    n_slots = targets.agg(F.ceil(F.coalesce(F.sum(turns), F.lit(0.0)))).first()[0]
 
     h = F.xxhash64(F.lit(seed), "doc_id", "size")
     buckets = max(1, n // PER_BUCKET)
     placed = _prefix(sized.where("size > 0").withColumn("h", h).withColumn("k", F.pmod("h", F.lit(buckets))),
                      ["source"], "k", ["h", "doc_id", "size"], F.col("size"), "at")
-    t = F.lit(words)
-    piece = placed.withColumn("block", F.explode(F.sequence(
-        F.floor(F.col("at") / t), F.floor((F.col("at") + F.col("size") - 1) / t))))
-    inside = (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * t)
-              - F.greatest(F.col("at"), F.col("block") * t))
+    cuts = targets.select(F.struct(F.col("source")).alias("c"), F.col("source_size").alias("s"),
+                          F.col("blocks").alias("n"))
+    piece = (placed.join(cuts, F.struct(F.col("source")).eqNullSafe(F.col("c")))
+             .withColumn("block", F.explode(F.expr("sequence(at * n div s, (at + size - 1) * n div s)"))))
+    # block b holds the words x with x * n div s = b
+    inside = F.expr("least(at + size, ((block + 1) * s + n - 1) div n) - greatest(at, (block * s + n - 1) div n)")
     fragments = piece.select("doc_id", "source", "size", "at", "block", inside.alias("words"))
 
     # stretches of the ring, in integers, so that every engine cuts at the same points
-    share = F.floor(F.col("target") / F.lit(float(max(total, 1))) * F.lit(float(RING))).cast("long")
+    share = F.floor(turns / F.lit(float(max(n_slots, 1))) * F.lit(float(RING))).cast("long")
     run = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     ring = (targets.select("position", "source", "blocks", share.alias("share"))
             .withColumn("lo", F.coalesce(F.sum("share").over(run), F.lit(0))))
@@ -116,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slo
     ring = ring.withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     point = (F.col("slot") * GOLDEN) % RING
-    slot = (spark.range(-(-total // words)).withColumnRenamed("id", "slot").withColumn("point", point)
+    slot = (spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", point)
             .withColumn("cell", F.floor(F.col("point") / width)))
     hit = (slot.join(ring, "cell").where("point >= lo and point < hi")
            .select("slot", "position", "source", "blocks").withColumn("k", F.floor(F.col("slot") / PER_BUCKET)))
