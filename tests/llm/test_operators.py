@@ -274,6 +274,16 @@ def test_containment_against_brute_force(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_windows_are_as_short_as_items():
+    """2,000 items of five to seven words, each inside a long document of its own."""
+    texts = [" ".join(f"i{i}x{j}" for j in range(5 + i % 3)) for i in range(2000)]
+    index, hasher = decontam.ItemIndex(texts, 5, decontam.HASHES), decontam.WordHasher()
+    docs = [shingle_hashes(hasher(words(" ".join([*[f"a{i}x{j}" for j in range(20)], t, *[f"b{i}x{j}" for j in range(20)]]))))
+            for i, t in enumerate(texts)]
+    got = index.candidates(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]))
+    assert set(np.arange(len(docs)) * (len(texts) + 1)) <= set(got)
+
+
 # ------------------------------------------------------------------ 6
 
 def test_maxent_counts_and_gain(spark):

@@ -55,7 +55,7 @@ class ItemIndex:
         parts: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
-                parts.setdefault(max(8, 1 << (len(s) - 1).bit_length()), []).append(i)
+                parts.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
         # per partition and hash function: sorted minima with the items they stand for
         self.parts = []
         for s, items in sorted(parts.items()):
