@@ -24,5 +24,5 @@ def test_matches_duckdb(spark, key):
 
 
 def test_all_operators_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")} == set(range(1, 14))
     assert "pipeline" in Q.QUERIES

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, bytecnn, chat, decontam, jaccard, maxent, mix, secret_scan, urlfilter, warc
+from tidemark.llm import (ann, bytecnn, chat, decontam, fim, jaccard, maxent, merkle, mix, pieces, secret_scan, urlfilter,
+                          warc)
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +129,96 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query("op11_offset_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    enc = pieces.encode(table(spark, sf_dir, "documents"), path)
+    return enc.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(pieces.decode(F.col("ids"), enc, path).cast("binary"), 256).alias("decoded_sha256"),
+                      F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
+
+
+@query("op12_slot_pivot_merkle", """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+      || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head, text,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda crc, byte: list_reduce(
+        list_prepend(xor(crc, byte), range(8)), lambda v, i:
+          CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 5 = 0, false) AS changed
+  FROM documents),
+h AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        sha256(head || CASE WHEN text IS NULL THEN '-' WHEN changed THEN strlen(low) || ':' || low
+                       ELSE strlen(text) || ':' || text END) AS start FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM h),
+low_nodes(lvl, tree, place, node, n) AS (
+  SELECT 0, tree, place, leaf, count(*) OVER (PARTITION BY tree) FROM p
+  UNION ALL
+  SELECT lvl + 1, tree, place // 16, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 15) // 16
+  FROM low_nodes WHERE n > 1 GROUP BY lvl, tree, place // 16),
+subroots AS (SELECT tree, node FROM low_nodes WHERE n = 1),
+up_nodes(lvl, place, node, n) AS (
+  SELECT 0, tree, node, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT lvl + 1, place // 16, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 15) // 16
+  FROM up_nodes WHERE n > 1 GROUP BY lvl, place // 16),
+nodes AS (SELECT lvl, tree, place, node, n FROM low_nodes
+          UNION ALL SELECT 1000 + lvl, -1, place, node, n FROM up_nodes),
+sib AS (SELECT a.lvl, a.tree, a.place,
+          coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+          coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+        FROM nodes a JOIN nodes b ON a.lvl = b.lvl AND a.tree = b.tree AND a.place // 16 = b.place // 16
+        WHERE a.n > 1 GROUP BY ALL),
+walk(doc_id, leaf, own, lvl, tree, place, acc, proof, top) AS (
+  SELECT doc_id, leaf, tree, 0, tree, place, start, '', false FROM p
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.own, CASE WHEN s.lvl IS NULL THEN 1000 ELSE w.lvl + 1 END,
+         CASE WHEN s.lvl IS NULL THEN -1 ELSE w.tree END, CASE WHEN s.lvl IS NULL THEN w.own ELSE w.place // 16 END,
+         CASE WHEN s.lvl IS NULL THEN w.acc ELSE sha256(s.before || w.acc || s.after) END,
+         w.proof || coalesce(s.before || s.after, ''), s.lvl IS NULL AND w.lvl >= 1000
+  FROM walk w LEFT JOIN sib s ON s.lvl = w.lvl AND s.tree = w.tree AND s.place = w.place
+  WHERE NOT w.top)
+SELECT doc_id, leaf, (SELECT node FROM subroots WHERE tree = w.own) AS subroot,
+       (SELECT node FROM up_nodes WHERE n = 1) AS root, sha256(proof) AS proof_sha256, acc AS folded_root,
+       acc = (SELECT node FROM up_nodes WHERE n = 1) AS verified
+FROM walk w WHERE top
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    back = m.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("path")))
+    return back.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_frame_fill_in_middle", """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+             sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+               OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+             WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+v AS (SELECT *, substr(text, 1, least(a, b)) AS pre, substr(text, least(a, b) + 1, abs(a - b)) AS mid,
+        substr(text, greatest(a, b) + 1) AS suf FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM v
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      fim.text_sha256(F.col("output")).alias("output_sha256"),
+                      fim.text_sha256(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 query("pipeline")(corpus_pipeline.run)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
