@@ -237,9 +237,6 @@ def text_sha256(blob: Column) -> Column:
 
 
 def fill_in_middle(docs: DataFrame, frame: int = FRAME) -> DataFrame:
-    """Rearranged texts of all rows, as written tables of seekable texts: see ``rearrange``."""
-    scratch = Scratch(docs.sparkSession, "fim")
-    stored = scratch.write(store(docs, frame), "stored")
-    out = scratch.write(rearrange(plan(stored), frame), "output")
-    scratch.drop("stored")
-    return out
+    """Rearranged texts of all rows, from a written table of seekable texts: see ``rearrange``."""
+    stored = Scratch(docs.sparkSession, "fim").write(store(docs, frame), "stored")
+    return rearrange(plan(stored), frame)
