@@ -510,3 +510,48 @@ def test_shingles_of_short_texts(n):
 
     h = WordHasher()(words(" ".join("abcdefghi"[:n])))
     assert len(shingle_hashes(h)) == (0 if n == 0 else max(1, n - 4))
+
+
+# ------------------------------------------------------------------ shared helpers
+
+def test_shared_sets_over_many_batches(spark):
+    """Shared shingles and counts are the same however rows are dealt to batches, copies included."""
+    from tidemark.llm.common import Scratch
+
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs).unionByName(docs.where("doc_id % 3 = 0"))
+    sets = {frozenset(shingles(r.text)) for r in docs.collect()} - {frozenset()}
+    df = collections.Counter(x for s in sets for x in s)
+    want = sorted((len(s), sum(df[x] == 1 for x in s)) for s in sets)
+    want = [(n, a) for n, a in want if 4 * (n - a) >= 3 * n and n > a]
+    for parts in (1, 9):
+        dealt = docs.repartition(parts, "doc_id") if parts > 1 else docs.coalesce(1)
+        rows = jaccard.document_sets(dealt)
+        got = jaccard.shared_sets(dealt, rows, Scratch(spark, "t"), 3, 4, 5).collect()
+        assert sorted((r.n, r.alone) for r in got) == want
+        assert all(len(set(r.hs)) == len(r.hs) == r.n - r.alone for r in got)
+
+
+def test_rows_at_places(spark, tmp_path):
+    from tidemark.llm.common import Scratch, placed, rows_at
+
+    spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, concat('t', id)) as text").repartition(6).write.parquet(
+        str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    seen = placed(docs, "id")
+    counts = seen.groupBy("part").agg(F.count("*").alias("rows"))
+    for cond in ("id % 3 = 1", "false", "true"):
+        got = rows_at(docs, seen.where(cond), counts, Scratch(spark, "t"), "keep").collect()
+        assert sorted(r.id for r in got) == [r.id for r in spark.range(1000).where(cond).collect()]
+        assert all(r.text == (None if r.id % 7 == 0 else f"t{r.id}") for r in got)
+    with pytest.raises(Exception, match="read again"):
+        rows_at(docs, seen, counts.withColumn("rows", F.col("rows") + 1), Scratch(spark, "t"), "keep").collect()
+
+
+def test_items_and_documents_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (1, "x y"), (1, "a b c d e f g"), (2, None)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f"), (7, None), (None, None)], "item_id long, text string")
+    got = sorted(map(repr, (tuple(r) for r in decontam.contaminated(docs, items).collect())))
+    assert got == ["(1, None, 2, 2, 1.0)", "(None, None, 2, 2, 1.0)"]
+    assert sorted(map(repr, map(tuple, decontam.clean(docs, items).collect()))) == ["(1, 'x y')", "(2, None)"]

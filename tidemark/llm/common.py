@@ -61,6 +61,63 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def open_fs(uri: str):
+    """File system and path of a folder that executors share, for pyarrow."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+POSITION = (1 << 33) - 1   # bits of monotonically_increasing_id that count rows of a partition
+
+
+def placed(docs: DataFrame, *columns) -> DataFrame:
+    """Columns of ``docs`` with ``part`` and ``pos``: the task that reads a row, and its place there."""
+    return docs.select(*columns, F.spark_partition_id().cast("long").alias("part"),
+                       F.monotonically_increasing_id().bitwiseAND(F.lit(POSITION)).alias("pos"))
+
+
+def rows_at(docs: DataFrame, keep: DataFrame, counts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of ``docs`` at ``(part, pos)`` of ``keep``, filtered where they are read; no row is shuffled.
+
+    The places are written in a file for each reading task, which opens its
+    own. ``counts`` has the rows of each part; a task that reads another
+    number fails, so ``docs`` must be read alike both times (a table as read,
+    or narrow operations on one).
+    """
+    marks = counts.select("part", (-1 - F.col("rows")).alias("pos"))
+    path = scratch.path(name)
+    (keep.select("part", "pos").unionByName(marks).repartition("part").sortWithinPartitions("part", "pos")
+     .write.partitionBy("part").parquet(path))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, base = open_fs(path)
+        found = where.get_file_info(fs.FileSelector(f"{base}/part={TaskContext.get().partitionId()}",
+                                                    allow_not_found=True))
+        pos = np.concatenate([np.empty(0, np.int64)] + [
+            pq.read_table(f.path, columns=["pos"], filesystem=where, partitioning=None)["pos"].to_numpy()
+            for f in found if f.base_name.endswith(".parquet")])
+        pos.sort()
+        rows, pos = -1 - pos[pos < 0].sum() if (pos < 0).any() else 0, pos[pos >= 0]
+        at = 0
+        for batch in batches:
+            lo, hi = np.searchsorted(pos, [at, at + batch.num_rows])
+            if lo < hi:
+                yield batch.take(pa.array(pos[lo:hi] - at))
+            at += batch.num_rows
+        if at != rows:
+            raise ValueError(f"a part of {rows} rows was read again with {at}")
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased. Bytes split on 0x20 and 0x09-0x0D only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -6,10 +6,11 @@ shingle sets (powers of two). For the items of a partition whose sets hold up
 to ``s`` shingles, a document is read as windows of ``2s`` shingles that
 start every ``s``: a passage copied from an item lies inside one of them,
 and there the containment asked for implies a Jaccard similarity of at least
-``t*q / (2s + (1-t)*q)`` (0.17 for the smallest item of a partition, 0.33 for
-the largest). ``hashes`` MinHash values per window, one per band, then miss
-a copied passage with a chance of at most ``(1 - 0.17) ** hashes``, 4e-6 for
-64; a passage as long as the partition allows, with 1e-11.
+``t*q / (2s + (1-t)*q)`` (a partition holds sizes above ``s/2`` up to ``s``,
+from one shingle on: more than 0.176 for its smallest item, 0.33 for the
+largest). ``hashes`` MinHash values per window, one per band, then miss a
+copied passage with a chance of at most ``(1 - 0.176) ** hashes``, 4e-6 for 64;
+a passage as long as the partition allows, with 1e-11.
 Items of fewer than five words have one shingle of fewer words; a document
 contains such an item if it is the same short sequence.
 
@@ -20,7 +21,9 @@ Documents are read where they lie; the items are the stated query set and go
 to the tasks in blocks of at most ``block_bytes`` of text, one pass over the
 documents for each block.
 
-Defined cases: null or empty texts and items match nothing. Repeated rows
+Defined cases: null or empty texts and items match nothing. Items and
+documents with a null id are matched like others (null in the result);
+``clean`` takes rows by their texts, whatever their ids. Repeated rows
 are matched each; repeated rows of an item count once per (item_id, text).
 An empty table gives an empty result. Extra columns are ignored.
 """
@@ -32,10 +35,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, WordHasher, mix64, nullable, rows_at_once, shingle_hashes, whole, words
+from tidemark.llm.common import WordHasher, mix64, nullable, rows_at_once, shingle_hashes, whole, words
 
 HASHES = 64
 BLOCK_BYTES = 16 << 20
@@ -96,68 +100,92 @@ class ItemIndex:
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, size: int, hashes: int) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(texts, size, hashes))  # bounded by the block
-    names = np.array(ids, np.int64)
+class Matcher:
+    """Finds the items of an index in texts, in groups of at most ``GROUP`` shingles (or one longer text)."""
 
-    def run(frames: Iterator[pd.DataFrame]):
-        ix, hasher = index.value, WordHasher()
-
-        def matches(sets: list[np.ndarray], rows: list) -> pd.DataFrame | None:
-            lens = np.array([len(s) for s in sets])
-            pairs = ix.candidates(np.concatenate(sets), np.repeat(np.arange(len(sets)), lens))
-            out, seen, known = [], -1, None
-            for d, i in zip(pairs // len(ix.sets), pairs % len(ix.sets)):
-                if d != seen:
-                    seen, known = d, np.unique(sets[d])
-                item = ix.sets[i]
-                at = np.minimum(np.searchsorted(known, item), len(known) - 1)
-                shared = int((known[at] == item).sum())
-                if shared >= threshold * len(item):
-                    out.append((rows[d], names[i], len(item), shared, shared / len(item)))
-            if out:
-                cols = ["doc_id", "item_id", "item_shingles", "shared", "containment"]
-                return pd.DataFrame(out, columns=cols)
-            return None
+    GROUP = 200_000
+
+    def __init__(self, index: ItemIndex, threshold: float):
+        self.ix, self.threshold, self.hasher = index, threshold, WordHasher()
+
+    def __call__(self, texts) -> Iterator[tuple[int, int, int]]:
+        """``(text, item, shared shingles)``, by their numbers."""
+        sets, rows, held = [], [], 0
+        for row, t in enumerate(texts):
+            s = shingle_hashes(self.hasher(words(t)), self.ix.size)
+            if len(s):
+                sets.append(s)
+                rows.append(row)
+                held += len(s)
+            if held >= self.GROUP:
+                yield from self._matches(sets, rows)
+                sets, rows, held = [], [], 0
+        if sets:
+            yield from self._matches(sets, rows)
+
+    def _matches(self, sets: list[np.ndarray], rows: list[int]) -> Iterator[tuple[int, int, int]]:
+        lens = np.array([len(s) for s in sets])
+        pairs = self.ix.candidates(np.concatenate(sets), np.repeat(np.arange(len(sets)), lens))
+        seen, known = -1, None
+        for d, i in zip(pairs // len(self.ix.sets), pairs % len(self.ix.sets)):
+            if d != seen:
+                seen, known = d, np.unique(sets[d])
+            item = self.ix.sets[i]
+            at = np.minimum(np.searchsorted(known, item), len(known) - 1)
+            shared = int((known[at] == item).sum())
+            if shared >= self.threshold * len(item):
+                yield rows[d], int(i), shared
+
+
+def _blocks(docs: DataFrame, items: DataFrame, size: int, hashes: int, block_bytes: int):
+    """Ids and index of each block of items; the index is broadcast, its size is bounded by the block."""
+    items = items.select("item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
+        rows = block.select(whole("item_id"), "text").collect()
+        index = ItemIndex([r[1] for r in rows], size, hashes)
+        yield np.array([r[0] for r in rows], np.int64), docs.sparkSession.sparkContext.broadcast(index)
 
+
+def _search(docs: DataFrame, names: np.ndarray, index, threshold: float) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]):
+        match = Matcher(index.value, threshold)
         for pdf in frames:
-            sets, rows, held = [], [], 0
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                s = shingle_hashes(hasher(words(t)), ix.size)
-                if len(s):
-                    sets.append(s)
-                    rows.append(i)
-                    held += len(s)
-                if held >= 200_000:
-                    if (m := matches(sets, rows)) is not None:
-                        yield m
-                    sets, rows, held = [], [], 0
-            if sets and (m := matches(sets, rows)) is not None:
-                yield m
+            ids = pdf["doc_id"].to_numpy()
+            out = [(ids[d], names[i], len(match.ix.sets[i]), shared, shared / len(match.ix.sets[i]))
+                   for d, i, shared in match(pdf["text"])]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
     kind = "doc_id long, item_id long, item_shingles long, shared long, containment double"
     out = docs.select(whole("doc_id"), "text").mapInPandas(run, kind)
-    return out.withColumn("doc_id", nullable("doc_id"))
+    return out.withColumns({"doc_id": nullable("doc_id"), "item_id": nullable("item_id")})
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, size: int = 5,
                  hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, item_shingles, shared, containment)`` of every document that holds an item."""
     rows_at_once(docs.sparkSession)
-    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    parts = []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        rows = block.collect()
-        parts.append(_search(docs, [r[0] for r in rows], [r[1] for r in rows], threshold, size, hashes))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_search(docs, names, index, threshold) for names, index in
+                                          _blocks(docs, items, size, hashes, block_bytes)])
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold a test item (rows with a null id hold none that can be named: kept)."""
-    # written first: Spark knows its size then, and moves no text if the ids can be broadcast
-    bad = Scratch(docs.sparkSession, "decontam").write(
-        contaminated(docs, items, **options).where("doc_id is not null").select("doc_id").distinct(), "bad")
-    return docs.join(bad, "doc_id", "left_anti")
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.75, size: int = 5, hashes: int = HASHES,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a test item. Each row is judged by its own text, where it is read."""
+    rows_at_once(docs.sparkSession)
+
+    def without(index):
+        def run(batches: Iterator[pa.RecordBatch]):
+            match = Matcher(index.value, threshold)
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[d for d, _, _ in match(batch["text"].to_pylist())]] = False
+                yield batch.filter(pa.array(stays))
+        return run
+
+    for _, index in _blocks(docs, items, size, hashes, block_bytes):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs

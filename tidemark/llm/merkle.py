@@ -153,8 +153,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fanout: int = 16)
     scratch.drop("laid", "runs")
     levels, tops = climb(nodes, fanout, scratch, "level")
     sources = tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), "node")
-    sources = sources.crossJoin(sources.agg(F.count(F.lit(1)).alias("size")))  # one row
     sources = scratch.write(sources, "sources")
+    sources = sources.withColumn("size", F.lit(sources.count()).cast("long"))
     upper, root = climb(sources, fanout, scratch, "upper")
     root = root.select("tree", F.col("node").alias("top"), F.array().cast(PATH).alias("path"))
     subroots = descend(sources, upper, root, fanout).select(

@@ -43,21 +43,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, Scratch, rows_at_once, whole
+from tidemark.llm.common import NO_ID, Scratch, open_fs, rows_at_once, whole
 from tidemark.llm.urlfilter import host_and_path
 
 REVISIT_BYTES, LINES, ARCHIVE_BYTES = 1000, 256, 64 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def open_fs(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def capture_key(url: str = "url") -> Column:
     """Reversed host labels, then path and query: ``org,example,www)/path?x``."""
     host, _ = host_and_path(url)
