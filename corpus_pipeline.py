@@ -5,11 +5,10 @@ written as Parquet to the shared folder and read again as the next stage's
 ``docs``. All but the last return the columns of ``documents``.
 
 1. quality: documents that the byte-level network scores under 0.3 go.
-2. near_duplicates: of each class of linked documents the one with the
-   smallest id stays. Repeated rows of an id with equal text stay once; of an
-   id with different texts all stay if one does; rows with a null id can't be
-   told apart and stay.
-3. decontamination: documents that hold a benchmark item go.
+2. near_duplicates: of each class of linked rows the one with the smallest id
+   stays (null ids last; of equal ids the first one read). Rows are told apart
+   by their places, so ids may be null or repeated. Rows without words stay.
+3. decontamination: rows that hold a benchmark item go, whatever their ids.
 4. secrets: secrets are replaced in the texts; every document stays.
 5. mix: how many words of each document the mix takes.
 
@@ -20,7 +19,6 @@ along up to the last stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bytecnn, decontam, jaccard, mix, secret_scan
 from tidemark.llm.common import Scratch, held_out, table
@@ -33,22 +31,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "classes")
-    classes = scratch.write(jaccard.document_classes(docs), "classes")
-    per = classes.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    # written first: Spark knows their size then, and moves no text if the ids can be broadcast
-    gone = scratch.write(per.where("not stays").select("doc_id"), "gone")
-    again = scratch.write(per.where("stays and rows > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(gone.unionByName(again), "doc_id", "left_anti")
-    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(
-        docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), []
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)   # nothing reads it any more
+        before = [name]
     return docs
