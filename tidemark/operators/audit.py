@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logit
 from tidemark.operators.pairs import all_pairs, knn, nearest_by_label, pair_hit_ranks
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.ranking import freeze, global_rank
 
 ISSUE_COLS = ["issue_type", "rank", "id", "id2", "score"]
@@ -81,7 +82,9 @@ def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
     edges = (nbrs.select(F.least("q", "nbr").alias("a"), F.greatest("q", "nbr").alias("b"), "dist")
              .groupBy("a", "b").agg(F.min("dist").alias("dist")))
     qs = [(i + 1) / float(levels + 1) for i in range(levels)]
-    cuts = edges.agg(F.percentile("dist", F.array(*[F.lit(q) for q in qs])).alias("cuts"))
+    edges = freeze(edges)
+    names = [f"c{i}" for i in range(levels)]
+    cuts = quantiles(edges, "dist", qs, names=names).select(F.array(*names).alias("cuts"))
     lv = cuts.select(F.posexplode("cuts").alias("level", "cut"))
     kept = edges.crossJoin(F.broadcast(lv)).where(F.col("dist") <= F.col("cut")).select("level", "a", "b")
     # the edge table is read every round: materialise it once
@@ -181,9 +184,10 @@ def auto_cut(ranked: DataFrame, alpha: float = 0.1, q: float = 0.05,
         s = F.lit(1.0) - F.coalesce(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     z = ranked.withColumn("_z", logit(s))
     y1, y2 = _logistic_ppf(alpha), _logistic_ppf(0.5)
-    fit = z.groupBy(*by).agg(
-        F.percentile("_z", F.lit(alpha)).alias("_x1"), F.percentile("_z", F.lit(0.5)).alias("_x2"),
-        F.count(F.lit(1)).alias("_n"))
+    z = freeze(z)
+    fit = quantiles(z, "_z", [alpha, 0.5], by, ["_x1", "_x2"])
+    total = z.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    fit = fit.drop("n").join(total, by) if by else fit.drop("n").crossJoin(total)   # one row each
     fit = fit.select(*by, "_n", ((F.col("_x1") - F.col("_x2")) / F.lit(y1 - y2)).alias("_scale"),
                      ((F.lit(y1) * F.col("_x2") - F.lit(y2) * F.col("_x1")) / F.lit(y1 - y2)).alias("_loc"))
     j = z.join(fit, by) if by else z.crossJoin(fit)

@@ -19,6 +19,7 @@ from tidemark.functions.hashing import hash_key, uniform
 from tidemark.functions.scalars import kernel_weight, dependence_weight
 from tidemark.functions.vectors import l2_distance, sq_l2_distance, half_cosine_distance
 from tidemark.operators.pairs import all_pairs, knn
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.ranking import global_rank, freeze
 
 
@@ -83,8 +84,8 @@ def knn_distance(emb: DataFrame, k: int = 5) -> DataFrame:
 
 def outliers(emb: DataFrame, scorer, contamination: float = 0.1) -> DataFrame:
     """Rank by outlier score descending; ``is_outlier`` above the (1 - c) quantile."""
-    s = scorer(emb)
-    thr = s.agg(F.percentile("score", F.lit(1.0 - contamination)).alias("_thr"))
+    s = freeze(scorer(emb))
+    thr = quantiles(s, "score", [1.0 - contamination], names=["_thr"]).select("_thr")
     s = s.crossJoin(thr).withColumn("is_outlier", (F.col("score") > F.col("_thr")).cast("int")).drop("_thr")
     s = s.withColumn("_key", -F.round("score", 9))
     return global_rank(s, ["_key", "id"], "rank").select("rank", "id", "score", "is_outlier")

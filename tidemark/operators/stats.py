@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
 from tidemark.functions.scalars import normal_cdf, pvalue_stars
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sequences import average_rank
 
 
@@ -85,8 +86,8 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
     """Paired permutation test of T = sum over pairs of 1[x > y] * rank(x).
 
     Resample r swaps x and y in pair i when a hash bit of (seed, r, i) is set;
-    ``spark.range(resamples)`` x pairs is one job, ranks per resample come
-    from a window over that resample's pairs (bounded by the pair count).
+    every task draws all resamples of its pairs; ranks per resample come from
+    a window over that resample's pairs (bounded by the pair count).
     p_greater = (#(T_r >= T_obs) + 1) / (R + 1), p_less likewise,
     p_two_sided = min(1, 2 min(p_greater, p_less)).
     """
@@ -95,12 +96,12 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
     by = list(by or [])
     spark = df.sparkSession
     pairs = df.select(*by, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    # the resample axis carries the parallelism: every resample needs every pair
-    parts = max(1, min(resamples + 1, 4 * spark.sparkContext.defaultParallelism))
-    rs = spark.range(0, resamples + 1, 1, parts).withColumnRenamed("id", "_r")   # _r = 0: observed
+    # the resamples are bounded by their number and go to every task; the pairs, of any number, are dealt out
+    rs = F.broadcast(spark.range(0, resamples + 1).withColumnRenamed("id", "_r"))   # _r = 0: observed
+    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "_i")
     swap = F.when(F.col("_r") == 0, F.lit(False)).otherwise(
         uniform(seed, "perm", F.concat_ws("/", F.col("_r").cast("string"), F.col("_i").cast("string"))) < 0.5)
-    j = (rs.crossJoin(pairs)
+    j = (pairs.crossJoin(rs)
          .withColumn("_s", swap)
          .withColumn("_xx", F.when(F.col("_s"), F.col("_y")).otherwise(F.col("_x")))
          .withColumn("_yy", F.when(F.col("_s"), F.col("_x")).otherwise(F.col("_y"))))
@@ -129,10 +130,10 @@ def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, see
 
 def quantile_summary(df: DataFrame, value: str, by: list[str] | None = None,
                      qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact (interpolated) quantiles of ``value``."""
+    """Exact (interpolated) quantiles of ``value``, by sketch brackets and ranks over range partitions."""
     by = list(by or [])
-    aggs = [F.percentile(value, F.lit(q)).alias(f"q{int(round(q * 100)):02d}") for q in qs]
-    return df.groupBy(*by).agg(*aggs, F.count(value).alias("n"))
+    names = [f"q{int(round(q * 100)):02d}" for q in qs]
+    return quantiles(df, value, qs, by, names).select(*by, *names, "n")
 
 
 # Prior quantile functions used by the location/scale fit.
@@ -150,8 +151,7 @@ def quantile_fit(df: DataFrame, value: str, q1: float, q2: float, dist: str = "l
     with x the empirical quantiles of ``value`` and y the prior ppf."""
     by = list(by or [])
     y1, y2 = _ppf(dist, q1), _ppf(dist, q2)
-    qs = df.groupBy(*by).agg(F.percentile(value, F.lit(q1)).alias("x1"),
-                             F.percentile(value, F.lit(q2)).alias("x2"))
+    qs = quantiles(df, value, [q1, q2], by, ["x1", "x2"])
     return qs.select(*by, "x1", "x2", ((F.col("x1") - F.col("x2")) / F.lit(y1 - y2)).alias("scale"),
                      ((F.lit(y1) * F.col("x2") - F.lit(y2) * F.col("x1")) / F.lit(y1 - y2)).alias("loc"))
 

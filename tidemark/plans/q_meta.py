@@ -241,13 +241,9 @@ def f8_error_histogram(spark, sf):
 @register("c9_same_label_pairs", f"""WITH {S.emb_cte()}
 SELECT a.label, count(*) AS n_pairs FROM emb a JOIN emb b ON a.id < b.id AND a.label = b.label GROUP BY a.label""")
 def c9_same_label_pairs(spark, sf):
-    """Same-label pairs per label from the all-pairs join (label carried into the kernel)."""
-    from tidemark.operators.pairs import all_pairs
-
-    emb = _emb(spark, sf)
-    p = all_pairs(emb, label_col="label").where("same_label")
-    lab = emb.select(F.col("id").alias("i"), "label")
-    return p.join(lab, "i").groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Same-label pairs per label, from the sizes of the labels (no pair is built to be counted)."""
+    sizes = _emb(spark, sf).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where("n > 1").select("label", F.expr("n * (n - 1) div 2").alias("n_pairs"))
 
 
 @register("h9_pair_index", f"""WITH {S.emb_cte()}
