@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
 from tidemark.functions.scalars import normal_cdf, pvalue_stars
+from tidemark.operators.exact_ranks import LARGEST_PRODUCT, rank_sum_test, signed_rank_test
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.sequences import average_rank
 
@@ -25,13 +26,16 @@ def _sf(z) -> F.Column:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, x_label, by: list[str] | None = None,
-                 id_col: str = "id") -> DataFrame:
+                 id_col: str = "id", exact_upto: int = 0) -> DataFrame:
     """One-sided (X greater) Mann-Whitney U without continuity correction.
 
     U = R_x - n_x (n_x + 1) / 2 with average ranks over both samples;
     sigma^2 = n_x n_y / 12 ((n + 1) - sum(t^3 - t) / (n (n - 1))).
     Emits ``u, z, p, r_b = 2U / (n_x n_y)`` (the reference's effect size)
     and ``r_rb = r_b - 1`` (the rank-biserial correlation), plus stars.
+    Groups without ties whose smaller sample has at most ``exact_upto`` rows
+    (8 in the reference's default) get the exact p, up to a product of the
+    sizes of ``exact_ranks.LARGEST_PRODUCT``.
     """
     by = list(by or [])
     r = average_rank(df, value, "_ar", by, id_col)
@@ -47,22 +51,33 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_label, by: list[str] |
     u = F.col("r_x") - F.col("n_x") * (F.col("n_x") + 1) / 2
     var = F.col("n_x") * F.col("n_y") / 12 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1)))
     z = F.try_divide(u - F.col("n_x") * F.col("n_y") / 2, F.sqrt(var))
+    p = _sf(z)
+    if exact_upto:
+        small = ((F.least("n_x", "n_y") <= exact_upto) & (F.least("n_x", "n_y") > 0) & (F.col("tie") == 0)
+                 & (F.col("n_x") * F.col("n_y") <= LARGEST_PRODUCT))
+        # rows that don't qualify go as a table of one against one
+        p = F.when(small, rank_sum_test(*(F.when(small, c).otherwise(F.lit(1.0)) for c in (
+            F.col("n_x"), F.col("n_y"), u)))).otherwise(p)
     return j.select(*by, F.col("n_x").cast("bigint").alias("n_x"), F.col("n_y").cast("bigint").alias("n_y"),
-                    u.alias("u"), z.alias("z"), _sf(z).alias("p"),
+                    u.alias("u"), z.alias("z"), p.alias("p"),
                     F.try_divide(2 * u, F.col("n_x") * F.col("n_y")).alias("r_b"),
                     (F.try_divide(2 * u, F.col("n_x") * F.col("n_y")) - 1).alias("r_rb"),
-                    pvalue_stars(_sf(z)).alias("stars"))
+                    pvalue_stars(p).alias("stars"))
 
 
-def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col: str = "id") -> DataFrame:
+def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col: str = "id",
+             exact_upto: int = 0) -> DataFrame:
     """Wilcoxon signed-rank test on paired columns, zeros dropped.
 
     Ranks of |d| averaged over ties; W+ / W-; normal approximation with
     tie correction (no continuity correction). Two-sided uses min(W+, W-),
-    ``greater`` uses W+.
+    ``greater`` uses W+. Groups of at most ``exact_upto`` pairs (50 in the
+    reference's default) without ties or zeros get the exact p.
     """
     by = list(by or [])
-    d = df.select(*by, id_col, (F.col(x) - F.col(y)).alias("_d")).where(F.col("_d") != 0)
+    d = df.select(*by, id_col, (F.col(x) - F.col(y)).alias("_d"))
+    zeros = d.groupBy(*by).agg(F.sum(F.when(F.col("_d") == 0, 1).otherwise(0)).alias("zeros"))
+    d = d.where(F.col("_d") != 0)
     d = d.withColumn("_ad", F.abs("_d"))
     r = average_rank(d, "_ad", "_r", by, id_col)
     s = r.groupBy(*by).agg(
@@ -77,8 +92,17 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col:
     se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48)
     z_two = F.try_divide(F.least("w_plus", "w_minus") - mean, se)
     z_gt = F.try_divide(F.col("w_plus") - mean, se)
+    two, greater = 2 * _sf(F.abs(z_two)), _sf(z_gt)
+    if exact_upto:
+        j = j.join(zeros, by) if by else j.crossJoin(zeros)   # one row each
+        small = (F.col("n") <= exact_upto) & (F.col("n") > 0) & (F.col("tie") == 0) & (F.col("zeros") == 0)
+        # rows that don't qualify go as a single pair
+        j = j.withColumn("_p", signed_rank_test(F.when(small, F.col("n")).otherwise(F.lit(1.0)),
+                                                F.when(small, F.col("w_plus")).otherwise(F.lit(1.0))))
+        two = F.when(small, F.col("_p.two")).otherwise(two)
+        greater = F.when(small, F.col("_p.greater")).otherwise(greater)
     return j.select(*by, F.col("n").cast("bigint").alias("n"), "w_plus", "w_minus",
-                    (2 * _sf(F.abs(z_two))).alias("p_two_sided"), _sf(z_gt).alias("p_greater"))
+                    two.alias("p_two_sided"), greater.alias("p_greater"))
 
 
 def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, seed: int = 42,

@@ -16,6 +16,7 @@ from tidemark.sources.fixtures import PAIRED_SQL, paired_scores
 from tidemark.sources.readers import read_embeddings, table
 
 RESAMPLES = 9999
+COHORT = 30
 
 
 def _norm_sf_sql(z: str) -> str:
@@ -50,6 +51,32 @@ def l9_wilcoxon(spark, sf):
     return wilcoxon(paired_scores(spark, sf), "x", "y")
 
 
+@register("l9_wilcoxon_cohorts", f"""WITH RECURSIVE {PAIRED_SQL},
+e AS (SELECT id // {COHORT} AS cohort, x - y AS d, abs(x - y) AS ad FROM ps),
+zr AS (SELECT cohort, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS zeros FROM e GROUP BY cohort),
+d AS (SELECT * FROM e WHERE d <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY cohort ORDER BY ad) + (count(*) OVER (PARTITION BY cohort, ad) - 1) / 2.0 AS r FROM d),
+s AS (SELECT cohort, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus,
+             count(*)::DOUBLE AS n FROM r GROUP BY cohort),
+t AS (SELECT cohort, sum(c * c * c - c) AS tie FROM (SELECT cohort, count(*)::DOUBLE AS c FROM d GROUP BY cohort, ad) GROUP BY cohort),
+z AS (SELECT s.*, tie, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z2,
+             (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS zg FROM s JOIN t USING (cohort)),
+ways(n, c) AS (SELECT 0, [1.0::DOUBLE]
+  UNION ALL SELECT n + 1, list_transform(range(len(c) + n + 1), lambda i:
+    coalesce(list_extract(c, i + 1), 0.0) + CASE WHEN i > n THEN list_extract(c, i - n) ELSE 0.0 END) FROM ways WHERE n < {COHORT}),
+p AS (SELECT z.*, zeros = 0 AND tie = 0 AS small,
+             list_sum(list_slice(c, 1, least(w_plus, w_minus)::BIGINT + 1)) / pow(2, z.n) AS low,
+             list_sum(list_slice(c, w_plus::BIGINT + 1, len(c))) / pow(2, z.n) AS high
+      FROM z JOIN zr USING (cohort) JOIN ways ON ways.n = z.n)
+SELECT cohort, n::BIGINT AS n, w_plus, w_minus,
+       CASE WHEN small THEN least(1.0, 2 * low) ELSE 2 * {_norm_sf_sql('abs(z2)')} END AS p_two_sided,
+       CASE WHEN small THEN high ELSE {_norm_sf_sql('zg')} END AS p_greater FROM p""")
+def l9_wilcoxon_cohorts(spark, sf):
+    """L9 within cohorts of neighbouring user ids: exact where a cohort has no ties or zeros, else the approximation."""
+    pairs = paired_scores(spark, sf).withColumn("cohort", F.expr(f"id div {COHORT}"))
+    return wilcoxon(pairs, "x", "y", by=["cohort"], exact_upto=50)
+
+
 @register("l10_paired_permutation", f"""WITH {PAIRED_SQL},
 rs AS (SELECT range AS r FROM range(0, {RESAMPLES + 1})),
 j AS (SELECT r, id, CASE WHEN r > 0 AND {S.u_sql(42, 'perm', "r::VARCHAR || '/' || id::VARCHAR")} < 0.5 THEN y ELSE x END AS xx,
