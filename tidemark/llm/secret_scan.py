@@ -5,8 +5,8 @@ more key characters with a digit or an issuer's prefix, (c) private key blocks.
 Values and runs inside longer values (query strings, connection URLs, nested
 settings) are candidates as well. Each is described
 by its length, character transitions, dictionary coverage (words of its own
-document and common words), path shape and neighbouring words; the forest
-decides. It is trained from labelled findings, a bounded table (``LABELLED``
+document and common words), path shape and neighbouring words, all taken over
+the whole candidate, however long; the forest decides. It is trained from labelled findings, a bounded table (``LABELLED``
 rows). As no labelled findings are given, ``labelled_findings`` draws them
 from the shapes listed below, with neighbouring words in the way of logs,
 configuration and prose; ``train`` takes any other labelled table.
@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,7 @@ IN_URL = re.compile(r"://[^=?&#:]*$")        # host or path, not behind a parame
 USERINFO = re.compile(r"://[^\s/@]*:$")      # the password's place in a connection URL
 LEFT = re.compile(r"[A-Za-z0-9_\-]+")
 LETTERS = re.compile(r"[a-z]{4,}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 FEATURES = ("length digits letters uppers turns distinct entropy vowels alternation covered slashes dots hexes "
             "only_digits uuid issued assigned quoted near_secret near_benign url mail pem").split()
@@ -67,32 +69,79 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(value: str, left: str, right: str, dictionary: set[str], pem: bool = False) -> list[float]:
-    """Numbers that describe one candidate; ``left`` and ``right`` are its neighbouring texts."""
-    n = len(value)
-    head = value[:400]
-    kinds = [_kind(c) for c in head]
-    counts = Counter(head)
-    p = np.array(list(counts.values())) / len(head)
-    low = head.lower()
-    alpha = [c for c in low if c.isalpha()]
-    vowel = [c in "aeiouy" for c in alpha]
-    covered = sum(len(w) for w in LETTERS.findall(low) if w in dictionary or any(
-        w[: k] in dictionary and w[k:] in dictionary for k in range(4, len(w) - 3)))
+@dataclass
+class Tail:
+    """Character statistics of ``text[at:end]``; ``reach`` moves the start to the left and reads only what is new."""
+    text: str
+    end: int
+
+    def __post_init__(self):
+        self.at, self.counts = self.end, Counter()
+        self.spread = 0.0   # sum of count * log2(count)
+        self.kinds, self.turns, self.alpha, self.vowels, self.changes = [0] * 4, 0, 0, 0, 0
+        self.hexes, self.slashes, self.dots, self.ats, self.covered = 0, 0, 0, 0, 0
+        self.first_kind = self.first_vowel = None
+
+    def reach(self, start: int, dictionary: Dictionary) -> None:
+        new = self.text[start : self.at]
+        if not new:
+            return
+        low = new.lower()
+        for c, n in Counter(new).items():
+            old = self.counts[c]
+            self.counts[c] = old + n
+            self.spread += (old + n) * log2(old + n) - (old * log2(old) if old else 0.0)
+        kinds = [_kind(c) for c in new]
+        for k in range(4):
+            self.kinds[k] += kinds.count(k)
+        self.turns += sum(a != b for a, b in zip(kinds, kinds[1:]))
+        self.turns += self.first_kind is not None and kinds[-1] != self.first_kind
+        self.first_kind = kinds[0]
+        vowel = [c in "aeiouy" for c in low if c.isalpha()]
+        if vowel:
+            self.changes += sum(a != b for a, b in zip(vowel, vowel[1:]))
+            self.changes += self.first_vowel is not None and vowel[-1] != self.first_vowel
+            self.first_vowel = vowel[0]
+        self.alpha += len(vowel)
+        self.vowels += sum(vowel)
+        self.hexes += sum(c in "0123456789abcdef" for c in low)
+        self.slashes += new.count("/")
+        self.dots += new.count(".")
+        self.ats += new.count("@")
+        self.covered += sum(len(w) for w in LETTERS.findall(low) if dictionary.covers(w))
+        self.at = start
+
+
+class Dictionary:
+    """Words by which letters count as covered: one of them, or two side by side."""
+
+    def __init__(self, words: set[str]):
+        self.words, self.lengths = words, {len(w) for w in words}
+
+    def covers(self, w: str) -> bool:
+        n = len(w)
+        return w in self.words or any(
+            4 <= k <= n - 4 and n - k in self.lengths and w[:k] in self.words and w[k:] in self.words
+            for k in self.lengths)
+
+
+def features(tail: Tail, dictionary: Dictionary, pem: bool = False) -> list[float]:
+    """Numbers that describe one whole candidate, ``tail``'s span, and the texts beside it."""
+    text, s, e = tail.text, tail.at, tail.end
+    left, right, n = text[max(0, s - 60) : s], text[e : e + 20], e - s
     login = right[:1] == "@" and bool(USERINFO.search(left))
     near = [w.lower() for w in LEFT.findall(left)[-4:]]
     parts = [q for w in near[-2:] for q in (w, *re.split(r"[_\-]", w))]
     return [
-        min(n, 400), kinds.count(0) / len(head), len(alpha) / len(head), kinds.count(2) / len(head),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(len(head) - 1, 1),
-        len(counts) / len(head), float(-(p * np.log2(p)).sum()), sum(vowel) / max(len(alpha), 1),
-        sum(a != b for a, b in zip(vowel, vowel[1:])) / max(len(alpha) - 1, 1), covered / len(head),
-        head.count("/"), head.count("."), sum(c in "0123456789abcdef" for c in low) / len(head),
-        float(value.isdigit()), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
-        float(bool(PREFIXES.match(value))), float(bool(re.search(r"[:=]>?\s{0,3}[\"']?$", left))),
+        n, tail.kinds[0] / n, tail.alpha / n, tail.kinds[2] / n, tail.turns / max(n - 1, 1),
+        len(tail.counts) / n, max(log2(n) - tail.spread / n, 0.0), tail.vowels / max(tail.alpha, 1),
+        tail.changes / max(tail.alpha - 1, 1), tail.covered / n, tail.slashes, tail.dots, tail.hexes / n,
+        float(tail.kinds[0] == n), float(n == 36 and bool(UUID.fullmatch(text, s, e))),
+        float(bool(PREFIXES.match(text, s, e))), float(bool(re.search(r"[:=]>?\s{0,3}[\"']?$", left))),
         float(left[-1:] in "\"'" and left != ""), float(login or any(w in SECRET_WORDS for w in parts)),
-        float(any(w in BENIGN_WORDS for w in near)), float(bool(IN_URL.search(left[-30:])) or value.startswith("//")),
-        float("@" in value or (right[:1] == "@" and not login)), float(pem)]
+        float(any(w in BENIGN_WORDS for w in near)),
+        float(bool(IN_URL.search(left[-30:])) or text.startswith("//", s, e)),
+        float(tail.ats > 0 or (right[:1] == "@" and not login)), float(pem)]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -147,14 +196,21 @@ def apart(spans: list[tuple[int, int, str]], p: np.ndarray, threshold: float):
 
 
 def describe(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    """Features of every span, whole. Spans inside each other that end together are read once, from their end on."""
     outside, at = [], 0
     for s, e, _ in spans:
         outside.append(text[at:s])
         at = max(at, e)
     outside.append(text[at:])
-    dictionary = set(COMMON_WORDS).union(*(LETTERS.findall(o.lower()) for o in outside))
-    return np.array([features(text[s:e], text[max(0, s - 60) : s], text[e : e + 20], dictionary, k == "pem")
-                     for s, e, k in spans])
+    dictionary = Dictionary(set(COMMON_WORDS).union(*(LETTERS.findall(o.lower()) for o in outside)))
+    x = np.empty((len(spans), len(FEATURES)))
+    by_end: dict[int, Tail] = {}
+    for i in sorted(range(len(spans)), key=lambda i: -spans[i][0]):  # spans of one end: the shortest first
+        s, e, kind = spans[i]
+        tail = by_end.setdefault(e, Tail(text, e))
+        tail.reach(s, dictionary)
+        x[i] = features(tail, dictionary, kind == "pem")
+    return x
 
 
 # ---------------------------------------------------------------- forest
