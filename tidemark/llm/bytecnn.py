@@ -8,9 +8,9 @@ text twice, by their maximum and by their mean, and a logistic layer turns
 both into one probability.
 
 Training reads a bounded sample of labelled rows: at most ``sample`` labels,
-the smallest by a hash of the id, whose texts hold at most ``max_bytes``
-bytes (the bound keeps the fit on the driver to a few hundred MB). Scoring
-reads every text whole.
+the smallest by a hash of the id. Their texts are read whole, a group of
+chunks at a time; the driver holds their bytes. Scoring reads every text
+whole.
 
 Defined cases: a null or empty text is one chunk of padding and gets a score;
 repeated label rows of an id count once (largest label); null labels or ids
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import rows_at_once
 
-WIDTH, STRIDE, CHUNK = 8, 2, 512  # bytes; STRIDE 2, as pairs of bytes are looked up
+WIDTH, CHUNK = 8, 512  # bytes
 EMBED, FILTERS = 8, 16
 GROUP = 64  # chunks per matrix product
 
@@ -45,11 +45,14 @@ class ByteCNN:
     out_bias: float
 
 
-def chunks_of(text: str | None) -> np.ndarray:
-    """Overlapping chunks (rows) of the whole text, padded with 256."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    step = CHUNK - WIDTH + STRIDE
-    n = max(1, -(-max(len(raw) - (WIDTH - STRIDE), 1) // step))
+def bytes_of(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def chunks_of(raw: np.ndarray) -> np.ndarray:
+    """Overlapping chunks (rows) of a whole text's bytes, padded with 256; each window of bytes is in one of them."""
+    step = CHUNK - WIDTH + 1
+    n = max(1, -(-max(len(raw) - (WIDTH - 1), 1) // step))
     flat = np.full((n - 1) * step + CHUNK, 256, np.int16)
     flat[: len(raw)] = raw
     return np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[::step]
@@ -58,10 +61,8 @@ def chunks_of(text: str | None) -> np.ndarray:
 def _windows(model: ByteCNN, x: np.ndarray) -> np.ndarray:
     """(chunks, positions, WIDTH*EMBED) view of the embedded bytes."""
     e = model.embed[x]
-    n = (CHUNK - WIDTH) // STRIDE + 1
     s = e.strides
-    return np.lib.stride_tricks.as_strided(
-        e, (len(x), n, WIDTH * EMBED), (s[0], s[1] * STRIDE, s[2]))
+    return np.lib.stride_tricks.as_strided(e, (len(x), CHUNK - WIDTH + 1, WIDTH * EMBED), s)
 
 
 def pair_tables(model: ByteCNN) -> np.ndarray:
@@ -73,14 +74,14 @@ def pair_tables(model: ByteCNN) -> np.ndarray:
 
 def pooled(model: ByteCNN, tables: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Max-pooled filter answers of each chunk: the convolution as sums of table rows."""
-    n = (CHUNK - WIDTH) // STRIDE + 1
+    n = CHUNK - WIDTH + 1
     parts = []
     for i in range(0, len(x), GROUP):
         c = x[i : i + GROUP].astype(np.int32)
-        c = c[:, 0::2] * 257 + c[:, 1::2]
+        c = c[:, :-1] * 257 + c[:, 1:]
         a = np.take(tables[0], c[:, :n], axis=0)
         for j in range(1, WIDTH // 2):
-            a += np.take(tables[j], c[:, j : j + n], axis=0)
+            a += np.take(tables[j], c[:, 2 * j : 2 * j + n], axis=0)
         parts.append(a.max(1))
     return np.maximum(np.concatenate(parts) + model.bias, 0)
 
@@ -106,7 +107,7 @@ def score_texts(model: ByteCNN, texts: list[str | None], tables: np.ndarray | No
         out[[i for i, _ in pending]] = _sigmoid(z.astype(np.float64))
 
     for i, t in enumerate(texts):
-        c = chunks_of(t)
+        c = chunks_of(bytes_of(t))
         if len(c) > GROUP * 32:  # a very long text on its own, in pieces
             top, total = None, 0
             for j in range(0, len(c), GROUP):
@@ -139,7 +140,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 32,
     rate_1 = float(np.clip(labels.mean(), 0.01, 0.99))
     m.out_bias = float(np.log(rate_1 / (1 - rate_1)))
     m.out = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
-    cut = [chunks_of(t) for t in texts]
+    raws = [bytes_of(t) for t in texts]
     params = {"embed": m.embed, "filters": m.filters, "bias": m.bias, "out": m.out,
               "out_bias": np.array([m.out_bias], np.float32)}
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
@@ -150,15 +151,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 32,
         lr = rate * (1 - epoch / epochs) + rate * 0.05
         for b in range(0, len(order), batch):
             ids = order[b : b + batch]
-            counts = np.array([len(cut[i]) for i in ids])
+            cut = [chunks_of(raws[i]) for i in ids]
+            counts = np.array([len(c) for c in cut])
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            x = np.concatenate([cut[i] for i in ids])
+            x = np.concatenate(cut)
             best, where = [], []
             for i in range(0, len(x), GROUP):
                 w = _windows(m, x[i : i + GROUP])
                 a = (w.reshape(-1, w.shape[2]) @ m.filters).reshape(w.shape[0], w.shape[1], -1)
-                best.append(a.max(1))
-                where.append((a == best[-1][:, None]).argmax(1))
+                where.append(a.argmax(1))
+                best.append(np.take_along_axis(a, where[-1][:, None], 1)[:, 0])
             where, raw = np.concatenate(where), np.concatenate(best) + m.bias
             p = np.maximum(raw, 0)
             top, mean = np.maximum.reduceat(p, starts), np.add.reduceat(p, starts) / counts[:, None]
@@ -171,17 +173,17 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 32,
             d_p += (p == top[doc]) * d_feat[doc, :FILTERS] / np.maximum(
                 np.add.reduceat((p == top[doc]).astype(np.float32), starts)[doc], 1)
             d_p *= raw > 0
-            # the winning windows only: their bytes, filters and embeddings
-            pos = where * STRIDE
-            bytes_at = x[np.arange(len(x))[:, None, None], pos[:, :, None] + np.arange(WIDTH)]
-            e = m.embed[bytes_at].reshape(len(x), FILTERS, WIDTH * EMBED)
-            grads = {"out": feats.T @ err + 1e-4 * m.out, "out_bias": np.array([err.sum()]),
-                     "bias": d_p.sum(0), "filters": (d_p[:, :, None] * e).sum(0).T}
-            d_e = d_p[:, :, None] * m.filters.T[None]
-            at, d_e = bytes_at.reshape(-1), d_e.reshape(-1, EMBED)
-            g = np.stack([np.bincount(at, d_e[:, j], 257) for j in range(EMBED)], 1).astype(np.float32)
-            g[256] = 0
-            grads["embed"] = g
+            grads = {"out": feats.T @ err + 1e-4 * m.out, "out_bias": np.array([err.sum()]), "bias": d_p.sum(0),
+                     "filters": np.zeros_like(m.filters), "embed": np.zeros_like(m.embed)}
+            for i in range(0, len(x), GROUP):  # the winning windows only: their bytes, filters and embeddings
+                g, c = d_p[i : i + GROUP], x[i : i + GROUP]
+                bytes_at = c[np.arange(len(c))[:, None, None], where[i : i + GROUP, :, None] + np.arange(WIDTH)]
+                e = m.embed[bytes_at].reshape(len(c), FILTERS, WIDTH * EMBED)
+                grads["filters"] += (g[:, :, None] * e).sum(0).T
+                d_e = (g[:, :, None] * m.filters.T[None]).reshape(-1, EMBED)
+                at = bytes_at.reshape(-1)
+                grads["embed"] += np.stack([np.bincount(at, d_e[:, j], 257) for j in range(EMBED)], 1)
+            grads["embed"][256] = 0
             t_step += 1
             for k, v in params.items():
                 m1, m2 = mom[k]
@@ -194,16 +196,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 32,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 2000,
-          max_bytes: int = 65_536, keep=None) -> ByteCNN:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 2000, keep=None) -> ByteCNN:
     """Fit on at most ``sample`` labelled ids; ``keep`` is the row filter of the labels."""
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         lab = lab.where(keep)
     lab = (lab.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    got = (docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-           .join(F.broadcast(lab), "doc_id").groupBy("doc_id")
+    got = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(lab), "doc_id").groupBy("doc_id")
            .agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").toPandas())
     return fit(got["text"].tolist(), got["y"].to_numpy(np.float32))
 
