@@ -8,6 +8,7 @@ from tidemark.operators import contaminate as K
 from tidemark.operators import detectors as D
 from tidemark.operators.audit import auto_cut, label_error_audit, off_topic_audit
 from tidemark.operators.metrics import metrics_sql, ranking_metrics
+from tidemark.operators.pruned_knn import pruned_knn
 from tidemark.operators.pairs import knn, lsh_candidates
 from tidemark.operators.truth import id_hits
 from tidemark.plans import sqlparts as S
@@ -86,6 +87,14 @@ def c7_knn(spark, sf):
     return knn(_emb(spark, sf), k=5, metric="l2").select("q", "nbr", "dist", "nn_rank")
 
 
+@register("c7_knn_pruned", f"""
+WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 5, 'l2')}
+SELECT q, nbr, dist, nn_rank FROM nn""")
+def c7_knn_pruned(spark, sf):
+    """C7 by cells and rings: only blocks that the triangle inequality leaves open are compared."""
+    return pruned_knn(_emb(spark, sf), k=5, metric="l2").select("q", "nbr", "dist", "nn_rank")
+
+
 @register("j8_knn_outlier", f"""
 WITH {S.emb_cte()}, {S.knn_cte('nn', 'emb', 5, 'l2')}
 SELECT q AS id, max(dist) AS score FROM nn GROUP BY q""")
