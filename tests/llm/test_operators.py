@@ -70,6 +70,27 @@ def test_tree_search_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * len(ref)
 
 
+def test_tree_search_of_a_leaf_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "PART", 2)
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.tile(rng.normal(size=8), (900, 1)) + rng.normal(0, 1e-3, (900, 8)), rng.normal(size=(600, 8))])
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(emb, F.col("id") % 50 == 0).toPandas()
+    ref = brute_nearest(x, np.arange(len(x)), np.arange(0, len(x), 50), 5)
+    hits = sum(len({r[0] for r in rows} & set(got[got.query_id == q].vec_id)) for q, rows in ref.items())
+    assert len(got) == 5 * len(ref) and hits >= 0.9 * 5 * len(ref)
+
+
+def test_tree_leaves_grow_and_hold_every_row():
+    x = ann._unit(np.random.default_rng(1).normal(size=(6000, 6)))
+    wide, narrow = ann.build_tree(x, 12, 32), ann.build_tree(x, 12, 400)
+    assert (wide.leaf >= 0).sum() > 4 * (narrow.leaf >= 0).sum() > 4
+    for tree in (wide, narrow):
+        leaves = set(tree.leaf[tree.leaf >= 0])
+        assert set(tree.assign(x)) <= leaves and sorted(tree.best_first(x[0])) == sorted(leaves)
+
+
 def test_tree_search_odd_vectors(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (50, v), (50, v), (1, [2.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]),

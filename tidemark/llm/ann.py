@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best bin first.
 
-* **Tree.** K-means on a bounded sample of vectors (``SAMPLE`` rows, the
-  smallest by a hash of the id), split again inside each cluster down to
-  ``depth`` levels. The tree is at most ``branch ** depth`` leaves wide,
-  whatever the table's size.
+* **Tree.** K-means on a bounded sample of vectors (the smallest by a hash of
+  the id; 32 for each leaf, at least ``SAMPLE``, at most ``SAMPLE_NUMBERS``
+  numbers in all), split again inside each cluster. The tree aims at as many
+  leaves as the square root of the rows, at least ``LEAVES``; the sample bounds
+  them at 16,384 for 64 dimensions, so what is broadcast is bounded.
 * **Index.** Every row is sent to its leaf; the rows of a leaf are packed
   into blocks of at most ``BLOCK`` vectors, so a full leaf is many blocks.
 * **Traversal.** A query walks the tree with a priority queue ordered by the
@@ -14,7 +15,8 @@
   asked for. Every query visits that many leaves, and more until they hold
   enough rows.
 * **Search.** Blocks and the chunks of queries that visit their leaf are
-  joined on the leaf. One matrix product per pair proposes the best; their
+  joined on the leaf and, for a leaf of many blocks, on one of its parts: its
+  blocks are dealt to parts of ``PART`` blocks, its chunks go to each part. One matrix product per pair proposes the best; their
   cosines are computed again in double precision from the original vectors
   (row sums in a fixed order), so equal vectors tie exactly.
 
@@ -28,6 +30,8 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +42,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, rows_at_once
 
-SAMPLE, CALIBRATION = 16_384, 200
-BLOCK, CHUNK = 2048, 256
+SAMPLE, SAMPLE_NUMBERS, LEAVES, CALIBRATION = 16_384, 1 << 25, 144, 200
+BLOCK, CHUNK, PART = 2048, 256, 16
 VECTORS = "leaf int, block long, ids binary, vectors binary"
+CHUNKS = "leaf int, part int, qids binary, qvectors binary"
 
 
 # ---------------------------------------------------------------- tree
@@ -96,22 +101,22 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 12) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def build_tree(x: np.ndarray, branch: int, depth: int, least: int = 32, seed: int = 5) -> Tree:
-    """Hierarchical k-means of the rows of ``x`` (unit vectors)."""
+def build_tree(x: np.ndarray, branch: int, least: int = 32, seed: int = 5) -> Tree:
+    """Hierarchical k-means of the rows of ``x`` (unit vectors); a leaf has ``least`` of them or more."""
     rng = np.random.default_rng(seed)
     centres, children, leaf = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [np.empty(0, int)], [-1]
-    todo, leaves = [(0, x, 0)], 0
+    todo, leaves = deque([(0, x)]), 0
     while todo:
-        n, rows, level = todo.pop(0)
+        n, rows = todo.popleft()
         k = min(branch, len(rows) // least)
-        c = _kmeans(rows, k, rng) if level < depth and k > 1 else rows[:0]
+        c = _kmeans(rows, k, rng) if k > 1 else rows[:0]
         if len(c) < 2:
             leaf[n], leaves = leaves, leaves + 1
             continue
         at = _nearest(rows, c)
         children[n] = np.arange(len(centres), len(centres) + len(c))
         for i in range(len(c)):
-            todo.append((len(centres), rows[at == i], level + 1))
+            todo.append((len(centres), rows[at == i]))
             centres.append(c[i])
             children.append(np.empty(0, int))
             leaf.append(-1)
@@ -208,24 +213,24 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _as_chunks(q: DataFrame) -> DataFrame:
-    return q.select("leaf", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-
-
 # ---------------------------------------------------------------- search
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, branch: int = 12,
-           depth: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+           id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query; ``is_query`` is on ``id``."""
     spark = vectors.sparkSession
     rows_at_once(spark, 32)  # a row of the join holds a block and a chunk
     scratch = Scratch(spark, "ann")
     rows = scratch.write(usable(vectors, id_col, vec_col), "rows")
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]  # bounded sample
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    leaves = max(LEAVES, math.isqrt(n))
+    size = max(1, min(max(SAMPLE, 32 * leaves), SAMPLE_NUMBERS // max(dim, 1)))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(size).select("v").toPandas()["v"]
     x = _unit(np.stack(picked.to_numpy())) if len(picked) else np.zeros((0, 1))
-    tree = build_tree(x, branch, depth)
-    shared = spark.sparkContext.broadcast(tree)  # at most branch**depth + ... centres
+    tree = build_tree(x, branch, max(32, len(x) // leaves))
+    shared = spark.sparkContext.broadcast(tree)  # fewer centres than sampled rows / 16
     packed = scratch.write(_pack(rows, lambda x: shared.value.assign(_unit(x)), BLOCK), "packed")
+    # one row per leaf
     sizes = dict(packed.groupBy("leaf").agg((F.sum(F.octet_length("ids")) / 8).cast("long")).collect())
 
     # calibration: brute force for a bounded number of queries, against every block of rows
@@ -238,17 +243,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     near = truth.join(ids_of, "vec_id").select("query_id", "leaf").collect()
     visits = _least_visits(tree, dict(some.collect()), near, recall)
 
+    parts = {leaf: -(-size // (BLOCK * PART)) for leaf, size in sizes.items()}
+
     def ordered(frames: Iterator[pd.DataFrame]):
         """Queries with the leaves that they visit, in chunks per leaf."""
         held: dict[int, list] = {}
         n = 0
 
         def chunks():
-            rows = [(leaf, i, np.array([a for a, _ in part[i : i + CHUNK]]).tobytes(),
+            rows = [(leaf, p, np.array([a for a, _ in part[i : i + CHUNK]]).tobytes(),
                      np.stack([b for _, b in part[i : i + CHUNK]]).tobytes())
-                    for leaf, part in held.items() for i in range(0, len(part), CHUNK)]
+                    for leaf, part in held.items() for i in range(0, len(part), CHUNK) for p in range(parts[leaf])]
             held.clear()
-            return pd.DataFrame(rows, columns=["leaf", "block", "ids", "vectors"])
+            return pd.DataFrame(rows, columns=["leaf", "part", "qids", "qvectors"])
 
         for pdf in frames:
             for i, v in zip(pdf["id"].to_numpy(), pdf["v"]):
@@ -267,8 +274,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
         if held:
             yield chunks()
 
-    queries = rows.where(is_query).repartition("id").mapInPandas(ordered, VECTORS)
-    return _best(packed.join(_as_chunks(queries), "leaf"), k)
+    queries = rows.where(is_query).repartition("id").mapInPandas(ordered, CHUNKS)
+    dealt = spark.createDataFrame(list(parts.items()), "leaf int, parts int")
+    blocks = (packed.join(F.broadcast(dealt), "leaf")
+              .withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts"))
+    return _best(blocks.join(queries, ["leaf", "part"]), k)
 
 
 def _against_all(packed: DataFrame, some: DataFrame) -> DataFrame:
