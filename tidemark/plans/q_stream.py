@@ -1,16 +1,21 @@
-"""Registered queries: Structured Streaming audits (S1, S2), rows-only checks."""
+"""Registered queries: Structured Streaming audits (S1, S2); their oracles are the batch operators."""
 
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark.functions.hashing import uniform
+from tidemark.operators.ranking import freeze
+from tidemark.plans.q_votes import _SEQ_SQL, N_CLEAN
 from tidemark.plans.registry import register
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.readers import table
 from tidemark.streaming.audit_stream import audit_stream, split_to_files
-from tidemark.streaming.stopping import stopping_stream
+from tidemark.streaming.stopping import EVENTS_SCHEMA, HEARTBEAT, OUT_SCHEMA, stopping_stream
 
 
 def _scratch(spark, what):
@@ -28,14 +33,22 @@ def s1_incremental_audit(spark, sf):
     return spark.read.parquet(f"{out}/pairs").select("batch_id", "i", "j", "dist")
 
 
-@register("s2_live_stopping_rule")
+@register("s2_live_stopping_rule", f"""WITH {_SEQ_SQL}
+SELECT annotator, pos, vote, kept_vote, greatest(pos - coalesce(stop_pos, pos), 0)::BIGINT AS dropped FROM kv""")
 def s2_live_stopping_rule(spark, sf):
-    """Events arrive as one file per day; the stopping rule runs with state."""
+    """Events arrive up to 20 hours late and out of order, in one file for each day of arrival, four files
+    to a micro-batch; a heartbeat closes the feed. The stopping rule runs in event time, 1 day behind."""
     src = _scratch(spark, "events-feed")
-    ev = table(spark, sf, "events")
-    days = ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()   # ~31 dates
+    ev = table(spark, sf, "events").select(*(F.col(c.name).cast(c.dataType) for c in StructType.fromDDL(EVENTS_SCHEMA)))
+    came = F.to_date(F.timestamp_micros(F.unix_micros("ts") + (uniform(42, "arrival", "event_id") * 72e9).cast("long")))
+    feed = freeze(ev.withColumn("_day", came))
+    days = feed.groupBy("_day").agg(F.max("ts").alias("ts")).orderBy("_day").collect()   # a row per day
     for i, r in enumerate(days):
-        ev.where(F.to_date("ts") == F.lit(r["d"])).coalesce(1).write.parquet(f"{src}/day={i:03d}")
-    q, out = stopping_stream(spark, src, n_clean=5)
+        feed.where(F.col("_day") == F.lit(r["_day"])).drop("_day").coalesce(1).write.parquet(f"{src}/day={i:05d}")
+    if days:
+        end = max(r["ts"] for r in days) + timedelta(days=3)
+        (spark.createDataFrame([(None, end, None, HEARTBEAT, None, None)], EVENTS_SCHEMA).coalesce(1)
+         .write.parquet(f"{src}/day={len(days):05d}"))
+    q, out = stopping_stream(spark, src, n_clean=N_CLEAN, max_files_per_trigger=4)
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/votes").select("annotator", "pos", "vote", "kept_vote", "dropped")
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{out}/votes").select("annotator", "pos", "vote", "kept_vote", "dropped")

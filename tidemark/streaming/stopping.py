@@ -1,78 +1,161 @@
-"""The stopping rule (E1) run live over an event stream.
-
-State per annotator: next position, position of the last issue, the stop
-position once reached, and the number of votes dropped after the stop.
-Events inside a micro-batch are ordered by ``(ts, event_id)``; files are
-expected to arrive in time order (as a day-partitioned feed does). Votes
-after an annotator's stop are dropped from the kept stream and counted.
-The batch E1 operator is the oracle: on the same events the kept votes are
-identical. Each output row carries the annotator's running count of votes
-dropped after the stop.
+"""The stopping rule (E1) run live over an event stream, in event time.
+
+``transformWithState`` keeps, for each annotator, a buffer of votes that are
+not final yet and the rule's state: next position, position of the last
+issue, the stop position once reached, and the votes dropped after the stop.
+A vote is final when the watermark has passed its time: a timer set at the
+earliest buffered vote then takes the final votes out of the buffer in the
+order ``(ts, event_id)`` and runs the rule over them. Positions therefore
+don't depend on the order of arrival, as long as a vote comes at most
+``delay`` after the latest vote seen. Later ones are dropped by Spark before
+the state sees them; :func:`late_votes` counts them.
+
+The batch operator E1 gives the same votes on the same events. An output row
+carries the annotator's running count of votes dropped after the stop.
+
+The buffer holds an annotator's votes of ``delay`` and one micro-batch. The
+last ``delay`` of a feed that ends stays in it until the feed goes on or is
+closed by a heartbeat (``event_type`` = ``HEARTBEAT``), a row that moves the
+watermark and is no vote. With ``forget`` an annotator's state goes when that
+much event time has passed since the last final vote; if the annotator comes
+back, positions start again. Without it state is kept for good.
+
+Defined cases: a null event type is a vote without an issue; a null ``ts``
+is never final and is left out; rows that repeat an event are votes each; a
+null annotator is an annotator of its own.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 OUT_SCHEMA = "annotator bigint, pos bigint, vote int, kept_vote int, stopped boolean, dropped bigint"
-STATE_SCHEMA = "next_pos bigint, last_issue bigint, stop_pos bigint, dropped bigint"
+RULE_SCHEMA = "next_pos bigint, last_issue bigint, stop_pos bigint, dropped bigint"
+BUFFER_SCHEMA = "us bigint, event_id bigint, vote int"
+HEARTBEAT = "heartbeat"
+NONE = -(1 << 63)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _make_fn(n_clean: int, issue_type: str):
-    def fn(key, pdfs, state):
-        if state.exists:
-            next_pos, last_issue, stop_pos, dropped = state.get
-        else:
-            next_pos, last_issue, stop_pos, dropped = 0, -1, -1, 0
-        frames = list(pdfs)
-        if not frames:
+class StoppingRule(StatefulProcessor):
+    """The rule of one annotator: buffered votes become final as the watermark passes them."""
+
+    def __init__(self, n_clean: int, forget_ms: int | None = None) -> None:
+        self.n_clean, self.forget_ms = n_clean, forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rule = handle.getValueState("rule", RULE_SCHEMA)
+        self.buffer = handle.getListState("buffer", BUFFER_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            pdf = pdf[pdf["counts"].astype(bool)]
+            if len(pdf):
+                self.buffer.appendList([(int(u), int(e), int(v))
+                                        for u, e, v in zip(pdf["us"], pdf["event_id"], pdf["vote"])])
+                low = int(pdf["us"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(-(-first // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, gone = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        held = list(self.buffer.get())
+        final = sorted((r for r in held if r[0] <= mark * 1000), key=lambda r: (r[0], r[1]))
+        if not final:
+            if not held and self.forget_ms is not None:
+                self.rule.clear()   # the annotator's time is up
+            elif held:
+                self._wake(mark + 1, gone)
             return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out_pos, out_vote, out_kept, out_dropped = [], [], [], []
-        for et in pdf["event_type"].to_numpy():
-            vote = 1 if et == issue_type else 0
-            pos = next_pos
-            next_pos += 1
-            if stop_pos >= 0:
+        rest = [tuple(r) for r in held if r[0] > mark * 1000]
+        if rest:
+            self.buffer.put(rest)
+            self._wake(-(-min(r[0] for r in rest) // 1000), gone)
+        else:
+            self.buffer.clear()
+            if self.forget_ms is not None:
+                self._wake(max(final[-1][0] // 1000 + self.forget_ms, mark + 1), gone)
+        yield self._run(int(key[0]), [r[2] for r in final])
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, ms: int, gone: int | None = None) -> None:
+        """Let the one timer of the annotator go off at ``ms`` or earlier; ``gone`` is the timer that just did."""
+        at = [t for t in self.handle.listTimers() if t != gone]
+        earlier = [t for t in at if t <= ms]
+        if not earlier:
+            for t in at:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(ms)
+
+    def _run(self, annotator, votes: list[int]) -> pd.DataFrame:
+        pos, last, stop, dropped = self.rule.get() if self.rule.exists() else (0, -1, -1, 0)
+        out = []
+        for vote in votes:
+            if stop >= 0:
                 dropped += 1
                 kept = None
             else:
                 kept = vote
-                if vote == 1:
-                    last_issue = pos
-                if pos - last_issue >= n_clean:
-                    stop_pos = pos
-            out_pos.append(pos)
-            out_vote.append(vote)
-            out_kept.append(kept)
-            out_dropped.append(dropped)
-        state.update((next_pos, last_issue, stop_pos, dropped))
-        yield pd.DataFrame({"annotator": key[0], "pos": out_pos, "vote": out_vote,
-                            "kept_vote": pd.array(out_kept, dtype="Int32"),
-                            "stopped": [stop_pos >= 0] * len(out_pos),
-                            "dropped": out_dropped})
-    return fn
+                last = pos if vote == 1 else last
+                if pos - last >= self.n_clean:
+                    stop = pos
+            out.append((None if annotator == NONE else annotator, pos, vote, kept, stop >= 0, dropped))
+            pos += 1
+        self.rule.update((pos, last, stop, dropped))
+        got = pd.DataFrame(out, columns=["annotator", "pos", "vote", "kept_vote", "stopped", "dropped"])
+        return got.astype({"annotator": "Int64", "kept_vote": "Int32", "vote": "int32"})
+
+
+def stopping_rule(events: DataFrame, n_clean: int = 5, issue_type: str = "error", delay: str = "1 day",
+                  forget_ms: int | None = None) -> DataFrame:
+    """Votes of a stream of ``EVENTS_SCHEMA`` with the rule applied (``OUT_SCHEMA``)."""
+    # pandas turns integers beside a null into floats and can't group by them: null ids go as NONE, which sorts first
+    votes = events.withWatermark("ts", delay).select(
+        F.coalesce("user_id", F.lit(NONE)).alias("annotator"), "ts",
+        F.coalesce(F.unix_micros("ts"), F.lit(NONE)).alias("us"), F.coalesce("event_id", F.lit(NONE)).alias("event_id"),
+        F.coalesce((F.col("event_type") == issue_type).cast("int"), F.lit(0)).alias("vote"),
+        (F.col("ts").isNotNull() & ~F.col("event_type").eqNullSafe(HEARTBEAT)).alias("counts"))
+    return votes.groupBy("annotator").transformWithStateInPandas(
+        StoppingRule(n_clean, forget_ms), OUT_SCHEMA, "append", "eventTime")
 
 
 def stopping_stream(spark: SparkSession, source_dir: str, n_clean: int = 5, issue_type: str = "error",
-                    out_dir: str | None = None, max_files_per_trigger: int = 1):
-    """Start the live stopping rule; returns ``(query, out_dir)`` with kept votes in Parquet."""
+                    out_dir: str | None = None, max_files_per_trigger: int = 1, delay: str = "1 day",
+                    forget_ms: int | None = None):
+    """Start the live stopping rule over Parquet files; returns ``(query, out_dir)`` with votes in Parquet."""
     out_dir = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stop-stream-{uuid.uuid4().hex}"
     events = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    votes = (events.withWatermark("ts", "1 day").withColumnRenamed("user_id", "annotator")
-             .groupBy("annotator")
-             .applyInPandasWithState(_make_fn(n_clean, issue_type), OUT_SCHEMA, STATE_SCHEMA, "append",
-                                     GroupStateTimeout.NoTimeout))
-    q = (votes.writeStream.format("parquet").option("path", f"{out_dir}/votes")
-         .option("checkpointLocation", f"{out_dir}/_checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)   # lists and timers need it; the query keeps its own copy of the settings
+    try:
+        q = (stopping_rule(events, n_clean, issue_type, delay, forget_ms).writeStream.format("parquet")
+             .option("path", f"{out_dir}/votes").option("checkpointLocation", f"{out_dir}/_checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
     return q, out_dir
+
+
+def late_votes(query) -> int:
+    """Votes that came behind the watermark and were dropped, over the progress reports that Spark keeps."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
