@@ -5,9 +5,9 @@ Issue tables share one long schema (§1 of the survey):
 
 * J1a near-duplicates: every pair ``i < j`` by the audit distance
   d = (1 - cos) / 2, ascending, ties by (i, j).
-* J1b off-topic: isolation in the single-linkage hierarchy, approximated by
-  a ladder of distance levels over the kNN graph; connected components by
-  iterative min-label propagation (DataFrame joins, checkpointed).
+* J1b off-topic: isolation in the single-linkage hierarchy of the kNN graph,
+  read from its minimum spanning forest at a ladder of distance levels
+  (:mod:`tidemark.operators.linkage`).
 * J1c label errors: d_other^2 / (d_same^2 + d_other^2) with the nearest
   same- and other-class distances, ascending (a missing same-class
   neighbour counts as distance 1, 0/0 as 0.5).
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logit
+from tidemark.operators.linkage import components, spanning_forest
 from tidemark.operators.pairs import all_pairs, knn, nearest_by_label, pair_hit_ranks
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.ranking import freeze, global_rank
@@ -69,28 +70,26 @@ def label_error_audit(emb: DataFrame, block_rows: int = 1024) -> DataFrame:
     return global_rank(s, ["_key", "id"], "rank").select("rank", "id", "score")
 
 
-def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
-                     max_rounds: int | None = None) -> DataFrame:
+def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16) -> DataFrame:
     """J1b scores ``(id, score)``: mean over distance levels of ln(n / component size).
 
-    The kNN graph (k neighbours, symmetrised) is cut at ``levels`` quantiles
-    of its edge lengths; at each level the connected components come from
-    min-label propagation with pointer jumping. All levels run together in
-    one table keyed by ``level`` so each round is one join + one aggregate.
+    The kNN graph (k neighbours, symmetrised; lengths rounded to 9 places) is
+    cut at ``levels`` quantiles of its edge lengths. Single linkage needs only
+    its minimum spanning forest: what is connected below a cut in the graph is
+    connected in the forest. All levels are contracted together, keyed by
+    ``level``.
     """
     nbrs = knn(emb, k=k, metric="half_cosine", exclude_self=True)
-    edges = (nbrs.select(F.least("q", "nbr").alias("a"), F.greatest("q", "nbr").alias("b"), "dist")
-             .groupBy("a", "b").agg(F.min("dist").alias("dist")))
+    edges = freeze(nbrs.select(F.least("q", "nbr").alias("a"), F.greatest("q", "nbr").alias("b"), "dist")
+                   .groupBy("a", "b").agg(F.round(F.min("dist"), 9).alias("dist")))
     qs = [(i + 1) / float(levels + 1) for i in range(levels)]
-    edges = freeze(edges)
     names = [f"c{i}" for i in range(levels)]
     cuts = quantiles(edges, "dist", qs, names=names).select(F.array(*names).alias("cuts"))
     lv = cuts.select(F.posexplode("cuts").alias("level", "cut"))
-    kept = edges.crossJoin(F.broadcast(lv)).where(F.col("dist") <= F.col("cut")).select("level", "a", "b")
-    # the edge table is read every round: materialise it once
-    und = freeze(kept.unionByName(kept.select("level", F.col("b").alias("a"), F.col("a").alias("b"))))
+    merges = spanning_forest(edges)
+    kept = freeze(merges.crossJoin(F.broadcast(lv)).where(F.col("dist") <= F.col("cut")).select("level", "a", "b", "dist"))
     nodes = emb.select("id").crossJoin(F.broadcast(lv.select("level")))
-    comp = components(nodes, und, max_rounds=max_rounds)
+    comp = components(nodes, kept, ["level"])
     n = emb.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     sizes = comp.groupBy("level", "comp").agg(F.count(F.lit(1)).alias("size"))
     scored = (comp.join(sizes, ["level", "comp"]).crossJoin(n)
@@ -99,40 +98,6 @@ def off_topic_scores(emb: DataFrame, k: int = 10, levels: int = 16,
     return scored
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Connected components per ``level``: ``(level, id, comp)`` with comp = min id.
-
-    Each round takes, for every node, the minimum label among itself and its
-    neighbours (one join + one groupBy), then one pointer-jumping step
-    (label of the label). Converges in O(diameter) rounds at worst; the loop
-    stops when no label changes (one count per round).
-    """
-    labels = freeze(nodes.select("level", "id", F.col("id").alias("comp")))
-    rounds = 0
-    while True:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            # never return unconverged labels silently
-            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-        nb = (edges.join(labels.withColumnRenamed("id", "b"), ["level", "b"])
-              .select("level", F.col("a").alias("id"), F.col("comp").alias("cand")))
-        new = (labels.select("level", "id", F.col("comp").alias("cand")).unionByName(nb)
-               .groupBy("level", "id").agg(F.min("cand").alias("comp")))
-        # pointer jumping: adopt the label of the current label
-        jump = new.select("level", F.col("id").alias("comp"), F.col("comp").alias("comp2"))
-        new = (new.join(jump, ["level", "comp"], "left")
-               .select("level", "id", F.least("comp", F.coalesce("comp2", "comp")).alias("comp")))
-        # each round is materialised so the next one (and the change test)
-        # never replays earlier rounds
-        new = freeze(new)
-        changed = (new.join(labels.withColumnRenamed("comp", "old"), ["level", "id"])
-                   .where(F.col("comp") != F.col("old")).limit(1).count())
-        labels = new
-        if changed == 0:
-            break
-    return labels
-
-
 def off_topic_audit(emb: DataFrame, k: int = 10, levels: int = 16) -> DataFrame:
     """``(rank, id, score)`` descending (most isolated first)."""
     s = off_topic_scores(emb, k, levels).withColumn("_key", -F.round("score", 9))

@@ -10,6 +10,7 @@ from tidemark.operators.audit import auto_cut, label_error_audit, near_duplicate
 from tidemark.operators.ranking import freeze
 from tidemark.operators.stats import quantile_summary
 from tidemark.plans import sqlparts as S
+from tidemark.plans.q_detect import _AUTO_CUT_SQL
 from tidemark.plans.registry import register
 from tidemark.session import ensure_checkpoint_dir, path_exists
 from tidemark.sources.readers import read_embeddings, table
@@ -221,7 +222,7 @@ def l13d_gradient_boosting(spark, sf):
     return _ml_eval(spark, sf, "gbt")
 
 
-@register("a5_results_sink")
+@register("a5_results_sink", f"WITH {_GRID_SQL} SELECT * FROM rs")
 def a5_results_sink(spark, sf):
     """A5: results appended run by run to a Parquet table in the shared folder;
     a fresh table refuses to be overwritten (errorifexists), later runs append."""
@@ -236,7 +237,7 @@ def a5_results_sink(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("a6_stage_cache")
+@register("a6_stage_cache", _AUTO_CUT_SQL)
 def a6_stage_cache(spark, sf):
     """Audit issues cached per (dataset, q, alpha) partition; a key with no
     rows is recomputed and appended, a present key is read back."""

@@ -66,14 +66,17 @@ def l1_label_error_eval(spark, sf):
     return ranking_metrics(id_hits(ranked, t).select("rank", "hit"))
 
 
-@register("j2_auto_cut", f"""
+_AUTO_CUT_SQL = f"""
 WITH {S.emb_cte()}, {S.label_ratio_ctes()},
 z AS (SELECT id, score, ln(least(greatest(score, 1e-9), 1 - 1e-9) / (1 - least(greatest(score, 1e-9), 1 - 1e-9))) AS z FROM lr),
 fit AS (SELECT count(*) AS n, quantile_cont(z, 0.1) AS x1, quantile_cont(z, 0.5) AS x2 FROM z),
 p AS (SELECT (x1 - x2) / ({LOGIT_ALPHA} - 0.0) AS scale, ({LOGIT_ALPHA} * x2 - 0.0 * x1) / ({LOGIT_ALPHA} - 0.0) AS loc, n FROM fit)
 SELECT row_number() OVER (ORDER BY round(score, 9), id)::BIGINT AS rank, id, score,
        coalesce(CASE WHEN p.scale > 0 THEN p.n / (1 + exp(-((z.z - p.loc) / p.scale))) <= 0.05 ELSE false END, false) AS flagged
-FROM z, p""")
+FROM z, p"""
+
+
+@register("j2_auto_cut", _AUTO_CUT_SQL)
 def j2_auto_cut(spark, sf):
     """J2 on the label-error scores (alpha .1, q .05)."""
     ranked = label_error_audit(_emb(spark, sf))
@@ -175,8 +178,7 @@ def d4_prototype_counts(spark, sf):
     return D.prototype_counts(_emb(spark, sf))
 
 
-_PHASH_SQL = f"""{S.emb_cte()},
-px AS (SELECT id, (generate_subscripts(embedding, 1) - 1) AS p, unnest(embedding) AS val FROM emb),
+_PHASH_OF = """px AS (SELECT id, (generate_subscripts(embedding, 1) - 1) AS p, unnest(embedding) AS val FROM emb),
 bs AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16.0) AS c FROM range(8) t1(u), range(8) t2(x)),
 cf AS (SELECT px.id, bu.u, bv.u AS v, sum(val * bu.c * bv.c) AS coef
        FROM px JOIN bs bu ON bu.x = px.p // 8 JOIN bs bv ON bv.x = px.p % 8 GROUP BY px.id, bu.u, bv.u),
@@ -184,6 +186,7 @@ md AS (SELECT id, quantile_cont(coef, 0.5) AS med FROM cf GROUP BY id),
 hs AS (SELECT e.id, coalesce(sum(CASE WHEN round(cf.coef, 12) > round(md.med, 12)
                                  THEN (1::HUGEINT << (cf.u * 8 + cf.v)::INTEGER) END), 0) AS h
        FROM emb e LEFT JOIN cf USING (id) LEFT JOIN md USING (id) GROUP BY e.id)"""
+_PHASH_SQL = f"{S.emb_cte()},\n{_PHASH_OF}"
 
 
 @register("j4_phash_pairs", f"""
@@ -194,7 +197,10 @@ def j4_phash_pairs(spark, sf):
     return D.phash_pairs(_emb(spark, sf))
 
 
-@register("h1_hamming_bands")
+@register("h1_hamming_bands", f"""
+WITH {S.emb_cte()}, {S.k1_ctes('emb', 'k1c', 'k1t', FRAC, SEED)}, {_PHASH_OF.replace('FROM emb', 'FROM k1c')},
+pr AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.h, b.h)) AS bits FROM hs a JOIN hs b ON a.id < b.id)
+SELECT row_number() OVER (ORDER BY bits, i, j)::BIGINT AS rank, i, j, bits / 64.0 AS score FROM pr WHERE bits <= 7""")
 def h1_hamming_bands(spark, sf):
     """J4 scale path on planted near-copies: the band join finds every pair within 7 differing bits."""
     from tidemark.operators.ranking import freeze
@@ -312,7 +318,20 @@ def j10_noise_rank(spark, sf):
     return D.noise_rank(_emb(spark, sf), seed=SEED)
 
 
-@register("j1b_off_topic")
+_LINKAGE_SQL = f"""{S.emb_cte()}, {S.knn_cte('nn', 'emb', 10, 'half_cosine')},
+ed AS (SELECT least(q, nbr) AS a, greatest(q, nbr) AS b, min(round(dist, 9)) AS dist FROM nn GROUP BY ALL)"""
+_LEVELS = ", ".join(repr((i + 1) / 17.0) for i in range(16))
+
+
+@register("j1b_off_topic", f"""
+WITH RECURSIVE {_LINKAGE_SQL},
+lv AS (SELECT generate_subscripts(q, 1) AS level, unnest(q) AS cut FROM (SELECT quantile_cont(dist, [{_LEVELS}]) AS q FROM ed)),
+un AS (SELECT level, a, b FROM ed JOIN lv ON dist <= cut UNION ALL SELECT level, b, a FROM ed JOIN lv ON dist <= cut),
+rc AS (SELECT level, id, id AS o FROM emb, lv
+       UNION SELECT rc.level, rc.id, un.b FROM rc JOIN un ON un.level = rc.level AND un.a = rc.o),
+sz AS (SELECT level, id, count(*) AS size FROM rc GROUP BY ALL),
+sc AS (SELECT id, sum(ln((SELECT count(*) FROM emb) / size)) / 16.0 AS score FROM sz GROUP BY id)
+SELECT row_number() OVER (ORDER BY -round(score, 9), id)::BIGINT AS rank, id, score FROM sc""")
 def j1b_off_topic(spark, sf):
     return off_topic_audit(_emb(spark, sf))
 
