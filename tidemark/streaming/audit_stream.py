@@ -1,82 +1,254 @@
 """Incremental audit of arriving vectors with Structured Streaming.
 
-Each micro-batch of new rows is compared with the stored table (a Parquet
-state folder) and with itself:
+Each micro-batch meets the rows that came before through a persisted index,
+and nothing that is known already is computed again:
 
-* new near-duplicate pairs within ``max_dist`` (batch x state, batch x batch),
-* the J1c label ratio of the new rows against state + batch,
-* running counts per batch.
+* ``state`` holds every row, in a folder per batch and cell. A cell is the
+  nearest of at most ``CELLS`` pivots, chosen by hash from the first batch
+  that has rows and kept for good.
+* ``cells`` holds a row per batch and cell: how many rows, the nearest and the
+  farthest from the pivot, and how far the farthest of their nearest
+  neighbours was when they came (``reach``). Nearest neighbours only come
+  closer, so ``reach`` stays a bound.
+* ``near`` holds what each batch changed: the nearest same-label and
+  other-label distances of its own rows, and of older rows that it brought
+  closer. A row's distances are the minima over the batches.
 
-``foreachBatch`` makes every write idempotent by ``batch_id``: outputs and
-the state append are partitioned by ``batch_id`` and overwritten
-dynamically, so a replayed batch (after a failure) replaces its own output
-instead of duplicating it.
+A new row visits a cell only if some row of it may be within ``max_dist``,
+nearer than the row's nearest inside its own batch, or have the new row nearer
+than ``reach`` (triangle inequality on the distance to the pivot). Only the
+visited cells' folders are read. Results are exact: pairs equal ``all_pairs``
+with ``max_dist``, distances equal ``nearest_by_label``, over all rows so far.
+On clustered rows a batch's cost depends on the cells that it touches; rows
+without clusters, or a wide ``max_dist``, leave every cell open, and then a
+batch is compared with all rows.
+
+Outputs under ``out_dir``: ``pairs`` (near-duplicates found by each batch),
+``labels`` (J1c scores of the batch's rows when it came), ``counts`` (rows so
+far, rows compared with and rows of visited cells). :func:`label_scores`
+reads the scores of all rows up to a batch, :func:`running_metrics` the
+ranking metrics against planted truth after each batch.
+
+``foreachBatch`` makes every write idempotent by ``batch_id``: a replayed
+batch overwrites its own folders and reads only other batches' ones.
+
+Defined cases: rows with a null id or vector take no part; a null label is a
+label of its own; rows that repeat an id are no pair and no neighbours; an
+empty batch writes its counts only.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import l2_normalize
-from tidemark.operators.pairs import nearest_by_label, pairs_between, all_pairs
+from tidemark.operators.pairs import _pairwise, all_pairs, nearest_by_label
+from tidemark.operators.pruned_knn import _space, _straight
+from tidemark.operators.ranking import freeze, global_rank
 from tidemark.session import ensure_checkpoint_dir, path_exists
 
 EMB_SCHEMA = "vec_id bigint, embedding array<float>, label int"
+STATE_SCHEMA = "id bigint, embedding array<double>, label int, far double, d_same double, d_other double, batch_id bigint, cell int"
+CELL_SCHEMA = "cell int, n bigint, lo double, hi double, reach double, batch_id bigint"
+NEAR_SCHEMA = "id bigint, d_same double, d_other double, batch_id bigint"
+COUNT_SCHEMA = "n_rows bigint, n_compared bigint, n_visited bigint, batch_id bigint"
+CELLS = 256
+BLOCK = 1024          # rows of a block of a cell, and new rows that travel to a cell together
+HELD = 200_000        # results a task holds before it sends them on
+METRIC = "half_cosine"
+SLACK = 1e-6          # floating-point error of distances by inner products
+NO_LABEL = -(1 << 31)
+
+
+def _write_part(df: DataFrame, path: str, batch_id: int, *more: str) -> None:
+    # the whole folder of a batch is replaced, also where a replay writes fewer cells
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (out.partitionBy(*more) if more else out).parquet(f"{path}/batch_id={int(batch_id)}")
+
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    # only a missing folder means "nothing yet"; any other failure is an error
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
-def _write_part(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(int(batch_id)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
 
+def _pivots(spark: SparkSession, new: DataFrame, path: str) -> np.ndarray:
+    """At most CELLS vectors, chosen once; few of them in small first batches."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        n = new.count()
+        if not n:
+            return np.empty((0, 0))
+        (new.orderBy(F.xxhash64("id"), "id").limit(max(1, min(CELLS, int(4 * n ** 0.5)))).select("id", "embedding")
+         .coalesce(1).write.mode("overwrite").parquet(path))
+    rows = spark.read.parquet(path).orderBy(F.xxhash64("id"), "id").select("embedding").toPandas()["embedding"]
+    return np.stack(rows.to_numpy())
 
-def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    # only a missing folder means "no state yet"; any other failure is an error
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
 
+def _open(x: np.ndarray, bound: np.ndarray, pivots: np.ndarray, cells: pd.DataFrame, max_dist: float):
+    """For each cell, the rows of ``x`` that it may concern."""
+    d = _pairwise(_space(x, METRIC), _space(pivots, METRIC), "l2")
+    for c in cells.itertuples(index=False):
+        lower = np.maximum(d[:, c.cell] - c.hi, c.lo - d[:, c.cell])
+        limit = np.maximum(bound, _straight(np.array([max(max_dist, c.reach)]), METRIC)[0])
+        yield c.cell, np.flatnonzero(lower <= limit + SLACK)
 
-STATE_SCHEMA = "id bigint, embedding array<double>, label int, batch_id bigint"
+
+def _meet(frames, max_dist: float):
+    """Rows of visited cells against new rows: close pairs, and nearest distances of both sides."""
+    pairs, near, held, compared = [], [], 0, 0
+
+    def flush():
+        best = pd.concat(near).groupby("i", as_index=False).min().assign(kind="near")
+        out = pd.concat([*pairs, best, pd.DataFrame({"kind": ["work"], "compared": [compared]})])
+        pairs.clear()
+        near.clear()
+        out = out.reindex(columns=["kind", "i", "j", "dist", "d_same", "d_other", "compared"]).replace(np.inf, np.nan)
+        return out.astype({"i": "Int64", "j": "Int64", "compared": "Int64"})
+
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            ia, ib = np.frombuffer(r.ids, np.int64), np.asarray(r.old_ids, np.int64)
+            va = np.frombuffer(r.vecs).reshape(len(ia), -1)
+            vb = np.asarray(r.old_vecs, float).reshape(len(ib), -1)
+            d = _pairwise(va, vb, METRIC)
+            same = np.frombuffer(r.labels, np.int32)[:, None] == np.asarray(r.old_labels, np.int32)[None]
+            other_id = ia[:, None] != ib[None]
+            x, y = np.nonzero((d <= max_dist) & other_id)
+            if len(x):
+                pairs.append(pd.DataFrame({"i": np.minimum(ia[x], ib[y]), "j": np.maximum(ia[x], ib[y]), "dist": d[x, y], "kind": "pair"}))
+            ds, do = np.where(same & other_id, d, np.inf), np.where(~same & other_id, d, np.inf)
+            near.append(pd.DataFrame({"i": ia, "d_same": ds.min(1), "d_other": do.min(1)}))
+            s, o = ds.min(0), do.min(0)
+            closer = (s < np.asarray(r.old_same, float)) | (o < np.asarray(r.old_other, float))
+            near.append(pd.DataFrame({"i": ib[closer], "d_same": s[closer], "d_other": o[closer]}))
+            compared += d.size
+            held += len(x) + len(ia) + int(closer.sum())
+            if held >= HELD:
+                yield flush()
+                held = compared = 0
+    if near:
+        yield flush()
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
                   max_dist: float = 0.3) -> None:
     """Audit one micro-batch against the stored rows (idempotent per ``batch_id``)."""
-    state_path, pairs_path = f"{out_dir}/state", f"{out_dir}/pairs"
-    labels_path, counts_path = f"{out_dir}/labels", f"{out_dir}/counts"
-    new = batch.select(F.col("vec_id").alias("id"), l2_normalize("embedding").alias("embedding"),
-                       F.col("label").cast("int").alias("label"))
-    state = _read_or_none(spark, state_path, STATE_SCHEMA)
-    if state is not None:
-        # replay safety: rows of this batch id from an earlier attempt are not "old"
-        state = state.where(F.col("batch_id") != batch_id).drop("batch_id")
-    within = all_pairs(new, max_dist=max_dist)
-    pairs = within if state is None else within.unionByName(pairs_between(new, state, max_dist=max_dist))
-    _write_part(pairs, pairs_path, batch_id)
-    pool = new if state is None else state.unionByName(new)
-    nn = nearest_by_label(pool).join(new.select("id"), "id", "left_semi")
-    ds = F.coalesce(F.nanvl("d_same", F.lit(None)), F.lit(1.0))
-    do = F.nanvl("d_other", F.lit(None))
-    score = F.when(do.isNull(), 1.0).otherwise(F.coalesce(F.try_divide(do * do, ds * ds + do * do), F.lit(0.5)))
-    _write_part(nn.select("id", score.alias("score")), labels_path, batch_id)
-    _write_part(new, state_path, batch_id)
-    counts = spark.read.parquet(state_path).agg(F.count(F.lit(1)).alias("n_rows"))
-    _write_part(counts, counts_path, batch_id)
-
-
-def audit_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
-                 max_dist: float = 0.3, max_files_per_trigger: int = 1):
-    """Start the incremental audit over Parquet files arriving in ``source_dir``.
-
-    Returns ``(query, out_dir)``; results are in ``out_dir/{pairs,labels,counts}``
-    and the accumulated table in ``out_dir/state``.
+    earlier = F.col("batch_id") != batch_id   # a replay doesn't meet its own first attempt
+    new = freeze(batch.where("vec_id is not null and embedding is not null").select(
+        F.col("vec_id").alias("id"), l2_normalize("embedding").alias("embedding"),
+        F.coalesce(F.col("label").cast("int"), F.lit(NO_LABEL)).alias("label")))
+    pivots = _pivots(spark, new, f"{out_dir}/pivots")
+    if not len(pivots) or not new.take(1):
+        done = _read(spark, f"{out_dir}/cells", CELL_SCHEMA).where(earlier).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+        _write_part(done.select("n_rows", F.lit(0).cast("long").alias("n_compared"), F.lit(0).cast("long").alias("n_visited")),
+                    f"{out_dir}/counts", batch_id)
+        return
+    # at most CELLS rows
+    cells = (_read(spark, f"{out_dir}/cells", CELL_SCHEMA).where(earlier).groupBy("cell").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("reach").alias("reach")).toPandas())
+    inner = new.join(nearest_by_label(new), "id", "left").select(
+        "id", "embedding", "label", F.nanvl("d_same", F.lit(None)).alias("d_same"), F.nanvl("d_other", F.lit(None)).alias("d_other"))
+    shared = spark.sparkContext.broadcast((pivots, cells))   # bounded by CELLS
+
+    def send(frames):
+        p, table = shared.value
+        for pdf in frames:
+            for a in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[a : a + BLOCK]
+                x = np.stack(part["embedding"].to_numpy()).astype(float)
+                ids, labels = part["id"].to_numpy(np.int64), part["label"].to_numpy(np.int32)
+                own = part[["d_same", "d_other"]].to_numpy(float)
+                bound = np.where(np.isnan(own).any(1), np.inf, _straight(own.max(1), METRIC))
+                for cell, at in _open(x, bound, p, table, max_dist):
+                    if len(at):
+                        yield pd.DataFrame([(cell, ids[at].tobytes(), x[at].tobytes(), labels[at].tobytes())],
+                                           columns=["cell", "ids", "vecs", "labels"])
+
+    inner = freeze(inner)
+    asked = freeze(inner.mapInPandas(send, "cell int, ids binary, vecs binary, labels binary"))
+    visited = [r["cell"] for r in asked.select("cell").distinct().collect()]   # at most CELLS
+    n_visited = int(cells.loc[cells["cell"].isin(visited), "n"].sum())
+    old = _read(spark, f"{out_dir}/state", STATE_SCHEMA).where(earlier & F.col("cell").isin(visited))
+    subs = spark.createDataFrame([(int(c), -(-int(n) // BLOCK)) for c, n in zip(cells["cell"], cells["n"])], "cell int, subs int")
+    none = F.lit(float("inf"))
+    blocks = (old.join(F.broadcast(subs), "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("subs")).alias("sub")).agg(
+        F.collect_list("id").alias("old_ids"), F.flatten(F.collect_list("embedding")).alias("old_vecs"),
+        F.collect_list("label").alias("old_labels"), F.collect_list(F.coalesce("d_same", none)).alias("old_same"),
+        F.collect_list(F.coalesce("d_other", none)).alias("old_other")).drop("sub"))
+    met = freeze(asked.join(blocks, "cell").mapInPandas(
+        lambda frames: _meet(frames, max_dist),
+        "kind string, i long, j long, dist double, d_same double, d_other double, compared long"))
+
+    pairs = all_pairs(new, max_dist=max_dist).unionByName(met.where("kind = 'pair'").select("i", "j", "dist"))
+    _write_part(pairs, f"{out_dir}/pairs", batch_id)
+    clean = lambda c: F.nanvl(F.col(c), F.lit(None)).alias(c)
+    changed = freeze(inner.select("id", "d_same", "d_other").unionByName(
+        met.where("kind = 'near'").select(F.col("i").alias("id"), clean("d_same"), clean("d_other")))
+        .groupBy("id").agg(F.min("d_same").alias("d_same"), F.min("d_other").alias("d_other")))
+    _write_part(changed, f"{out_dir}/near", batch_id)
+    mine = changed.join(new.select("id").distinct(), "id", "left_semi")
+    _write_part(mine.select("id", _score().alias("score")), f"{out_dir}/labels", batch_id)
+
+    def place(frames):
+        p = shared.value[0]
+        for pdf in frames:
+            if len(pdf):
+                d = _pairwise(_space(np.stack(pdf["embedding"].to_numpy()).astype(float), METRIC), _space(p, METRIC), "l2")
+                yield pdf.assign(cell=d.argmin(1).astype(np.int32), far=d.min(1))
+
+    placed = freeze(new.join(mine, "id").mapInPandas(
+        place, "id long, embedding array<double>, label int, d_same double, d_other double, cell int, far double"))
+    _write_part(placed.repartition("cell"), f"{out_dir}/state", batch_id, "cell")
+    reach = F.max(F.greatest(F.coalesce("d_same", none), F.coalesce("d_other", none)))
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"),
+                                       reach.alias("reach"))
+    _write_part(stats, f"{out_dir}/cells", batch_id)
+    total = _read(spark, f"{out_dir}/cells", CELL_SCHEMA).agg(F.sum("n").alias("n_rows"))
+    compared = met.agg(F.coalesce(F.sum("compared"), F.lit(0)).cast("long").alias("n_compared"))
+    _write_part(total.crossJoin(compared).withColumn("n_visited", F.lit(n_visited).cast("long")),
+                f"{out_dir}/counts", batch_id)
+
+
+def _score():
+    """J1c from the two distances (a missing same-label neighbour counts as 1, 0/0 as 0.5)."""
+    ds, do = F.coalesce("d_same", F.lit(1.0)), F.col("d_other")
+    return F.when(do.isNull(), 1.0).otherwise(F.coalesce(F.try_divide(do * do, ds * ds + do * do), F.lit(0.5)))
+
+
+def label_scores(spark: SparkSession, out_dir: str, upto: int | None = None) -> DataFrame:
+    """J1c ``(id, score)`` of all rows that came up to a batch, as after that batch."""
+    near = _read(spark, f"{out_dir}/near", NEAR_SCHEMA)
+    if upto is not None:
+        near = near.where(F.col("batch_id") <= upto)
+    return (near.groupBy("id").agg(F.min("d_same").alias("d_same"), F.min("d_other").alias("d_other"))
+            .select("id", _score().alias("score")))
+
+
+def running_metrics(spark: SparkSession, out_dir: str, truth: DataFrame, upto: int) -> DataFrame:
+    """Label-error metrics (D11-D14) after batch ``upto``: the ranking of all rows so far against ``truth`` (id)."""
+    from tidemark.operators.metrics import ranking_metrics
+    from tidemark.operators.truth import id_hits
+
+    ranked = global_rank(label_scores(spark, out_dir, upto).withColumn("_key", F.round("score", 9)), ["_key", "id"], "rank")
+    return ranking_metrics(id_hits(ranked, truth).select("rank", "hit")).withColumn("batch_id", F.lit(int(upto)).cast("long"))
+
+
+def audit_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None, max_dist: float = 0.3,
+                 max_files_per_trigger: int = 1, truth: DataFrame | None = None):
+    """Start the incremental audit over Parquet files arriving in ``source_dir``; returns ``(query, out_dir)``.
+
+    With ``truth`` (id) the running metrics are written to ``metrics`` after each batch.
     """
     out_dir = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-stream-{uuid.uuid4().hex}"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         process_batch(spark, batch, batch_id, out_dir, max_dist)
+        if truth is not None:
+            _write_part(running_metrics(spark, out_dir, truth, batch_id).drop("batch_id"), f"{out_dir}/metrics", batch_id)
 
     stream = (spark.readStream.schema(EMB_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
