@@ -16,6 +16,8 @@
   training batches: each task follows AdaGrad steps from the broadcast
   weights, the tasks' changes are averaged, and the mean is the next weights.
   Every training word makes one gradient step.
+  Sums of the changes are exact (8-bit mantissas in doubles), so their order
+  doesn't matter: runs that read the input in the same parts agree.
 * **Scoring** looks the sparse features of a batch up in numpy.
 
 ``p(word | class)`` is the word's share of its class; in the class of rare
@@ -30,12 +32,12 @@ that carry their history. Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ from tidemark.llm.common import Scratch, WordHasher, mix64, nullable, rows_at_on
 
 BATCH = 1_000_000            # words in a batch
 ASKED = 24_000_000           # bytes of text per bucket of words, about 400,000 words of local vocabularies
+PART = 32_000_000            # bytes of text per file of batches
 MARKS = 64                   # hash buckets of the texts' commonest words
 TOP, TOPICS = 12, 10         # classes: commonest words, words by mark
 END, RARE = TOP, TOP + 1
@@ -103,7 +106,7 @@ _BATCH = ("batch long, ids binary, keys binary, counts binary, marks binary, doc
 
 def encode(docs: DataFrame, held: Column) -> DataFrame:
     """Texts as batches of numbers of a local vocabulary (keys: 64-bit word hashes)."""
-    def pack(pieces: list) -> pd.DataFrame:
+    def pack(pieces: list, number: int) -> pd.DataFrame:
         h = np.concatenate([p[0] for p in pieces])
         lens = np.array([len(p[0]) for p in pieces], np.int32)
         keys, ids = np.unique(h, return_inverse=True)
@@ -123,7 +126,7 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
         best[word[order]] = mark[order]  # the commonest mark is written last
         counts = np.bincount(word, many, len(keys)).astype(np.int32)
         return pd.DataFrame([{
-            "batch": uuid.uuid4().int >> 65, "ids": _pack_ids(ids), "keys": keys.tobytes(),
+            "batch": number, "ids": _pack_ids(ids), "keys": keys.tobytes(),
             "counts": counts.tobytes(), "marks": best.tobytes(),
             "doc_ids": np.array([p[1] for p in pieces], np.int64).tobytes(),
             "held": is_held.astype(np.uint8).tobytes(),
@@ -131,20 +134,22 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
             "before": np.array([p[4] for p in pieces], np.uint64).tobytes()}])
 
     def run(frames: Iterator[pd.DataFrame]):
-        hasher, pieces, total, salt, row = WordHasher(), [], 0, uuid.uuid4().int >> 96, 0
+        # numbers by place in the input: unique, and the same in every run that reads the input in the same parts
+        hasher, pieces, total, first, row = WordHasher(), [], 0, TaskContext.get().partitionId() << 31, 0
+        number = first
         for pdf in frames:
             for t, i, out in zip(pdf["text"], pdf["doc_id"], pdf["held"].to_numpy(bool)):
                 h = hasher([*words(t), END_WORD])
                 row += 1
                 for at in range(0, len(h), BATCH):
                     before = (h[at - 1] if at > 0 else START, h[at - 2] if at > 1 else START)
-                    pieces.append((h[at : at + BATCH], i, out, (salt << 31) + row, before))
+                    pieces.append((h[at : at + BATCH], i, out, first + row, before))
                     total += len(pieces[-1][0])
                     if total >= BATCH:
-                        yield pack(pieces)
-                        pieces, total = [], 0
+                        yield pack(pieces, number)
+                        pieces, total, number = [], 0, number + 1
         if pieces:
-            yield pack(pieces)
+            yield pack(pieces, number)
 
     return docs.select(whole("doc_id"), "text", held.alias("held")).mapInPandas(run, _BATCH)
 
@@ -205,7 +210,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _coded(batches: DataFrame, scratch: Scratch, buckets: int):
+def _coded(batches: DataFrame, scratch: Scratch, buckets: int, parts: int):
     """Batches with the total count and the mark of each local word; the summary of all words."""
     kind = "batch long, bucket int, totals binary, gmarks binary"
     answers = scratch.write(_ask(batches, buckets).groupBy("bucket").applyInPandas(_answer, kind), "answers")
@@ -220,8 +225,10 @@ def _coded(batches: DataFrame, scratch: Scratch, buckets: int):
     summary = _merge([r[0] for r in got]) if got else None
     back = answers.where("batch is not null").groupBy("batch").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "totals", "gmarks"))).alias("a"))
-    coded = scratch.write(batches.drop("counts", "marks").join(
-        back.select("batch", F.col("a.totals").alias("totals"), F.col("a.gmarks").alias("marks")), "batch"), "coded")
+    # the same rows in the same order in every file of every run: the steps of training follow them
+    coded = scratch.write(batches.drop("counts", "marks").repartition(parts, "batch").join(
+        back.select("batch", F.col("a.totals").alias("totals"), F.col("a.gmarks").alias("marks"))
+        .repartition(parts, "batch"), "batch").sortWithinPartitions("batch"), "coded")
     return coded, summary
 
 
@@ -328,7 +335,7 @@ def fit(coded: DataFrame, summary: np.ndarray | None) -> Model:
                     _steps(w, g, b, np.ascontiguousarray(rows[:, use]), y[use])
             if seen:
                 both = np.stack([w - w0, g - g0]).reshape(2, SLICES, -1)
-                yield pd.DataFrame({"slice": np.arange(SLICES), "salt": uuid.uuid4().int % SALTS, "tasks": 1,
+                yield pd.DataFrame({"slice": np.arange(SLICES), "salt": TaskContext.get().partitionId() % SALTS, "tasks": 1,
                                     "change": [_pack_change(both[:, i]) for i in range(SLICES)]})
 
         def add(frames):
@@ -404,6 +411,6 @@ def train_and_score(docs: DataFrame, held: Column) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "maxent")
     batches = scratch.write(encode(docs, held), "batches")
     chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    coded, summary = _coded(batches, scratch, max(4, -(-chars // ASKED)))
+    coded, summary = _coded(batches, scratch, max(4, -(-chars // ASKED)), min(20_000, max(12, -(-chars // PART))))
     scratch.drop("batches", "answers")
     return score(coded, fit(coded, summary))
