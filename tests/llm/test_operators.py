@@ -329,6 +329,17 @@ def test_maxent_counts_and_gain(spark):
     assert len(alone) == len(rows) and np.isfinite(alone.score).all()
 
 
+def test_maxent_reruns_agree(spark, tmp_path):
+    """Over several input parts, with repeated rows: equal scores in two runs."""
+    path = str(tmp_path / "docs")
+    (spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', 'a', 'b', id % 7, 'c', id % 11, id) AS text")
+     .unionByName(spark.range(20).selectExpr("id AS doc_id", "'a b c a b c' AS text")).repartition(5, "doc_id").write.parquet(path))
+    docs = spark.read.parquet(path)
+    one, two = (sorted((r.doc_id, r.n_tokens, r.score) for r in maxent.train_and_score(docs, held_out("doc_id", 7, 2)).collect())
+                for _ in range(2))
+    assert len(one) == 320 and one == two
+
+
 def test_maxent_probabilities_add_up(spark):
     """Over all training words and one unseen word, after any history."""
     docs = spark.createDataFrame([(i, f"a b a c d{i % 3} e{i}") for i in range(40)], "doc_id long, text string")

@@ -210,7 +210,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _coded(batches: DataFrame, scratch: Scratch, buckets: int, parts: int):
+def _coded(batches: DataFrame, scratch: Scratch, buckets: int, parts: int = 12):
     """Batches with the total count and the mark of each local word; the summary of all words."""
     kind = "batch long, bucket int, totals binary, gmarks binary"
     answers = scratch.write(_ask(batches, buckets).groupBy("bucket").applyInPandas(_answer, kind), "answers")
