@@ -77,3 +77,62 @@ def test_scores_outside_the_support_make_a_row_impossible(spark):
                                  "a double, b double, loc double, scale double")
     got = {r["loc"]: r.nll for r in beta_nll(x, "x", grid, 0.0).collect()}
     assert got[0.9] == float("inf") and np.isfinite(got[0.0])
+
+
+def _vectors(spark, n, dim=6, seed=3):
+    x = np.round(np.random.default_rng(seed).normal(size=(n, dim)), 1)
+    return x, spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)],
+                                    "id long, embedding array<double>, label int")
+
+
+def test_blocks_travel_once_to_each_cell_of_their_side(spark):
+    """The shuffle before a pair kernel carries the table a number of times that doesn't grow with the blocks."""
+    from tidemark.operators import pairs as P
+
+    _, df = _vectors(spark, 4000)
+    for block_rows in (400, 40):
+        nb, sides = P._layout(df, block_rows)
+        cells = P.pair_cells(P._blocks(df, "id", "embedding", nb), sides)
+        assert sum(len(r.ids) for r in cells.select("ids").collect()) == 4000 * (sides + 1)
+        assert sides <= np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism)) and nb >= 4000 / block_rows
+
+
+def test_kernels_equal_brute_force_over_many_sides(spark, monkeypatch):
+    from tidemark.operators import pairs as P
+
+    monkeypatch.setattr(P, "SIDE_ROWS", 30)
+    x, df = _vectors(spark, 400)
+    assert P._layout(df, 10)[1] > 13
+    d = P._pairwise(x, x, "sql2")
+    key, ids = np.rint(d * 1e9), np.arange(400)
+    got = knn(df, k=3, metric="sql2", block_rows=10).toPandas().sort_values(["q", "nn_rank"])
+    off = np.where(np.eye(400, dtype=bool), np.inf, key)
+    assert got.nbr.to_numpy().reshape(400, 3).tolist() == [np.lexsort((ids, r))[:3].tolist() for r in off]
+    same = (ids[:, None] - ids[None]) % 3 == 0
+    near = P.nearest_by_label(df, metric="sql2", block_rows=10).toPandas().sort_values("id")
+    assert np.allclose(near.d_same, np.where(same & ~np.eye(400, dtype=bool), d, np.inf).min(1))
+    assert np.allclose(near.d_other, np.where(~same, d, np.inf).min(1))
+    i, j = np.triu_indices(400, 1)
+    order = np.lexsort((j, i, key[i, j]))
+    every = all_pairs(df, metric="sql2", block_rows=10).toPandas()
+    assert sorted(zip(every.i, every.j)) == list(zip(i, j)) and np.allclose(every.dist, d[every.i, every.j])
+    top = all_pairs(df, metric="sql2", block_rows=10, top=9).toPandas()
+    assert [(r.i, r.j) for r in top.itertuples()] == [(i[n], j[n]) for n in order[:9]]
+    planted = [(5, 300), (7, 8), (399, 0), (12, 13)]
+    hits = pair_hit_ranks(df, spark.createDataFrame(planted, "id long, id2 long"), metric="sql2", block_rows=10)
+    place = {(i[n], j[n]): r + 1 for r, n in enumerate(order)}
+    assert {(r.i, r.j): r["rank"] for r in hits.collect()} == {tuple(sorted(p)): place[tuple(sorted(p))] for p in planted}
+    by = P.knn_by(df.where("id < 100"), df.where("id >= 100"), ["label"], 2, "sql2", 10).toPandas().sort_values(["q", "nn_rank"])
+    for q in (0, 31, 99):
+        r = np.where(same[q] & (ids >= 100), key[q], np.inf)
+        assert by[by.q == q].nbr.tolist() == np.lexsort((ids, r))[:2].tolist()
+
+
+def test_rows_without_vector_or_label_do_no_harm(spark):
+    from tidemark.operators.pairs import nearest_by_label
+
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0], 1), (4, None, 1), (None, [1.0, 0.0], 0), (5, [1.0, 0.1], None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    got = {r.id: (r.d_same is None, r.d_other is None) for r in nearest_by_label(df).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (True, False), 5: (True, True)}
+    assert len(knn(df, k=1).collect()) == 4
