@@ -60,3 +60,24 @@ def test_few_rows_nulls_and_empty_tables(spark):
     assert pruned_knn(df.where(F.col("id") == 1)).count() == 0
     with pytest.raises(ValueError, match="triangle"):
         pruned_knn(df, metric="dot")
+
+
+def test_rows_without_clusters_are_not_sent_to_every_ring(spark, tmp_path):
+    """All rings stay open here; the rows that travel are those of the sides, not queries times rings."""
+    from tidemark.operators import pruned_knn as P
+
+    x = np.random.default_rng(1).normal(size=(3000, 24))
+    sent, cross = [], P.cross_cells
+
+    def counted(a, b, a_sides, b_sides):
+        cells = cross(a, b, a_sides, b_sides)
+        sent.append(cells.select(F.sum(F.size("ids"))).first()[0] / (a_sides + b_sides))
+        return cells
+
+    P.cross_cells = counted
+    try:
+        got = pruned_knn(vectors(spark, x), k=3, block_rows=64)
+    finally:
+        P.cross_cells = cross
+    assert sent == [3000]
+    assert neighbours(got) == neighbours(knn(vectors(spark, x), k=3))

@@ -10,10 +10,12 @@
 * **First bound.** Each query meets one block of its own ring. Its k-th
   distance there, or the distance within which whole cells must hold k rows,
   bounds its true k-th distance.
-* **Visits.** A ring is visited only if its lower bound does not exceed that:
-  the distance to the pivot less the farthest row, the nearest row less the
-  distance to the pivot, or half of how much farther the pivot is than the
-  query's own. Blocks repeat the test with their own nearest and farthest row.
+* **Visits.** Queries and blocks are dealt to sides, and each side of blocks
+  streams past each side of queries (``pairs.cross_cells``), so the shuffle
+  doesn't grow with what is visited. A query meets a block only if its lower bound
+  does not exceed the query's: the distance to the pivot less the farthest
+  row, the nearest row less the distance to the pivot, or half of how much
+  farther the pivot is than the query's own. The bound falls as rows are found.
 
 Distances and their order are those of ``pairs.knn``, so results are equal.
 ``compared`` counts the rows that a query was compared with. Data without
@@ -35,15 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_double_array
-from tidemark.operators.pairs import _k_best, _pairwise
+from tidemark.operators.pairs import TILE, Nearest, _blocks, _by_cell, _layout, _pairwise, _unpack, cross_cells
 from tidemark.operators.ranking import materialize
 
 CELLS, RINGS = 2048, 32
 PER_CELL = 8          # sampled rows for each pivot
 LEAST = 128           # rows of a ring, about
-CHUNK = 512           # queries that travel to a ring together
-HELD = 200_000        # vectors' numbers times queries held before chunks are sent
-_QUERIES = "cell int, ring int, sub int, qids binary, qvecs binary, bounds binary"
+CHUNK = 512           # queries that travel to a block together
+HELD = 200_000        # queries of 64 numbers held before chunks are sent
+UNIT = 1e-9           # distances are told apart in this unit (``pairs._keys``)
 
 
 def _space(x: np.ndarray, metric: str) -> np.ndarray:
@@ -109,19 +111,6 @@ class Rings:
             out.append((cell, ring, int(i % self.subs[cell, ring])))
         return out
 
-    def visits(self, d: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs ``(query, ring)`` whose lower bound doesn't exceed the query's."""
-        limit = (bound + self.slack)[:, None]
-        open_ = np.maximum(d - self.radius, (d - d.min(1, keepdims=True)) / 2) <= limit
-        q, r = [], []
-        for i in range(len(d)):  # one query at a time: a row of rings, not a matrix
-            at = np.flatnonzero(open_[i][self.cell])
-            x = d[i, self.cell[at]]
-            at = at[np.maximum(x - self.hi[at], self.lo[at] - x) <= limit[i]]
-            q.append(np.full(len(at), i))
-            r.append(at)
-        return np.concatenate(q), np.concatenate(r)
-
 
 def pruned_knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5, id_col: str = "id",
                vec_col: str = "embedding", metric: str = "l2", exclude_self: bool = True,
@@ -172,91 +161,118 @@ def pruned_knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5, id
              F.min("far").alias("lo"), F.max("far").alias("hi")))
     rings = spark.sparkContext.broadcast(Rings(pivots, table, cuts, subs))
 
-    def send(first: bool):
-        """Queries in chunks, to one near block (first) or to all rings that their bounds leave open."""
-        def run(frames: Iterator[pd.DataFrame]):
-            r, held, size = rings.value, {}, 0
-
-            def chunks():
-                out = [(*key, np.array([i for i, _, _ in part[a : a + CHUNK]]).tobytes(),
-                        np.stack([v for _, v, _ in part[a : a + CHUNK]]).tobytes(),
-                        np.array([b for _, _, b in part[a : a + CHUNK]]).tobytes())
-                       for key, part in held.items() for a in range(0, len(part), CHUNK)]
-                held.clear()
-                return pd.DataFrame(out, columns=["cell", "ring", "sub", "qids", "qvecs", "bounds"])
-
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                for a in range(0, len(pdf), 64):
-                    part = pdf.iloc[a : a + 64]
-                    x, ids = np.stack(part["v"].to_numpy()).astype(float), part["id"].to_numpy()
-                    d = r.far(_space(x, metric))
-                    if first:
-                        for i, key in enumerate(r.home(d, ids)):
-                            held.setdefault(key, []).append((ids[i], x[i], np.inf))
-                        size += len(ids)
-                    else:
-                        bound = np.fmin(_straight(part["kth"].to_numpy(float), metric), r.sure(d, k))
-                        if metric in ("cosine", "half_cosine"):
-                            bound[~x.any(1)] = np.inf
-                        q, at = r.visits(d, bound)
-                        for i, j in zip(q, at):
-                            key = (int(r.cells[r.cell[j]]), int(r.ring[j]), 0)
-                            held.setdefault(key, []).append((ids[i], x[i], bound[i]))
-                        size += len(q)
-                    if size * x.shape[1] >= HELD * 64:
-                        yield chunks()
-                        size = 0
-            if held:
-                yield chunks()
-        return run
-
-    def nearest(frames: Iterator[pd.DataFrame]):
-        r, acc, size = rings.value, [], 0
+    def homes(frames: Iterator[pd.DataFrame]):
+        """Queries in chunks, each to one block near it."""
+        r, held, size = rings.value, {}, 0
 
-        def best(parts):
-            x = pd.concat(parts)
-            seen = x.groupby("q")["compared"].sum()
-            x = x.sort_values(["q", "key", "nbr"]).groupby("q").head(k).reset_index(drop=True)
-            fresh = ~x["q"].duplicated()
-            x["compared"] = np.where(fresh, x["q"].map(seen), 0)
-            return x
+        def chunks():
+            out = [(*key, np.array([i for i, _ in part[a : a + CHUNK]]), np.concatenate([v for _, v in part[a : a + CHUNK]]))
+                   for key, part in held.items() for a in range(0, len(part), CHUNK)]
+            held.clear()
+            return pd.DataFrame(out, columns=["cell", "ring", "sub", "ids", "vecs"])
 
         for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                ids = np.asarray(row.ids, np.int64)
-                v = np.asarray(row.vecs, float).reshape(len(ids), -1)
-                qids, bound = np.frombuffer(row.qids, np.int64), np.frombuffer(row.bounds)
-                q = np.frombuffer(row.qvecs).reshape(len(qids), -1)
-                pivot = r.pivots[np.searchsorted(r.cells, row.cell)][None]
-                far = _pairwise(_space(q, metric), pivot, "l2")[:, 0]
-                go = np.maximum(far - row.hi, row.lo - far) <= bound + r.slack
-                if not go.any():
+            for a in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[a : a + CHUNK]
+                x, ids = np.stack(part["v"].to_numpy()).astype(float), part["id"].to_numpy()
+                for i, key in enumerate(r.home(r.far(_space(x, metric)), ids)):
+                    held.setdefault(key, []).append((ids[i], x[i]))
+                size += x.size
+                if size >= HELD * 64:
+                    yield chunks()
+                    size = 0
+        if held:
+            yield chunks()
+
+    def first_bound(frames: Iterator[pd.DataFrame]):
+        """The k-th distance of each query in its near block, where that holds k rows."""
+        for _, part in _by_cell(frames, ("cell", "ring", "sub")):
+            ids = None
+            for row in part:
+                if row.role == 0:
+                    ids, v = _unpack(row)
+                elif ids is not None:
+                    qids, q = _unpack(row)
+                    d = _pairwise(q, v, metric)
+                    if drop_self:
+                        d[qids[:, None] == ids[None]] = np.inf
+                    if d.shape[1] >= k:
+                        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                        yield pd.DataFrame({"id": qids, "kth": np.where(np.isfinite(kth), kth, np.nan)})
+
+    key = ["cell", "ring", "sub"]
+    near = (blocks.select(*key, "ids", "vecs", F.lit(0).alias("role"))
+            .unionByName(asked.mapInPandas(homes, "cell int, ring int, sub int, ids array<long>, vecs array<double>")
+                         .withColumn("role", F.lit(1)))
+            .repartition(*key).sortWithinPartitions(*key, "role").mapInPandas(first_bound, "id long, kth double"))
+    kth = near.groupBy("id").agg(F.min(F.nanvl("kth", F.lit(None).cast("double"))).alias("kth"))
+
+    def bound(frames: Iterator[pd.DataFrame]):
+        r = rings.value
+        for pdf in frames:
+            for a in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[a : a + CHUNK]
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                d = r.far(_space(x, metric))
+                most = np.fmin(_straight(part["kth"].to_numpy(float) + UNIT, metric), r.sure(d, k))
+                if metric in ("cosine", "half_cosine"):
+                    most[~x.any(1)] = np.inf
+                yield part.drop(columns="kth").assign(bound=most, own=d.min(1))
+
+    bounded = materialize(asked.join(kth, "id", "left").mapInPandas(
+        bound, "id long, v array<double>, bound double, own double"))
+
+    def nearest(frames: Iterator[pd.DataFrame]):
+        """A side of queries, with the side's blocks streamed past it: a query meets a block only if its bound leaves it open."""
+        r = rings.value
+        for _, part in _by_cell(frames):
+            held, best, cell = [], None, None
+            for row in part:
+                if row.role == 0:
+                    held.append((*_unpack(row), np.asarray(row.x_bound, float), np.asarray(row.x_own, float)))
                     continue
-                d = _pairwise(q[go], v, metric)
-                if drop_self:
-                    d[qids[go][:, None] == ids[None]] = np.inf
-                found = _k_best(qids[go], ids, d, k)
-                found["compared"] = np.where(found["q"].duplicated(), 0, len(ids))
-                acc.append(found)
-                size += len(found)
-                if size >= HELD:
-                    acc = [best(acc)]
-                    size = len(acc[0])
-                    if size >= HELD // 2:
-                        yield acc[0]
-                        acc, size = [], 0
-        if acc:
-            yield best(acc)
-
-    kind = "q long, nbr long, dist double, key long, compared long"
-    near = asked.mapInPandas(send(True), _QUERIES).join(blocks, ["cell", "ring", "sub"]).mapInPandas(nearest, kind)
-    kth = (near.groupBy("q").agg(F.count("*").alias("found"), F.max("dist").alias("kth"))
-           .select(F.col("q").alias("id"), F.when(F.col("found") >= k, F.col("kth")).alias("kth")))
-    bounded = materialize(asked.join(kth, "id", "left"))
-    found = (bounded.mapInPandas(send(False), _QUERIES).drop("sub").join(blocks, ["cell", "ring"])
-             .mapInPandas(nearest, kind))
+                if not held:
+                    break
+                if best is None:
+                    qids, q, most, own = (np.concatenate([h[i] for h in held]) for i in range(4))
+                    held = [None]   # the queries now lie in one array
+                    points, best, seen = _space(q, metric), Nearest(qids, k), np.zeros(len(qids), np.int64)
+                if row.cell_no != cell:   # blocks come in the order of their cells
+                    cell = row.cell_no
+                    far = _pairwise(points, r.pivots[np.searchsorted(r.cells, cell)][None], "l2")[:, 0]
+                limit = most + r.slack
+                go = np.flatnonzero(np.maximum(np.maximum(far - row.hi, row.lo - far), (far - own) / 2) <= limit)
+                ids, v = _unpack(row)
+                for a in range(0, len(go), TILE):
+                    at = go[a : a + TILE]
+                    d = _pairwise(q[at], v, metric)
+                    if drop_self:
+                        d[qids[at][:, None] == ids[None]] = np.inf
+                    best.meet(at, ids, d)
+                    most[at] = np.where(np.isinf(most[at]) & ~q[at].any(1), np.inf,
+                                        np.fmin(most[at], _straight(best.dist[at, -1] + UNIT, metric)))
+                seen[go] += len(ids)
+            if best is not None:
+                found = best.frame()
+                x = np.nonzero(np.isfinite(best.dist))[0]
+                yield found.assign(compared=np.where(np.r_[True, x[1:] != x[:-1]][: len(x)], seen[x], 0))
+
+    nq, q_sides = _layout(bounded, block_rows)
+    _, b_sides = _layout(rows, block_rows, n=n)
+    queries_ = _blocks(bounded, "id", "v", nq, ["bound", "own"])
+    # blocks are numbered in the order of their cells, so the sides are even whatever the cells
+    start, first = [], 0
+    for c, g in sorted(subs):
+        start.append((c, g, first))
+        first += subs[c, g]
+    numbered = (blocks.join(F.broadcast(spark.createDataFrame(start, "cell int, ring int, first long")), ["cell", "ring"])
+                .select((F.col("first") + F.col("sub")).cast("int").alias("blk"), "ids", "vecs", "lo", "hi",
+                        F.col("cell").alias("cell_no")))
+    nothing = {"lo": "double", "hi": "double", "cell_no": "int"}
+    asked_blocks = queries_.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    base_blocks = numbered.select("*", *[F.lit(None).cast("array<double>").alias(c) for c in ("x_bound", "x_own")])
+    found = cross_cells(asked_blocks, base_blocks, q_sides, b_sides).mapInPandas(
+        nearest, "q long, nbr long, dist double, key long, compared long")
     w = Window.partitionBy("q")
     return (found.withColumn("nn_rank", F.row_number().over(w.orderBy("key", "nbr")))
             .withColumn("compared", F.sum("compared").over(w)).where(F.col("nn_rank") <= k)
