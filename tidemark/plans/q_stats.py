@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logistic, logit, pvalue_stars
 from tidemark.operators.pairs import knn
+from tidemark.operators.ranking import freeze
 from tidemark.operators.sequences import average_rank
 from tidemark.operators.stats import paired_permutation, quantile_fit, quantile_summary, wilcoxon
 from tidemark.plans import sqlparts as S
@@ -123,9 +124,9 @@ def h10_h11_scalars(spark, sf):
 
 
 def _nn_scores(spark, sf):
-    """Nearest-neighbour audit distances in [0, 1], strictly inside for the logs."""
+    """Nearest-neighbour audit distances in [0, 1], strictly inside for the logs; written once, as fits read them often."""
     nn = knn(read_embeddings(spark, sf), k=1, metric="half_cosine")
-    return nn.select(F.least(F.greatest("dist", F.lit(1e-9)), F.lit(1 - 1e-9)).alias("x"))
+    return freeze(nn.select(F.least(F.greatest("dist", F.lit(1e-9)), F.lit(1 - 1e-9)).alias("x")))
 
 
 def _grid(spark):
