@@ -136,3 +136,37 @@ def test_rows_without_vector_or_label_do_no_harm(spark):
     got = {r.id: (r.d_same is None, r.d_other is None) for r in nearest_by_label(df).collect()}
     assert got == {1: (False, False), 2: (False, False), 3: (True, False), 5: (True, True)}
     assert len(knn(df, k=1).collect()) == 4
+
+
+def test_cut_of_all_pairs_equals_the_cut_of_their_ranking(spark):
+    from tidemark.operators.audit import auto_cut, near_duplicate_audit, near_duplicate_cut
+
+    x, df = _vectors(spark, 300)
+    x[150:170] = x[:20] + 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    for q in (0.05, 500.0):
+        want = {(r.i, r.j) for r in auto_cut(near_duplicate_audit(df), 0.1, q).where("flagged").collect()}
+        got = {(r.i, r.j) for r in near_duplicate_cut(df, 0.1, q, block_rows=70).collect()}
+        assert got == want and (want or q == 0.05)
+
+
+def test_pair_detectors_are_measured_without_their_ranking(spark):
+    from tidemark.operators.metrics import ranking_metrics
+    from tidemark.operators.truth import pair_hits
+
+    emb = read_embeddings(spark, SF_SMALL).where("id < 150")
+    c, t = K.near_duplicates(emb, 0.1, 42)
+    c = c.unionByName(c.where("id < 3"))   # rows that come twice
+    got = D.compare(c, t, {"near_duplicate": D.DETECTORS["near_duplicate"]}).toPandas().set_index("detector")
+    for name, rank in D.DETECTORS["near_duplicate"].items():
+        want = ranking_metrics(pair_hits(rank(c), t).select("rank", "hit")).toPandas().iloc[0]
+        assert np.allclose(want.to_numpy(float), got.loc[name, want.index].to_numpy(float))
+
+
+def test_head_of_the_ranking_is_kept_by_the_kernel(spark):
+    from tidemark.operators.audit import near_duplicate_audit
+
+    emb = read_embeddings(spark, SF_SMALL)
+    whole = near_duplicate_audit(emb).where("rank <= 7").toPandas().sort_values("rank")
+    head = near_duplicate_audit(emb, top=7).toPandas().sort_values("rank")
+    assert whole[["rank", "i", "j"]].to_numpy().tolist() == head[["rank", "i", "j"]].to_numpy().tolist()
