@@ -248,3 +248,19 @@ def test_incremental_audit_replay_is_idempotent(spark, tmp_path):
     again = sorted(tuple(r) for r in spark.read.parquet(f"{out}/pairs").select("i", "j").collect())
     assert first == again
     assert spark.read.parquet(f"{out}/state").count() == e.count()
+
+
+def test_sampling_shuffles_the_payload_of_chosen_rows_only(spark):
+    """The rows that aren't chosen are left out before the join; repeated ids are joined as ever."""
+    from tidemark.functions.hashing import hash_key
+
+    df = spark.range(400).selectExpr("id", "repeat(cast(id as string), 50) as text")
+    df = df.unionByName(df.where("id < 5"))
+    got = K.sample_rows(df, 7, "x", 0.1).collect()
+    rows = df.select("id", hash_key(7, "x", "id").alias("h")).orderBy("h", "id").limit(41).collect()
+    twice = {r.id for r in rows if r.id < 5}
+    assert sorted(r.id for r in got) == sorted([r.id for r in rows] + [r.id for r in rows if r.id in twice])
+    assert {r._hrank for r in got} == set(range(1, 42)) and all(r.text == str(r.id) * 50 for r in got)
+    plan = K.sample_rows(df, 7, "x", 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner, (id"):]
+    assert "_last" in join and "RepartitionByExpression" in join

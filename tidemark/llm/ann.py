@@ -16,8 +16,8 @@
   enough rows.
 * **Search.** Blocks and the chunks of queries that visit their leaf are
   joined on the leaf and, for a leaf of many blocks, on one of its parts: its
-  blocks are dealt to parts of ``PART`` blocks, its chunks go to each part. One matrix product per pair proposes the best; their
-  cosines are computed again in double precision from the original vectors
+  blocks are dealt to parts of ``PART`` blocks, its chunks go to each part. One matrix product per pair proposes the best (a task
+  merges those of all its pairs); their cosines are computed again in double precision from the original vectors
   (row sums in a fixed order), so equal vectors tie exactly.
 
 Defined cases: vectors that are null, zero, hold null or non-finite values,
@@ -44,6 +44,7 @@ from tidemark.llm.common import Scratch, rows_at_once
 
 SAMPLE, SAMPLE_NUMBERS, LEAVES, CALIBRATION = 16_384, 1 << 25, 144, 200
 BLOCK, CHUNK, PART = 2048, 256, 16
+HELD = 200_000   # found rows that a task merges before it sends them on
 VECTORS = "leaf int, block long, ids binary, vectors binary"
 CHUNKS = "leaf int, part int, qids binary, qvectors binary"
 
@@ -186,8 +187,13 @@ def _pack(rows: DataFrame, leaf_of, size: int) -> DataFrame:
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` per query of each (block, chunk) pair, then of all of them."""
+    """The best ``k`` per query of each task's (block, chunk) pairs, then of all of them."""
+    def first(parts: list) -> pd.DataFrame:
+        x = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return x[x.groupby("query_id", sort=False).cumcount() < k]
+
     def run(frames: Iterator[pd.DataFrame]):
+        held, size = [], 0
         for pdf in frames:
             for r in pdf.itertuples():
                 ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
@@ -205,7 +211,16 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
                 a, b, exact = a[order], b[order], exact[order]
                 rank = np.arange(len(a)) - np.searchsorted(a, a)
                 keep = rank < k
-                yield pd.DataFrame({"query_id": qids[a[keep]], "vec_id": ids[b[keep]], "score": exact[keep]})
+                held.append(pd.DataFrame({"query_id": qids[a[keep]], "vec_id": ids[b[keep]], "score": exact[keep]}))
+                size += len(held[-1])
+                if size >= HELD:
+                    held = [first(held)]
+                    size = len(held[0])
+                    if size >= HELD // 2:   # many queries rather than many blocks
+                        yield held[0]
+                        held, size = [], 0
+        if held:
+            yield first(held)
 
     found = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -278,7 +293,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     dealt = spark.createDataFrame(list(parts.items()), "leaf int, parts int")
     blocks = (packed.join(F.broadcast(dealt), "leaf")
               .withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts"))
-    return _best(blocks.join(queries, ["leaf", "part"]), k)
+    # as many tasks whatever the size: each sends on k rows of a query, however many blocks the query meets there
+    tasks, key = 2 * spark.sparkContext.defaultParallelism, ["leaf", "part"]
+    return _best(blocks.repartition(tasks, *key).join(queries.repartition(tasks, *key), key), k)
 
 
 def _against_all(packed: DataFrame, some: DataFrame) -> DataFrame:

@@ -102,16 +102,21 @@ def sample_rows(df: DataFrame, seed: int, salt: str, frac: float | None = None,
     """The ``ceil(frac * n)`` (or ``n_errors``) rows first in seeded hash order.
 
     Adds ``_hrank`` (1..m), the position in hash order. Only (hash, id) is
-    sorted and written; the rows of the chosen ids are joined afterwards.
+    sorted and written; the rows of the chosen ids are joined afterwards. The
+    chosen rows are those up to the last chosen (hash, id), so the others are
+    left out where they are read and their payload isn't shuffled.
     """
     keyed = df.select(id_col, hash_key(seed, salt, id_col).alias("_hkey"))
-    ranked = global_rank(keyed, ["_hkey", id_col], "_hrank").drop("_hkey")
+    ranked = global_rank(keyed, ["_hkey", id_col], "_hrank")
     if n_errors is not None:
         chosen = ranked.where(F.col("_hrank") <= F.lit(int(n_errors)))
     else:
         m = _count(df).select(F.ceil(F.col("_n") * F.lit(float(frac))).cast("bigint").alias("_m"))
         chosen = ranked.crossJoin(m).where(F.col("_hrank") <= F.col("_m")).drop("_m")
-    return df.join(chosen, id_col).select(*df.columns, "_hrank")
+    last = chosen.agg(F.max(F.struct("_hkey", id_col)).alias("_last"))   # one row
+    upto = F.struct(hash_key(seed, salt, id_col).alias("_hkey"), F.col(id_col).alias(id_col)) <= F.col("_last")
+    near = df.crossJoin(F.broadcast(last)).where(upto).drop("_last").repartition(id_col)
+    return near.join(chosen.drop("_hkey"), id_col).select(*df.columns, "_hrank")
 
 
 def _next_id(df: DataFrame, name: str = "_n") -> DataFrame:
