@@ -60,3 +60,27 @@ def test_replay_nulls_and_empty_batches(spark, tmp_path):
     score = {r.id: r.score for r in label_scores(spark, out).collect()}
     assert set(score) == {1, 2, 4, 5, 6}
     assert score[5] == pytest.approx(0.0, abs=1e-9)   # its other-label neighbour is equal to it
+
+
+def test_new_rows_travel_once_to_each_side_of_the_stored_ones(spark, tmp_path):
+    """What travels is the rows times the sides, also where every cell stays open (before: new rows times open cells)."""
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import audit_stream as A
+
+    e, out = _table(spark, 600, 1), str(tmp_path / "c")
+    sent, cross = [], A.cross_cells
+
+    def counted(a, b, a_sides, b_sides):
+        cells = cross(a, b, a_sides, b_sides)
+        sent.append(cells.select(F.sum(F.size("ids"))).first()[0] - 300 * (a_sides + b_sides))
+        return cells
+
+    process_batch(spark, e.where("vec_id % 2 = 0"), 0, out, max_dist=1.0)
+    A.cross_cells = counted
+    try:
+        process_batch(spark, e.where("vec_id % 2 = 1"), 1, out, max_dist=1.0)
+    finally:
+        A.cross_cells = cross
+    assert sent == [0]
+    assert spark.read.parquet(f"{out}/pairs").count() == 600 * 599 // 2

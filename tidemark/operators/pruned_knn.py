@@ -238,7 +238,7 @@ def pruned_knn(queries: DataFrame, base: DataFrame | None = None, k: int = 5, id
                     held = [None]   # the queries now lie in one array
                     points, best, seen = _space(q, metric), Nearest(qids, k), np.zeros(len(qids), np.int64)
                 if row.cell_no != cell:   # blocks come in the order of their cells
-                    cell = row.cell_no
+                    cell = int(row.cell_no)
                     far = _pairwise(points, r.pivots[np.searchsorted(r.cells, cell)][None], "l2")[:, 0]
                 limit = most + r.slack
                 go = np.flatnonzero(np.maximum(np.maximum(far - row.hi, row.lo - far), (far - own) / 2) <= limit)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import l2_normalize
-from tidemark.operators.pairs import _pairwise, all_pairs, nearest_by_label
+from tidemark.operators.pairs import _blocks, _by_cell, _layout, _pairwise, _unpack, all_pairs, cross_cells, nearest_by_label
 from tidemark.operators.pruned_knn import _space, _straight
 from tidemark.operators.ranking import freeze, global_rank
 from tidemark.session import ensure_checkpoint_dir, path_exists
@@ -88,50 +88,75 @@ def _pivots(spark: SparkSession, new: DataFrame, path: str) -> np.ndarray:
     return np.stack(rows.to_numpy())
 
 
-def _open(x: np.ndarray, bound: np.ndarray, pivots: np.ndarray, cells: pd.DataFrame, max_dist: float):
-    """For each cell, the rows of ``x`` that it may concern."""
-    d = _pairwise(_space(x, METRIC), _space(pivots, METRIC), "l2")
-    for c in cells.itertuples(index=False):
-        lower = np.maximum(d[:, c.cell] - c.hi, c.lo - d[:, c.cell])
-        limit = np.maximum(bound, _straight(np.array([max(max_dist, c.reach)]), METRIC)[0])
-        yield c.cell, np.flatnonzero(lower <= limit + SLACK)
-
-
-def _meet(frames, max_dist: float):
-    """Rows of visited cells against new rows: close pairs, and nearest distances of both sides."""
-    pairs, near, held, compared = [], [], 0, 0
-
-    def flush():
-        best = pd.concat(near).groupby("i", as_index=False).min().assign(kind="near")
-        out = pd.concat([*pairs, best, pd.DataFrame({"kind": ["work"], "compared": [compared]})])
-        pairs.clear()
-        near.clear()
-        out = out.reindex(columns=["kind", "i", "j", "dist", "d_same", "d_other", "compared"]).replace(np.inf, np.nan)
-        return out.astype({"i": "Int64", "j": "Int64", "compared": "Int64"})
-
-    for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            ia, ib = np.frombuffer(r.ids, np.int64), np.asarray(r.old_ids, np.int64)
-            va = np.frombuffer(r.vecs).reshape(len(ia), -1)
-            vb = np.asarray(r.old_vecs, float).reshape(len(ib), -1)
-            d = _pairwise(va, vb, METRIC)
-            same = np.frombuffer(r.labels, np.int32)[:, None] == np.asarray(r.old_labels, np.int32)[None]
-            other_id = ia[:, None] != ib[None]
-            x, y = np.nonzero((d <= max_dist) & other_id)
-            if len(x):
-                pairs.append(pd.DataFrame({"i": np.minimum(ia[x], ib[y]), "j": np.maximum(ia[x], ib[y]), "dist": d[x, y], "kind": "pair"}))
-            ds, do = np.where(same & other_id, d, np.inf), np.where(~same & other_id, d, np.inf)
-            near.append(pd.DataFrame({"i": ia, "d_same": ds.min(1), "d_other": do.min(1)}))
-            s, o = ds.min(0), do.min(0)
-            closer = (s < np.asarray(r.old_same, float)) | (o < np.asarray(r.old_other, float))
-            near.append(pd.DataFrame({"i": ib[closer], "d_same": s[closer], "d_other": o[closer]}))
-            compared += d.size
-            held += len(x) + len(ia) + int(closer.sum())
+def _open(far: np.ndarray, bound: np.ndarray, c, max_dist: float) -> np.ndarray:
+    """The new rows that a cell may concern, from their distances to its pivot."""
+    limit = np.maximum(bound, _straight(np.array([max(max_dist, c.reach)]), METRIC)[0])
+    return np.flatnonzero(np.maximum(far - c.hi, c.lo - far) <= limit + SLACK)
+
+
+def _bound(d_same, d_other) -> np.ndarray:
+    """Straight distance within which a new row may find a nearer one than in its own batch."""
+    own = np.stack([np.asarray(d_same, float), np.asarray(d_other, float)], axis=1)
+    return np.where(np.isnan(own).any(1), np.inf, _straight(own.max(1), METRIC))
+
+
+def _meet(frames, shared, max_dist: float):
+    """A side of new rows, with the side's blocks of visited cells streamed past it: close pairs, and nearest
+    distances of both sides. A new row meets only the cells that may concern it."""
+    pivots, cells = shared.value
+    table = {c.cell: c for c in cells.itertuples(index=False)}
+    held, compared, out = 0, 0, []
+
+    def sent():
+        got = pd.concat(out).reindex(columns=["kind", "i", "j", "dist", "d_same", "d_other", "compared"]).replace(np.inf, np.nan)
+        out.clear()
+        return got.astype({"i": "Int64", "j": "Int64", "compared": "Int64"})
+
+    for _, rows in _by_cell(frames):
+        new, far_of, far = [], None, None
+        for r in rows:
+            if r.role == 0:
+                new.append((*_unpack(r), np.asarray(r.x_label, np.int32), _bound(r.x_d_same, r.x_d_other)))
+                continue
+            if not new:
+                break
+            if far_of is None:
+                ids, vecs, labels, bound = (np.concatenate([n[i] for n in new]) for i in range(4))
+                new = [None]   # the rows now lie in one array
+                points, best = _space(vecs, METRIC), np.full((2, len(ids)), np.inf)
+            if r.of_cell != far_of:   # blocks come in the order of their cells
+                far_of = int(r.of_cell)
+                far = _pairwise(points, _space(pivots[[far_of]], METRIC), "l2")[:, 0]
+            ib, vb = _unpack(r)
+            lb, was = np.asarray(r.x_label, np.int32), (np.asarray(r.x_d_same, float), np.asarray(r.x_d_other, float))
+            least = np.full((2, len(ib)), np.inf)
+            go = _open(far, bound, table[far_of], max_dist)
+            for a in range(0, len(go), BLOCK):
+                at = go[a : a + BLOCK]
+                d = _pairwise(vecs[at], vb, METRIC)
+                same, other_id = labels[at][:, None] == lb[None], ids[at][:, None] != ib[None]
+                x, y = np.nonzero((d <= max_dist) & other_id)
+                if len(x):
+                    gi, gj = ids[at][x], ib[y]
+                    out.append(pd.DataFrame({"i": np.minimum(gi, gj), "j": np.maximum(gi, gj), "dist": d[x, y], "kind": "pair"}))
+                    held += len(x)
+                for i, m in enumerate((np.where(same & other_id, d, np.inf), np.where(~same & other_id, d, np.inf))):
+                    best[i, at] = np.minimum(best[i, at], m.min(1))
+                    least[i] = np.minimum(least[i], m.min(0))
+                compared += d.size
+            closer = (least[0] < was[0]) | (least[1] < was[1])
+            if closer.any():
+                out.append(pd.DataFrame({"i": ib[closer], "d_same": least[0][closer], "d_other": least[1][closer], "kind": "near"}))
+                held += int(closer.sum())
             if held >= HELD:
-                yield flush()
-                held = compared = 0
-    if near:
-        yield flush()
+                yield sent()
+                held = 0
+        if far_of is not None:
+            out.append(pd.DataFrame({"i": ids, "d_same": best[0], "d_other": best[1], "kind": "near"}))
+            yield sent()
+            held = 0
+    yield pd.DataFrame({"kind": ["work"], "compared": [compared]}).reindex(
+        columns=["kind", "i", "j", "dist", "d_same", "d_other", "compared"]).astype({"i": "Int64", "j": "Int64"})
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
@@ -154,33 +179,38 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
         "id", "embedding", "label", F.nanvl("d_same", F.lit(None)).alias("d_same"), F.nanvl("d_other", F.lit(None)).alias("d_other"))
     shared = spark.sparkContext.broadcast((pivots, cells))   # bounded by CELLS
 
-    def send(frames):
+    def visits(frames):
         p, table = shared.value
         for pdf in frames:
-            for a in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[a : a + BLOCK]
-                x = np.stack(part["embedding"].to_numpy()).astype(float)
-                ids, labels = part["id"].to_numpy(np.int64), part["label"].to_numpy(np.int32)
-                own = part[["d_same", "d_other"]].to_numpy(float)
-                bound = np.where(np.isnan(own).any(1), np.inf, _straight(own.max(1), METRIC))
-                for cell, at in _open(x, bound, p, table, max_dist):
-                    if len(at):
-                        yield pd.DataFrame([(cell, ids[at].tobytes(), x[at].tobytes(), labels[at].tobytes())],
-                                           columns=["cell", "ids", "vecs", "labels"])
+            if len(pdf):
+                d = _pairwise(_space(np.stack(pdf["embedding"].to_numpy()).astype(float), METRIC), _space(p, METRIC), "l2")
+                bound = _bound(pdf["d_same"], pdf["d_other"])
+                yield pd.DataFrame({"cell": [c.cell for c in table.itertuples(index=False)
+                                             if len(_open(d[:, c.cell], bound, c, max_dist))]}, dtype="int32")
 
     inner = freeze(inner)
-    asked = freeze(inner.mapInPandas(send, "cell int, ids binary, vecs binary, labels binary"))
-    visited = [r["cell"] for r in asked.select("cell").distinct().collect()]   # at most CELLS
-    n_visited = int(cells.loc[cells["cell"].isin(visited), "n"].sum())
+    visited = sorted(r["cell"] for r in inner.mapInPandas(visits, "cell int").distinct().collect())   # at most CELLS
+    n_rows = {int(c): int(n) for c, n in zip(cells["cell"], cells["n"]) if c in set(visited)}
+    n_visited = sum(n_rows.values())
     old = _read(spark, f"{out_dir}/state", STATE_SCHEMA).where(earlier & F.col("cell").isin(visited))
-    subs = spark.createDataFrame([(int(c), -(-int(n) // BLOCK)) for c, n in zip(cells["cell"], cells["n"])], "cell int, subs int")
+    # a cell's rows in blocks, numbered in the order of the cells; both sides travel once to each cell of the grid
+    subs, first = [], 0
+    for c in visited:
+        subs.append((int(c), -(-n_rows[c] // BLOCK), first))
+        first += subs[-1][1]
     none = F.lit(float("inf"))
-    blocks = (old.join(F.broadcast(subs), "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("subs")).alias("sub")).agg(
-        F.collect_list("id").alias("old_ids"), F.flatten(F.collect_list("embedding")).alias("old_vecs"),
-        F.collect_list("label").alias("old_labels"), F.collect_list(F.coalesce("d_same", none)).alias("old_same"),
-        F.collect_list(F.coalesce("d_other", none)).alias("old_other")).drop("sub"))
-    met = freeze(asked.join(blocks, "cell").mapInPandas(
-        lambda frames: _meet(frames, max_dist),
+    places = spark.createDataFrame(subs, "cell int, subs int, first int")
+    row = F.struct("id", "embedding", "label", F.coalesce("d_same", none).alias("d_same"), F.coalesce("d_other", none).alias("d_other"))
+    blocks = (old.join(F.broadcast(places), "cell")
+              .groupBy(F.col("cell").alias("of_cell"), (F.col("first") + F.pmod(F.xxhash64("id"), F.col("subs"))).cast("int").alias("blk"))
+              .agg(F.collect_list(row).alias("_r"))
+              .select("blk", F.col("_r.id").alias("ids"), F.flatten("_r.embedding").alias("vecs"),
+                      *[F.col(f"_r.{c}").alias(f"x_{c}") for c in ("label", "d_same", "d_other")], "of_cell"))
+    nb, new_sides = _layout(inner, BLOCK)
+    _, old_sides = _layout(inner, BLOCK, n=n_visited)
+    asked = _blocks(inner, "id", "embedding", nb, ["label", "d_same", "d_other"]).withColumn("of_cell", F.lit(None).cast("int"))
+    met = freeze(cross_cells(asked, blocks, new_sides, old_sides).mapInPandas(
+        lambda frames: _meet(frames, shared, max_dist),
         "kind string, i long, j long, dist double, d_same double, d_other double, compared long"))
 
     pairs = all_pairs(new, max_dist=max_dist).unionByName(met.where("kind = 'pair'").select("i", "j", "dist"))
