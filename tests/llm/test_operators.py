@@ -692,3 +692,23 @@ def test_items_and_documents_without_ids(spark):
     got = sorted(map(repr, (tuple(r) for r in decontam.contaminated(docs, items).collect())))
     assert got == ["(1, None, 2, 2, 1.0)", "(None, None, 2, 2, 1.0)"]
     assert sorted(map(repr, map(tuple, decontam.clean(docs, items).collect()))) == ["(1, 'x y')", "(2, None)"]
+
+
+def test_a_task_of_the_vector_search_sends_k_rows_of_a_query():
+    """Rows sent don't grow with the blocks that a query meets; the best of equal scores has the smaller id."""
+    from tidemark.llm import ann
+
+    class Pairs:
+        def mapInPandas(self, run, schema):  # noqa: N802
+            self.run = run
+            raise LookupError
+
+    pairs = Pairs()
+    with pytest.raises(LookupError):
+        ann._best(pairs, 2)
+    x = np.random.default_rng(4).normal(size=(40, 3))
+    x[30:] = x[:10]
+    q = np.array([100, 101])
+    rows = [(0, np.arange(a, a + 4).tobytes(), x[a : a + 4].tobytes(), q.tobytes(), x[:2].tobytes()) for a in range(0, 40, 4)]
+    got = pd.concat(pairs.run(iter([pd.DataFrame(rows, columns=["leaf", "ids", "vectors", "qids", "qvectors"])])))
+    assert len(got) == 4 and got[got.query_id == 100].vec_id.tolist() == [0, 30]
