@@ -120,3 +120,27 @@ def test_beta_nll_uniform_is_zero(spark):
     g = spark.createDataFrame([(1.0, 1.0, 0.0, 1.0)], "a double, b double, loc double, scale double")
     r = beta_nll(x, "x", g, 0.0).collect()[0]
     assert r.nll == pytest.approx(0.0, abs=1e-12)
+
+
+def test_ranking_of_all_hash_pairs_writes_no_pairs(spark, monkeypatch):
+    """Ranks come from counts, whatever ids repeat; nothing of the size of the pairs is written or shuffled."""
+    from tidemark.operators import ranking
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.normal(size=64).tolist()) for i in rng.permutation(300) - 50]
+    rows += [rows[3], rows[3], rows[7], (None, rows[0][1]), (900, None), (901, None), (901, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    written, write = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda d: written.append(write(d)) or written[-1])
+    monkeypatch.setattr(D, "freeze", lambda d: ranking.materialize(d))
+    monkeypatch.setattr(D, "PAIRS_OUT", 7, raising=False)
+    h = {r.id: r.hash & (2**64 - 1) for r in D.phash(df).collect()}
+    ids = sorted(r[0] for r in rows if r[0] is not None)
+    want = sorted(((h[a] ^ h[b]).bit_count() / 64, a, b) for n, a in enumerate(ids) for b in ids[n + 1 :])
+    ranked = D.phash_pairs(df)
+    got = sorted((r["rank"], r.score, r.i, r.j) for r in ranked.collect())
+    assert got == [(n + 1, *r) for n, r in enumerate(want)]
+    assert max(d.count() for d in written) <= len(ids)
+    many = D._ranked_by_counts(D.phash(df), block_rows=40)   # blocks and cells of few rows
+    assert sorted((r["rank"], r.score, r.i, r.j) for r in many.collect()) == got
+    assert D.phash_pairs(df.limit(0)).count() == 0
