@@ -170,3 +170,20 @@ def test_head_of_the_ranking_is_kept_by_the_kernel(spark):
     whole = near_duplicate_audit(emb).where("rank <= 7").toPandas().sort_values("rank")
     head = near_duplicate_audit(emb, top=7).toPandas().sort_values("rank")
     assert whole[["rank", "i", "j"]].to_numpy().tolist() == head[["rank", "i", "j"]].to_numpy().tolist()
+
+
+def test_off_topic_eval_writes_the_destroyed_table_once(spark, monkeypatch):
+    """The pair layer's null filter would otherwise be pushed below the perturbation and evaluate it row by row, nested."""
+    from tidemark.operators import detectors as D
+    from tidemark.plans import q_core
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.normal(size=16)], int(i % 4)) for i in range(80)]
+    emb = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    seen, real = [], D.outliers
+    monkeypatch.setattr(q_core, "read_embeddings", lambda spark, sf: emb)
+    monkeypatch.setattr(D, "outliers", lambda e, *a: seen.append(e) or real(e, *a))
+    q_core.l1_off_topic_eval_knn(spark, "")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "Join" not in plan
+    assert seen[0].count() == 80

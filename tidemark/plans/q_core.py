@@ -240,9 +240,10 @@ r AS (SELECT row_number() OVER (ORDER BY -round(score, 9), id) AS rank, id FROM
 def l1_off_topic_eval_knn(spark, sf):
     """L1 (off-topic): K3 -> J8 kNN-distance outlier ranking -> C4 -> metrics."""
     from tidemark.operators import detectors as D
+    from tidemark.operators.ranking import freeze
 
     c, t = K.destroy(read_embeddings(spark, sf), FRAC, SEED)
-    ranked = D.outliers(c, lambda e: D.knn_distance(e, 5), 0.1)
+    ranked = D.outliers(freeze(c), lambda e: D.knn_distance(e, 5), 0.1)
     return ranking_metrics(id_hits(ranked, t).select("rank", "hit"))
 
 
