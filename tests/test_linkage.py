@@ -67,3 +67,21 @@ def test_rounds_do_not_grow_with_the_diameter(spark):
     edges = [(i, i + 1, float((i * 7919) % 1009)) for i in range(600)]
     rounds = list(linkage._rounds(spark.createDataFrame(edges, "a long, b long, dist double"), []))
     assert len(rounds) <= 9   # log2 of 601 nodes
+
+
+def test_nodes_meet_their_component_once(spark, monkeypatch):
+    rnd = random.Random(3)   # lengths without order along a path: several rounds
+    df = spark.createDataFrame([(i, i + 1, rnd.random()) for i in range(200)], "a long, b long, dist double")
+    nodes, frozen = spark.createDataFrame([(i,) for i in range(203)], "id long"), []
+
+    def freeze(table):
+        out = real(table)
+        frozen.append((set(out.columns), out.count()))
+        return out
+
+    real = linkage.freeze
+    monkeypatch.setattr(linkage, "freeze", freeze)
+    got = {r.id: r.comp for r in linkage.components(nodes, df).collect()}
+    assert got == {i: 0 if i <= 200 else i for i in range(203)}
+    assert sum("e" in cols and "ca" in cols for cols, _ in frozen) > 3   # the edges left after each round
+    assert sum(n for cols, n in frozen if "id" in cols) == 203

@@ -12,8 +12,10 @@ graph of n nodes takes at most log2 n rounds, however wide it is.
   choices at its root; the smaller of the pair is the root, and pointers are
   halved until all name their root: log2 of the tree's depth steps.
 * Between two components only the shortest edge is carried to the next round.
+* Nodes meet their component once, after the last round: the rounds' pointers
+  are joined backwards, the smallest round first.
 * Every round is written to the checkpoint folder: lost executors cost a
-  round's step, and no plan grows.
+  round's step, and the rounds' plans don't grow.
 
 The merges of the single-linkage dendrogram are the forest's edges in the
 order of ``(dist, a, b)``.
@@ -73,6 +75,23 @@ def _rounds(edges: DataFrame, by: list[str]):
         left = freeze(_between(moved.select(*by, F.col("_ra").alias("ca"), F.col("_rb").alias("cb"), "e"), by))
 
 
+def _joined(rounds: list[DataFrame], by: list[str]) -> DataFrame | None:
+    """``(by.., comp, root)`` after all rounds for each component of the first one.
+
+    From the last round back: a round has at most half the components of the
+    one before, so all joins together read about two rows for each node,
+    whatever the number of rounds.
+    """
+    to = None
+    for roots in reversed(rounds):
+        if to is None:
+            to = roots
+            continue
+        later = to.select(*by, F.col("comp").alias("root"), F.col("root").alias("_last"))
+        to = roots.join(later, [*by, "root"], "left").select(*by, "comp", F.coalesce("_last", "root").alias("root"))
+    return to
+
+
 def spanning_forest(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Edges ``(by.., a, b, dist)`` of the minimum spanning forest, a < b; ties go to the smaller (a, b)."""
     by = list(by or [])
@@ -89,10 +108,10 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None)
     """Connected components: ``(by.., id, comp)`` for each distinct ``(by.., id)`` of ``nodes``, comp = smallest id."""
     by = list(by or [])
     label = nodes.select(*by, "id").distinct().withColumn("_c", F.col("id"))
-    for _, roots in _rounds(edges, by):
-        to = roots.select(*by, F.col("comp").alias("_c"), F.col("root").alias("_r"))
-        label = freeze(label.join(to, [*by, "_c"], "left").select(
-            *by, "id", F.coalesce("_r", "_c").alias("_c")))
+    to = _joined([roots for _, roots in _rounds(edges, by)], by)
+    if to is not None:
+        label = freeze(label.join(to.select(*by, F.col("comp").alias("_c"), F.col("root").alias("_r")), [*by, "_c"], "left")
+                       .select(*by, "id", F.coalesce("_r", "_c").alias("_c")))
     # a graph may name nodes that the table lacks; the smallest id is that of a row of the table
     least = label.groupBy(*by, "_c").agg(F.min("id").alias("comp"))
     return label.join(least, [*by, "_c"]).select(*by, "id", "comp")
