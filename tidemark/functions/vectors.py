@@ -77,19 +77,40 @@ def hashed_bow(df, id_col: str, text_col: str, dims: int = 64):
     """Hashed bag of words: ``(id, embedding array<double>)`` of token counts in
     ``dims`` md5 buckets (tokens = lower-cased whitespace splits).
 
-    Whole texts are tokenised; the long token table is aggregated by
-    ``(id, bucket)`` with map-side partial counts, then densified per row.
+    Whole texts are tokenised. The tokens of a batch of rows are counted where
+    they are, each different one hashed once, so only a vector per row is
+    shuffled; rows that repeat an id are added up and each gets the sum. A
+    null text and a null id give zeros.
     """
     from pyspark.sql import functions as Fn
 
-    toks = df.select(Fn.col(id_col).alias("id"),
-                     Fn.explode(Fn.split(Fn.lower(Fn.col(text_col)), r"\s+")).alias("tok"))
-    toks = toks.where(Fn.length("tok") > 0)
-    bucket = Fn.pmod(Fn.conv(Fn.substring(Fn.md5("tok"), 1, 8), 16, 10).cast("bigint"), Fn.lit(dims))
-    cnt = toks.groupBy("id", bucket.alias("b")).agg(Fn.count(Fn.lit(1)).cast("double").alias("c"))
-    per = cnt.groupBy("id").agg(Fn.map_from_entries(Fn.collect_list(Fn.struct("b", "c"))).alias("m"))
-    dense = per.select("id", Fn.transform(Fn.sequence(Fn.lit(0), Fn.lit(dims - 1)),
-                                          lambda i: Fn.coalesce(Fn.col("m")[i.cast("bigint")], Fn.lit(0.0)))
-                       .alias("embedding"))
-    return df.select(Fn.col(id_col).alias("id")).join(dense, "id", "left").select(
-        "id", Fn.coalesce("embedding", Fn.array_repeat(Fn.lit(0.0), dims)).alias("embedding"))
+    toks = df.select(Fn.col(id_col).alias("id"), Fn.lower(Fn.col(text_col)).cast("binary").alias("text"))
+    kind = toks.schema["id"].dataType.simpleString()
+
+    def count(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        class Buckets(dict):
+            def __missing__(self, word):
+                if len(self) >= 1 << 20:
+                    self.clear()
+                at = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % dims
+                return at
+
+        of = Buckets()
+        for batch in batches:
+            c = np.zeros((batch.num_rows, dims))
+            for row, text in zip(c, batch.column("text")):
+                if text.is_valid:   # bytes split at the white space of \\s, and leave no empty token
+                    words = text.as_buffer().to_pybytes().split()
+                    row[:] = np.bincount([of[w] for w in words], minlength=dims) if words else 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(
+                np.arange(0, c.size + 1, dims, dtype=np.int32), pa.array(c.ravel()))], ["id", "v"])
+
+    sums = toks.mapInArrow(count, f"id {kind}, v array<double>").groupBy("id").agg(
+        *[Fn.sum(Fn.col("v")[i]).alias(f"v{i}") for i in range(dims)], Fn.count(Fn.lit(1)).cast("int").alias("m"))
+    vec = Fn.array(*[Fn.when(Fn.col("id").isNull(), 0.0).otherwise(Fn.col(f"v{i}")) for i in range(dims)])
+    return sums.select("id", vec.alias("embedding"), Fn.explode(Fn.array_repeat(Fn.lit(0), Fn.col("m")))).select("id", "embedding")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import as_double_array
 
 SIDE_ROWS = 65_536    # rows of a side of a cell, about (32 MB of 64 dimensions)
+STRIP = 256           # rows of a block that are filtered at once
 TILE = 4096           # queries of a side that are compared with a block at once
 METRICS = ("half_cosine", "cosine", "l2", "sql2", "dot")
 
@@ -141,6 +142,135 @@ def _measure(metric):
     return metric if callable(metric) else lambda a, b: _pairwise(a, b, metric)
 
 
+class Whole:
+    """How counting kernels measure two blocks. Any metric: all pairs of the blocks at once.
+
+    ``prepared`` is what a block's vectors are kept as, ``within`` gives the flat places of all pairs of two blocks
+    that are no farther than ``far`` and their distances, ``of`` the distances of named pairs. A pair has the same
+    distance in both, to the last bit.
+    """
+
+    def __init__(self, metric):
+        self.all = _measure(metric)
+
+    def prepared(self, v):
+        return v
+
+    def rough(self, a, b):
+        return self.all(a, b)
+
+    def margin(self, a) -> float:
+        return 0.0
+
+    def within(self, a, b, far):
+        d = self.all(a, b).ravel()
+        at = np.flatnonzero(d <= far)
+        return at, d[at]
+
+    def of(self, a, b, ii, jj):
+        return self.all(a, b)[ii, jj]
+
+
+class Filtered(Whole):
+    """A metric whose ``rough`` is a cheap form in single precision, wrong by ``margin`` at most: pairs that may be near
+    are measured again, each by sums in the order of its components, whatever block they come from."""
+
+    def within(self, a, b, far):
+        d = self.rough(a, b)
+        limit = np.float32(far) + np.float32(self.margin(a))
+        if d.min() > limit:   # not so with a NaN
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        at = np.flatnonzero(~(d.ravel() > limit))
+        exact = self.of(a, b, *np.divmod(at, d.shape[1]))
+        near = exact <= far
+        return at[near], exact[near]
+
+
+def _products(x: np.ndarray, y: np.ndarray, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+    """Scalar products of named columns of ``x`` and ``y``, each summed in the order of the components."""
+    n = x.shape[1] * y.shape[1]
+    out = np.zeros(len(ii))
+    if 5 * len(ii) > n:   # most pairs of the blocks: all at once, strip by strip
+        full = np.zeros((x.shape[1], y.shape[1]))
+        for lo in range(0, x.shape[1], 64):
+            strip = full[lo : lo + 64]
+            for k in range(len(x)):
+                strip += x[k, lo : lo + 64, None] * y[k]
+        return full[ii, jj]
+    for lo in range(0, len(ii) if len(x) else 0, 2048):
+        p, q = ii[lo : lo + 2048], jj[lo : lo + 2048]
+        out[lo : lo + 2048] = np.add.accumulate(x[:, p] * y[:, q], axis=0)[-1]
+    return out
+
+
+class HalfCosine(Filtered):
+    """The audit distance ``(1 - cos) / 2``."""
+
+    def __init__(self):
+        super().__init__("half_cosine")
+
+    def prepared(self, v):
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        n[n == 0] = 1.0
+        x = v / n
+        return np.ascontiguousarray(x.T), x.astype(np.float32)
+
+    def margin(self, a):
+        return (len(a[0]) + 8) * 2.0**-23
+
+    def rough(self, a, b):
+        c = a[1] @ b[1].T
+        c *= np.float32(-0.5)
+        c += np.float32(0.5)
+        return c
+
+    def within(self, a, b, far):
+        limit = np.float32(1.0 - 2.0 * (far + self.margin(a)))
+        found, wide = [], len(b[1])
+        cos = np.empty((min(STRIP, len(a[1])), wide), dtype=np.float32)
+        for lo in range(0, len(a[1]), STRIP):
+            c = np.matmul(a[1][lo : lo + STRIP], b[1].T, out=cos[: len(a[1]) - lo])
+            if not c.max() < limit:   # not so with a NaN
+                found.append(np.flatnonzero(~(c.ravel() < limit)) + lo * wide)
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        at = np.concatenate(found)
+        exact = self.of(a, b, *np.divmod(at, wide))
+        near = exact <= far
+        return at[near], exact[near]
+
+    def of(self, a, b, ii, jj):
+        return (1.0 - _products(a[0], b[0], ii, jj)) / 2.0
+
+
+def _counting(metric) -> Whole:
+    """The measure of a counting kernel for a metric's name, a function of two blocks, or a measure itself."""
+    if isinstance(metric, Whole):
+        return metric
+    return HalfCosine() if metric == "half_cosine" else Whole(metric)
+
+
+def _prepared_pairs(frames, measure):
+    """:func:`_block_pairs` with ``(blk, ids, prepared vectors)`` of both blocks; a block is prepared once in a cell."""
+    for _, rows in _by_cell(frames):
+        held, there = [], set()
+        for row in rows:
+            ids, vecs = _unpack(row)
+            part = (row.blk, ids, measure.prepared(vecs))
+            if row.role == 0:
+                held.append(part)
+                there.add(row.blk)
+                continue
+            for a in held:
+                if a[0] <= row.blk or row.blk not in there:
+                    yield a, part
+
+
+def _once(at: np.ndarray, columns: int, same_block: bool):
+    """Which flat places count: all, or in a block's pairs with itself one half."""
+    return slice(None) if not same_block else np.flatnonzero(at // columns < at % columns)
+
+
 def _halved(d: np.ndarray, same_block: bool) -> np.ndarray:
     """Distances of a block to itself once for each pair (the rest infinite)."""
     if same_block:
@@ -215,7 +345,7 @@ def all_pairs(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
     nb, sides = _layout(df, block_rows)
     extra = [label_col] if label_col else []
     cells = _numbered(pair_cells(_blocks(df, id_col, vec_col, nb, extra), sides), sides)
-    measure = _measure(metric)
+    measure = _measure(metric.all if isinstance(metric, Whole) else metric)
 
     def found(a, b, limit):
         ia, va = _unpack(a)
@@ -472,7 +602,7 @@ def pairs_between(a_df: DataFrame, b_df: DataFrame, id_col: str = "id", vec_col:
     return cells.mapInPandas(kernel, "i bigint, j bigint, dist double")
 
 
-HIT_RUN = 500_000   # hit keys a pass over the block pairs carries (24 bytes each)
+HIT_RUN = 2_000_000   # hit keys a pass over the block pairs carries (24 bytes each)
 
 
 def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col: str = "embedding",
@@ -499,8 +629,8 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
     nb, sides = _layout(df, block_rows)
     # both passes read the same blocks, so a pair has the same distance in both
     cells = pair_cells(freeze(_blocks(df, id_col, vec_col, nb)), sides)
-    measure = _measure(metric)
-    # pass 1: hit distances from the kernel of the block pair holding each truth pair
+    measure = _counting(metric)
+    # pass 1: distances of the truth pairs, in the cell of their blocks
     blk = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(nb)).cast("int")
     s1, s2 = F.pmod("_b1", F.lit(sides)), F.pmod("_b2", F.lit(sides))
     asked = (t.withColumn("_b1", blk("i")).withColumn("_b2", blk("j"))
@@ -515,59 +645,57 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
                 if row.role == -1:
                     wanted[int(row.blk), int(row.blk2)] = tuple(np.asarray(x, dtype=np.int64) for x in (row.ids, row.ids2))
                 elif row.role == 0:
-                    held.append(row)
+                    held.append([row, None])
                 else:
-                    there = {a.blk for a in held}
-                    for a in held:
+                    there, met = {a.blk for a, _ in held}, None
+                    for part in held:
+                        a = part[0]
                         if a.blk > row.blk and row.blk in there:
                             continue
                         key = (min(a.blk, row.blk), max(a.blk, row.blk))
                         if key in wanted:
-                            yield hits_of(a, row, *wanted[key])
-
-    def hits_of(a, b, x, y):
-        ia, va = _unpack(a)
-        ib, vb = _unpack(b)
-        d = measure(va, vb)
-        if repeats:
-            ii, jj = _all_places(ia, ib, x, y, a.blk == b.blk)
-            return _hits(np.minimum(ia[ii], ib[jj]), np.maximum(ia[ii], ib[jj]), d[ii, jj])
-        out = []
+                            if part[1] is None:
+                                ids, vecs = _unpack(a)
+                                part[1] = ids, measure.prepared(vecs)
+                            if met is None:
+                                ids, vecs = _unpack(row)
+                                met = ids, measure.prepared(vecs)
+                            yield hits_of(*part[1], *met, a.blk == row.blk, *wanted[key])
+
+    def hits_of(ia, va, ib, vb, same_block, x, y):
+        if repeats and any(len(np.unique(ids)) < len(ids) for ids in (ia, ib)):
+            ii, jj = _all_places(ia, ib, x, y, same_block)
+            return _hits(np.minimum(ia[ii], ib[jj]), np.maximum(ia[ii], ib[jj]), measure.of(va, vb, ii, jj))
         # each truth pair one way round or the other, if both ids are here
-        for p, q in ((x, y), (y, x)):
-            pa, pb = _places(ia, p), _places(ib, q)
-            ok = (pa >= 0) & (pb >= 0)
-            if a.blk == b.blk:
-                ok &= pa < pb   # the half of a diagonal block that the counts read
-            out.append(_hits(x[ok], y[ok], d[pa[ok], pb[ok]]))
-        return pd.concat(out)
-
-    hits = _numbered(cells.unionByName(asked, allowMissingColumns=True), sides).mapInPandas(
-        hit_kernel, "i bigint, j bigint, dist double, key bigint")
+        x, y = np.r_[x, y], np.r_[y, x]
+        pa, pb = _places(ia, x), _places(ib, y)
+        ok = (pa >= 0) & (pb >= 0)
+        if same_block:
+            ok &= pa < pb   # the half of a diagonal block that the counts read
+        x, y = x[ok], y[ok]
+        return _hits(np.minimum(x, y), np.maximum(x, y), measure.of(va, vb, pa[ok], pb[ok]))
+
+    # written before they are ranked: ranking samples its input first, which would run the kernel twice
+    hits = freeze(_numbered(cells.unionByName(asked, allowMissingColumns=True), sides).mapInPandas(
+        hit_kernel, "i bigint, j bigint, dist double, key bigint"))
     ranked = freeze(global_rank(hits, ["key", "i", "j"], "_h"))
     n_hits = ranked.count()
 
     # pass 2: per cell, histogram of pair keys over the hit-key intervals
     def count_kernel(frames, run_keys):
         krd, ki, kj = run_keys.value
-        hit_order = _triples(krd, ki, kj)
+        before = _HitOrder(krd, ki, kj)
         far = _limit(krd[-1:])[0]   # most pairs are farther than the last hit and need no search
         cnt = np.zeros(len(krd) + 1, dtype=np.int64)
-        for a, b in _block_pairs(frames):
-            ia, va = _unpack(a)
-            ib, vb = _unpack(b)
-            d = measure(va, vb)
-            n = len(ia) * (len(ia) - 1) // 2 if a.blk == b.blk else d.size
-            ii, jj = np.nonzero(_halved(d, a.blk == b.blk) <= far)
-            rd = _keys(d[ii, jj])
-            # bin = number of hit keys strictly below the pair's (key, i, j)
-            bins = np.searchsorted(krd, rd, side="left")
-            tie = np.flatnonzero(np.searchsorted(krd, rd, side="right") > bins)
-            if len(tie):
-                gi, gj = ia[ii[tie]], ib[jj[tie]]
-                bins[tie] = np.searchsorted(hit_order, _triples(rd[tie], np.minimum(gi, gj), np.maximum(gi, gj)), side="left")
-            cnt += np.bincount(bins, minlength=len(cnt))
-            cnt[-1] += n - len(ii)
+        for (ba, ia, va), (bb, ib, vb) in _prepared_pairs(frames, measure):
+            at, d = measure.within(va, vb, far)
+            n = len(ia) * (len(ia) - 1) // 2 if ba == bb else len(ia) * len(ib)
+            once = _once(at, len(ib), ba == bb)
+            at, rd = at[once], _keys(d[once])
+            if len(at):   # bin = number of hit keys strictly below the pair's (key, i, j)
+                gi, gj = ia[at // len(ib)], ib[at % len(ib)]
+                cnt += np.bincount(before(rd, np.minimum(gi, gj), np.maximum(gi, gj)), minlength=len(cnt))
+            cnt[-1] += n - len(at)
         nz = np.flatnonzero(cnt)
         yield pd.DataFrame({"bin": nz.astype(np.int64), "c": cnt[nz]})
 
@@ -595,59 +723,129 @@ def pair_hit_ranks(df: DataFrame, truth: DataFrame, id_col: str = "id", vec_col:
     return res.crossJoin(F.broadcast(n_items))   # one row
 
 
-KEY_BITS = 14
+class _HitOrder:
+    """How many of the sorted hits ``(key, i, j)`` lie strictly before each of some pairs."""
+
+    def __init__(self, key, i, j):
+        self.key, self.order = key, _triples(key, i, j)
+        self.keys, self.i = np.unique(key), np.unique(i)
+        self.row = np.searchsorted(self.keys, key) * len(self.i) + np.searchsorted(self.i, i)   # of (key, i) in order
+
+    def __call__(self, key, i, j):
+        bins = np.searchsorted(self.key, key, side="left")
+        tie = np.flatnonzero(self.key[np.minimum(bins, len(self.key) - 1)] == key)
+        if len(tie):   # by i among the hits of the same key, by j among those of the same key and i
+            k, ti = key[tie], i[tie]
+            at = np.searchsorted(self.i, ti)
+            row = np.searchsorted(self.keys, k) * len(self.i) + at
+            bins[tie] = np.searchsorted(self.row, row, side="left")
+            first = np.minimum(bins[tie], len(self.row) - 1)
+            same = np.flatnonzero((at < len(self.i)) & (self.i[np.minimum(at, len(self.i) - 1)] == ti)
+                                  & (bins[tie] < len(self.row)) & (self.row[first] == row))
+            bins[tie[same]] = np.searchsorted(self.order, _triples(k[same], ti[same], j[tie[same]]), side="left")
+        return bins
+
+
+BINS = 1 << 16   # of the distances between 0 and 1, in the first pass of pair_order_statistics
+BELOW = -(1 << 62)
 
 
 def pair_order_statistics(df: DataFrame, places: list[int], id_col: str = "id", vec_col: str = "embedding",
                           metric="half_cosine", block_rows: int = 1024) -> dict[int, float]:
     """Exact distances at 0-based ``places`` of all pairs in order of distance, without writing the pairs.
 
-    Three passes over the block pairs count distances in bins of 2^14 keys
-    (units of 1e-9), then the keys of the bins that hold a place, then the
-    values of those keys. For distances between 0 and 1.
+    Three passes over the block pairs. The first counts distances in single precision in ``BINS`` bins: that moves no
+    distance by more than the measure's margin, nor the one at a place, so each place gets a bracket of keys (units of
+    1e-9) that holds it. The second measures the pairs in the brackets exactly and counts their keys, the third the
+    values of the keys found. For distances between 0 and 1; a NaN comes before all others.
     """
     from tidemark.operators.ranking import freeze
 
     nb, sides = _layout(df, block_rows)
     cells = pair_cells(freeze(_blocks(df, id_col, vec_col, nb)), sides)
-    measure = _measure(metric)
+    measure = _counting(metric)
 
     def counted(of, kind):
+        """Rows ``(part, x, c)`` of ``of(a, b, rough distances)``, summed."""
         def kernel(frames):
-            acc, size = [], 0
-            for a, b in _block_pairs(frames):
-                (ia, va), (_, vb) = _unpack(a), _unpack(b)
-                d = measure(va, vb)
-                d = d[np.triu_indices(len(ia), 1)] if a.blk == b.blk else d.ravel()
-                x, c = np.unique(of(d), return_counts=True)
-                acc.append(pd.DataFrame({"x": x, "c": c}))
-                size += len(x)
+            acc, size, margin = [], 0, 0.0
+            for (ba, ia, va), (bb, _, vb) in _prepared_pairs(frames, measure):
+                d = measure.rough(va, vb)
+                if ba == bb:
+                    d[np.tril_indices(len(ia))] = np.inf   # a block's pairs with itself once
+                margin = measure.margin(va)
+                for part, x, c in of(va, vb, d, margin):
+                    acc.append(pd.DataFrame({"part": part, "x": x, "c": c}))
+                    size += len(x)
                 if size >= 1_000_000:
-                    acc = [pd.concat(acc).groupby("x", as_index=False).sum()]
+                    acc = [pd.concat(acc).groupby(["part", "x"], as_index=False, dropna=False).sum()]
                     size = len(acc[0])
             if acc:
-                yield pd.concat(acc).groupby("x", as_index=False).sum()
-        got = _numbered(cells, sides).mapInPandas(kernel, f"x {kind}, c long").groupBy("x").agg(F.sum("c").alias("c"))
-        return got.toPandas().sort_values("x")   # bins of one level, or the values of a few keys
-
-    def place(table, wanted):
-        """``{place: (x, rest)}``: the x that holds a place, and the place inside it."""
-        ends = np.cumsum(table["c"].to_numpy())
-        at = {p: int(np.searchsorted(ends, r, side="right")) for p, r in wanted.items()}
-        return {p: (table["x"].iloc[i], wanted[p] - (int(ends[i - 1]) if i else 0)) for p, i in at.items()}
-
-    def deeper(of, kind, inside):
-        """Next level inside each of the last one's bins."""
-        table = counted(lambda d: of(d[np.isin(inside(d), np.array(sorted({x for x, _ in found.values()})))]), kind)
-        return {p: place(table[inside_x(table["x"].to_numpy()) == x], {p: r})[p] for p, (x, r) in found.items()}
-
-    bin_of = lambda d: _keys(d) >> KEY_BITS
-    found = place(counted(bin_of, "long"), {p: p for p in places})
-    inside_x = lambda x: x >> KEY_BITS
-    found = deeper(_keys, "long", bin_of)
-    inside_x = _keys
-    found = deeper(lambda d: d, "double", _keys)
-    return {p: float(x) for p, (x, _) in found.items()}
+                yield pd.concat(acc).groupby(["part", "x"], as_index=False, dropna=False).sum()
+            if margin and kind == "double":
+                yield pd.DataFrame({"part": [-1], "x": [margin], "c": [0]})
+        got = _numbered(cells, sides).mapInPandas(kernel, f"part int, x {kind}, c long").groupBy("part", "x").agg(
+            F.sum("c").alias("c"))
+        got = got.toPandas()   # bins, the keys of a bracket, or the values of a few keys
+        return got.sort_values("x", na_position="first"), got["x"].where(got["part"] == -1).max()
+
+    def bins_of(va, vb, d, margin):
+        np.maximum(d, 0, out=d)
+        if np.isnan(d.min()):
+            d[np.isnan(d)] = 0
+        at = (np.minimum(d, 2) * BINS).astype(np.int32).ravel()
+        c = np.bincount(at, minlength=BINS + 2)[: 2 * BINS]
+        x = np.flatnonzero(c)
+        yield 0, x.astype(np.float64), c[x]
+
+    def exact(va, vb, d, low, high):
+        """Exact distances of the pairs whose rough one isn't outside ``low`` and ``high``."""
+        at = np.flatnonzero(~((d.ravel() < low) | (d.ravel() > high)))
+        return measure.of(va, vb, *np.divmod(at, d.shape[1])) if len(at) else np.zeros(0)
+
+    def keys_of(d):
+        return np.where(np.isnan(d), BELOW + 1, _keys(np.where(np.isnan(d), 0, d)))
+
+    table, margin = counted(bins_of, "double")
+    table = table[table["part"] == 0]
+    margin = 0.0 if not margin > 0 else float(margin)
+    ends = np.cumsum(table["c"].to_numpy())
+    near = {p: float(table["x"].iloc[int(np.searchsorted(ends, p, side="right"))]) / BINS for p in places}
+    # the place's rough distance lies in its bin, its exact one no farther off than the margin
+    lows = {p: BELOW if x == 0 else math.floor((x - 2 * margin) * 1e9) - 1 for p, x in near.items()}
+    highs = {p: math.ceil((x + 1 / BINS + 2 * margin) * 1e9) + 1 for p, x in near.items()}
+    brackets = sorted({(lows[p], highs[p]) for p in places})
+
+    def keys_inside(va, vb, d, margin):
+        for part, (low, high) in enumerate(brackets):
+            sure = max(low * 1e-9 - 1e-9 - 2 * margin, -1e9)
+            e = keys_of(exact(va, vb, d, sure, high * 1e-9 + 1e-9 + 2 * margin))
+            below = np.count_nonzero(d < sure) + np.count_nonzero(e < low)
+            x, c = np.unique(e[(e >= low) & (e <= high)], return_counts=True)
+            yield part, np.r_[BELOW, x], np.r_[below, c]
+
+    table, _ = counted(keys_inside, "long")
+    found = {}
+    for p in places:
+        t = table[table["part"] == brackets.index((lows[p], highs[p]))]
+        ends = np.cumsum(t["c"].to_numpy())
+        i = int(np.searchsorted(ends, p, side="right"))
+        found[p] = int(t["x"].iloc[i]), p - int(ends[i - 1])
+    keys = sorted({k for k, _ in found.values()})
+
+    def values_of(va, vb, d, margin):
+        for part, key in enumerate(keys):
+            sure = -1e9 if key < 0 else key * 1e-9 - 1e-9 - 2 * margin
+            e = exact(va, vb, d, sure, max(key, 0) * 1e-9 + 1e-9 + 2 * margin)
+            x, c = np.unique(e[keys_of(e) == key], return_counts=True)
+            yield part, x, c
+
+    table, _ = counted(values_of, "double")
+    out = {}
+    for p, (key, rest) in found.items():
+        t = table[table["part"] == keys.index(key)]
+        out[p] = float(t["x"].iloc[int(np.searchsorted(np.cumsum(t["c"].to_numpy()), rest, side="right"))])
+    return out
 
 
 def _hits(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
