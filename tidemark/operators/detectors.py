@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_key, uniform
-from tidemark.functions.scalars import kernel_weight, dependence_weight
-from tidemark.functions.vectors import l2_distance, sq_l2_distance, half_cosine_distance
+from tidemark.functions.scalars import kernel_weight
+from tidemark.functions.vectors import half_cosine_distance
 from tidemark.operators.pairs import (
     SIDE_ROWS, Filtered, Whole, _by_cell, _dealt, _products, all_pairs, knn, pair_hit_ranks,
 )
@@ -125,9 +125,10 @@ def prototypes(emb: DataFrame, seed: int = 42, rounds: int = 10) -> DataFrame:
     """Per-class K-means (Lloyd), all classes in one plan.
 
     Start centres are the k first rows of each class in seeded hash order.
-    Each round assigns rows to the nearest centre of their own class (join on
-    label: the centre table has sum_c k_c ~ sqrt(n) rows) and averages by
-    ``(label, proto)``; lineage is cut by a checkpoint every round.
+    Each round assigns rows to the nearest centre of their own class in a
+    kernel that holds the centres (sum_c k_c ~ sqrt(n) rows) and adds up its
+    rows by ``(label, proto)``, so only the sums of a task are shuffled. The
+    rows are written once, an id's rows together.
     Output ``(label, proto_id, center array<double>)``.
     """
     from tidemark.operators.contaminate import rank_within
@@ -137,26 +138,132 @@ def prototypes(emb: DataFrame, seed: int = 42, rounds: int = 10) -> DataFrame:
     start = (rank_within(keyed, ["label"], ["_h", "id"], "_r")
              .join(F.broadcast(ks), "label").where(F.col("_r") <= F.col("k"))
              .select("label", (F.col("_r") - 1).cast("int").alias("proto"),
-                     F.col("embedding").alias("center")))
-    centers = freeze(start)
-    dim = F.size(F.col("embedding"))
+                     F.col("embedding").cast("array<double>").alias("center")))
+    centers = {(r.label, r.proto): r.center for r in start.collect()}   # sum of k_c rows, the model
+    names = sorted({label for label, _ in centers})
+    rows = F.struct("label", F.col("embedding").cast("array<double>").alias("v"))
+    by_id = freeze(emb.where("id is not null").groupBy("id").agg(F.collect_list(rows).alias("r")).select("r"))
+    tasks = 2 * emb.sparkSession.sparkContext.defaultParallelism   # each sends its sums of every centre
+    by_id = by_id.coalesce(tasks)
     for _ in range(rounds):
-        d = (emb.join(centers, "label")
-             .withColumn("_d", sq_l2_distance("embedding", "center")))
-        best = d.groupBy("id").agg(F.min_by("proto", F.struct("_d", "proto")).alias("proto"))
-        assigned = emb.join(best, "id")
-        comp = assigned.select("label", "proto", F.posexplode("embedding").alias("i", "x"))
-        avg = comp.groupBy("label", "proto", "i").agg(F.avg("x").alias("x"))
-        new = (avg.groupBy("label", "proto")
-               .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s"))
-               .select("label", "proto", F.transform("_s", lambda s: s["x"]).alias("center")))
+        model = emb.sparkSession.sparkContext.broadcast((names, centers))
+        sums = by_id.mapInArrow(lambda it, model=model: _assigned_sums(it, *model.value),
+                                "code int, proto int, sums array<double>, known array<bigint>")
+        got = (sums.select("code", "proto", F.posexplode(F.arrays_zip("sums", "known")).alias("i", "s"))
+               .groupBy("code", "proto", "i").agg(F.sum("s.sums").alias("x"), F.sum("s.known").alias("c"))
+               .groupBy("code", "proto").agg(F.array_sort(F.collect_list(F.struct("i", "x", "c"))).alias("s")).collect())
+        new = {(names[r.code], r.proto): [x.x / x.c if x.c else None for x in r.s] for r in got}
         # a centre that lost all its rows keeps its position
-        centers = freeze(centers.join(new.withColumnRenamed("center", "_new"), ["label", "proto"], "left")
-                         .select("label", "proto", F.coalesce("_new", "center").alias("center")))
-    del dim
+        centers = {key: new.get(key, center) for key, center in centers.items()}
+    table = emb.sparkSession.createDataFrame(
+        [(*key, center) for key, center in centers.items()],
+        start.schema)
     w = F.dense_rank().over(Window.orderBy("label", "proto"))
     # proto ids: small table (sum of k_c rows), a global window is fine here
-    return centers.select("label", "proto", "center").withColumn("proto_id", (w - 1).cast("bigint"))
+    return table.withColumn("proto_id", (w - 1).cast("bigint"))
+
+
+def _read_vectors(col):
+    """A list column of a batch: sizes (-1 for null), whether all values are there, first places, values, known values."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(col)
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    held = np.maximum(size, 0)
+    whole = size >= 0
+    whole[np.repeat(np.arange(len(size)), held)[~known]] = False
+    return size, whole, np.cumsum(held) - held, pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), known
+
+
+def _sq_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of two sets of vectors, summed in the order of the components as :func:`sq_l2_distance`."""
+    d = np.zeros((len(x), len(c)))
+    for lo in range(0, len(x), 128):
+        at = d[lo : lo + 128]
+        for i in range(x.shape[1]):
+            t = x[lo : lo + 128, i, None] - c[None, :, i]
+            t *= t
+            at += t
+    return d
+
+
+def _comparable(centers, size: int):
+    """Places of the centres that have a distance to whole vectors of ``size``, and those vectors."""
+    at = [i for i, c in enumerate(centers) if c is not None and len(c) == size and None not in c]
+    return np.array(at, dtype=np.int64), np.array([centers[i] for i in at], dtype=np.float64).reshape(len(at), size)
+
+
+def _assigned_sums(batches, names, centers):
+    """A round's sums and numbers of known components of the rows of each centre, over a task's ids.
+
+    An id's rows go to the nearest centre of their own class; of an id that comes more often the nearest
+    counts for all its rows. A null distance comes before all others, ties go to the first centre.
+    """
+    import pyarrow as pa
+
+    code = {name: i for i, name in enumerate(names)}
+    of = [[] for _ in names]
+    for (label, proto), center in sorted(centers.items(), key=lambda kv: (code[kv[0][0]], kv[0][1])):
+        of[code[label]].append((proto, center))
+    protos = [np.array([p for p, _ in cs], dtype=np.int64) for cs in of]
+    fit, total = {}, {}
+
+    def add(key, values, known):
+        have = total.get(key)
+        if have is None or len(have[0]) < len(values):
+            grown = (np.zeros(len(values)), np.zeros(len(values), dtype=np.int64))
+            for g, h in zip(grown, have or ()):
+                g[: len(h)] += h
+            have = total[key] = grown
+        have[0][: len(values)] += values
+        have[1][: len(values)] += known
+
+    for batch in batches:
+        lists = batch.column(0)
+        per_id = lists.value_lengths().to_numpy(zero_copy_only=False)
+        rows = lists.flatten()
+        idx = np.repeat(np.arange(len(per_id)), per_id)
+        lab = np.array([code.get(x, -1) for x in rows.field("label").to_pylist()], dtype=np.int64)
+        size, whole, first, x, known = _read_vectors(rows.field("v"))
+        flag, dist, best = np.zeros(len(lab), dtype=np.int8), np.zeros(len(lab)), np.zeros(len(lab), dtype=np.int64)
+        groups = {(c, n) for c, n in zip(lab[whole].tolist(), size[whole].tolist()) if c >= 0}
+        for c, n in groups:
+            if (c, n) not in fit:
+                fit[c, n] = _comparable([center for _, center in of[c]], n)
+            at, vecs = fit[c, n]
+            here = np.flatnonzero(whole & (lab == c) & (size == n))
+            if len(at) < len(protos[c]):   # a centre without a distance
+                best[here] = protos[c][np.setdiff1d(np.arange(len(protos[c])), at)[0]]
+                continue
+            d = _sq_distances(x[first[here][:, None] + np.arange(n)], vecs)
+            near = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+            flag[here], dist[here], best[here] = 1, d[np.arange(len(here)), near], protos[c][at[near]]
+        for c in set(lab[~whole].tolist()) - {-1}:
+            best[~whole & (lab == c)] = protos[c][0]
+        ok = np.flatnonzero(lab >= 0)
+        order = ok[np.lexsort((best[ok], dist[ok], flag[ok], idx[ok]))]
+        ids, at = np.unique(idx[order], return_index=True)
+        chosen = np.zeros(len(per_id), dtype=np.int64)
+        chosen[ids] = best[order[at]]
+        took = chosen[idx]
+        for n in {n for _, n in groups}:
+            here = np.flatnonzero(whole & (lab >= 0) & (size == n))
+            here = here[np.lexsort((took[here], lab[here]))]
+            key = np.stack([lab[here], took[here]])
+            starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+            if n:
+                sums = np.add.reduceat(x[first[here][:, None] + np.arange(n)], starts, axis=0)
+                for k, many, values in zip(key[:, starts].T.tolist(), np.diff(np.r_[starts, len(here)]), sums):
+                    add(tuple(k), values, np.full(n, many))
+        for r in np.flatnonzero(~whole & (lab >= 0) & (size > 0)):
+            part = slice(first[r], first[r] + size[r])
+            add((int(lab[r]), int(took[r])), np.where(known[part], x[part], 0.0), known[part].astype(np.int64))
+    keys = sorted(total)
+    yield pa.RecordBatch.from_pydict({
+        "code": pa.array([c for c, _ in keys], pa.int32()), "proto": pa.array([p for _, p in keys], pa.int32()),
+        "sums": pa.array([total[k][0].tolist() for k in keys], pa.list_(pa.float64())),
+        "known": pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.int64()))})
 
 
 def proto_votes(emb: DataFrame, protos: DataFrame, k: int = 5, b: float = 1.0, e: float = 1.0) -> DataFrame:
@@ -179,14 +286,49 @@ def dependence(emb: DataFrame, protos: DataFrame, votes: DataFrame, b: float = 1
     """Sum over prototypes of the H6 weight / (b + ||x - p||^e).
 
     The prototype table has about sqrt(n/2C) C rows with a proven bound
-    (D4), so it is broadcast; the sample side streams.
+    (D4), so every task holds it; the sample side streams past it, a block of
+    rows and all prototypes at once.
     """
-    p = protos.join(votes, "proto_id").select(
-        F.col("label").alias("yj"), F.col("pred").alias("yp"), F.col("center"))
-    j = emb.crossJoin(F.broadcast(p))
-    w = dependence_weight(F.col("label"), F.col("yj"), F.col("yp"), alpha, b_factor)
-    s = j.withColumn("_v", w * kernel_weight(l2_distance("embedding", "center"), b, e))
-    return s.groupBy("id").agg(F.sum("_v").alias("score"))
+    model = [tuple(r) for r in protos.join(votes, "proto_id").select("label", "pred", F.col("center").cast("array<double>")).collect()]
+    model = emb.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        given, voted, centers = (list(c) for c in zip(*model.value)) if model.value else ([], [], [])
+        fit, weight = {}, {}
+        for batch in batches:
+            size, whole, first, x, _ = _read_vectors(batch.column("embedding"))
+            labels = batch.column("label").to_pylist()
+            score, there = np.zeros(len(labels)), np.zeros(len(labels), dtype=bool)
+            for n in set(size[whole].tolist()):
+                if n not in fit:
+                    fit[n] = _comparable(centers, n)
+                at, vecs = fit[n]
+                here = np.flatnonzero(whole & (size == n))
+                for lo in range(0, len(here) if len(at) else 0, 128):
+                    rows = here[lo : lo + 128]
+                    d = np.sqrt(_sq_distances(x[first[rows][:, None] + np.arange(n)], vecs))
+                    for y in {labels[r] for r in rows}:
+                        if y not in weight:
+                            weight[y] = np.array([_label_weight(y, *yy, alpha, b_factor) for yy in zip(given, voted)])
+                    w = np.stack([weight[labels[r]] for r in rows])[:, at]
+                    score[rows], there[rows] = (w / (b + d ** e)).sum(axis=1), True
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, mask=~there)], ["id", "_v"])
+
+    kind = emb.schema["id"].dataType.simpleString()
+    scored = emb.select("id", "label", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
+        kernel, f"id {kind}, _v double")
+    return scored.groupBy("id").agg(F.sum("_v").alias("score"))
+
+
+def _label_weight(y_i, y_j, y_p, alpha: float, b_factor: float) -> float:
+    """:func:`dependence_weight` of three labels, with nulls as Spark compares them."""
+    if y_i is not None and y_i == y_j:
+        return -1.0
+    if y_j is not None and y_j == y_p:
+        return 1.0 - alpha
+    return alpha if y_i is not None and y_p is not None and y_i != y_p else alpha * b_factor
 
 
 def noise_rank(emb: DataFrame, k: int = 5, b: float = 1.0, e: float = 1.0, alpha: float = 0.5,
