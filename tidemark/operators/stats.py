@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import uniform
 from tidemark.functions.scalars import normal_cdf, pvalue_stars
 from tidemark.operators.exact_ranks import LARGEST_PRODUCT, rank_sum_test, signed_rank_test
 from tidemark.operators.quantiles import quantiles
@@ -105,40 +105,181 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] | None = None, id_col:
                     two.alias("p_two_sided"), greater.alias("p_greater"))
 
 
+# MD5's shifts and constants (RFC 1321).
+MD5_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+MD5_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], dtype=np.uint32)
+MD5_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], dtype=np.uint32)
+
+
+def _first_words(words, shape) -> np.ndarray:
+    """First word of the MD5 of many messages: ``words`` are blocks of 16 words, each an array that broadcasts to ``shape``."""
+    state = [np.full(shape, s) for s in MD5_START]
+    f, t = np.empty(shape, dtype=np.uint32), np.empty(shape, dtype=np.uint32)
+    for last, block in zip([*[False] * (len(words) - 1), True], words):
+        a, b, c, d = (s.copy() for s in state)
+        for i in range(61 if last else 64):   # the first word isn't touched by the last three steps
+            kind, k = divmod(i, 16)
+            if kind == 0:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif kind == 1:
+                k = (5 * i + 1) % 16
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif kind == 2:
+                k = (3 * i + 5) % 16
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                k = 7 * i % 16
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            f += a
+            f += block[k] + MD5_SINES[i]
+            s = MD5_SHIFTS[kind][i % 4]
+            np.right_shift(f, np.uint32(32 - s), out=t)
+            f <<= np.uint32(s)
+            f |= t
+            f += b
+            a, f, d, c, b = d, a, c, b, f
+        if last:   # after 61 steps b holds the new first word
+            return state[0] + b
+        for s, x in zip(state, (a, b, c, d)):
+            s += x
+
+
+def _swapped(ids, resamples: int, seed: int) -> np.ndarray:
+    """``uniform(seed, 'perm', 'r/id') < 0.5`` for every id (bytes, or None) and resample 1.., a column each after
+    column 0, which is false."""
+    out = np.zeros((len(ids), resamples + 1), dtype=bool)
+    sizes = np.array([-1 if i is None else len(i) for i in ids])
+    for size in set(sizes.tolist()):
+        rows = np.flatnonzero(sizes == size)
+        tail = b"" if size < 0 else b"/"
+        for digits in range(1, len(str(resamples)) + 1):
+            rs = range(10 ** (digits - 1), min(10**digits, resamples + 1))
+            head = [f"{seed}:perm:{r}".encode() + tail for r in rs]
+            if not head:
+                continue
+            at = len(head[0])
+            length = at + max(size, 0)
+            blocks = (length + 8) // 64 + 1
+            first = np.zeros((len(head), 64 * blocks), dtype=np.uint8)
+            first[:, :at] = np.frombuffer(b"".join(head), dtype=np.uint8).reshape(len(head), at)
+            rest = np.zeros((len(rows), 64 * blocks), dtype=np.uint8)
+            if size > 0:
+                rest[:, at:length] = np.frombuffer(b"".join(ids[i] for i in rows), dtype=np.uint8).reshape(len(rows), size)
+            rest[:, length] = 0x80
+            rest[:, -8:] = np.frombuffer((8 * length).to_bytes(8, "little"), dtype=np.uint8)
+            first, rest = first.view("<u4"), rest.view("<u4")
+            for i in range(0, len(rows), 256):
+                q = rest[i : i + 256]
+                wide = max(64, 16384 // len(q))
+                for j in range(0, len(head), wide):
+                    p = first[j : j + wide]
+                    words = [[p[None, :, w] if not q[:, w].any() else q[:, None, w] if not p[:, w].any()
+                              else q[:, None, w] | p[None, :, w] for w in range(16 * k, 16 * k + 16)] for k in range(blocks)]
+                    word = _first_words(words, (len(q), len(p)))
+                    out[rows[i : i + 256, None], np.arange(rs[j], rs[j] + len(p))] = (word & 0x80) == 0
+    return out
+
+
 def paired_permutation(df: DataFrame, x: str, y: str, resamples: int = 9999, seed: int = 42,
                        id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """Paired permutation test of T = sum over pairs of 1[x > y] * rank(x).
 
-    Resample r swaps x and y in pair i when a hash bit of (seed, r, i) is set;
-    every task draws all resamples of its pairs; ranks per resample come from
-    a window over that resample's pairs (bounded by the pair count).
+    Resample r swaps x and y in pair i when a hash bit of (seed, r, i) is set. A pair's bits of all resamples are drawn
+    at once and packed; each pair becomes two rows (value, bits of the resamples that have it as x, whether it is the
+    larger one). The rows lie in order of their values over range partitions; a task streams its rows and keeps, for
+    each resample, how many values it met and the sum of their ranks so far, so no pair is expanded by the resamples.
+    The partitions' sums, one row for each, are put together in order.
     p_greater = (#(T_r >= T_obs) + 1) / (R + 1), p_less likewise,
     p_two_sided = min(1, 2 min(p_greater, p_less)).
     """
     from pyspark.sql import Window
 
+    from tidemark.operators.ranking import freeze
+
     by = list(by or [])
     spark = df.sparkSession
-    pairs = df.select(*by, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    # the resamples are bounded by their number and go to every task; the pairs, of any number, are dealt out
-    rs = F.broadcast(spark.range(0, resamples + 1).withColumnRenamed("id", "_r"))   # _r = 0: observed
-    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism, "_i")
-    swap = F.when(F.col("_r") == 0, F.lit(False)).otherwise(
-        uniform(seed, "perm", F.concat_ws("/", F.col("_r").cast("string"), F.col("_i").cast("string"))) < 0.5)
-    j = (pairs.crossJoin(rs)
-         .withColumn("_s", swap)
-         .withColumn("_xx", F.when(F.col("_s"), F.col("_y")).otherwise(F.col("_x")))
-         .withColumn("_yy", F.when(F.col("_s"), F.col("_x")).otherwise(F.col("_y"))))
-    w = Window.partitionBy(*by, "_r").orderBy("_xx")
-    # tied values share the mean of their ranks (a range frame of equal values on the same sort)
-    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-    ranked = j.withColumn("_rk", F.rank().over(w) + (ties - 1) / 2.0)
-    stat = ranked.groupBy(*by, "_r").agg(
-        F.sum(F.when(F.col("_xx") > F.col("_yy"), F.col("_rk")).otherwise(0.0)).alias("_t"))
+    n = resamples + 1   # resample 0: observed
+    value = lambda c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))  # noqa: E731  (-0.0 is 0.0)
+    pairs = df.select(*by, F.col(id_col).cast("string").cast("binary").alias("_i"), value(x).alias("_x"), value(y).alias("_y"),
+                      (F.col(x) > F.col(y)).alias("_more"), (F.col(y) > F.col(x)).alias("_less"))
+    pairs = pairs.repartition(4 * spark.sparkContext.defaultParallelism)
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pairs.schema.fields if f.name in by)
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                swapped = _swapped(part.column("_i").to_pylist(), resamples, seed)
+                for c, top, held in (("_x", "_more", ~swapped), ("_y", "_less", swapped)):
+                    held = pa.array([h.tobytes() for h in np.packbits(held, axis=1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in by], part.column(c), part.column(top), held],
+                                                     [*by, "_v", "_top", "_bits"])
+
+    # written once, as the order samples its input; a null is the smallest value, all nulls tie
+    rows = freeze(pairs.mapInArrow(draw, f"{keys}_v double, _top boolean, _bits binary"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    laid = (rows.repartitionByRange(parts, *by, "_v").sortWithinPartitions(*by, "_v")
+            .withColumn("_p", F.spark_partition_id()))
+
+    def count(batches):
+        """A group's values met by each resample, those of them that are the larger of their pair, and their ranks."""
+        import pyarrow as pa
+
+        group = value = None
+        for batch in batches:
+            kinds, pid = [batch.column(k).type for k in by], batch.column("_p")
+            of = list(zip(*[batch.column(k).to_pylist() for k in by])) if by else [()] * batch.num_rows
+            # an unordered NaN ties with NaN, as in the sort
+            values = ["nan" if v is not None and v != v else v for v in batch.column("_v").to_pylist()]
+            tops = batch.column("_top").to_pylist()
+            for lo in range(0, batch.num_rows, 256):
+                bits = np.frombuffer(b"".join(batch.column("_bits").slice(lo, 256).to_pylist()), dtype=np.uint8)
+                for k, b in enumerate(np.unpackbits(bits.reshape(-1, -(-n // 8)), axis=1, count=n), lo):
+                    if group is None or of[k] != group[0]:
+                        if group is not None:
+                            yield done(group, pa)
+                        group, value = (of[k], kinds, pid[k].as_py(), np.zeros((5, n))), values[k]
+                    met, larger, ranks, tied, tied_larger = group[3]
+                    if values[k] != value:
+                        fold(group[3])
+                        value = values[k]
+                    tied += b
+                    if tops[k]:
+                        tied_larger += b
+        if group is not None:
+            yield done(group, pa)
+
+    def fold(sums):
+        """The rows of one value are through: they share the mean of their ranks."""
+        met, larger, ranks, tied, tied_larger = sums
+        ranks += tied_larger * (met + (tied + 1) / 2)
+        met += tied
+        larger += tied_larger
+        sums[3:] = 0
+
+    def done(group, pa):
+        of, kinds, pid, sums = group
+        fold(sums)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k], kind) for k, kind in zip(of, kinds)], pa.array([pid], pa.int32()),
+             *[pa.array([c.tolist()], pa.list_(pa.float64())) for c in sums[:3]]], [*by, "_p", "met", "larger", "ranks"])
+
+    parts = freeze(laid.mapInArrow(count, f"{keys}_p int, met array<double>, larger array<double>, ranks array<double>"))
+    each = parts.select(*by, "_p", F.posexplode(F.arrays_zip("met", "larger", "ranks")).alias("_r", "_s"))
+    w = Window.partitionBy(*by, "_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)   # a row per partition
+    ranks = F.col("_s.ranks") + F.col("_s.larger") * F.coalesce(F.sum("_s.met").over(w), F.lit(0.0))
+    stat = each.withColumn("_t", ranks).groupBy(*by, "_r").agg(F.sum("_t").alias("_t"))
     # one row per resample: materialise so the observed and the null branch
     # do not both replay the resampling
-    from tidemark.operators.ranking import freeze
-
     stat = freeze(stat)
     obs = stat.where(F.col("_r") == 0).select(*by, F.col("_t").alias("statistic"))
     null = stat.where(F.col("_r") > 0)
@@ -276,8 +417,6 @@ def beta_fit(scores: DataFrame, value: str, xq_low: float, xq_high: float | None
     ``prior`` = its reference distribution) and searches a, b; ``mode='ab_scale'``
     then also searches the scale around the fitted one.
     """
-    import numpy as np
-
     spark = scores.sparkSession
     a_vals = list(a_grid or np.geomspace(0.2, 20.0, 12))
     b_vals = list(b_grid or np.geomspace(0.2, 20.0, 12))
